@@ -229,3 +229,28 @@ def quantiles(
         .agg(F.expr(f"percentile(__x, array({ps_sql}), __c)").alias("__q"))
         .select(*keys, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
     )
+
+
+def neighbours(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: Column,
+    before: str,
+    after: str,
+    chunk: Column | None = None,
+) -> DataFrame:
+    """``value`` of the row before and of the row after, in one pass."""
+    rows = df.withColumn(_CH, time_chunk(order[0]) if chunk is None else chunk)
+    rows = rows.withColumn("__v", F.struct(value.alias("v")))
+    inside, across = _windows(keys, order)
+    ends = F.struct(F.min_by("__v", _tick(order)).alias("head"), F.max_by("__v", _tick(order)).alias("tail"))
+    carry = F.struct(
+        F.lag(F.col(_SUM)["tail"]).over(across).alias("p"), F.lead(F.col(_SUM)["head"]).over(across).alias("n")
+    )
+    joined = _attach(rows, keys, ends, carry)
+    return (
+        joined.withColumn(before, F.coalesce(F.lag("__v").over(inside), F.col(_CARRY)["p"])["v"])
+        .withColumn(after, F.coalesce(F.lead("__v").over(inside), F.col(_CARRY)["n"])["v"])
+        .drop(_CH, _CARRY, "__v")
+    )

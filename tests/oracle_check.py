@@ -46,6 +46,15 @@ def rows_of(columns, rows):
     return sorted(columns), sorted(tuple(norm(r[i]) for i in order) for r in rows)
 
 
+def kind(t: str) -> str:
+    t = t.lower()
+    if "int" in t and "huge" not in t and "interval" not in t:
+        return "int"
+    if t in ("double", "float"):
+        return "float"
+    return {"string": "varchar"}.get(t, t)
+
+
 def compare(df, con, sql: str):
     """None when equal, else a message."""
     sc, sr = rows_of(df.columns, [tuple(r) for r in df.collect()])
@@ -55,6 +64,10 @@ def compare(df, con, sql: str):
         return f"columns {sc} vs {dc}"
     if len(sr) != len(dr):
         return f"rows {len(sr)} vs {len(dr)}; first {sr[:2]} vs {dr[:2]}"
+    want = {c[0]: kind(str(c[1])) for c in cur.description}
+    have = {f.name: kind(f.dataType.simpleString()) for f in df.schema}
+    if want != have:
+        return "types " + str({k: (have[k], want[k]) for k in want if have[k] != want[k]})
     bad = [(a, b) for a, b in zip(sr, dr) if a != b]
     if bad:
         return f"{len(bad)}/{len(sr)} rows differ: {sc} {bad[0][0]} vs {bad[0][1]}"
