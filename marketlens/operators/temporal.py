@@ -183,18 +183,21 @@ def nearest(
     b_ts: str,
     window_s: float,
     cols: dict[str, str],
+    open_back: bool = False,
 ) -> DataFrame:
     """Time-nearest ``b`` row within ``window_s`` of each ``a`` row, the earlier one on a tie.
 
     Two as-of passes (backward, forward) find the only two candidates, so no pairs are built.
+    ``open_back`` leaves out a candidate exactly ``window_s`` earlier.
     """
     names = list(cols.values())
-    with_ts = {**cols, b_ts: "__t"}
+    with_ts = {**cols, "__t": "__t"}
+    b = b.withColumn("__t", F.col(b_ts))
     back = asof(a, b, on, a_ts, b_ts, {c: f"__b_{n}" for c, n in with_ts.items()})
     both = asof(back, b, on, a_ts, b_ts, {c: f"__f_{n}" for c, n in with_ts.items()}, forward=True)
     d_back = F.col(a_ts) - F.col("__b___t")
     d_forw = F.col("__f___t") - F.col(a_ts)
-    ok_b = F.coalesce(d_back <= window_s, F.lit(False))
+    ok_b = F.coalesce((d_back < window_s) if open_back else (d_back <= window_s), F.lit(False))
     ok_f = F.coalesce(d_forw <= window_s, F.lit(False))
     use_b = ok_b & (~ok_f | (d_back <= d_forw))
     return both.select(
