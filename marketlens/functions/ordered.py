@@ -254,3 +254,33 @@ def neighbours(
         .withColumn(after, F.coalesce(F.lead("__v").over(inside), F.col(_CARRY)["n"])["v"])
         .drop(_CH, _CARRY, "__v")
     )
+
+
+def known_around(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: Column,
+    before: str,
+    after: str,
+    chunk: Column | None = None,
+) -> DataFrame:
+    """Latest non-null ``value`` up to each row and the first one from it on, in one pass."""
+    rows = df.withColumn(_CH, time_chunk(order[0]) if chunk is None else chunk)
+    rows = rows.withColumn("__v", value)
+    inside, across = _windows(keys, order)
+    at = F.when(F.col("__v").isNotNull(), _tick(order))
+    ends = F.struct(F.min_by("__v", at).alias("head"), F.max_by("__v", at).alias("tail"))
+    lo, hi = W.unboundedPreceding, W.unboundedFollowing
+    carry = F.struct(
+        F.last(F.col(_SUM)["tail"], ignorenulls=True).over(across.rowsBetween(lo, -1)).alias("p"),
+        F.first(F.col(_SUM)["head"], ignorenulls=True).over(across.rowsBetween(1, hi)).alias("n"),
+    )
+    joined = _attach(rows, keys, ends, carry)
+    back = F.last("__v", ignorenulls=True).over(inside.rowsBetween(lo, 0))
+    forth = F.first("__v", ignorenulls=True).over(inside.rowsBetween(0, hi))
+    return (
+        joined.withColumn(before, F.coalesce(back, F.col(_CARRY)["p"]))
+        .withColumn(after, F.coalesce(forth, F.col(_CARRY)["n"]))
+        .drop(_CH, _CARRY, "__v")
+    )

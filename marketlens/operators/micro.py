@@ -60,17 +60,23 @@ def leg_series(t: DataFrame, legs: DataFrame, step: int = MINUTE) -> DataFrame:
 
 def total_variation(series: DataFrame) -> DataFrame:
     """Half the summed absolute leg moves per bar, for matches whose three legs all traded."""
-    per = series.groupBy("match_id", "bin_ts").agg((F.sum(F.coalesce(F.abs("diff"), F.lit(0.0))) / 2).alias("tv"))
-    live = series.where("price is not null").select("match_id", "leg").distinct().groupBy("match_id").agg(_n().alias("k")).where("k = 3")
-    return per.join(live.select("match_id"), "match_id", "left_semi").withColumn("tv", _r(F.col("tv")))
+    per = series.groupBy("match_id", "bin_ts").agg(
+        _r(F.sum(F.coalesce(F.abs("diff"), F.lit(0.0))) / 2).alias("tv"), F.count("price").alias("k")
+    )
+    # A leg that traded keeps its price to the end of the span, so some bar shows all three.
+    alive = F.max("k").over(W.partitionBy("match_id"))
+    return per.withColumn("k", alive).where("k = 3").drop("k")
 
 
 def peak_threshold(tv: DataFrame, floor: float = TV_FLOOR, mult: float = MAD_MULT) -> DataFrame:
-    """max(floor, median + mult * scaled MAD) per match."""
-    med = tv.groupBy("match_id").agg(F.median("tv").alias("med"))
-    dev = tv.join(med, "match_id").withColumn("dev", F.abs(F.col("tv") - F.col("med")))
-    g = dev.groupBy("match_id", "med").agg((F.median("dev") * MAD_SCALE).alias("mad"))
-    return g.select("match_id", F.greatest(F.lit(floor), F.col("med") + mult * F.col("mad")).alias("threshold"))
+    """Attach max(floor, median + mult * scaled MAD) of the match to each bar.
+
+    A match has span / step bars, so both medians are windows on one shared partitioning.
+    """
+    w = W.partitionBy("match_id")
+    med = tv.withColumn("med", F.percentile("tv", 0.5).over(w))
+    mad = med.withColumn("mad", F.percentile(F.abs(F.col("tv") - F.col("med")), 0.5).over(w) * MAD_SCALE)
+    return mad.withColumn("threshold", F.greatest(F.lit(floor), F.col("med") + mult * F.col("mad"))).drop("med", "mad")
 
 
 def peaks(tv: DataFrame, floor: float = TV_FLOOR, mult: float = MAD_MULT, sep_s: int = 4 * MINUTE) -> DataFrame:
@@ -80,7 +86,7 @@ def peaks(tv: DataFrame, floor: float = TV_FLOOR, mult: float = MAD_MULT, sep_s:
     another, so the greedy walk runs per island, on a short array, inside one column expression.
     Equal sizes prefer the earlier bar.
     """
-    cand = tv.join(peak_threshold(tv, floor, mult), "match_id").where(F.col("tv") >= F.col("threshold"))
+    cand = peak_threshold(tv, floor, mult).where(F.col("tv") >= F.col("threshold"))
     w = W.partitionBy("match_id").orderBy("bin_ts")
     fresh = F.coalesce(F.col("bin_ts") - F.lag("bin_ts").over(w) >= sep_s, F.lit(True)).cast("int")
     isl = cand.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0)))
@@ -110,15 +116,20 @@ def corroborate(events: DataFrame, sources: Mapping[str, tuple[DataFrame, int, f
 
     ``sources`` maps a name to ``(leg series, window seconds, magnitude floor)``.
     """
-    out = events
-    hits = F.lit(1)
-    for name, (series, window_s, floor) in sources.items():
-        jumps = series.where(F.abs("diff") >= floor).select(
-            "match_id", "leg", F.when(F.col("diff") > 0, "up").otherwise("down").alias("direction"), F.col("bin_ts").alias("jump_ts"), F.col("diff").alias("jump")
+    jumps = None
+    for name, (series, _, floor) in sources.items():
+        one = series.where(F.abs("diff") >= floor).select(
+            "match_id", "leg", F.when(F.col("diff") > 0, "up").otherwise("down").alias("direction"), F.lit(name).alias("source"), F.col("bin_ts").alias("jump_ts"), F.col("diff").alias("jump")
         )
-        out = T.nearest(out, jumps, ["match_id", "leg", "direction"], "event_ts", "jump_ts", window_s, {"jump_ts": f"{name}_ts", "jump": f"{name}_jump"}, open_back=True)
-        hits = hits + F.when(F.col(f"{name}_ts").isNotNull(), 1).otherwise(0)
-    return out.withColumn("n_sources", hits)
+        jumps = one if jumps is None else jumps.unionByName(one)
+    specs = F.array(*[F.struct(F.lit(n).alias("source"), F.lit(w).alias("lim")) for n, (_, w, _) in sources.items()])
+    asked = events.withColumn("__s", F.explode(specs)).select(*events.columns, "__s.source", "__s.lim")
+    hit = T.nearest(asked, jumps, ["match_id", "leg", "direction", "source"], "event_ts", "jump_ts", F.col("lim"), {"jump_ts": "jump_ts", "jump": "jump"}, open_back=True)
+    aggs = []
+    for n in sources:
+        mine = F.col("source") == n
+        aggs += [F.max(F.when(mine, F.col("jump_ts"))).alias(f"{n}_ts"), F.max(F.when(mine, F.col("jump"))).alias(f"{n}_jump")]
+    return hit.groupBy(*events.columns).agg(*aggs, (F.count("jump_ts") + 1).cast("int").alias("n_sources"))
 
 
 def _around(events: DataFrame, src: DataFrame, lo_s: int, hi_s: int) -> DataFrame:

@@ -181,29 +181,31 @@ def nearest(
     on: Sequence[str],
     a_ts: str,
     b_ts: str,
-    window_s: float,
+    window_s: float | Column,
     cols: dict[str, str],
     open_back: bool = False,
 ) -> DataFrame:
     """Time-nearest ``b`` row within ``window_s`` of each ``a`` row, the earlier one on a tie.
 
-    Two as-of passes (backward, forward) find the only two candidates, so no pairs are built.
-    ``open_back`` leaves out a candidate exactly ``window_s`` earlier.
+    Both sides are stacked and the source before and the source after each target are read in one
+    ordered pass, so no pairs are built. ``open_back`` leaves out a candidate exactly ``window_s``
+    earlier. ``window_s`` may be a column of ``a``.
     """
     names = list(cols.values())
-    with_ts = {**cols, "__t": "__t"}
-    b = b.withColumn("__t", F.col(b_ts))
-    back = asof(a, b, on, a_ts, b_ts, {c: f"__b_{n}" for c, n in with_ts.items()})
-    both = asof(back, b, on, a_ts, b_ts, {c: f"__f_{n}" for c, n in with_ts.items()}, forward=True)
-    d_back = F.col(a_ts) - F.col("__b___t")
-    d_forw = F.col("__f___t") - F.col(a_ts)
-    ok_b = F.coalesce((d_back < window_s) if open_back else (d_back <= window_s), F.lit(False))
-    ok_f = F.coalesce(d_forw <= window_s, F.lit(False))
-    use_b = ok_b & (~ok_f | (d_back <= d_forw))
-    return both.select(
-        *a.columns,
-        *[F.when(use_b, F.col(f"__b_{n}")).when(ok_f, F.col(f"__f_{n}")).alias(n) for n in names],
+    src = b.select(
+        *on, F.col(b_ts).cast("double").alias("__ts"), F.lit(0).alias("__side"), F.struct(F.col(b_ts).alias("__t"), *[F.col(c).alias(n) for c, n in cols.items()]).alias("__src")
     )
+    row = F.struct(*[F.col(c) for c in a.columns])
+    limit = window_s if isinstance(window_s, Column) else F.lit(window_s)
+    dst = a.select(*on, F.col(a_ts).cast("double").alias("__ts"), F.lit(1).alias("__side"), limit.cast("double").alias("__lim"), row.alias("__row"))
+    both = src.unionByName(dst, allowMissingColumns=True)
+    hit = ordered.known_around(both, on, ["__ts", "__side"], F.col("__src"), "__b", "__f").where(F.col("__side") == 1)
+    d_back, d_forw = F.col("__ts") - F.col("__b.__t"), F.col("__f.__t") - F.col("__ts")
+    lim = F.col("__lim")
+    ok_b = F.coalesce((d_back < lim) if open_back else (d_back <= lim), F.lit(False))
+    ok_f = F.coalesce(d_forw <= lim, F.lit(False))
+    pick = F.when(ok_b & (~ok_f | (d_back <= d_forw)), F.col("__b")).when(ok_f, F.col("__f"))
+    return hit.withColumn("__pick", pick).select(*[F.col("__row")[c].alias(c) for c in a.columns], *[F.col("__pick")[n].alias(n) for n in names])
 
 
 def flag_nearest(df: DataFrame, keys: Sequence[str], ts: str, tie: str, anchors: DataFrame, anchor_ts: str, out: str = "is_anchor") -> DataFrame:
