@@ -15,7 +15,8 @@ ENTITIES = {
 }
 
 #: Fixed patterns of the word, sentence and markup rules.
-SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+ODD = r"\t-\r\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+BLANK, ODD_BLANK = f"[ {ODD}]", f"[{ODD}]"
 WORD = r"[A-Za-z][A-Za-z’'\-]*|\p{Nd}[\p{Nd},.]*"
 SENTENCE_END = "([.!?])[ ]+([A-Z0-9\"“‘])"
 MARK = "\x01"
@@ -28,19 +29,48 @@ def strip_markup(c: Column, templates: bool = True) -> Column:
     c = F.regexp_replace(c, "<[^>]+>", " ")
     for name, ch in ENTITIES.items():
         c = F.replace(c, F.lit(name), F.lit(ch))
-    return F.trim(F.regexp_replace(c, SPACE, " "))
+    return fold_blanks(c)
+
+
+def fold_blanks(c: Column) -> Column:
+    """Runs of blanks, and blanks other than the plain one, to one plain blank; ends trimmed."""
+    return F.trim(F.regexp_replace(c, f"{BLANK}{{2,}}|{ODD_BLANK}", " "))
 
 
 def sentences(c: Column) -> Column:
-    """Non-blank sentences, or the whole text when there is none."""
-    cut = F.split(F.regexp_replace(c, SENTENCE_END, "$1" + MARK + "$2"), MARK)
-    kept = F.filter(cut, lambda x: F.trim(x) != "")
-    return F.when(F.size(kept) > 0, kept).otherwise(F.array(c))
+    """Sentences of a text with folded blanks. Every cut sits between two visible signs, so no
+    piece is blank; an empty text gives one empty piece."""
+    return F.split(F.regexp_replace(c, SENTENCE_END, "$1" + MARK + "$2"), MARK)
+
+
+#: Fixed: vowels to one sign, the other letters to another.
+_LETTERS, _SIGNS = "aeiouybcdfghjklmnpqrstvwxz", "aaaaaa...................."
+
+
+def is_word(c: Column) -> Column:
+    """A token that starts with a letter; the other tokens are numbers."""
+    code = F.ascii(c)
+    return code.between(65, 90) | code.between(97, 122)
+
+
+def letters(c: Column) -> Column:
+    """Lower-case letters of a word token, whose only other signs are apostrophes and hyphens."""
+    return F.lower(F.translate(c, "’'-", ""))
+
+
+def vowel_groups(w: Column) -> Column:
+    """Runs of vowels: each run's start is one ``.a`` pair of the sign string."""
+    signs = F.concat(F.lit("."), F.translate(w, _LETTERS, _SIGNS))
+    return F.length(signs) - F.length(F.replace(signs, F.lit(".a"), F.lit("a")))
+
+
+def syllables_of(w: Column, groups: Column) -> Column:
+    """Vowel groups, less a silent final e, at least 1; 0 without letters."""
+    silent = (groups > 1) & w.endswith("e") & ~w.endswith("le")
+    return F.when(w == "", 0).when(silent, groups - 1).otherwise(F.greatest(groups, F.lit(1)))
 
 
 def syllables(c: Column) -> Column:
-    """Vowel groups, less a silent final e, at least 1; 0 for a token without letters."""
-    w = F.regexp_replace(F.lower(c), "[^a-z]", "")
-    n = F.regexp_count(w, F.lit("[aeiouy]+"))
-    silent = w.endswith("e") & ~w.endswith("le") & (n > 1)
-    return F.when(w == "", 0).otherwise(F.greatest(F.when(silent, n - 1).otherwise(n), F.lit(1)))
+    """Syllables of a word token or of a part of one."""
+    w = letters(c)
+    return syllables_of(w, vowel_groups(w))

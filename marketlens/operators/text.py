@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions import text as tx
+from marketlens.functions.parallel import spread
 
 COUNTS = ("n_sent", "n_words", "n_syll", "n_chars", "poly_all", "poly_no_proper", "fog_complex")
 #: The reading-grade limits, (side, limit).
@@ -21,29 +22,32 @@ def counts(docs: DataFrame, key: str, body: str, markup: bool = True) -> DataFra
     so one short row per document and task is shuffled, however long the text is. Documents
     without a word have no row.
     """
-    clean = tx.strip_markup(F.col(body)) if markup else F.trim(F.regexp_replace(body, tx.SPACE, " "))
-    s = docs.select(key, tx.sentences(clean).alias("ss"))
-    s = s.select(key, F.size("ss").alias("n_sent"), F.explode("ss").alias("s"))
-    w = s.select(key, "n_sent", F.posexplode(F.regexp_extract_all("s", F.lit(tx.WORD), F.lit(0))).alias("i", "tok"))
-    syl = tx.syllables(F.col("tok"))
-    w = w.withColumn("syl", syl)
-    first = F.substring("tok", 1, 1)
-    proper = first.rlike("^[A-Z]$") & (F.col("i") > 0)
+    clean = tx.strip_markup(F.col(body)) if markup else tx.fold_blanks(F.col(body))
+    s = spread(docs.select(key, body), key).select(key, F.posexplode(tx.sentences(clean)).alias("k", "s"))
+    w = s.select(key, "k", F.posexplode_outer(F.regexp_extract_all("s", F.lit(tx.WORD), F.lit(0))).alias("i", "tok"))
+    # One column per step: each string is built once per token.
+    word = tx.is_word(F.col("tok"))
+    w = w.withColumn("w", F.when(word, tx.letters(F.col("tok"))).otherwise(""))
+    w = w.withColumn("g", tx.vowel_groups(F.col("w")))
+    w = w.withColumn("syl", tx.syllables_of(F.col("w"), F.col("g")))
+    chars = F.length("w") + F.when(word, 0).otherwise(F.length(F.translate("tok", ",.", "")))
+    proper = F.ascii("tok").between(65, 90) & (F.col("i") > 0)
     heavy = F.filter(F.split("tok", "-"), lambda p: (p != "") & (tx.syllables(p) >= 3))
     compound = F.contains("tok", F.lit("-")) & (F.size(heavy) == 0)
     stem = F.regexp_replace("tok", "(es|ed|ing)$", "")
     inflected = (stem != F.col("tok")) & (tx.syllables(stem) < 3)
     poly = F.col("syl") >= 3
     one = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    return w.groupBy(key).agg(
-        F.max("n_sent").cast("long").alias("n_sent"),
-        F.count(F.lit(1)).alias("n_words"),
+    g = w.groupBy(key).agg(
+        (F.max("k") + 1).cast("long").alias("n_sent"),
+        F.count("tok").alias("n_words"),
         F.sum("syl").alias("n_syll"),
-        F.sum(F.length(F.regexp_replace("tok", r"[^A-Za-z\p{Nd}]", ""))).alias("n_chars"),
+        F.sum(chars).alias("n_chars"),
         one(poly).alias("poly_all"),
         one(poly & ~proper).alias("poly_no_proper"),
         F.sum(F.when(poly, F.when(proper | compound | inflected, 0).otherwise(1)).otherwise(0)).alias("fog_complex"),
     )
+    return g.where("n_words > 0")
 
 
 def score(c: DataFrame) -> DataFrame:
