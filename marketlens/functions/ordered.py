@@ -184,30 +184,25 @@ def framed(
     df: DataFrame,
     keys: Sequence[str],
     position: str,
-    before: int,
-    after: int,
-    outputs: dict[str, str],
+    outputs: dict[str, tuple[str, int, int]],
     block: int = 100_000,
 ) -> DataFrame:
-    """Aggregates over ``rows between before preceding and after following``.
+    """Aggregates over bounded row frames, several at once.
 
     ``position`` is the 1-based row number of the key. Rows are cut into blocks of ``block``
     positions; the few rows next to a border are copied into the neighbouring block, so no task
-    holds more than ``block + before + after`` rows of a key. ``outputs`` maps a new column to
-    a SQL aggregate, for example ``{"med": "percentile(v, 0.5)"}``; a negative ``after`` ends
-    the frame before the current row, a negative ``before`` starts it after.
+    holds more than a block and its borders of a key. ``outputs`` maps a new column to
+    ``(SQL aggregate, first, last)`` with the frame as row offsets, for example
+    ``{"med": ("percentile(v, 0.5)", -2, 2)}``.
     """
     pos = F.col(position)
-    lo = F.floor((pos - max(after, 0)) / block)
-    hi = F.floor((pos + max(before, 0)) / block)
-    copied = df.withColumn("__blk", F.explode(F.sequence(lo, hi)))
-    frame = (
-        W.partitionBy(*[F.col(k) for k in keys], F.col("__blk"))
-        .orderBy(pos.asc())
-        .rowsBetween(-before, after)
-    )
-    for name, agg in outputs.items():
-        copied = copied.withColumn(name, F.expr(agg).over(frame))
+    back = max(0, *[-lo for _, lo, _ in outputs.values()])
+    ahead = max(0, *[hi for _, _, hi in outputs.values()])
+    first, last = F.floor((pos - ahead) / block), F.floor((pos + back) / block)
+    copied = df.withColumn("__blk", F.explode(F.sequence(first, last)))
+    w = W.partitionBy(*[F.col(k) for k in keys], F.col("__blk")).orderBy(pos.asc())
+    for name, (agg, lo, hi) in outputs.items():
+        copied = copied.withColumn(name, F.expr(agg).over(w.rowsBetween(lo, hi)))
     return copied.where(F.col("__blk") == F.floor(pos / block)).drop("__blk")
 
 

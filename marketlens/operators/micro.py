@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from marketlens.functions import ordered
 from marketlens.operators import temporal as T
 from marketlens.operators.calibration import stack_sources
+from marketlens.session import cut
 
 MINUTE = 60
 #: Fixed values of the detectors.
@@ -254,7 +255,10 @@ def hot_window(t: DataFrame, search: DataFrame, step: int = 30, spread: float =
 def smoothed(t: DataFrame, half: int = 2) -> DataFrame:
     """Centred rolling median of the tick price, edges on the rows there are."""
     num = ordered.row_number(t.select("ticker", "created_ts", "trade_id", "yes_price_usd"), ["ticker"], ["created_ts", "trade_id"], "pos")
-    return ordered.framed(num, ["ticker"], "pos", half, half, {"smooth": "percentile(yes_price_usd, 0.5D)"})
+    med = "percentile(yes_price_usd, 0.5D)"
+    # The smoothed value one row earlier is the same median over the frame shifted by one row.
+    both = ordered.framed(num, ["ticker"], "pos", {"smooth": (med, -half, half), "smooth_before": (med, -half - 1, half - 1)})
+    return both.withColumn("smooth_before", F.when(F.col("pos") > 1, F.col("smooth_before")))
 
 
 def turning_points(t: DataFrame, min_move: float = 0.05, block: int = 100_000) -> DataFrame:
@@ -267,9 +271,8 @@ def turning_points(t: DataFrame, min_move: float = 0.05, block: int = 100_000) -
     """
     line = smoothed(t)
     blk = F.floor(F.col("pos") / block)
-    prev = ordered.previous(line, ["ticker"], ["pos"], F.col("smooth"), "p0", chunk=blk)
-    d = _r(F.col("smooth") - F.col("p0"))
-    moves = prev.where(d != 0).withColumn("dir", F.signum(d).cast("int"))
+    d = _r(F.col("smooth") - F.col("smooth_before"))
+    moves = line.where(d != 0).withColumn("dir", F.signum(d).cast("int"))
     flips = ordered.previous(moves, ["ticker"], ["pos"], F.col("dir"), "dir0", chunk=blk)
     # First move of a market sets the level; later rows matter only when the direction flips.
     flips = flips.where(F.col("dir0").isNull() | (F.col("dir") != F.col("dir0")))
@@ -459,11 +462,12 @@ def steps(t: DataFrame, step: int = 2, win_s: int = 10, jump: float = 0.035, mer
     pos = ((F.col("bin_ts") - lo) / step + 1).cast("long")
     size = ((hi - lo) / step + 1).cast("long")
     x = filled.select("ticker", "bin_ts", "p", pos.alias("pos"), size.alias("size"))
-    # One copy to neighbouring blocks serves both frames.
-    x = ordered.framed(x, ["ticker"], "pos", win, -1, {"before": "percentile(p, 0.5D)"})
-    x = ordered.framed(x, ["ticker"], "pos", 0, win - 1, {"after": "percentile(p, 0.5D)"})
+    med = "percentile(p, 0.5D)"
+    x = ordered.framed(x, ["ticker"], "pos", {"before": (med, -win, -1), "after": (med, 0, win - 1)})
     d = _r(F.col("after") - F.col("before"))
     cand = x.where((F.col("pos") > win) & (F.col("pos") <= F.col("size") - win) & (F.abs(d) >= jump))
+    # Candidates are few and three later passes read them.
+    cand = cut(cand.select("ticker", "bin_ts", "before", "after"))
     chunk = ordered.time_chunk("bin_ts", step * 4096)
     prev = ordered.previous(cand, ["ticker"], ["bin_ts"], F.col("bin_ts"), "__p", chunk=chunk)
     fresh = F.when(F.col("__p").isNull() | (F.col("bin_ts") - F.col("__p") > merge_s), 1).otherwise(0)

@@ -459,8 +459,12 @@ def price_life(candles: DataFrame, trades: DataFrame, markets: DataFrame, n: int
         .alias("hi"),
         F.first("source").alias("source"),
     )
-    marks = grid(life, step).drop("lo", "hi")
+    marks = grid(life, step)
     priced = marks.join(line.select("ticker", "bin_ts", "price"), ["ticker", "bin_ts"], "left")
-    filled = ffill(priced, ["ticker"], "bin_ts", "price", bfill=True)
-    clipped = filled.withColumn("price", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("price"))))
-    return even_points(clipped.withColumn("__t", F.lit(0)), ["ticker"], "bin_ts", "__t", n).drop("__t")
+    around = ordered.known_around(priced, ["ticker"], ["bin_ts"], F.col("price"), "__b", "__f", chunk=ordered.time_chunk("bin_ts", DAY))
+    price = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("__b", "__f")))
+    # The grid is dense, so a mark's number follows from its time.
+    i = ((F.col("bin_ts") - F.col("lo")) / step).cast("long")
+    total = ((F.col("hi") - F.col("lo")) / step + 1).cast("long")
+    numbered = around.select("ticker", "source", "bin_ts", price.alias("price"), i.alias("__i"), total.alias("n_raw"))
+    return numbered.where(even_index(F.col("__i"), F.col("n_raw"), n)).drop("__i")
