@@ -40,13 +40,15 @@ def read_ingested(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(out).drop("batch")
 
 
-def live_bars(stream: DataFrame, width: str = "1 minute", ts: str = "created_at", watermark: str = LATE) -> DataFrame:
+def live_bars(stream: DataFrame, width: str = "1 minute", ts: str = "created_at", watermark: str | None = LATE) -> DataFrame:
     """Bars per market; a late row inside the watermark updates its bar (L2).
 
+    Pass ``watermark=None`` for a stream that carries one, for example after de-duplication.
     Partial sums combine before the shuffle, so a hot market costs a row per task and bar.
     """
     w = F.window(ts, width)
-    g = stream.withWatermark(ts, watermark).groupBy(w.alias("w"), "ticker")
+    marked = stream if watermark is None else stream.withWatermark(ts, watermark)
+    g = marked.groupBy(w.alias("w"), "ticker")
     bars = g.agg(
         F.max_by("yes_price_usd", F.struct(ts, "trade_id")).alias("price"),
         F.sum("count_contracts").alias("contracts"),
