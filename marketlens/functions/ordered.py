@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marketlens.session import cut
+
 HOUR = 3600
 _CH = "__chunk"
 _SUM = "__summary"
@@ -35,8 +37,9 @@ def time_chunk(ts: str, width: float = HOUR) -> Column:
 
 
 def value_chunk(x: str, per_e_fold: int = 256) -> Column:
-    """Monotone chunk of a non-negative measure: below 10,000 chunks up to 1e15."""
-    return F.floor(F.ln(F.lit(1.0) + F.col(x)) * per_e_fold)
+    """Monotone chunk of a measure by its size: below 10,000 chunks a side up to 1e15."""
+    v = F.col(x).cast("double")
+    return F.signum(v) * F.floor(F.ln(F.lit(1.0) + F.abs(v)) * per_e_fold)
 
 
 def _order(cols: Sequence[str]) -> list[Column]:
@@ -207,23 +210,37 @@ def framed(
 
 
 def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, ps: Sequence[float], names: Sequence[str]
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    ps: Sequence[float],
+    names: Sequence[str],
+    weight: Column | None = None,
 ) -> DataFrame:
-    """Exact interpolated quantiles per key, from ``(key, value)`` counts.
+    """Exact interpolated quantiles per key.
 
-    Counting first combines map-side, so a hot key reaches its reducer as distinct values only.
+    Rows are counted per ``(key, value)`` first, combined map-side. A running count over the
+    distinct values, in value chunks, then finds the two ranks around each quantile, so not even
+    a key with very many distinct values is gathered in one task. ``weight`` counts a row more
+    than once. The counts are written once and read by every later step, so the rows themselves are
+    scanned a single time.
     """
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("__x"))
-        .agg(F.count(F.lit(1)).alias("__c"))
-    )
-    ps_sql = ", ".join(f"{float(p)}D" for p in ps)
-    return (
-        counts.groupBy(*keys)
-        .agg(F.expr(f"percentile(__x, array({ps_sql}), __c)").alias("__q"))
-        .select(*keys, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
-    )
+    one = F.lit(1) if weight is None else weight
+    counts = cut(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__x")).agg(F.sum(one).alias("__c")))
+    run = running_sum(counts, keys, ["__x"], F.col("__c"), "__upto", value_chunk("__x"))
+    totals = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"))
+    ranked = run.join(totals, list(keys)) if keys else run.withColumn("__n", totals.scalar())
+    aggs = []
+    for p, name in zip(ps, names):
+        rank = F.lit(float(p)) * (F.col("__n") - 1)
+        at = lambda k: F.max(F.when((F.col("__upto") - F.col("__c") <= k) & (k < F.col("__upto")), F.col("__x")))
+        aggs += [at(F.floor(rank)).alias(f"__lo_{name}"), at(F.ceil(rank)).alias(f"__hi_{name}"), F.max(rank - F.floor(rank)).alias(f"__w_{name}")]
+    g = ranked.groupBy(*keys).agg(*aggs)
+    out = []
+    for name in names:
+        lo, hi, w = F.col(f"__lo_{name}"), F.col(f"__hi_{name}"), F.col(f"__w_{name}")
+        out.append(F.when(w == 0, lo).otherwise(lo + (hi - lo) * w).alias(name))
+    return g.select(*keys, *out)
 
 
 def neighbours(

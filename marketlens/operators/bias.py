@@ -120,7 +120,7 @@ def attention_premium(m: DataFrame, band: tuple[float, float], floor: float = 1.
     ``m``: ticker, volume, model_pct.
     """
     r = m.where(F.col("model_pct") > 0).withColumn("per_point", F.col("volume") / F.col("model_pct"))
-    med = r.where(F.col("model_pct") >= floor).agg(F.median("per_point")).scalar()
+    med = ordered.quantiles(r.where(F.col("model_pct") >= floor), [], "per_point", [0.5], ["m"]).scalar()
     return r.withColumn("peer", F.col("model_pct").between(*band)).withColumn("ratio_to_median", F.col("per_point") / med)
 
 

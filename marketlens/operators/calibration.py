@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions import ordered
 from marketlens.operators import temporal as T
+from marketlens.session import cut
 
 #: Fixed values of the scoring rules and the divergence screen.
 LOG_CLIP = 1e-4
@@ -125,11 +126,14 @@ def curve(obs: DataFrame, by: Sequence[str], n_bins: int = 10, price: str = "pri
     the edge step and the binning work on price levels, not on rows.
     """
     ok = obs.where((F.col(price) > 0) & (F.col(price) < 1) & F.col(outcome).isNotNull())
-    lv = ok.groupBy(*by, F.col(price).alias("p")).agg(_n().alias("c"), F.sum(F.col(outcome).cast("double")).alias("hits"))
-    ps = ", ".join(f"{i / n_bins}D" for i in range(n_bins + 1))
-    edges = lv.groupBy(*by).agg(F.expr(f"array_distinct(percentile(p, array({ps}), c))").alias("e"), F.sum("c").alias("total")).where(F.col("total") >= n_bins)
+    lv = cut(ok.groupBy(*by, F.col(price).alias("p")).agg(_n().alias("c"), F.sum(F.col(outcome).cast("double")).alias("hits")))
+    names = [f"e{i}" for i in range(n_bins + 1)]
+    q = ordered.quantiles(lv, by, "p", [i / n_bins for i in range(n_bins + 1)], names, F.col("c"))
+    big = lv.groupBy(*by).agg(F.sum("c").alias("total")).where(F.col("total") >= n_bins)
+    edges = q.select(*by, F.array_distinct(F.array(*names)).alias("e"))
+    lv = lv.join(big.select(*by), list(by), "left_semi") if by else lv
     inner = F.slice("e", 2, F.size("e") - 2)
-    binned = lv.join(edges.select(*by, "e"), list(by)) if by else lv.withColumn("e", edges.select("e").scalar()).where("e is not null")
+    binned = lv.join(edges.select(*by, "e"), list(by)) if by else lv.withColumn("e", edges.select("e").scalar())
     idx = F.size(F.filter(inner, lambda x: x < F.col("p")))
     w = F.col("c")
     g = binned.withColumn("bin", idx).groupBy(*by, "bin").agg(

@@ -146,7 +146,8 @@ def latency(events: DataFrame, sources: Mapping[str, tuple[DataFrame, str, str,
     [-5, -1), post [3, 8], crossing [0, 10].
     """
     u = unit_s
-    near = _around(events, stack_sources(sources, "ticker"), -5 * u, 10 * u).withColumn("rel", F.col("src_ts") - F.col("event_ts"))
+    # Ticks near events are a small part of the tape; two later steps read them.
+    near = cut(_around(events, stack_sources(sources, "ticker"), -5 * u, 10 * u).withColumn("rel", F.col("src_ts") - F.col("event_ts")))
     pre = (F.col("rel") >= -5 * u) & (F.col("rel") < -u)
     post = (F.col("rel") >= 3 * u) & (F.col("rel") <= 8 * u)
     med = near.groupBy("event_id", "source").agg(F.median(F.when(pre, F.col("src_value"))).alias("pre"), F.median(F.when(post, F.col("src_value"))).alias("post"))
@@ -201,7 +202,7 @@ def overshoot(events: DataFrame, t: DataFrame, unit_s: int = MINUTE) -> DataFram
     ev = events.withColumn("next_ts", F.lead("event_ts").over(w)).withColumn("settle_hi", F.least(F.col("event_ts") + 35 * u, F.col("span_end")))
     ev = ev.withColumn("contaminated", F.coalesce(F.col("next_ts") < F.col("settle_hi"), F.lit(False)))
     src = t.select("ticker", F.col("created_ts").alias("src_ts"), F.col("yes_price_usd").alias("src_value"), "trade_id")
-    near = _around(ev, src, 0, 35 * u).join(ev.select("event_id", "settle_hi", "contaminated"), "event_id")
+    near = cut(_around(ev, src, 0, 35 * u)).join(ev.select("event_id", "settle_hi", "contaminated"), "event_id")
     rel = F.col("src_ts") - F.col("event_ts")
     side = F.when(F.col("direction") == "up", F.col("src_value")).otherwise(-F.col("src_value"))
     early = rel <= 12 * u
@@ -292,15 +293,26 @@ def turning_points(t: DataFrame, min_move: float = 0.05, block: int = 100_000) -
         return pd.DataFrame({"ticker": pdf["ticker"].iloc[0], "blk": pdf["blk"].iloc[0], "exit_level": [level.tolist()], "turns": [turns.tolist()]})
 
     per = rows.groupBy("ticker", "blk").applyInPandas(table, "ticker long, blk long, exit_level array<int>, turns array<long>")
-    steps = F.array_sort(F.collect_list(F.struct("blk", "exit_level", "turns")))
-    start = F.struct(F.lit(0).alias("lv"), F.lit(0).cast("long").alias("n"))
-    chained = F.aggregate(
-        steps, start, lambda acc, x: F.struct(F.element_at(x["exit_level"], acc["lv"] + 1).alias("lv"), (acc["n"] + F.element_at(x["turns"], acc["lv"] + 1)).alias("n"))
-    )
-    done = per.groupBy("ticker").agg(chained["n"].alias("n_turns"))
+    # Tables chain in two rounds: up to a thousand blocks each, then the results of those.
+    top = per.groupBy("ticker", F.floor(F.col("blk") / 1000).alias("blk")).agg(_chain().alias("t")).select("ticker", "blk", "t.*")
+    done = top.groupBy("ticker").agg(_chain().alias("t")).select("ticker", F.element_at("t.turns", 1).alias("n_turns"))
     return t.select("ticker").distinct().join(done, "ticker", "left").na.fill(0, ["n_turns"])
 
 
+def _chain() -> Column:
+    """One level table equal to the group's tables applied in block order."""
+    tables = F.array_sort(F.collect_list(F.struct("blk", "exit_level", "turns")))
+    ident = F.struct(F.sequence(F.lit(0), F.lit(200)).alias("exit_level"), F.array_repeat(F.lit(0).cast("long"), 201).alias("turns"))
+    return F.aggregate(
+        tables,
+        ident,
+        lambda acc, x: F.struct(
+            F.transform(acc["exit_level"], lambda e: F.element_at(x["exit_level"], e + 1)).alias("exit_level"),
+            F.zip_with(acc["turns"], acc["exit_level"], lambda n, e: n + F.element_at(x["turns"], e + 1)).alias("turns"),
+        ),
+    )
+
+
 def settlement_tail(t: DataFrame, m: DataFrame, min_prints: int = 5, high: tuple[float, float] = TAIL_HIGH, low: tuple[float, float] = TAIL_LOW) -> DataFrame:
     """The stretch after which every print stays in the terminal band.
 
@@ -332,9 +344,10 @@ def settlement_tail(t: DataFrame, m: DataFrame, min_prints: int = 5, high: tuple
 def tail_by_family(tails: DataFrame, families: DataFrame) -> DataFrame:
     """Medians of the tails per family."""
     j = tails.join(families.select("ticker", "family"), "ticker")
-    return j.groupBy("family").agg(
-        _n().alias("n"), F.median("tail_s").alias("median_tail_s"), F.sum("tail_contracts").alias("tail_contracts"), F.median("extreme_share").alias("median_extreme"), F.median("taker_yes_share").alias("median_taker_yes")
-    )
+    out = j.groupBy("family").agg(_n().alias("n"), F.sum("tail_contracts").alias("tail_contracts"))
+    for col, name in (("tail_s", "median_tail_s"), ("extreme_share", "median_extreme"), ("taker_yes_share", "median_taker_yes")):
+        out = out.join(ordered.quantiles(j, ["family"], col, [0.5], [name]), "family")
+    return out
 
 
 def regime(t: DataFrame, kickoffs: DataFrame, min_n: int = 20) -> DataFrame:
@@ -414,16 +427,13 @@ def contrarian(events: DataFrame, t: DataFrame, lo_s: int = 60, hi_s: int = 600)
 
 
 def contrarian_summary(c: DataFrame) -> DataFrame:
-    return c.agg(
-        _n().alias("n_events"),
-        F.count("share").alias("n_used"),
-        F.count_if(F.col("excluded") == "flat").alias("n_flat"),
-        F.count_if(F.col("excluded") == "no_trades").alias("n_no_trades"),
-        F.percentile("share", 0.5).alias("median"),
-        F.percentile("share", 0.25).alias("p25"),
-        F.percentile("share", 0.75).alias("p75"),
-        F.avg("share").alias("mean"),
+    """Counts of used and excluded events and the quartiles of the share."""
+    n = c.agg(
+        _n().alias("n_events"), F.count("share").alias("n_used"), F.count_if(F.col("excluded") == "flat").alias("n_flat"), F.count_if(F.col("excluded") == "no_trades").alias("n_no_trades"), F.avg("share").alias("mean")
     )
+    names = ["p25", "median", "p75"]
+    q = ordered.quantiles(c, [], "share", [0.25, 0.5, 0.75], names).select(F.struct(*names).alias("q")).scalar()
+    return n.withColumn("q", q).select("*", "q.*").drop("q")
 
 
 def _pin(t: DataFrame, hit: Column, spoil: Column) -> DataFrame:

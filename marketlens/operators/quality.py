@@ -136,13 +136,14 @@ def expectations(df: DataFrame, expected: DataFrame, keys: Sequence[str], value:
     return j.select(*keys, "expected", F.col(value).alias("actual"), verdict.alias("verdict"))
 
 
-def table_checks(df: DataFrame, name: str, expected_rows: Column, ts: str, order: Sequence[str], index: DataFrame, index_key: str, budget: int, columns: Sequence[str]) -> DataFrame:
+def table_checks(df: DataFrame, name: str, expected_rows: Column, ts: str, order: Sequence[str], index: DataFrame, index_key: str, budget: int, columns: Sequence[str], chunk: Column | None = None) -> DataFrame:
     """Structural checks of an exported table, one row per check (Q16).
 
     Row count equals the manifest, columns are as declared, time never runs backwards in the
     stated order, every key resolves in its index, and the row count keeps to the budget.
+    ``chunk`` is a monotone slice of the order, by default an hour of its first column.
     """
-    back = ordered.previous(df, [], order, F.col(ts), "__p").agg(F.count_if(F.col(ts) < F.col("__p"))).scalar()
+    back = ordered.previous(df, [], order, F.col(ts), "__p", chunk).agg(F.count_if(F.col(ts) < F.col("__p"))).scalar()
     lost = df.join(index.select(index_key).distinct(), index_key, "left_anti").agg(F.count(F.lit(1))).scalar()
     missing = len(set(columns) - set(df.columns))
     n = df.agg(F.count(F.lit(1)).alias("n"))

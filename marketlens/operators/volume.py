@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions import ordered
 from marketlens.operators import temporal as T
+from marketlens.session import cut
 
 DAY = 86400
 #: Dollars are added up as integer ten-thousandths, so sums do not depend on task order.
@@ -153,9 +154,10 @@ def value_steps(totals: DataFrame, value: str = "dollars") -> DataFrame:
     """Distinct totals in rising order: how many items and how much lies below each one.
 
     Columns: x, c (items at x), n_before, x_before (their sum). Equal values are merged first, so
-    the ordered pass sees distinct values only, and it runs in value chunks.
+    the ordered pass sees distinct values only, and it runs in value chunks. The merged values are
+    written once: the tape behind ``totals`` is scanned a single time.
     """
-    steps = totals.groupBy(F.col(value).alias("x")).agg(_n().alias("c"))
+    steps = cut(totals.groupBy(F.col(value).alias("x")).agg(_n().alias("c")))
     chunk = ordered.value_chunk("x")
     a = ordered.running_sum(steps, [], ["x"], F.col("c"), "n_upto", chunk)
     b = ordered.running_sum(a, [], ["x"], F.col("c") * F.round(F.col("x") * SCALE).cast("long"), "u_upto", chunk)
@@ -192,6 +194,7 @@ def gini_trapezoid(totals: DataFrame, value: str = "dollars") -> DataFrame:
 
 def lorenz(totals: DataFrame, n_points: int, value: str = "dollars") -> DataFrame:
     """Ascending Lorenz curve at ``n_points`` evenly spaced ranks."""
+    totals = cut(totals.select(value))
     steps = value_steps(totals, value)
     size = totals.agg(_n().alias("n"), F.sum(value).alias("t"))
     j = F.explode(F.sequence(F.lit(0), F.lit(n_points - 1)))
@@ -206,6 +209,7 @@ def lorenz(totals: DataFrame, n_points: int, value: str = "dollars") -> DataFram
 
 def top_shares(totals: DataFrame, ns: Sequence[int], value: str = "dollars") -> DataFrame:
     """Share of the largest N for each N, and of the lower half, in one aggregate."""
+    totals = cut(totals.select(value))
     steps = value_steps(totals, value)
     n_all = totals.agg(_n()).scalar()
     above = n_all - F.col("n_before") - F.col("c")  # items larger than x
@@ -226,9 +230,10 @@ def rank_of(totals: DataFrame, subjects: DataFrame, group: Column, names: Sequen
     ``subjects``: ticker. Per group the distinct values carry a running count, and a subject looks
     its own value up with an as-of join; rank = 1 + sum of ``n_above`` over all groups.
     """
-    steps = totals.groupBy(group.alias("grp"), F.col(value).alias("x")).agg(_n().alias("c"))
+    totals = cut(totals.select("ticker", F.col(value), group.alias("grp")))
+    steps = totals.groupBy("grp", F.col(value).alias("x")).agg(_n().alias("c"))
     steps = ordered.running_sum(steps, ["grp"], ["x"], F.col("c"), "n_upto", ordered.value_chunk("x"))
-    sizes = totals.groupBy(group.alias("grp")).agg(_n().alias("n_group"))
+    sizes = totals.groupBy("grp").agg(_n().alias("n_group"))
     look = totals.join(subjects.select("ticker"), "ticker", "left_semi").select(
         "ticker", F.col(value).alias("sv"), F.explode(F.array(*[F.lit(n) for n in names])).alias("grp")
     )
@@ -242,6 +247,7 @@ def rank_of(totals: DataFrame, subjects: DataFrame, group: Column, names: Sequen
 
 def core_series(totals: DataFrame, ref: DataFrame, k: int = 3) -> DataFrame:
     """Share and leg count of the k largest series, and the Gini inside them."""
+    totals = cut(totals)
     with_series = totals.join(ref.select("ticker", "series_ticker"), "ticker")
     per = with_series.groupBy("series_ticker").agg(F.sum("dollars").alias("d"), _n().alias("legs"))
     top = per.orderBy(F.desc("d"), "series_ticker").limit(k)
@@ -453,7 +459,7 @@ def census(totals: DataFrame, grain: float) -> DataFrame:
 
 def lower_half(totals: DataFrame, grain: float = 0) -> DataFrame:
     """Tag the lower half, by dollars, of the qualifying markets (V30): rank <= floor(n / 2)."""
-    q = totals.where(F.col("dollars") >= grain)
+    q = cut(totals.where(F.col("dollars") >= grain))
     n = q.agg(_n()).scalar()
     ranked = ordered.row_number(q, [], ["dollars", "ticker"], "rank", chunk=ordered.value_chunk("dollars"))
     return ranked.withColumn("in_lower_half", F.col("rank") <= F.floor(n / 2))
@@ -534,16 +540,16 @@ def arrival_rank(pop: DataFrame, bucket: str) -> DataFrame:
 
 def rank_intervals(pop: DataFrame) -> DataFrame:
     """Markets by rising dot count with the share interval each one covers."""
-    per = pop.groupBy("ticker").agg(_n().alias("c"))
+    per = cut(pop.groupBy("ticker").agg(_n().alias("c")))
     chunk = ordered.value_chunk("c")
-    total = pop.agg(_n()).scalar()
+    total = per.agg(F.sum("c")).scalar()
     r = ordered.running_sum(per, [], ["c", "ticker"], F.col("c"), "upto", chunk)
     return r.select("ticker", F.col("c").alias("n_dots"), ((F.col("upto") - F.col("c")) / total).alias("lo_frac"), (F.col("upto") / total).alias("hi_frac"))
 
 
 def cell_quantile(counts: DataFrame, value: str, p: float) -> DataFrame:
     """Value at sorted index ``floor(p * n)`` of the non-zero counts; no interpolation."""
-    pos = counts.where(F.col(value) > 0)
+    pos = cut(counts.where(F.col(value) > 0).select(value))
     steps = value_steps(pos, value)
     n = pos.agg(_n()).scalar()
     k = F.least(n - 1, F.floor(n * p))

@@ -12,6 +12,7 @@ from marketlens.operators import micro as M
 from marketlens.operators import temporal as T
 from marketlens.plans import views as v
 from marketlens.plans.registry import query, shape
+from marketlens.session import cut
 
 DAY = 86400
 HOUR = 3600
@@ -74,7 +75,7 @@ PRIMARY = """ev AS (SELECT e.*, p.leg, p.ticker, CASE WHEN diff > 0 THEN 'up' EL
 
 
 def _events(s, d):
-    ser = _series(s, d)
+    ser = cut(_series(s, d))
     return M.primary_leg(M.peaks(M.total_variation(ser), mult=MULT, sep_s=SEP), ser)
 
 

@@ -173,7 +173,7 @@ def _(s, d):
     t = v.tape(s, d)
     manifest = v.events(s, d).agg(F.count(F.lit(1))).scalar()
     idx = v.table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("ticker"))
-    return Q.table_checks(t, "tape", manifest, "created_ts", ["trade_id"], idx, "ticker", 5000, ["ticker", "created_ts", "yes_price_usd"])
+    return Q.table_checks(t, "tape", manifest, "created_ts", ["trade_id"], idx, "ticker", 5000, ["ticker", "created_ts", "yes_price_usd"], F.floor(F.col("trade_id") / 1_000_000))
 
 
 @query(
