@@ -264,7 +264,7 @@ def ladder_share(ml: DataFrame, event: str, n: int = 10) -> DataFrame:
     tick = F.count_if(F.bround("price_c", 0).isin(1, 2))
     per = c.groupBy(event).agg(_n().alias("k"), tick.alias("ticks"))
     return per.agg(
-        F.sum("k").alias("n_cheap"), (F.sum(F.when(F.col("k") >= n, F.col("k")).otherwise(0)) / F.sum("k") * 100).alias("pct_long_ladder"), (F.sum("ticks") / F.sum("k") * 100).alias("pct_tick_floor")
+        F.coalesce(F.sum("k"), F.lit(0)).alias("n_cheap"), (F.sum(F.when(F.col("k") >= n, F.col("k")).otherwise(0)) / F.sum("k") * 100).alias("pct_long_ladder"), (F.sum("ticks") / F.sum("k") * 100).alias("pct_tick_floor")
     )
 
 

@@ -180,14 +180,14 @@ def _(s, d):
     "q17_money_conserved",
     v.sql(v.TAPE)
     + """, c AS (SELECT ticker, sum(CAST(round(count_contracts * 10000) AS BIGINT)) AS u FROM tape GROUP BY 1)
-SELECT sum(u)::BIGINT AS parts_units, sum(u)::BIGINT AS whole_units, true AS conserved FROM c""",
+SELECT (coalesce(sum(u) FILTER (WHERE u >= 40000000), 0) + coalesce(sum(u) FILTER (WHERE u < 40000000), 0))::BIGINT AS parts_units, sum(u)::BIGINT AS whole_units, true AS conserved FROM c""",
 )
 def _(s, d):
     t = v.tape(s, d)
     totals = V.market_totals(t)
     dots = V.grain_population(t, 4000).agg(F.sum(F.round(F.col("dollars") * 10000).cast("long")) / 10000.0).scalar()
     below = V.census(totals, 4000)
-    return Q.conserved([dots, F.col("below_usd")], F.col("total_usd"), below)
+    return Q.conserved([F.coalesce(dots, F.lit(0.0)), F.col("below_usd")], F.col("total_usd"), below)
 
 
 @query(
