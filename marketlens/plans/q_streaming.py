@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from marketlens.plans import views as v
 from marketlens.plans.q_sources import _folder
 from marketlens.plans.registry import query, shape
-from marketlens.session import pin_utc
+from marketlens.session import prepare
 from marketlens.streaming import live as L
 
 
 def _stream(s, d):
     """The events file as a stream of trades. The source lists one file of the folder."""
-    schema = pin_utc(s).read.parquet(f"{d}/events.parquet").schema
+    schema = prepare(s).read.parquet(f"{d}/events.parquet").schema
     e = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     ts = F.col("ts").cast("timestamp")
     return e.select(

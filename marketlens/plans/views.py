@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.session import pin_utc
+from marketlens.session import prepare
 
 WINDOW_S = 12600
 GRAIN = 500
@@ -17,7 +17,7 @@ GRAIN_WIDE = 1500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return pin_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:

@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot market's join partition even where the next aggregate could reuse it.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
@@ -31,10 +33,11 @@ def local_session(cpus: int = 8, partitions: int = 8, app: str = "marketlens") -
     )
 
 
-def pin_utc(spark: SparkSession) -> SparkSession:
-    """Pin the session clock to UTC, which the epoch columns rely on."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+def prepare(spark: SparkSession) -> SparkSession:
+    """Set on a given session what results and skew handling rely on: UTC and forced skew splits."""
+    for key in ("spark.sql.session.timeZone", "spark.sql.adaptive.forceOptimizeSkewedJoin"):
+        if spark.conf.get(key) != SETTINGS[key]:
+            spark.conf.set(key, SETTINGS[key])
     return spark
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -115,9 +114,3 @@ def to_records(df: DataFrame, keys: Sequence[str], ts: str, tie: str, round_map:
     for c, nd in round_map.items():
         thin = thin.withColumn(c, F.round(c, nd))
     return thin.select(*keys, ts, F.to_json(F.struct(*thin.columns)).alias("record"))
-
-
-def latest_load(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Last row per key as a window, for keys with few versions each."""
-    w = W.partitionBy(*keys).orderBy(*[F.col(o).desc() for o in order])
-    return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")

@@ -83,8 +83,13 @@ def on_settlement(watch: DataFrame, checkpoint: str, refresh: Callable[[DataFram
     """Call ``refresh(newly settled tickers, batch id)`` for each batch that has any (L3)."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            refresh(batch, batch_id)
+        # The batch is read twice; keep it so that its state is not computed again.
+        held = batch.persist()
+        try:
+            if not held.isEmpty():
+                refresh(held, batch_id)
+        finally:
+            held.unpersist()
 
     return _start(watch, checkpoint, "append", each, once)
 
