@@ -167,10 +167,13 @@ def gap_series(sources: Mapping[str, tuple[DataFrame, str, str, str]], spans: Da
     marks = T.grid(spans, step)
     inside = stack_sources(sources, key).join(spans.select(key, "lo", "hi"), key)
     inside = inside.where((F.col("src_ts") >= T.floor_to(F.col("lo"), step)) & (F.col("src_ts") <= F.col("hi")))
-    bars = T.resample_last(inside, [key, "source"], "src_ts", "src_tie", "src_value", step).withColumnRenamed("bin_ts", "bar_ts")
-    long = marks.withColumn("source", F.explode(F.array(F.lit(a), F.lit(b))))
-    hit = T.asof(long, bars, [key, "source"], "bin_ts", "bar_ts", {"src_value": "__v"})
-    two = hit.groupBy(*marks.columns).agg(F.max(F.when(F.col("source") == a, F.col("__v"))).alias("a"), F.max(F.when(F.col("source") == b, F.col("__v"))).alias("b"))
+    at = F.struct("src_ts", "src_tie")
+    last = lambda n: F.max_by("src_value", F.when((F.col("source") == n) & F.col("src_value").isNotNull(), at))
+    bars = inside.groupBy(key, T.floor_to(F.col("src_ts"), step).alias("bin_ts")).agg(last(a).alias("__a"), last(b).alias("__b"))
+    # A key has span / step marks, so both fills are one key window.
+    w = W.partitionBy(key).orderBy("bin_ts").rowsBetween(W.unboundedPreceding, 0)
+    full = marks.join(bars, [key, "bin_ts"], "left")
+    two = full.select(*marks.columns, F.last("__a", ignorenulls=True).over(w).alias("a"), F.last("__b", ignorenulls=True).over(w).alias("b"))
     gap = F.round(F.col("a") - F.col("b"), 9)
     return two.where("a is not null and b is not null").withColumn("gap", F.when(F.abs(gap) >= floor, gap).otherwise(0.0))
 

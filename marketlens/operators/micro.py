@@ -467,7 +467,8 @@ def steps(t: DataFrame, step: int = 2, win_s: int = 10, jump: float = 0.035, mer
     bars = T.resample_last(t, ["ticker"], "created_ts", "trade_id", "yes_price_usd", step, "v")
     marks = T.grid(spans, step)
     full = marks.join(bars, ["ticker", "bin_ts"], "left")
-    filled = ordered.last_known(full, ["ticker"], ["bin_ts"], F.col("v"), "p", chunk=ordered.time_chunk("bin_ts", step * 4096))
+    w = W.partitionBy("ticker").orderBy("bin_ts").rowsBetween(W.unboundedPreceding, 0)
+    filled = full.withColumn("p", F.last("v", ignorenulls=True).over(w))
     lo, hi = T.floor_to(F.col("lo"), step), T.floor_to(F.col("hi"), step)
     pos = ((F.col("bin_ts") - lo) / step + 1).cast("long")
     size = ((hi - lo) / step + 1).cast("long")
@@ -517,7 +518,8 @@ def dense_bars(t: DataFrame, step: int, spans: DataFrame | None = None) -> DataF
     bars = T.resample_last(src, ["ticker"], "created_ts", "trade_id", "yes_price_usd", step, "v")
     life = bars.groupBy("ticker").agg(F.min("bin_ts").alias("lo"), F.max("bin_ts").alias("hi"))
     full = T.grid(life, step).join(bars, ["ticker", "bin_ts"], "left")
-    out = ordered.last_known(full, ["ticker"], ["bin_ts"], F.col("v"), "price", chunk=ordered.time_chunk("bin_ts", step * 4096))
+    w = W.partitionBy("ticker").orderBy("bin_ts").rowsBetween(W.unboundedPreceding, 0)
+    out = full.withColumn("price", F.last("v", ignorenulls=True).over(w))
     idx = ((F.col("bin_ts") - F.col("lo")) / step).cast("long")
     return out.select("ticker", "bin_ts", "price", idx.alias("idx"), ((F.col("hi") - F.col("lo")) / step + 1).cast("long").alias("size"))
 

@@ -461,8 +461,12 @@ def price_life(candles: DataFrame, trades: DataFrame, markets: DataFrame, n: int
     )
     marks = grid(life, step)
     priced = marks.join(line.select("ticker", "bin_ts", "price"), ["ticker", "bin_ts"], "left")
-    around = ordered.known_around(priced, ["ticker"], ["bin_ts"], F.col("price"), "__b", "__f", chunk=ordered.time_chunk("bin_ts", DAY))
-    price = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("__b", "__f")))
+    # A market has life / step marks, so both fills are key windows.
+    w = W.partitionBy("ticker").orderBy("bin_ts")
+    back = F.last("price", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
+    forth = F.first("price", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
+    around = priced.withColumn("__p", F.coalesce(back, forth))
+    price = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("__p")))
     # The grid is dense, so a mark's number follows from its time.
     i = ((F.col("bin_ts") - F.col("lo")) / step).cast("long")
     total = ((F.col("hi") - F.col("lo")) / step + 1).cast("long")
