@@ -151,7 +151,7 @@ _RULES_SQL = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, {SQL_WORDS} AS w FROM documents
 ), l AS (
-  SELECT doc_id, t, w, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^ \t\n\x0B\f\r]')) AS lines FROM d
+  SELECT doc_id, t, w, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^ \t\n\x0B\f\r]')] AS lines FROM d
 ), g AS (
   SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i+1], w[i+2]) AS c
   FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)
