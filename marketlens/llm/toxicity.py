@@ -25,9 +25,10 @@ from pyspark.sql import types as T
 MOST_POSITIVE, MOST_UNLABELLED = 4_000, 12_000
 #: Hashed features; a document has at most this many.
 BITS = 18
-#: Positive documents that must have a feature for it to get a weight.
-LEAST = 4
-STEPS, RATE, DECAY = 150, 0.1, 2e-4
+#: A feature gets a weight if so many positive documents have it, and its share among them is so many standard errors above
+#: its share in the unlabelled text and so many times as large (less if toxic text is common).
+LEAST, ERRORS, LIFT = 4, 5.0, 3.0
+STEPS, RATE, DECAY = 120, 0.1, 1e-4
 THRESHOLD = 0.3
 WORD = re.compile(r"\w+")
 MEMO = 200_000
@@ -69,10 +70,12 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
     """Adam on the non-negative risk over the whole sample. No positive document: no weights, and the prior as score."""
     prior = float(np.clip(prior, 1e-3, 0.5))
     bias = float(np.log(prior / (1 - prior)))
-    counts = np.zeros(1 << BITS, np.int64)
-    for p in positive:
-        counts[p] += 1
-    feature = np.flatnonzero(counts >= min(LEAST, max(1, len(positive) // 2)))
+    n_p, n_u = max(1, len(positive)), max(1, len(unlabelled))
+    in_p, in_u = (np.bincount(np.concatenate([*rows, np.empty(0, np.int32)]), minlength=1 << BITS) for rows in (positive, unlabelled))
+    both = (in_p + in_u) / (n_p + n_u)
+    above = (in_p / n_p - in_u / n_u) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n_p + 1 / n_u))
+    lift = (in_p / n_p) >= min(LIFT, 0.5 / prior) * in_u / n_u
+    feature = np.flatnonzero((in_p >= LEAST) & (above >= ERRORS) & lift)
     if not len(feature) or not unlabelled:
         return Model(np.empty(0, np.int64), np.empty(0), bias)
     index = np.full(1 << BITS, -1)
