@@ -1,35 +1,15 @@
-"""One query per operator over its whole table, with the SQL that states the same rows where SQL can."""
+"""Queries of the operators that are built-in columns throughout, each over its whole table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import chat, mixing, rules, urls
+from marketlens.llm import chat, mixing, quality, rules, urls
+from marketlens.llm.registry import query, table
 from marketlens.llm.text import SPACE_CHARS, n_words
-from marketlens.plans.registry import Query
-from marketlens.session import cut, prepare
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(fn: Query) -> Query:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(prepare(spark), sf_dir)
-
-        QUERIES[name] = run
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from marketlens.llm.toxicity import held_out
+from marketlens.session import cut
 
 def quality_weight(text):
     """A document's weight in the mix: the share of its visible characters that are not symbols."""
@@ -87,6 +67,14 @@ def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+@query("op1_quality_classifier")
+def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's source is its site and its language the path; a quarter of the labels is held out, as in op7."""
+    known = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out(F.col("doc_id")))
+    done = quality.classify(table(spark, sf_dir, "documents"), known, F.col("source"), F.col("lang"))
+    return done.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "evidence", "host_rate", "path_rate", "score", "kept")
+
+
 _ESC = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')"
 _CHAT_SQL = f"""
 WITH c AS (
