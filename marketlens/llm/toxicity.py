@@ -29,6 +29,8 @@ BITS = 18
 #: its share in the unlabelled text and so many times as large (less if toxic text is common).
 LEAST, ERRORS, LIFT = 4, 5.0, 3.0
 STEPS, RATE, DECAY = 120, 0.1, 1e-4
+#: How far below zero the corrected risk may fall, in priors, before its gradient is turned round.
+SLACK = 0.2
 THRESHOLD = 0.3
 WORD = re.compile(r"\w+")
 MEMO = 200_000
@@ -102,7 +104,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
         clean = soft(zu).mean() - prior * soft(zp).mean()
         g_clean = back(u, sigmoid(zu) / u[2]) - prior * back(p, sigmoid(zp) / p[2])
         g_toxic = prior * back(p, -sigmoid(-zp) / p[2])
-        g = g_toxic + g_clean if clean >= 0 else -g_clean
+        g = g_toxic + g_clean if clean >= -SLACK * prior else -g_clean
         g[:-1] += DECAY * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         d = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -136,14 +138,16 @@ def _features(docs: DataFrame, ids: DataFrame) -> list[np.ndarray]:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """From documents (doc_id, text) and labels (doc_id, toxic) that may be learnt from.
 
-    The prior is the share of toxic ones among the labels. Null labels and ids are ignored; an id with two
+    The prior is the share of toxic ones among the labels less one standard error, as too large a prior
+    would correct clean text away. Null labels and ids are ignored; an id with two
     labels counts as toxic if one says so."""
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = marks.agg(F.avg(F.col("toxic").cast("double")).alias("p")).first()["p"]
+    told = marks.agg(F.avg(F.col("toxic").cast("double")).alias("p"), F.count(F.lit(1)).alias("n")).first()
+    share = told["p"] - (told["p"] * (1 - told["p"]) / told["n"]) ** 0.5 if told["n"] else 0.0
     positive = _features(docs, _sampled(marks.where("toxic = 1").select("doc_id"), MOST_POSITIVE))
     pool = docs.where(~held_out(F.col("doc_id"))).select("doc_id")
     unlabelled = _features(docs, _sampled(pool, MOST_UNLABELLED))
-    return fit(positive, unlabelled, share if share is not None else 0.0)
+    return fit(positive, unlabelled, share)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
