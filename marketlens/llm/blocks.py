@@ -69,10 +69,11 @@ def _runs(keys: np.ndarray, owners: np.ndarray):
 
 
 class Dealer:
-    """Collects entries in a task and packs them by block. ``settled`` entries pass through to their owner."""
+    """Collects entries in a task and packs them by block. ``settled`` entries pass through to their owner.
+    ``plain`` entries have no marks; ``keyed`` ones have their key as the mark, which travels only where settled."""
 
-    def __init__(self, blocks: int, plain: bool = False):
-        self.blocks, self.plain = blocks, plain
+    def __init__(self, blocks: int, plain: bool = False, keyed: bool = False):
+        self.blocks, self.plain, self.keyed = blocks, plain, keyed
         self.entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.settled: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         self.held = 0
@@ -111,13 +112,16 @@ class Dealer:
             keys, owners, marks, flag = keys[go], owners[go], marks[go], flag[go]
             to = (keys % np.uint64(self.blocks)).astype(np.int64)
             for b, i in _groups(to):
-                rows.append((b, 0, pack(keys[i]), pack(owners[i]), b"" if self.plain else pack(marks[i]), pack(flag[i]), b""))
+                mark = b"" if self.plain or self.keyed else pack(marks[i])
+                rows.append((b, 0, pack(keys[i]), pack(owners[i]), mark, pack(flag[i]), b""))
         if self.settled:
             owners, marks, refs, ref_marks = (np.concatenate(x) for x in zip(*self.settled, strict=True))
             if self.plain:
-                owners = np.unique(owners)
+                owners, counts = np.unique(owners, return_counts=True)
+                marks = counts.astype(np.int32)
             for b, i in _groups(np.mod(owners, self.blocks)):
-                ref, mark, ref_mark = (b"", b"", b"") if self.plain else (pack(refs[i]), pack(marks[i]), pack(ref_marks[i]))
+                ref, mark = b"" if self.plain else pack(refs[i]), pack(marks[i])
+                ref_mark = b"" if self.plain or self.keyed else pack(ref_marks[i])
                 rows.append((b, 1, ref, pack(owners[i]), mark, b"", ref_mark))
         self.entries, self.settled, self.held = [], [], 0
         for at in range(0, len(rows), 64):
@@ -132,16 +136,17 @@ def _groups(to: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(to[i[0]]), i
 
 
-def match(parts: DataFrame, blocks: int, plain: bool = False) -> DataFrame:
+def match(parts: DataFrame, blocks: int, plain: bool = False, keyed: bool = False) -> DataFrame:
     """For each entry whose key two owners share: owner, mark, and the key's smallest owner with its first mark
     (the entry itself, if that is its own). Packed by bucket of the owner. ``plain`` returns each such
-    owner once and nothing else. Settled entries pass through."""
+    owner once with the number of its shared entries as the mark; ``keyed`` returns keys as marks and no marks of the smallest. Settled entries pass through."""
+    mark_type = np.int64 if keyed else np.int32
 
     def one(t: pa.Table) -> pa.Table:
         kind = np.asarray(t["kind"])
         new, old = t.filter(pa.array(kind == 0)), t.filter(pa.array(kind == 1))
         keys, owners, flag = unpack(new["key"], np.uint64), unpack(new["owner"], np.int64), unpack(new["flag"], np.uint8)
-        marks = np.zeros(len(keys), np.int32) if plain else unpack(new["mark"], np.int32)
+        marks = keys.view(np.int64) if keyed else np.zeros(len(keys), np.int32) if plain else unpack(new["mark"], np.int32)
         by, first, shared = _runs(keys, owners)
         hot = np.zeros(len(keys), bool)  # by the first of each key: any entry of it came in as shared
         np.logical_or.at(hot, first, flag[by] > 0)
@@ -150,15 +155,18 @@ def match(parts: DataFrame, blocks: int, plain: bool = False) -> DataFrame:
         at = by[first[shared]]
         owner = np.concatenate([owners[got], unpack(old["owner"], np.int64)])
         if plain:
-            owner = np.unique(owner)
-            mark = ref = ref_mark = None
+            n = np.concatenate([np.ones(len(got), np.int64), unpack(old["mark"], np.int32).astype(np.int64)])
+            owner, at = np.unique(owner, return_inverse=True)
+            mark = np.bincount(at, n, len(owner)).astype(np.int32)
+            ref = ref_mark = None
         else:
-            mark = np.concatenate([marks[got], unpack(old["mark"], np.int32)])
+            mark = np.concatenate([marks[got], unpack(old["mark"], mark_type)])
             ref = np.concatenate([owners[at], unpack(old["key"], np.int64)])
-            ref_mark = np.concatenate([marks[at], unpack(old["ref_mark"], np.int32)])
+            ref_mark = np.empty(0, np.int32) if keyed else np.concatenate([marks[at], unpack(old["ref_mark"], np.int32)])
         rows = []
         for b, i in _groups(np.mod(owner, blocks)):
-            rows.append((b, pack(owner[i])) + ((b"", b"", b"") if plain else (pack(mark[i]), pack(ref[i]), pack(ref_mark[i]))))
+            rest = (b"", b"") if plain else (pack(ref[i]), b"" if keyed else pack(ref_mark[i]))
+            rows.append((b, pack(owner[i]), pack(mark[i]), *rest))
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_FOUND)], schema=_FOUND)
 
     return parts.groupBy("block").applyInArrow(one, FOUND)

@@ -8,7 +8,7 @@ link meets in one. Candidates are compared by fragment: partial overlaps are cou
 and summed for each pair.
 
 Groups are not expanded into pairs. Sets are compared once per distinct set. Each segment's documents are first
-compared with its smallest; what links forms components; after that only pairs of different components that
+compared with its smallest (of a task's or of all); what links forms components; after that only pairs of different components that
 share a segment are looked at, and before a pair is made its sketches (parities of 512 hash bins) must
 differ in no more bins than the threshold allows differences, which never rejects a link.
 """
@@ -54,8 +54,14 @@ def _classes(percent: int) -> np.ndarray:
 def segments(s: np.ndarray, percent: int) -> np.ndarray:
     """Keys of the segments of a set, in its class and the next. Segments without n-grams count only if a set has
     no more filled ones than it may have differences."""
+    return _segments(s, percent)[0]
+
+
+def _segments(s: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The keys, and how many of them any partner must share at least."""
     if not len(s):
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), 1
+    needed = len(s)
     least = _classes(percent)
     own = int(np.searchsorted(least, len(s), side="right")) - 1
     out = []
@@ -66,12 +72,13 @@ def segments(s: np.ndarray, percent: int) -> np.ndarray:
         at = ((s >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
         first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
         value, at = np.add.reduceat(mix(s), first), at[first]
+        needed = min(needed, max(1, len(first) - differ))
         if len(first) <= differ:
             full = np.zeros(n, np.uint64)
             full[at] = value
             value, at = full, np.arange(n)
         out.append(mix(value + mix(at.astype(np.uint64) + np.uint64(c << 40))))
-    return np.concatenate(out)
+    return np.concatenate(out), needed
 
 
 def sketch(s: np.ndarray) -> list[int]:
@@ -98,18 +105,23 @@ def _emit(n: int, percent: int, blocks: int):
 _SETS = "doc_id long, n_shingles long, print binary, set array<long>"
 
 
-def _sets(n: int):
-    """Sizes of all documents of a bucket, and the sets of the candidates among them."""
+def _sets(n: int, percent: int):
+    """Sizes of all documents of a bucket; prints of those that share enough segments with others to link with one,
+    and their sets, once if a row repeats."""
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        wanted = set(unpack(found["owner"], np.int64).tolist())
-        size, prints, sets = [], [], []
+        owners, counts = unpack(found["owner"], np.int64), unpack(found["mark"], np.int32)
+        ids, at = np.unique(owners, return_inverse=True)
+        shared = dict(zip(ids.tolist(), np.bincount(at, counts, len(ids)).tolist(), strict=True))
+        size, prints, sets, done = [], [], [], set()
         for owner, text in zip(docs["doc_id"].to_pylist(), docs["text"].to_pylist(), strict=True):
             s = shingles(text, n)
             size.append(len(s))
-            is_candidate = owner in wanted and len(s)
+            is_candidate = owner in shared and shared[owner] >= _segments(s, percent)[1] and len(s) > 0
             prints.append(np.array([mix(s).sum(), mix(s ^ np.uint64(1)).sum(), len(s)], np.uint64).tobytes() if is_candidate else None)
-            sets.append(s.view(np.int64) if is_candidate else None)
+            sets.append(s.view(np.int64) if is_candidate and owner not in done else None)
+            if is_candidate:
+                done.add(owner)
         return pa.Table.from_arrays(
             [docs["doc_id"], pa.array(size, pa.int64()), pa.array(prints, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "print", "set"]
         )
@@ -117,19 +129,28 @@ def _sets(n: int):
     return run
 
 
-def _segment_rows(percent: int):
+def _emit_sets(percent: int, blocks: int):
+    """The segments of the distinct sets (doc, set)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer = Dealer(blocks, keyed=True)
         for b in batches:
-            keys = [segments(np.array(s, np.int64).view(np.uint64), percent).view(np.int64) for s in b.column(1).to_pylist()]
-            if not keys:
-                continue
-            flat = np.concatenate(keys)
-            owner = np.repeat(np.asarray(b.column(0)), [len(k) for k in keys])
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(owner)], ["key", "doc"])
+            for owner, s in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                k = segments(s.values.to_numpy().view(np.uint64), percent)
+                dealer.add(k, np.full(len(k), owner, np.int64), k.view(np.int64))
+                if dealer.full():
+                    yield from dealer.flush()
+        yield from dealer.flush()
 
     return run
 
 
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        owner, key, hub = (unpack(pa.chunked_array([b[c]]), np.int64) for c in ("owner", "mark", "ref"))
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(hub), pa.array(owner)], ["key", "hub", "doc"])
+
+
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sets = [np.array(s, np.int64).view(np.uint64) for s in b.column(1).to_pylist()]
@@ -149,6 +170,9 @@ def _may_link(percent: int):
 
 def _linked(pairs: DataFrame, pieces: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b, na, nb) those that reach the threshold: overlaps by fragment, summed by pair."""
+    pairs = cut(pairs)
+    ends = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+    pieces = pieces.join(ends, "doc", "left_semi")
     left = pieces.select(F.col("doc").alias("a"), "piece", F.col("part").alias("pa"))
     right = pieces.select(F.col("doc").alias("b"), "piece", F.col("part").alias("pb"))
     partial = pairs.join(left, "a").join(right, ["b", "piece"]).select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("o"))
@@ -185,14 +209,13 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = match(narrow.mapInArrow(_emit(n, percent, blocks), PARTS), blocks, plain=True)
     dealt = narrow.withColumn("bucket", bucket_of(F.col("doc_id"), blocks))
-    rows = cut(dealt.groupBy("bucket").cogroup(found.groupBy("block")).applyInArrow(_sets(n), _SETS))
-    candidates = rows.where("set IS NOT NULL")
-    classes = candidates.groupBy("print").agg(F.min("doc_id").alias("doc"))
-    one_each = candidates.withColumnRenamed("doc_id", "doc").join(classes, ["print", "doc"], "left_semi")
-    sets = cut(one_each.select("doc", "set").dropDuplicates(["doc"]))
-    keys = sets.mapInArrow(_segment_rows(percent), "key long, doc long").distinct()
-    shared = keys.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).where("hub < last").select("key", "hub")
-    keys = cut(keys.join(shared, "key").select("key", "hub", "doc"))
+    rows = cut(dealt.groupBy("bucket").cogroup(found.groupBy("block")).applyInArrow(_sets(n, percent), _SETS))
+    candidates = rows.where("print IS NOT NULL").select("doc_id", "n_shingles", "print")
+    classes = candidates.groupBy("print").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("last"))
+    copies = candidates.join(classes.where("doc < last"), "print").where("doc_id <> doc").select(F.col("doc_id").alias("doc")).distinct()
+    sets = rows.where("set IS NOT NULL").select(F.col("doc_id").alias("doc"), "set").join(copies, "doc", "left_anti")
+    parts = sets.mapInArrow(_emit_sets(percent, blocks), PARTS)
+    keys = cut(match(parts, blocks, keyed=True).mapInArrow(_rows_of, "key long, hub long, doc long"))
     info = cut(sets.mapInArrow(_sketch_rows, "doc long, n long, sk array<long>"))
     part = lambda p: F.filter("set", lambda h: F.shiftrightunsigned(h, 64 - PIECE_BITS) == p)
     numbers = F.sequence(F.lit(0), F.lit((1 << PIECE_BITS) - 1))
@@ -214,4 +237,5 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     if not more.isEmpty():
         comp = components(edges.unionByName(more))
     of_print = classes.join(comp, "doc", "left").select("print", F.coalesce("comp", "doc").alias("comp"))
-    return rows.join(of_print, "print", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
+    alone = rows.where("print IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return candidates.join(of_print, "print").select("doc_id", "n_shingles", F.col("comp").alias("component_id")).unionByName(alone)
