@@ -25,7 +25,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     Sources by code point, null last, take the weights in turn and share ``share`` of all sizes. A target
     stops at ``most`` times its source's size; the excess is shared by weight among the others until none is
     above. Solved in one sorted pass: sources by size per weight reach their stop in that order, so the
-    level is the first at which the next source does not. One row per source, sorted whole: sources must be
+    level is the first (and so the highest) at which the next source does not. One row per source, sorted whole: sources must be
     few enough for one task, which names are.
     """
     n = len(weights)
@@ -40,7 +40,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
         .withColumn("all_t", F.sum("source_size").over(every) * F.lit(float(share)))
         .withColumn("level", (F.col("all_t") - F.coalesce(F.sum("stop").over(before), F.lit(0.0))) / (F.col("all_w") - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
         .withColumn("full", (F.col("level") * F.col("w") >= F.col("stop")))
-        .withColumn("open_level", F.min(F.when(~F.col("full"), F.col("level"))).over(every))
+        .withColumn("open_level", F.max(F.when(~F.col("full"), F.col("level"))).over(every))
         .select("source", "source_size", F.when(F.col("full"), F.col("stop")).otherwise(F.col("w") * F.col("open_level")).alias("target"))
     )
 

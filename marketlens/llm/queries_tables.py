@@ -43,7 +43,7 @@ WITH d AS (
   FROM s WINDOW b AS (ORDER BY 2.0::DOUBLE * source_size / wt, source IS NULL, source)
 ), t AS (
   SELECT source, source_size,
-    CASE WHEN lv * wt >= stop THEN stop ELSE wt * min(CASE WHEN lv * wt < stop THEN lv END) OVER () END AS target
+    CASE WHEN lv * wt >= stop THEN stop ELSE wt * max(CASE WHEN lv * wt < stop THEN lv END) OVER () END AS target
   FROM l
 ), r AS (
   SELECT k.*, source_size, target, floor(target / nullif(source_size, 0))::BIGINT AS epochs, target - floor(target / nullif(source_size, 0)) * source_size AS rest,
