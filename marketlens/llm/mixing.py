@@ -93,7 +93,7 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1
     )
     is_best = F.coalesce((F.col("key") == F.col("b_key")) & F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("size") == F.col("b_size")), F.lit(False))
     return c.join(best, same(F_("c"), F_("b")), "left").select(
-        "c.doc_id", "c.source", "c.size", "source_size", "target", (F.col("epochs") + (F.col("taken") | is_best).cast("long")).alias("copies")
+        "c.doc_id", "c.source", "c.size", "source_size", "target", (F.col("epochs") + ((F.col("taken") & (F.col("size") > 0)) | is_best).cast("long")).alias("copies")
     )
 
 
