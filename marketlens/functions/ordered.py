@@ -58,8 +58,11 @@ def _attach(
 ) -> DataFrame:
     """Join to each row what the neighbouring chunks of its key hand over."""
     per_chunk = rows.groupBy(*keys, _CH).agg(summary.alias(_SUM))
-    handed = per_chunk.select(*keys, _CH, carry.alias(_CARRY))
-    return rows.join(handed, [*keys, _CH], "left")
+    # Null keys are keys: the carry meets its rows null-safely.
+    own = [*keys, _CH]
+    handed = per_chunk.select(*own, carry.alias(_CARRY)).select(*[F.col(c).alias(f"__h{i}") for i, c in enumerate(own)], _CARRY)
+    same = [F.col(c).eqNullSafe(F.col(f"__h{i}")) for i, c in enumerate(own)]
+    return rows.join(handed, same, "left").drop(*[f"__h{i}" for i in range(len(own))])
 
 
 def _windows(keys: Sequence[str], order: Sequence[str]):

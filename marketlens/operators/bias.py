@@ -167,16 +167,16 @@ def trajectory(shocks: DataFrame, t: DataFrame, lo_h: int = -24, hi_h: int = 96)
     """Hourly price around each shock."""
     offs = [h * HOUR for h in range(lo_h, hi_h + 1)]
     at = T.at_offsets(shocks, t, ["ticker"], "shock_ts", "created_ts", "yes_price_usd", offs, "trade_id")
-    return at.select("ticker", F.floor(F.col("offset_s") / HOUR).alias("hour"), "price")
+    return at.select("ticker", "shock_ts", F.floor(F.col("offset_s") / HOUR).alias("hour"), "price")
 
 
 def shock_baseline(shocks: DataFrame, t: DataFrame) -> DataFrame:
     """Median price of the day before a shock, of all earlier history when that day is empty."""
-    pre = t.join(shocks.select("ticker", "shock_ts"), "ticker").where(F.col("created_ts") < F.col("shock_ts"))
+    pre = t.join(shocks.select("ticker", "shock_ts").distinct(), "ticker").where(F.col("created_ts") < F.col("shock_ts"))
     near = F.col("created_ts") >= F.col("shock_ts") - DAY
     # Counts per price level first: medians then read levels, not trades.
-    lv = pre.groupBy("ticker", "yes_price_usd").agg(F.count_if(near).alias("c_near"), _n().alias("c_all"))
-    return lv.groupBy("ticker").agg(
+    lv = pre.groupBy("ticker", "shock_ts", "yes_price_usd").agg(F.count_if(near).alias("c_near"), _n().alias("c_all"))
+    return lv.groupBy("ticker", "shock_ts").agg(
         F.coalesce(F.expr("percentile(yes_price_usd, 0.5D, c_near) FILTER (WHERE c_near > 0)"), F.expr("percentile(yes_price_usd, 0.5D, c_all)")).alias("baseline")
     )
 
@@ -186,15 +186,16 @@ def shock_multiples(shocks: DataFrame, t: DataFrame, before_h: int = 6, after_h:
 
     Hours run from the first to the last traded hour of the window, filled forward.
     """
-    win = t.join(shocks.select("ticker", "shock_ts"), "ticker").where(
+    win = t.join(shocks.select("ticker", "shock_ts").distinct(), "ticker").where(
         F.col("created_ts").between(F.col("shock_ts") - before_h * HOUR, F.col("shock_ts") + after_h * HOUR)
     )
-    bars = T.resample_last(win, ["ticker"], "created_ts", "trade_id", "yes_price_usd", HOUR, "price")
-    spans = bars.groupBy("ticker").agg(F.min("bin_ts").alias("lo"), F.max("bin_ts").alias("hi"))
-    full = T.grid(spans, HOUR).drop("lo", "hi").join(bars, ["ticker", "bin_ts"], "left")
-    filled = T.ffill(full, ["ticker"], "bin_ts", "price")
+    key = ["ticker", "shock_ts"]
+    bars = T.resample_last(win, key, "created_ts", "trade_id", "yes_price_usd", HOUR, "price")
+    spans = bars.groupBy(*key).agg(F.min("bin_ts").alias("lo"), F.max("bin_ts").alias("hi"))
+    full = T.grid(spans, HOUR).drop("lo", "hi").join(bars, [*key, "bin_ts"], "left")
+    filled = T.ffill(full, key, "bin_ts", "price")
     base = shock_baseline(shocks, t)
-    return filled.join(base, "ticker").withColumn("multiple", F.when(F.col("baseline") > 0, F.col("price") / F.col("baseline")))
+    return filled.join(base, key).withColumn("multiple", F.when(F.col("baseline") > 0, F.col("price") / F.col("baseline")))
 
 
 def post_elimination_trades(elim: DataFrame, t: DataFrame) -> DataFrame:

@@ -44,9 +44,14 @@ def devig_async(q: DataFrame, market: Sequence[str], outcome: str, ms: str = "cr
 
 
 def stack_sources(sources: Mapping[str, tuple[DataFrame, str, str, str]], key: str) -> DataFrame:
-    """Sources in one long frame. Values: ``(frame, ts column, value column, tie column)``."""
+    """Sources in one long frame. Values: ``(frame, ts column, value column, tie column)``.
+
+    Ties keep their type; where sources differ in it, all become strings.
+    """
+    mixed = len({df.schema[tie].dataType.simpleString() for df, _, _, tie in sources.values()}) > 1
+    as_is = lambda tie: F.col(tie).cast("string") if mixed else F.col(tie)
     parts = [
-        df.select(F.col(key), F.lit(name).alias("source"), F.col(ts).cast("long").alias("src_ts"), F.col(val).cast("double").alias("src_value"), F.col(tie).cast("long").alias("src_tie"))
+        df.select(F.col(key), F.lit(name).alias("source"), F.col(ts).cast("long").alias("src_ts"), F.col(val).cast("double").alias("src_value"), as_is(tie).alias("src_tie"))
         for name, (df, ts, val, tie) in sources.items()
     ]
     out = parts[0]

@@ -206,9 +206,9 @@ def overshoot(events: DataFrame, t: DataFrame, unit_s: int = MINUTE) -> DataFram
     rel = F.col("src_ts") - F.col("event_ts")
     side = F.when(F.col("direction") == "up", F.col("src_value")).otherwise(-F.col("src_value"))
     early = rel <= 12 * u
-    order = F.when(early, F.struct(side, -F.col("src_ts"), -F.col("trade_id")))
+    order = F.when(early, F.struct(-side, "src_ts", "trade_id"))
     top = near.groupBy("event_id", "direction", "contaminated", "event_ts", "settle_hi").agg(
-        F.max_by(F.struct("src_value", "src_ts"), order).alias("peak"),
+        F.min_by(F.struct("src_value", "src_ts"), order).alias("peak"),
         F.median(F.when((rel >= 25 * u) & (F.col("src_ts") <= F.col("settle_hi")), F.col("src_value"))).alias("settled"),
     )
     top = top.where("peak is not null").select("*", F.col("peak.src_value").alias("peak_price"), F.col("peak.src_ts").alias("peak_ts")).drop("peak")
@@ -265,10 +265,11 @@ def smoothed(t: DataFrame, half: int = 2) -> DataFrame:
 def turning_points(t: DataFrame, min_move: float = 0.05, block: int = 100_000) -> DataFrame:
     """Turns of at least ``min_move`` on the smoothed tick line.
 
-    The walk remembers the price of the last accepted turn, which is one of a fixed set of levels
-    (half cents). Each block of rows is therefore summarised, in parallel, as a table "entry level
-    -> exit level and turns", and the few tables of a market are chained afterwards. No task ever
-    holds a market's whole tick line.
+    The walk remembers the price of the last accepted turn. Whatever price it enters a block of rows
+    with, the first row it accepts is a new low or a new high of the block, and from there on the
+    entry no longer matters. Each block is therefore summarised, in parallel, as its successive lows
+    and highs with the exit price and the turns that follow each, and the few summaries of a market
+    are chained afterwards. Prices are compared as they are; no task ever holds a market's whole tick line.
     """
     line = smoothed(t)
     blk = F.floor(F.col("pos") / block)
@@ -277,40 +278,41 @@ def turning_points(t: DataFrame, min_move: float = 0.05, block: int = 100_000) -
     flips = ordered.previous(moves, ["ticker"], ["pos"], F.col("dir"), "dir0", chunk=blk)
     # First move of a market sets the level; later rows matter only when the direction flips.
     flips = flips.where(F.col("dir0").isNull() | (F.col("dir") != F.col("dir0")))
-    rows = flips.select("ticker", blk.alias("blk"), "pos", F.round(F.col("smooth") * 200).cast("int").alias("lv"), F.col("dir0").isNull().alias("opens"))
-    need = int(round(min_move * 200))
+    rows = flips.select("ticker", blk.alias("blk"), "pos", "smooth")
+    kind = rows.schema["ticker"].dataType.simpleString()
 
-    def table(pdf: pd.DataFrame) -> pd.DataFrame:
+    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        level, turns = np.arange(201), np.zeros(201, dtype="int64")
-        for lv, opens in zip(pdf["lv"].to_numpy(), pdf["opens"].to_numpy()):
-            far = np.abs(level - lv) > need
-            if opens:
-                far = np.ones(201, dtype=bool)
-            else:
-                turns += far
-            level = np.where(far, lv, level)
-        return pd.DataFrame({"ticker": pdf["ticker"].iloc[0], "blk": pdf["blk"].iloc[0], "exit_level": [level.tolist()], "turns": [turns.tolist()]})
-
-    per = rows.groupBy("ticker", "blk").applyInPandas(table, "ticker long, blk long, exit_level array<int>, turns array<long>")
-    # Tables chain in two rounds: up to a thousand blocks each, then the results of those.
-    top = per.groupBy("ticker", F.floor(F.col("blk") / 1000).alias("blk")).agg(_chain().alias("t")).select("ticker", "blk", "t.*")
-    done = top.groupBy("ticker").agg(_chain().alias("t")).select("ticker", F.element_at("t.turns", 1).alias("n_turns"))
+        lv = pdf["smooth"].to_numpy()
+        value, code = np.unique(lv, return_inverse=True)
+        next_at = np.full(len(value), len(lv))
+        exits, turns = np.empty(len(lv)), np.zeros(len(lv), dtype="int64")
+        for i in range(len(lv) - 1, -1, -1):
+            k = int(np.where(_far(value, lv[i], min_move), next_at, len(lv)).min())
+            exits[i], turns[i] = (exits[k], turns[k] + 1) if k < len(lv) else (lv[i], 0)
+            next_at[code[i]] = i
+        low, high = (np.flatnonzero(np.append(True, np.diff(f(lv)) != 0)) for f in (np.minimum.accumulate, np.maximum.accumulate))
+        at = np.unique(np.concatenate([low, high]))
+        return pd.DataFrame({"ticker": pdf["ticker"].iloc[:1], "blk": pdf["blk"].iloc[:1], "price": [lv[at].tolist()], "exit": [exits[at].tolist()], "turns": [turns[at].tolist()]})
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        level, n = None, 0
+        for price, ends, turns in zip(*(pdf.sort_values("blk")[c] for c in ("price", "exit", "turns")), strict=True):
+            if level is None:  # the first move of a market sets the level and is no turn
+                level, n = ends[0], int(turns[0])
+                continue
+            far = np.flatnonzero(_far(np.asarray(price), level, min_move))
+            if len(far):
+                level, n = ends[far[0]], n + 1 + int(turns[far[0]])
+        return pd.DataFrame({"ticker": pdf["ticker"].iloc[:1], "n_turns": [n]})
+
+    per = rows.groupBy("ticker", "blk").applyInPandas(summary, f"ticker {kind}, blk long, price array<double>, exit array<double>, turns array<long>")
+    done = per.groupBy("ticker").applyInPandas(chain, f"ticker {kind}, n_turns long")
     return t.select("ticker").distinct().join(done, "ticker", "left").na.fill(0, ["n_turns"])
 
 
-def _chain() -> Column:
-    """One level table equal to the group's tables applied in block order."""
-    tables = F.array_sort(F.collect_list(F.struct("blk", "exit_level", "turns")))
-    ident = F.struct(F.sequence(F.lit(0), F.lit(200)).alias("exit_level"), F.array_repeat(F.lit(0).cast("long"), 201).alias("turns"))
-    return F.aggregate(
-        tables,
-        ident,
-        lambda acc, x: F.struct(
-            F.transform(acc["exit_level"], lambda e: F.element_at(x["exit_level"], e + 1)).alias("exit_level"),
-            F.zip_with(acc["turns"], acc["exit_level"], lambda n, e: n + F.element_at(x["turns"], e + 1)).alias("turns"),
-        ),
-    )
+def _far(price: np.ndarray, level: float, min_move: float) -> np.ndarray:
+    return np.round(np.abs(price - level), 9) > min_move
 
 
 def settlement_tail(t: DataFrame, m: DataFrame, min_prints: int = 5, high: tuple[float, float] = TAIL_HIGH, low: tuple[float, float] = TAIL_LOW) -> DataFrame:
@@ -381,8 +383,8 @@ def breaks(sources: Mapping[str, tuple[DataFrame, str, str, str]], legs: DataFra
     s = stack_sources(sources, "ticker").join(legs.select("match_id", "ticker", "lo", "hi"), "ticker")
     s = s.where((F.col("src_ts") >= F.col("lo")) & (F.col("src_ts") <= F.col("hi")))
     per = T.biggest_jump(s, ["match_id", "source", "ticker"], "src_ts", "src_tie", "src_value", step)
-    top = F.struct("jump_mag", -F.col("ticker"))
-    return per.groupBy("match_id", "source").agg(F.max_by("jump_ts", top).alias("break_ts"), F.max_by("ticker", top).alias("ticker"), F.max("jump_mag").alias("break_mag"))
+    top = F.struct(-F.col("jump_mag"), "ticker")
+    return per.groupBy("match_id", "source").agg(F.min_by("jump_ts", top).alias("break_ts"), F.min_by("ticker", top).alias("ticker"), F.max("jump_mag").alias("break_mag"))
 
 
 def break_skew(br: DataFrame, names: Sequence[str], floor: float = 0.15) -> DataFrame:
@@ -604,12 +606,12 @@ def lanes(sources: Mapping[str, tuple[DataFrame, str, str, str]], anchors: DataF
 
     ``anchors``: ticker, anchor_ts.
     """
-    s = stack_sources(sources, "ticker").join(anchors.select("ticker", "anchor_ts"), "ticker")
+    s = stack_sources(sources, "ticker").join(anchors.select("ticker", "anchor_ts").distinct(), "ticker")
     rel = F.col("src_ts") - F.col("anchor_ts")
     s = s.where(rel.between(lo_s, hi_s)).withColumn("offset_s", rel)
-    best = s.groupBy("ticker", "source").agg(F.min_by("src_tie", F.struct(F.abs("offset_s"), "src_ts", "src_tie")).alias("__b"))
-    out = s.join(best, ["ticker", "source"]).withColumn("is_event", F.col("src_tie") == F.col("__b"))
-    return out.select("ticker", "source", "src_ts", "offset_s", F.col("src_value").alias("price"), F.col("src_tie").alias("row_id"), "is_event")
+    best = s.groupBy("ticker", "anchor_ts", "source").agg(F.min_by("src_tie", F.struct(F.abs("offset_s"), "src_ts", "src_tie")).alias("__b"))
+    out = s.join(best, ["ticker", "anchor_ts", "source"]).withColumn("is_event", F.col("src_tie") == F.col("__b"))
+    return out.select("ticker", "anchor_ts", "source", "src_ts", "offset_s", F.col("src_value").alias("price"), F.col("src_tie").alias("row_id"), "is_event")
 
 
 def leg_extract(t: DataFrame, legs: DataFrame, before_s: int, after_s: int = 0, stride: int = 1) -> DataFrame:
@@ -679,7 +681,7 @@ def friction_band(t: DataFrame, anchors: DataFrame, band: int, settle: tuple[int
     """
     rel = F.col("created_ts") - F.col("anchor_ts")
     cents = F.round(F.col("yes_price_usd") * 100).cast("long")
-    j = t.join(anchors.select("ticker", "anchor_ts"), "ticker").withColumn("rel", rel).withColumn("c", cents).where(F.col("rel") >= settle[0])
+    j = t.join(anchors.select("ticker", "anchor_ts").distinct(), "ticker").withColumn("rel", rel).withColumn("c", cents).where(F.col("rel") >= settle[0])
 
     def upper(df: DataFrame, keys: list[str], out: str) -> DataFrame:
         lv = df.groupBy(*keys, "c").agg(_n().alias("k"))
@@ -692,13 +694,13 @@ def friction_band(t: DataFrame, anchors: DataFrame, band: int, settle: tuple[int
         )
         return g.select(*keys, cum["h"].alias(out))
 
-    level = upper(j.where(F.col("rel") <= settle[1]), ["ticker"], "level_c")
-    bars = upper(j.withColumn("b", F.floor(F.col("rel") / step)), ["ticker", "b"], "med")
-    w = W.partitionBy("ticker").orderBy("b")
-    k = bars.withColumn("pm", F.lag("med").over(w)).join(level, "ticker")
+    level = upper(j.where(F.col("rel") <= settle[1]), ["ticker", "anchor_ts"], "level_c")
+    bars = upper(j.withColumn("b", F.floor(F.col("rel") / step)), ["ticker", "anchor_ts", "b"], "med")
+    w = W.partitionBy("ticker", "anchor_ts").orderBy("b")
+    k = bars.withColumn("pm", F.lag("med").over(w)).join(level, ["ticker", "anchor_ts"])
     inside = F.abs(F.col("med") - F.col("level_c")) <= band
     cliff = (F.col("b") * step > settle[1]) & (F.abs(F.col("med") - F.col("pm")) >= jump)
-    return k.groupBy("ticker", "level_c").agg(
+    return k.groupBy("ticker", "anchor_ts", "level_c").agg(
         F.coalesce((F.max(F.when(inside, F.col("b"))) + 1) * step, F.lit(settle[0])).alias("band_end_s"), F.min(F.when(cliff, F.col("b") * step)).alias("breakout_s")
     )
 

@@ -49,7 +49,10 @@ def asof(
     target = F.lit(1)
     tie_col = F.col(tie) if tie else F.lit(0)
     if forward and tie:
-        tie_col = -F.col(tie)
+        # The first of equal times is wanted, whatever the tie's type: keep only that one.
+        first = F.min_by(F.struct(*[F.col(c) for c in right.columns]), F.struct(F.col(tie)))
+        right = right.groupBy(*on, F.col(right_ts).alias("__at")).agg(first.alias("__r")).select("__r.*")
+        tie_col = F.lit(0)
     src = right.select(
         *on,
         (F.col(right_ts) * sign).cast("double").alias("__ts"),

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from marketlens.functions import ordered
 from marketlens.operators import temporal as T
@@ -354,11 +355,12 @@ def rate_step(t: DataFrame, anchors: DataFrame) -> DataFrame:
     per_min = t.groupBy("ticker", F.floor(F.col("created_ts") / 60).alias("m")).agg(_n().alias("n"))
     peak = per_min.groupBy("ticker").agg(F.max("n").alias("peak_n"))
     rel = F.col("created_ts") - F.col("anchor_ts")
-    sides = t.join(anchors, "ticker").groupBy("ticker").agg(
+    sides = t.join(anchors.select("ticker", "anchor_ts").distinct(), "ticker").groupBy("ticker", "anchor_ts").agg(
         F.count_if((rel >= -3600) & (rel < 0)).alias("n_before"), F.count_if((rel >= 0) & (rel < 3600)).alias("n_after")
     )
     return sides.join(peak, "ticker").select(
         "ticker",
+        "anchor_ts",
         "n_before",
         "n_after",
         F.when(F.col("n_before") > 0, F.col("n_after") / F.col("n_before")).alias("step_multiple"),
@@ -429,14 +431,15 @@ def dot_attributes(pop: DataFrame, meta: DataFrame) -> DataFrame:
     )
 
 
-def market_index(totals: DataFrame, grain: float) -> DataFrame:
+def market_index(totals: DataFrame, grain: float, prefix: int = 16) -> DataFrame:
     """0-based index of the qualifying markets in ticker order, shared by all grains.
 
-    Tickers must be numeric or sortable; the ordered pass is chunked by a hash-free ticker range.
+    The ordered pass is chunked by ranges of a numeric ticker, or by the first ``prefix`` characters of a text.
     """
     q = totals.where(F.col("dollars") >= grain).select("ticker")
-    num = q.withColumn("__k", F.col("ticker").cast("double"))
-    out = ordered.row_number(num, [], ["__k"], "__rn", chunk=F.floor(F.col("__k") / 10_000))
+    text = isinstance(q.schema["ticker"].dataType, StringType)
+    chunk = F.substring("ticker", 1, prefix) if text else F.floor(F.col("ticker") / 10_000)
+    out = ordered.row_number(q, [], ["ticker"], "__rn", chunk=chunk)
     return out.select("ticker", (F.col("__rn") - 1).alias("market_idx"))
 
 

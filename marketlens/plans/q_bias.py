@@ -156,7 +156,7 @@ def _(s, d):
     "b09_trajectory",
     v.sql(v.TAPE, v.MARKETS, SHOCKS)
     + """, m AS (SELECT ticker, shock_ts, unnest(range(-24, 97)) AS hour FROM shocks)
-SELECT m.ticker, m.hour, t.yes_price_usd AS price FROM (SELECT *, shock_ts + hour * 3600 AS mark FROM m) m ASOF LEFT JOIN tape t ON m.ticker = t.ticker AND m.mark >= t.created_ts""",
+SELECT m.ticker, m.shock_ts, m.hour, t.yes_price_usd AS price FROM (SELECT *, shock_ts + hour * 3600 AS mark FROM m) m ASOF LEFT JOIN tape t ON m.ticker = t.ticker AND m.mark >= t.created_ts""",
 )
 def _(s, d):
     return B.trajectory(_shocks(s, d), v.tape(s, d))
@@ -165,13 +165,18 @@ def _(s, d):
 @query(
     "b10_shock_multiples",
     v.sql(v.TAPE, v.MARKETS, SHOCKS)
-    + """, bl AS (SELECT ticker, coalesce(median(yes_price_usd) FILTER (WHERE created_ts >= shock_ts - 86400), median(yes_price_usd)) AS baseline FROM tape JOIN shocks USING (ticker) WHERE created_ts < shock_ts GROUP BY 1),
-w AS (SELECT ticker, created_ts // 3600 * 3600 AS bin_ts, arg_max(yes_price_usd, created_ts) AS price FROM tape JOIN shocks USING (ticker) WHERE created_ts BETWEEN shock_ts - 21600 AND shock_ts + 259200 GROUP BY 1, 2),
-g AS (SELECT ticker, unnest(generate_series(min(bin_ts), max(bin_ts), 3600)) AS bin_ts FROM w GROUP BY 1)
-SELECT g.ticker, g.bin_ts, w.price, round(baseline, 9) AS baseline, round(CASE WHEN baseline > 0 THEN w.price / baseline END, 9) AS multiple FROM g ASOF JOIN w ON g.ticker = w.ticker AND g.bin_ts >= w.bin_ts JOIN bl ON bl.ticker = g.ticker""",
+    # Two shocks a market, two days apart.
+    + """, s2 AS (SELECT ticker, shock_ts + k AS shock_ts FROM shocks, (VALUES (0), (172800)) AS o(k)),
+bl AS (SELECT ticker, shock_ts, coalesce(median(yes_price_usd) FILTER (WHERE created_ts >= shock_ts - 86400), median(yes_price_usd)) AS baseline FROM tape JOIN s2 USING (ticker) WHERE created_ts < shock_ts GROUP BY 1, 2),
+w AS (SELECT ticker, shock_ts, created_ts // 3600 * 3600 AS bin_ts, arg_max(yes_price_usd, created_ts) AS price FROM tape JOIN s2 USING (ticker) WHERE created_ts BETWEEN shock_ts - 21600 AND shock_ts + 259200 GROUP BY 1, 2, 3),
+g AS (SELECT ticker, shock_ts, unnest(generate_series(min(bin_ts), max(bin_ts), 3600)) AS bin_ts FROM w GROUP BY 1, 2)
+SELECT g.ticker, g.shock_ts, g.bin_ts, w.price, round(baseline, 9) AS baseline, round(CASE WHEN baseline > 0 THEN w.price / baseline END, 9) AS multiple
+FROM g ASOF JOIN w ON g.ticker = w.ticker AND g.shock_ts = w.shock_ts AND g.bin_ts >= w.bin_ts JOIN bl ON bl.ticker = g.ticker AND bl.shock_ts = g.shock_ts""",
 )
 def _(s, d):
-    return shape(B.shock_multiples(_shocks(s, d), v.tape(s, d)), {"ticker": None, "bin_ts": "long", "price": None, "baseline": 9, "multiple": 9})
+    one = _shocks(s, d)
+    two = one.unionByName(one.withColumn("shock_ts", F.col("shock_ts") + 172800))
+    return shape(B.shock_multiples(two, v.tape(s, d)), {"ticker": None, "shock_ts": "long", "bin_ts": "long", "price": None, "baseline": 9, "multiple": 9})
 
 
 def _elim(s, d):

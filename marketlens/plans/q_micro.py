@@ -489,21 +489,23 @@ def _(s, d):
 
 
 def _anchors(s, d):
-    return v.markets(s, d).select("ticker", F.floor((F.col("open_ts") + F.col("last_ts")) / 2).alias("anchor_ts"))
+    """Two instants a market: halfway through its life and a day later."""
+    mid = F.floor((F.col("open_ts") + F.col("last_ts")) / 2)
+    return v.markets(s, d).select("ticker", F.explode(F.array(mid, mid + 86400)).alias("anchor_ts"))
 
 
-ANCHORS = "an AS (SELECT ticker, (open_ts + last_ts) // 2 AS anchor_ts FROM markets)"
+ANCHORS = "an AS (SELECT ticker, (open_ts + last_ts) // 2 + k AS anchor_ts FROM markets, (VALUES (0), (86400)) AS o(k))"
 
 
 @query(
     "m24_lanes",
     v.sql(v.TAPE, v.MARKETS, v.QUOTES, _SRC3, ANCHORS)
-    + """SELECT st.ticker, source, ts AS src_ts, ts - anchor_ts AS offset_s, round(x, 9) AS price, id AS row_id,
- row_number() OVER (PARTITION BY st.ticker, source ORDER BY abs(ts - anchor_ts), ts, id) = 1 AS is_event FROM st JOIN an USING (ticker) WHERE ts - anchor_ts BETWEEN -172800 AND 172800""",
+    + """SELECT st.ticker, anchor_ts, source, ts AS src_ts, ts - anchor_ts AS offset_s, round(x, 9) AS price, id AS row_id,
+ row_number() OVER (PARTITION BY st.ticker, anchor_ts, source ORDER BY abs(ts - anchor_ts), ts, id) = 1 AS is_event FROM st JOIN an USING (ticker) WHERE ts - anchor_ts BETWEEN -172800 AND 172800""",
 )
 def _(s, d):
     out = M.lanes(_three(s, d), _anchors(s, d), -2 * DAY, 2 * DAY)
-    return shape(out, {"ticker": None, "source": None, "src_ts": "long", "offset_s": "long", "price": 9, "row_id": "long", "is_event": None})
+    return shape(out, {"ticker": None, "anchor_ts": "long", "source": None, "src_ts": "long", "offset_s": "long", "price": 9, "row_id": "long", "is_event": None})
 
 
 @query(
@@ -547,14 +549,14 @@ def _(s, d):
 @query(
     "m28_friction_band",
     v.sql(v.TAPE, v.MARKETS, ANCHORS)
-    + f""", j AS (SELECT ticker, cents, created_ts - anchor_ts AS rel FROM tape JOIN an USING (ticker) WHERE created_ts - anchor_ts >= {DAY}),
-l AS (SELECT ticker, list_sort(list(cents))[count(*) // 2 + 1] AS lv FROM j WHERE rel <= {4 * DAY} GROUP BY 1), b AS (SELECT ticker, rel // {DAY} AS b, list_sort(list(cents))[count(*) // 2 + 1] AS med FROM j GROUP BY 1, 2),
-k AS (SELECT b.*, lv, lag(med) OVER (PARTITION BY ticker ORDER BY b) AS pm FROM b JOIN l USING (ticker))
-SELECT ticker, lv::BIGINT AS level_c, coalesce((max(b) FILTER (WHERE abs(med - lv) <= 20) + 1) * {DAY}, {DAY})::BIGINT AS band_end_s, (min(b) FILTER (WHERE b * {DAY} > {4 * DAY} AND abs(med - pm) >= 40) * {DAY})::BIGINT AS breakout_s FROM k GROUP BY 1, 2""",
+    + f""", j AS (SELECT ticker, anchor_ts, cents, created_ts - anchor_ts AS rel FROM tape JOIN an USING (ticker) WHERE created_ts - anchor_ts >= {DAY}),
+l AS (SELECT ticker, anchor_ts, list_sort(list(cents))[count(*) // 2 + 1] AS lv FROM j WHERE rel <= {4 * DAY} GROUP BY 1, 2), b AS (SELECT ticker, anchor_ts, rel // {DAY} AS b, list_sort(list(cents))[count(*) // 2 + 1] AS med FROM j GROUP BY 1, 2, 3),
+k AS (SELECT b.*, lv, lag(med) OVER (PARTITION BY ticker, anchor_ts ORDER BY b) AS pm FROM b JOIN l USING (ticker, anchor_ts))
+SELECT ticker, anchor_ts, lv::BIGINT AS level_c, coalesce((max(b) FILTER (WHERE abs(med - lv) <= 20) + 1) * {DAY}, {DAY})::BIGINT AS band_end_s, (min(b) FILTER (WHERE b * {DAY} > {4 * DAY} AND abs(med - pm) >= 40) * {DAY})::BIGINT AS breakout_s FROM k GROUP BY 1, 2, 3""",
 )
 def _(s, d):
     out = M.friction_band(v.tape(s, d), _anchors(s, d), 20, (DAY, 4 * DAY), DAY, 40)
-    return shape(out, {"ticker": None, "level_c": "long", "band_end_s": "long", "breakout_s": "long"})
+    return shape(out, {"ticker": None, "anchor_ts": "long", "level_c": "long", "band_end_s": "long", "breakout_s": "long"})
 
 
 @query(

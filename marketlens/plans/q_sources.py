@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from marketlens.operators import temporal as T
 from marketlens.plans import views as v
 from marketlens.plans.registry import query, shape
+from marketlens.session import shared_folder
 from marketlens.sources import normalise as N
 from marketlens.sources import tables as tb
 
@@ -17,11 +17,8 @@ DAY = 86400
 
 
 def _folder(s) -> str:
-    """A new folder for written tables: shared on a cluster, temporary in tests."""
-    shared = s.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{shared.rstrip('/')}/marketlens-{uuid.uuid4().hex}"
+    """A new folder for written tables inside the shared one."""
+    return f"{shared_folder(s)}/marketlens-{uuid.uuid4().hex}"
 
 
 @query("s01_tape_scan", v.sql(v.TAPE) + "SELECT trade_id, ticker, series_ticker, created_ts, strftime(to_timestamp(created_ts), '%Y-%m-%d %H:%M:%S') AS created_at FROM tape")

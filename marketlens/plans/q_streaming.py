@@ -63,6 +63,6 @@ def _(s, d):
 def _(s, d):
     root = _folder(s)
     L.run_append(L.closed_bars(_stream(s, d), "1 hour"), f"{root}/bars", f"{root}/c1", once=True).awaitTermination()
-    bars = s.readStream.schema(L.BARS_SCHEMA).parquet(f"{root}/bars/b-*")
+    bars = s.readStream.schema(L.bars_schema("long")).parquet(f"{root}/bars/b-*")
     L.run_append(L.repricing_alerts(bars, 0.3, 6 * 3600.0), f"{root}/alerts", f"{root}/c2", once=True).awaitTermination()
     return s.read.parquet(f"{root}/alerts/b-*")

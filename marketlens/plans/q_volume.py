@@ -368,13 +368,14 @@ def _(s, d):
     "v26_rate_step",
     v.sql(v.TAPE, v.MARKETS)
     + """, p AS (SELECT ticker, max(n) AS pk FROM (SELECT ticker, created_ts // 60 AS m, count(*) AS n FROM tape GROUP BY 1, 2) GROUP BY 1),
-c AS (SELECT ticker, count(*) FILTER (WHERE created_ts - a >= -3600 AND created_ts < a) AS n_before, count(*) FILTER (WHERE created_ts >= a AND created_ts - a < 3600) AS n_after
- FROM tape JOIN (SELECT ticker, settle_ts AS a FROM markets) USING (ticker) GROUP BY 1)
-SELECT ticker, n_before, n_after, round(CASE WHEN n_before > 0 THEN n_after / n_before END, 9) AS step_multiple, round(pk / 60, 9) AS peak_rate_per_s FROM c JOIN p USING (ticker)""",
+c AS (SELECT ticker, a, count(*) FILTER (WHERE created_ts - a >= -3600 AND created_ts < a) AS n_before, count(*) FILTER (WHERE created_ts >= a AND created_ts - a < 3600) AS n_after
+ FROM tape JOIN (SELECT ticker, settle_ts AS a FROM markets UNION SELECT ticker, last_ts FROM markets) USING (ticker) GROUP BY 1, 2)
+SELECT ticker, a AS anchor_ts, n_before, n_after, round(CASE WHEN n_before > 0 THEN n_after / n_before END, 9) AS step_multiple, round(pk / 60, 9) AS peak_rate_per_s FROM c JOIN p USING (ticker)""",
 )
 def _(s, d):
-    anchors = v.markets(s, d).select("ticker", F.col("settle_ts").alias("anchor_ts"))
-    return shape(V.rate_step(v.tape(s, d), anchors), {"ticker": None, "n_before": "long", "n_after": "long", "step_multiple": 9, "peak_rate_per_s": 9})
+    m = v.markets(s, d)  # two instants a market
+    anchors = m.select("ticker", F.explode(F.array("settle_ts", "last_ts")).alias("anchor_ts"))
+    return shape(V.rate_step(v.tape(s, d), anchors), {"ticker": None, "anchor_ts": "long", "n_before": "long", "n_after": "long", "step_multiple": 9, "peak_rate_per_s": 9})
 
 
 def _pop_cte(grain: int) -> str:

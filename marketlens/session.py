@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,11 +46,20 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of a frame that several later branches read.
 
     The files go to the shared folder that the cluster names in ``spark.checkpoint.dir``, so a
-    lost executor costs nothing but the tasks it held. Only an unset folder (tests) falls back
-    to a local one.
+    lost executor costs nothing but the tasks it held.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, ``spark.checkpoint.dir``. A single-process session (tests) that names none
+    gets a temporary one; a cluster that names none is an error, as its hosts would not see each other's files."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return shared.rstrip("/")

@@ -23,21 +23,34 @@ def _start(df: DataFrame, checkpoint: str, mode: str, each: Callable[[DataFrame,
 
 
 def stream_ingest(src: DataFrame, out: str, checkpoint: str, ts: str = "created_at", key: str = "trade_id", partition: str = "series_ticker", watermark: str = LATE, once: bool = False) -> StreamingQuery:
-    """Append each trade once, replays included (L1).
+    """Append each trade once, replays included and however late (L1).
 
-    Copies are dropped by id within the watermark. A micro-batch owns one directory and overwrites
-    it, so a retried batch leaves the same files: exactly once end to end.
+    A batch keeps one row per id and leaves out ids that earlier batches have on the same days, which is all of the
+    tape that it reads: batches are stored by day, and the days of a batch are a short list. A micro-batch
+    owns one directory per day and overwrites it, so a retried batch leaves the same files: exactly once end to end.
+    A copy must carry the time of its first. ``watermark`` bounds nothing here; no trade is too late for the tape.
     """
-    unique = src.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([key])
+    spark = src.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(partition).parquet(f"{out}/batch={batch_id}")
+        fresh = batch.dropDuplicates([key]).withColumn("day", F.to_date(ts)).persist()
+        try:
+            days = [r["day"] for r in fresh.select("day").distinct().collect()]
+            known = None
+            if batch_id and days:
+                root = spark._jvm.org.apache.hadoop.fs.Path(out)
+                exists = root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root)
+                known = spark.read.parquet(out).where(F.col("day").isin(days) & (F.col("batch") < batch_id)) if exists else None
+            new = fresh if known is None else fresh.join(known.select(F.col(key)), key, "left_anti")
+            new.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("day", partition).parquet(f"{out}/batch={batch_id}")
+        finally:
+            fresh.unpersist()
 
-    return _start(unique, checkpoint, "append", write, once)
+    return _start(src, checkpoint, "append", write, once)
 
 
 def read_ingested(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(out).drop("batch")
+    return spark.read.parquet(out).drop("batch", "day")
 
 
 def live_bars(stream: DataFrame, width: str = "1 minute", ts: str = "created_at", watermark: str | None = LATE) -> DataFrame:
@@ -94,11 +107,12 @@ def on_settlement(watch: DataFrame, checkpoint: str, refresh: Callable[[DataFram
     return _start(watch, checkpoint, "append", each, once)
 
 
-ALERT_SCHEMA = "ticker long, alert_ts timestamp, move double, price double"
 _STATE_SCHEMA = "price double, last_alert double"
 
 
-BARS_SCHEMA = "ticker long, bar_start timestamp, price double"
+def bars_schema(ticker: str = "string") -> str:
+    """Schema of written closed bars for a ticker type."""
+    return f"ticker {ticker}, bar_start timestamp, price double"
 
 
 def closed_bars(stream: DataFrame, width: str = "1 minute", ts: str = "created_at", watermark: str = LATE) -> DataFrame:
@@ -128,7 +142,8 @@ def repricing_alerts(bars: DataFrame, floor: float = 0.08, sep_s: float = 240.0)
         state.update((price, last))
         yield pd.DataFrame(out, columns=["ticker", "alert_ts", "move", "price"])
 
-    return bars.groupBy("ticker").applyInPandasWithState(walk, ALERT_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    schema = f"ticker {bars.schema['ticker'].dataType.simpleString()}, alert_ts timestamp, move double, price double"
+    return bars.groupBy("ticker").applyInPandasWithState(walk, schema, _STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
 
 def run_append(df: DataFrame, out: str, checkpoint: str, once: bool = False) -> StreamingQuery:

@@ -47,7 +47,7 @@ def test_bars_equal_batch(spark, tmp_path):
 def test_alerts_against_walk(spark, tmp_path):
     _batches(spark, tmp_path)
     L.run_append(L.closed_bars(_source(spark, tmp_path), "10 minutes"), f"{tmp_path}/bars", f"{tmp_path}/c1", once=True).awaitTermination()
-    bars = spark.readStream.schema(L.BARS_SCHEMA).parquet(f"{tmp_path}/bars/b-*")
+    bars = spark.readStream.schema(L.bars_schema("long")).parquet(f"{tmp_path}/bars/b-*")
     L.run_append(L.repricing_alerts(bars, 0.2, 1800), f"{tmp_path}/alerts", f"{tmp_path}/c2", once=True).awaitTermination()
     got = rows(spark.read.parquet(f"{tmp_path}/alerts/b-*"), "ticker", "alert_ts", "move")
     want = []
