@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Text per block and bucket.
 BLOCK_BYTES = 4 << 20
 #: Entries that a task holds before it packs them.
-FLUSH = 2_000_000
+FLUSH = 600_000
 
 PARTS = "block long, kind int, key binary, owner binary, mark binary, flag binary, ref_mark binary"
 FOUND = "block long, owner binary, mark binary, ref binary, ref_mark binary"

@@ -50,6 +50,8 @@ class Automaton:
                 spelled[i] = 1
         for n, (a, b) in enumerate(merges):
             u, v, w = vocab[a], vocab[b], vocab[a + b]
+            if u not in left or v not in left or not self._open(right[u], left[v]):
+                continue  # the arc v is closed after u already, so this merge finds no place
             self.closed.setdefault(u * self.width + v, n)
             if w in left:  # a second merge that spells a known label adds no label
                 continue
@@ -67,16 +69,19 @@ class Automaton:
         key = a * self.width + b
         got = self.arcs.get(key)
         if got is None:
-            got = True
-            for x, until_x in self.right[a]:
-                for y, until_y in self.left[b]:
-                    n = self.closed.get(x * self.width + y)
-                    if n is not None and n < until_x and n <= until_y:  # of one merge's places the leftmost comes first
-                        got = False
+            got = self._open(self.right[a], self.left[b])
             if len(self.arcs) < KEPT * 10:
                 self.arcs[key] = got
         return got
 
+    def _open(self, right: tuple, left: tuple) -> bool:
+        for x, until_x in right:
+            for y, until_y in left:
+                n = self.closed.get(x * self.width + y)
+                if n is not None and n < until_x and n <= until_y:  # of one merge's places the leftmost comes first
+                    return False
+        return True
+
     def word(self, word: str) -> list[int]:
         """The ids of one pre-split word of base symbols: the one path of open arcs."""
         n = len(word)
