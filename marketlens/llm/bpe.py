@@ -27,14 +27,13 @@ from pyspark.sql import types as T
 
 NEVER = 1 << 60
 #: Words whose ids a task keeps, and arcs it keeps.
-KEPT = 300_000
+KEPT = 100_000
 
 
 class Automaton:
     """Compiled merges: deterministic, one open path per word."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = ""):
-        self.labels = {i: t for t, i in vocab.items()}
         self.suffix = suffix
         self.closed: dict[int, int] = {}  # u, v -> number of the merge that forbids v after u
         self.width = max(vocab.values(), default=0) + 1
@@ -59,7 +58,7 @@ class Automaton:
             right[w] = ((w, NEVER), *((x, min(t, n)) for x, t in right[v]))
             spelled[w] = spelled[u] + spelled[v]
         self.left, self.right = left, right
-        self.by_text: dict[str, int] = {self.labels[i]: i for i in left}
+        self.by_text: dict[str, int] = {t: i for t, i in vocab.items() if i in left}
         self.longest = max(map(len, self.by_text), default=1)
         self.prefixes = {t[:k] for t in self.by_text for k in range(1, len(t) + 1)}
         self.arcs: dict[int, bool] = {}
@@ -70,7 +69,7 @@ class Automaton:
         got = self.arcs.get(key)
         if got is None:
             got = self._open(self.right[a], self.left[b])
-            if len(self.arcs) < KEPT * 10:
+            if len(self.arcs) < KEPT:
                 self.arcs[key] = got
         return got
 
@@ -131,7 +130,6 @@ class Codec:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)) for m in model["merges"]]
         self.automaton = Automaton(model["vocab"], merges, model.get("end_of_word_suffix") or "")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.labels = self.automaton.labels | {i: t for t, i in self.special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
@@ -166,8 +164,6 @@ class Codec:
                 out += map(self.piece, self.pieces.findall(self.normal(part)))
         return np.concatenate(out) if out else np.empty(0, np.int32)
 
-    def decode(self, ids: list[int]) -> str:
-        return " ".join([self.labels[i] for i in ids])
 
 
 @lru_cache(maxsize=2)
@@ -176,7 +172,15 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _spread(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+@lru_cache(maxsize=2)
+def arc_labels(path: str) -> dict[int, str]:
+    """The label of each id, special tokens included; decoding needs nothing else."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+
+
+def _spread(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of bounded bytes, at least one row each."""
     rows = max(1, int(batch.num_rows * most / max(batch.nbytes, 1)))
     for at in range(0, batch.num_rows, rows):
@@ -207,10 +211,10 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
     at = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        label = arc_labels(path)
         for big in batches:
             for b in _spread(big):
-                text = [c.decode(ids) if ids else "" for ids in b.column(at).to_pylist()]
+                text = [" ".join([label[i] for i in ids or ()]) for ids in b.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], [*b.schema.names, out_col])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(out_col, T.StringType())]))

@@ -172,7 +172,7 @@ def test_automaton_equals_merging():
             if pair[0] + pair[1] not in vocab and len(pair[0] + pair[1]) < 9:
                 merges.append(pair)
                 vocab[pair[0] + pair[1]] = len(vocab)
-        auto = bpe.Automaton(vocab, merges)
+        auto, names = bpe.Automaton(vocab, merges), {i: t for t, i in vocab.items()}
         for _ in range(60):
             word = "".join(r.choice("ab") for _ in range(r.randrange(1, 25)))
             parts = list(word)
@@ -182,7 +182,7 @@ def test_automaton_equals_merging():
                     x = parts.pop(0)
                     out.append(x + parts.pop(0) if x == a and parts and parts[0] == b else x)
                 parts = out
-            assert [auto.labels[i] for i in auto.word(word)] == parts, (merges, word)
+            assert [names[i] for i in auto.word(word)] == parts, (merges, word)
 
 
 def test_bpe_edges(spark):
