@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows of whole texts: a batch of the default 10,000 may not fit beside the other tasks of an executor.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
@@ -35,8 +37,8 @@ def local_session(cpus: int = 8, partitions: int = 8, app: str = "marketlens") -
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Set on a given session what results and skew handling rely on: UTC and forced skew splits."""
-    for key in ("spark.sql.session.timeZone", "spark.sql.adaptive.forceOptimizeSkewedJoin"):
+    """Set on a given session what results, skew handling and memory rely on: UTC, forced skew splits, small batches."""
+    for key in ("spark.sql.session.timeZone", "spark.sql.adaptive.forceOptimizeSkewedJoin", "spark.sql.execution.arrow.maxRecordsPerBatch"):
         if spark.conf.get(key) != SETTINGS[key]:
             spark.conf.set(key, SETTINGS[key])
     return spark

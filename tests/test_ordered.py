@@ -73,3 +73,9 @@ def test_quantiles(data):
     got = O.quantiles(data, ["k"], "v", [0.25, 0.5], ["q1", "q2"])
     want = data.groupBy("k").agg(F.percentile("v", 0.25).alias("q1"), F.median("v").alias("q2"))
     assert rows(got, "k", "q1", "q2") == rows(want, "k", "q1", "q2")
+
+
+def test_null_keys_keep_their_carry(spark):
+    df = spark.createDataFrame([(None, 1, 1), (None, 5000, 1), (None, 9000, 1), ("a", 1, 1)], "k string, ts long, x long")
+    got = O.running_sum(df, ["k"], ["ts"], F.col("x"), "n")
+    assert rows(got.where("k IS NULL"), "ts", "n") == [(1, 1), (5000, 2), (9000, 3)]
