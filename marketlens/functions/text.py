@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Named and numeric entities that occur in prose, ``&amp;`` last.
-ENTITIES = {
-    "&nbsp;": " ", "&quot;": '"', "&apos;": "'", "&lt;": "<", "&gt;": ">", "&mdash;": "—", "&ndash;": "–", "&hellip;": "…",
-    "&ldquo;": "“", "&rdquo;": "”", "&lsquo;": "‘", "&rsquo;": "’", "&middot;": "·", "&times;": "×", "&minus;": "−", "&deg;": "°",
-    "&cent;": "¢", "&pound;": "£", "&euro;": "€", "&eacute;": "é", "&egrave;": "è", "&uuml;": "ü", "&ouml;": "ö", "&auml;": "ä", "&ntilde;": "ñ",
-    "&#39;": "'", "&#34;": '"', "&#38;": "&", "&#160;": " ", "&#8211;": "–", "&#8212;": "—", "&#8216;": "‘", "&#8217;": "’", "&#8220;": "“",
-    "&#8221;": "”", "&#8230;": "…", "&#x27;": "'", "&#x2019;": "’", "&amp;": "&",
-}
+#: Named entities, from the standard library's table; and the characters that numbers 128 to 159 stand for.
+NAMED = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+BARE = {name: text for name, text in html5.items() if not name.endswith(";")}
+LEGACY = {str(n): bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)}
+
+#: Parts of a page that hold no prose, with all that is in them.
+NO_PROSE = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
 
 #: Fixed patterns of the word, sentence and markup rules.
 ODD = r"\t-\r\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -23,13 +25,45 @@ MARK = "\x01"
 
 
 def strip_markup(c: Column, templates: bool = True) -> Column:
-    """Text of an HTML fragment: template holes out, tags to spaces, entities decoded, blanks folded."""
+    """Text of an HTML fragment: comments, scripts and styles out, template holes out, tags to spaces,
+    entities decoded, blanks folded."""
+    c = F.regexp_replace(c, NO_PROSE, " ")
     if templates:
         c = F.regexp_replace(c, r"\$\{[^}]*\}", "")
-    c = F.regexp_replace(c, "<[^>]+>", " ")
-    for name, ch in ENTITIES.items():
-        c = F.replace(c, F.lit(name), F.lit(ch))
-    return fold_blanks(c)
+    return fold_blanks(decode_entities(F.regexp_replace(c, "<[^>]+>", " ")))
+
+
+def decode_entities(c: Column) -> Column:
+    """Named entities (a few also without their semicolon) and decimal and hexadecimal ones; all else stays.
+
+    The text is cut at its ampersands, and each piece starts with at most one entity. Numbers outside Unicode and
+    surrogates become U+FFFD, 128 to 159 read as Windows-1252.
+    """
+    table = lambda m: F.from_json(F.lit(json.dumps(m)), "map<string,string>")  # noqa: E731  one constant
+    named, bare, legacy = table(NAMED), table(BARE), table(LEGACY)
+
+    def char(n: Column) -> Column:
+        wrong = (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+        plain = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        return F.when(wrong, F.lit("\ufffd")).when(n.between(128, 159), F.try_element_at(legacy, n.cast("string"))).otherwise(plain)
+
+    def piece(p: Column) -> Column:
+        name = F.regexp_extract(p, r"^([A-Za-z][A-Za-z0-9]*);", 1)
+        short = F.regexp_extract(p, "^(" + "|".join(sorted(BARE, key=lambda n: (-len(n), n))) + ")", 1)
+        dec, hexa = F.regexp_extract(p, r"^#0*([0-9]{1,9})", 1), F.regexp_extract(p, r"^#[xX]0*([0-9A-Fa-f]{1,8})", 1)
+        number = F.coalesce(F.nullif(dec, F.lit("")).cast("long"), F.conv(F.nullif(hexa, F.lit("")), 16, 10).cast("long"))
+        after = F.regexp_replace(p, r"^#(?:[0-9]+|[xX][0-9A-Fa-f]+);?", "")
+        known = F.try_element_at(named, name)
+        return (
+            F.when(number.isNotNull(), F.concat(char(number), after))
+            .when((name != "") & known.isNotNull(), F.concat(known, F.substr(p, F.length(name) + 2)))
+            .when(short != "", F.concat(F.try_element_at(bare, short), F.substr(p, F.length(short) + 1)))
+            .otherwise(F.concat(F.lit("&"), p))
+        )
+
+    parts = F.split(c, "&")
+    decoded = F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), piece), ""))
+    return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)
 
 
 def fold_blanks(c: Column) -> Column:

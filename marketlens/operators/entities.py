@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 #: Ordered family keyword rules; the first family with a hit wins.
 FAMILY_RULES = (
-    ("player", ("GOALLEADER", "TEAMLEADGOAL", "PLAYERGOALS", "WCAST", "WCSOA", "HATTRICK", "AWARD", "GBOOTGOALS", "GOLDENBOOTCLEAT", "GOALCOMBO", "GOALSTREAK", "SQUAD")),
+    ("player", ("GOALLEADER", "TEAMLEADGOAL", "PLAYERGOALS", "WCAST", "WCSOA", "HATTRICK", "AWARD", "GBOOTGOALS", "GOLDENBOOTCLEAT", "GOALCOMBO", "GOALSTREAK", "FIFATOP10", "SQUAD", "MESSIMBAPPE", "MESSIRONALDO", "MBAPPEGOALLEADER")),
     ("group", ("GROUPWIN", "WINGROUP", "GROUPQUAL", "GROUPORDER", "GROUPBOTTOM", "GROUPPTS", "GROUPGOALS", "GSGOALS", "3RDPLACEQUAL", "GSUNDEFEATED", "GS3WINS")),
-    ("team_performance", ("STAGEOFELIM", "WCROUND", "WCSTAGE", "REGIONKO", "FURTHESTADVANCING", "TEAMTOTALGOALS", "GOALSALLOWED", "TEAMH2H", "WCADVANCE", "HOSTKO", "HOSTSTAGE", "BESTHOST", "HOSTWIN", "WCHOST")),
+    ("team_performance", ("STAGEOFELIM", "WCROUND", "WCSTAGE", "REGIONKO", "FURTHESTADVANCING", "USAOPPONENT", "TEAMTOTALGOALS", "GOALSALLOWED", "TEAMH2H", "WCCONGO", "WCIRAN", "WCADVANCE", "HOSTKO", "HOSTSTAGE", "BESTHOST", "HOSTWIN", "WCHOST")),
     ("winner", ("FINALMATCHUP", "3RDPLACE", "CONTINENT", "1STTIMEWIN", "NOEURSA", "FINISHINGORDER")),
-    ("per_match", ("WCGAME", "SPREAD", "WCTOTAL", "SCORE", "BTTS", "WC1H", "WC2H", "WCMOV", "WINMARGIN", "TTSF", "FTTS", "CONCEDE1ST", "WCMOF", "CORNERS", "SHOT", "SOG", "SAVE", "GOALCOUNT", "START", "MATCHUP", "TEAMTOTAL", "TEAMGOALS", "FIRSTGOAL")),
-    ("novelty", ("TOTALGOAL", "FASTESTGOAL", "GAMEGOALS", "KOPENALTIES", "LONGESTPEN", "GOALIEGOAL", "OLIMPICO", "FREEKICKGOAL", "RECORD", "DELAY", "LOCATION", "WCGOAL")),
-    ("off_pitch", ("WCADS", "WCPRICE", "FINALSONGS", "WCATTEND", "VIEWERSHIP", "WCSONG", "WCMENTION", "WCDEAL")),
+    ("per_match", ("WCGAME", "SPREAD", "WCTOTAL", "SCORE", "BTTS", "WC1H", "WC2H", "WCMOV", "WINMARGIN", "TTSF", "FTTS", "CONCEDE1ST", "WCMOF", "CORNERS", "SHOT", "SOG", "SAVE", "GOALCOUNT", "START", "MATCHUP", "WCPLAY", "TEAMSINGAME", "TEAMTOTAL", "TEAMGOALS", "TEAM1STGOAL", "TEAMFIRSTGOAL", "FIRSTGOAL")),
+    ("novelty", ("TOTALGOAL", "FASTESTGOAL", "GAMEGOALS", "GOALEVERYGAME", "EVERYTEAMGOAL", "KOPENALTIES", "LONGESTPEN", "GOALIEGOAL", "GOALIEPEN", "OLIMPICO", "FREEKICKGOAL", "RECORD", "WINNERTRAIL", "DELAY", "LOCATION", "FIRSTSONG", "PREPACK", "CLUBGOALS", "WCGOAL")),
+    ("off_pitch", ("WCADS", "WCPRICE", "FINALSONGS", "WCATTEND", "OCUSA", "OCMEX", "OCCAN", "VIEWERSHIP", "WCUPSONG", "WCSONG", "WCMENTION", "TRUMPWORLDCUP", "FIFATRAVEL", "FIFAPEACE", "TRUMPHANDSHAKE", "WCDEAL", "PERSONATTENDTRUMP")),
 )
 #: The nine family codes of the export, in code order.
 FAMILY_CODES = ("winner_futures", "match_3way", "advancement", "spread_total_score", "group", "stage_elimination", "golden_boot", "host_novelty_prop", "other")
@@ -95,15 +95,20 @@ def market_ref(m: DataFrame, series: DataFrame) -> DataFrame:
     return m.join(series, "series_ticker", "left")
 
 
-def classify(df: DataFrame, text: str, rules: Sequence[tuple[str, Sequence[str]]] = FAMILY_RULES, default: str = "other", out: str = "family") -> DataFrame:
-    """First family whose keyword occurs in the text."""
+def classify(df: DataFrame, text: str, rules: Sequence[tuple[str, Sequence[str]]] = FAMILY_RULES, default: str = "other", out: str = "family", exact: Mapping[str, str] | None = None) -> DataFrame:
+    """The family that ``exact`` gives the whole text, else the first whose keyword occurs in it.
+
+    ``exact`` holds the named tickers first and then the known family of each listed one, merged by the caller."""
     expr = None
     for family, words in rules:
         hit = F.lit(False)
         for w in words:
             hit = hit | F.contains(F.col(text), F.lit(w))
         expr = F.when(hit, family) if expr is None else expr.when(hit, family)
-    return df.withColumn(out, expr.otherwise(default))
+    found = F.lit(default) if expr is None else expr.otherwise(default)
+    if exact:
+        found = F.coalesce(_lookup(exact, F.col(text), None), found)
+    return df.withColumn(out, found)
 
 
 def family_enum(df: DataFrame, family: str, series: str, direct: Mapping[str, str], per_match: str, split: Mapping[str, str], per_match_rest: str, out: str = "family_code") -> DataFrame:
@@ -113,7 +118,7 @@ def family_enum(df: DataFrame, family: str, series: str, direct: Mapping[str, st
     return df.withColumn(out, (F.array_position(codes, name) - 1).cast("int"))
 
 
-def _lookup(m: Mapping[str, str], key: Column, default: str) -> Column:
+def _lookup(m: Mapping[str, str], key: Column, default: str | None) -> Column:
     pairs = F.create_map(*[x for k, v in m.items() for x in (F.lit(k), F.lit(v))])
     return F.coalesce(F.try_element_at(pairs, key), F.lit(default))
 

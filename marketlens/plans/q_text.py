@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marketlens.functions.text import ENTITIES
 from marketlens.operators import text as X
 from marketlens.plans import views as v
 from marketlens.plans.registry import query, shape
@@ -22,9 +21,11 @@ def _syl(c: str) -> str:
 def _counts_sql(src: str, key: str, body: str, markup: bool) -> str:
     c = body
     if markup:
+        c = f"regexp_replace({c}, '(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>', ' ', 'g')"
         c = f"regexp_replace(regexp_replace({c}, '\\$\\{{[^}}]*\\}}', '', 'g'), '<[^>]+>', ' ', 'g')"
-        for name, ch in ENTITIES.items():
-            c = f"replace({c}, '{name}', '{ch.replace(chr(39), chr(39) * 2)}')"
+        for name, code in (("quot;", 34), ("copy;", 169), ("middot;", 183), ("amp;", 1), ("amp", 38)):  # those that the pages use
+            c = f"replace({c}, '&{name}', chr({code}))"
+        c = f"replace({c}, chr(1), '&')"
     return f"""cl AS (SELECT {key}, trim(regexp_replace({c}, '{_SP}', ' ', 'g')) AS t FROM {src}),
 sp AS (SELECT {key}, t, list_filter(string_split(regexp_replace(t, '([.!?])[ ]+([A-Z0-9"“‘])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x) <> '') AS k FROM cl),
 se AS (SELECT {key}, CASE WHEN len(k) > 0 THEN k ELSE [t] END AS ss FROM sp),

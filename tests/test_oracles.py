@@ -7,6 +7,8 @@ from __spark_entry__ import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
 QS, SQLS = queries(), oracle_sql()
+#: Queries whose result is empty on the smallest tables.
+EMPTY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +18,7 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(SQLS))
 def test_query_equals_sql(spark, con, name):
-    assert compare(QS[name](spark, SF), con, SQLS[name]) in (None, "both empty")
+    assert compare(QS[name](spark, SF), con, SQLS[name]) == ("both empty" if name in EMPTY else None)
 
 
 def test_names_agree():

@@ -181,3 +181,22 @@ def test_steps_and_spike(spark):
     bump = [0.30] * 30 + [0.60] * 5 + [0.31] * 30
     spans = spark.createDataFrame([(1, 0, 10_000)], "ticker long, lo long, hi long")
     assert rows(M.spike(tape(spark, bump, step=5), spans), "onset_ts", "peak_ts", "peak_c", "resolved_ts") == [(150, 150, 60.0, 175)]
+
+
+def test_entities_as_the_standard_library(spark):
+    import html
+
+    from marketlens.functions import text as tx
+
+    odd = ["Caf&#233; &hearts; &copy; &amp;lt; &#x2019;s &#150; &#0; &#xD800; &#99999999; &nosuch; &amp &copyx & && &", "plain", "", "&notin; &notit; &ampamp;", "&#x1F600;&eacute;&Eacute;&le;a"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i long, t string")
+    assert rows(df.select("i", tx.decode_entities(F.col("t")).alias("d"))) == [(i, html.unescape(t)) for i, t in enumerate(odd)]
+    page = "<p>a<!-- no\n <b>x</b> --> b</p><SCRIPT type='x'>var t='</p>';\n</script ><style>p{}</style> c&eacute;"
+    assert rows(spark.createDataFrame([(page,)], "t string").select(tx.strip_markup(F.col("t")).alias("d"))) == [("a b c\u00e9",)]
+
+
+def test_exact_family_comes_before_keywords(spark):
+    from marketlens.operators import entities as E
+
+    df = spark.createDataFrame([("KXWCGAME",), ("KXWCGAMESPREAD",), ("KXOCUSA",), ("KXNONE",)], "t string")
+    assert rows(E.classify(df, "t", exact={"KXWCGAME": "winner"})) == [("KXNONE", "other"), ("KXOCUSA", "off_pitch"), ("KXWCGAME", "winner"), ("KXWCGAMESPREAD", "per_match")]
