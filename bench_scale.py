@@ -47,8 +47,8 @@ def main() -> None:
 
     def clock(name: str, df) -> None:
         t0 = time.perf_counter()
-        n = df.count()
-        out["queries"][name] = {"sec": round(time.perf_counter() - t0, 1), "rows": n}
+        df.write.format("noop").mode("overwrite").save()  # every column is computed
+        out["queries"][name] = {"sec": round(time.perf_counter() - t0, 1)}
 
     out["rows"] = t.count()
     clock("v05_market_totals", V.market_totals(t))

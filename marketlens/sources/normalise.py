@@ -61,31 +61,60 @@ def flatten_odds(raw: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
-EVENT_SCHEMA = (
-    "id string, slug string, title string, closed boolean, volume string, "
-    "markets array<struct<id:string,slug:string,question:string,groupItemTitle:string,clobTokenIds:string,outcomes:string,volume:string,closed:boolean>>"
-)
+#: Fields of an event and of a market, as (field, column, kind). Flags default to false, times become epochs,
+#: lists are JSON text inside JSON and become clean JSON.
+EVENT_FIELDS = (
+    ("id", "event_id", "text"), ("slug", "event_slug", "text"), ("ticker", "event_ticker", "text"), ("title", "event_title", "text"),
+    ("category", "event_category", "text"), ("closed", "event_closed", "flag"), ("active", "event_active", "flag"),
+    ("archived", "event_archived", "flag"), ("volume", "event_volume", "number"), ("liquidity", "event_liquidity", "number"),
+    ("openInterest", "event_open_interest", "number"), ("negRisk", "event_neg_risk", "flag"), ("createdAt", "event_created_at_ts", "time"),
+    ("startDate", "event_start_date_ts", "time"), ("endDate", "event_end_date_ts", "time"), ("closedTime", "event_closed_time_ts", "time"),
+)
+MARKET_FIELDS = (
+    ("id", "market_id", "text"), ("slug", "market_slug", "text"), ("question", "question", "text"), ("groupItemTitle", "group_item_title", "text"),
+    ("outcomes", "outcomes_json", "list"), ("outcomePrices", "outcome_prices_json", "list"), ("clobTokenIds", "token_ids_json", "list"),
+    ("volume", "volume", "number"), ("liquidity", "liquidity", "number"), ("volume24hr", "volume_24hr", "number"), ("volume1wk", "volume_1wk", "number"),
+    ("volume1mo", "volume_1mo", "number"), ("volume1yr", "volume_1yr", "number"), ("active", "active", "flag"), ("closed", "closed", "flag"),
+    ("archived", "archived", "flag"), ("restricted", "restricted", "flag"), ("createdAt", "created_at_ts", "time"), ("updatedAt", "updated_at_ts", "time"),
+    ("startDate", "start_date_ts", "time"), ("endDate", "end_date_ts", "time"), ("closedTime", "closed_time_ts", "time"),
+)
+_JSON_TYPES = {"flag": "boolean"}
+
+
+def _fields(fields: Sequence[tuple[str, str, str]]) -> str:
+    return ",".join(f"{f}:{_JSON_TYPES.get(kind, 'string')}" for f, _, kind in fields)
+
+
+EVENT_SCHEMA = ", ".join(f"{f} {_JSON_TYPES.get(kind, 'string')}" for f, _, kind in EVENT_FIELDS) + f", markets array<struct<{_fields(MARKET_FIELDS)}>>"
 
 
 def flatten_events(raw: DataFrame, body: str = "body", knockout_from: str | None = None) -> DataFrame:
-    """Events with nested markets to one row per market; empty events keep one row."""
+    """Events with nested markets to one row per market; empty events keep one row.
+
+    Flags of a market are null where the event has none. Family and tier follow with ``entities.classify`` and ``priority_bands``.
+    """
     e = raw.select(F.from_json(body, EVENT_SCHEMA).alias("e"))
     m = e.select("e", F.explode_outer("e.markets").alias("m"))
-    tokens = F.from_json(F.coalesce("m.clobTokenIds", F.lit("[]")), "array<string>")
+    listed = lambda c: F.coalesce(F.from_json(F.coalesce(F.col(c), F.lit("[]")), "array<string>"), F.array().cast("array<string>"))
+    some = F.col("m").isNotNull()
     day = F.regexp_extract("e.slug", r"(\d{4}-\d{2}-\d{2})", 1)
+
+    def column(side: str, field: str, name: str, kind: str) -> Column:
+        c = f"{side}.{field}"
+        if kind == "flag":
+            out = F.coalesce(F.col(c), F.lit(False))
+            out = out if side == "e" else F.when(some, out)
+        elif kind == "list":
+            out = F.when(some, F.to_json(listed(c)))
+        else:
+            out = {"number": number, "time": iso_epoch, "text": F.col}[kind](c)
+        return out.alias(name)
+
     out = m.select(
-        F.col("e.id").alias("event_id"),
-        F.col("e.slug").alias("event_slug"),
-        F.col("e.title").alias("event_title"),
-        F.coalesce("e.closed", F.lit(False)).alias("event_closed"),
-        number("e.volume").alias("event_volume"),
+        *[column("e", *f) for f in EVENT_FIELDS],
         F.when(day != "", day).alias("match_date"),
-        F.col("m.id").alias("market_id"),
-        F.col("m.question").alias("question"),
-        F.col("m.groupItemTitle").alias("group_item_title"),
-        F.coalesce(F.size(F.coalesce(tokens, F.array())), F.lit(0)).alias("n_tokens"),
-        F.to_json(tokens).alias("token_ids_json"),
-        number("m.volume").alias("volume"),
+        *[column("m", *f) for f in MARKET_FIELDS],
+        F.when(some, F.size(listed("m.clobTokenIds"))).otherwise(0).alias("n_tokens"),
     )
     if knockout_from is not None:
         out = out.withColumn("is_knockout", F.coalesce(F.col("match_date") >= knockout_from, F.lit(False)))
@@ -106,7 +135,9 @@ def normalise_trades(raw: DataFrame, segment: str) -> DataFrame:
 def flatten_candles(raw: DataFrame) -> DataFrame:
     """Nested price and quote groups to columns; groups or stats may be missing."""
     have = {g: set(raw.schema[g].dataType.names) if g in raw.columns else set() for g in CANDLE_GROUPS}
-    cols = [F.col("ticker"), F.col("end_period_ts"), number("volume_fp").alias("volume_contracts"), number("open_interest_fp").alias("open_interest_contracts")]
+    series = F.col("series_ticker") if "series_ticker" in raw.columns else F.lit(None).cast("string").alias("series_ticker")
+    cols = [series, F.col("ticker"), F.col("end_period_ts")]
+    cols += ["volume_fp", number("volume_fp").alias("volume_contracts"), "open_interest_fp", number("open_interest_fp").alias("open_interest_contracts")]
     for g in CANDLE_GROUPS:
         for st in CANDLE_STATS:
             field = f"{st}_dollars"

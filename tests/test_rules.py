@@ -200,3 +200,14 @@ def test_exact_family_comes_before_keywords(spark):
 
     df = spark.createDataFrame([("KXWCGAME",), ("KXWCGAMESPREAD",), ("KXOCUSA",), ("KXNONE",)], "t string")
     assert rows(E.classify(df, "t", exact={"KXWCGAME": "winner"})) == [("KXNONE", "other"), ("KXOCUSA", "off_pitch"), ("KXWCGAME", "winner"), ("KXWCGAMESPREAD", "per_match")]
+
+
+def test_events_keep_every_field(spark):
+    body = (
+        '{"id": "1", "slug": "a-2026-07-01", "negRisk": true, "volume": "2.5", "createdAt": "2026-01-01T00:00:00Z", "markets": '
+        '[{"id": "9", "outcomes": "[\\"Yes\\", \\"No\\"]", "volume1wk": "3", "closedTime": "2026-01-02T00:00:00Z", "active": true}]}'
+    )
+    got = N.flatten_events(spark.createDataFrame([(body,), ('{"id": "2"}',)], "body string"))
+    assert len(got.columns) == len(N.EVENT_FIELDS) + len(N.MARKET_FIELDS) + 2
+    cols = ("event_id", "event_neg_risk", "event_volume", "event_created_at_ts", "outcomes_json", "volume_1wk", "closed_time_ts", "active", "closed", "n_tokens")
+    assert rows(got, *cols) == [("1", True, 2.5, 1767225600, '["Yes","No"]', 3.0, 1767312000, True, False, 0), ("2", False, None, None, None, None, None, None, None, 0)]
