@@ -23,24 +23,27 @@ def _n() -> Column:
     return F.count(F.lit(1))
 
 
+#: Inverse prices are summed in units of 1e-12.
+_UNIT = 1e12
+
+
 def devig_async(q: DataFrame, market: Sequence[str], outcome: str, ms: str = "created_ms", tie: str = "quote_id", price: str = "price_decimal", active: str = "active") -> DataFrame:
     """De-vig quotes whose outcomes move at different instants.
 
-    At each quote's own millisecond the latest known price of every outcome of its market is
-    looked up with one as-of pass; the overround is the sum of inverse prices over the outcomes
-    active then, and the quote's probability is its own inverse price over that sum. Adds
+    The overround at a quote's own millisecond is the sum of the latest known inverse prices over the outcomes of
+    its market that are active then, and the quote's probability is its own inverse price over that sum. Adds
     ``overround_at_ts`` and ``prob_devig`` (null while the outcome is inactive).
     """
-    # The outcomes of a market are a short list.
-    menu = q.select(*market, outcome).distinct().groupBy(*market).agg(F.collect_set(outcome).alias("__menu"))
-    asked = q.select(*market, F.col(outcome).alias("__own"), ms, tie).join(menu, list(market))
-    asked = asked.withColumn(outcome, F.explode("__menu")).drop("__menu")
-    hit = T.asof(asked, q, [*market, outcome], ms, ms, {price: "__price", active: "__on"}, tie, chunk_s=3_600_000)
-    live = F.when(F.col("__on") & F.col("__price").isNotNull(), F.lit(1.0) / F.col("__price"))
-    own = F.col(outcome) == F.col("__own")
-    per = hit.groupBy(*market, tie).agg(F.coalesce(F.sum(live), F.lit(0.0)).alias("overround_at_ts"), F.max(F.when(own, live)).alias("__mine"))
-    out = q.join(per, [*market, tie])
-    return out.withColumn("prob_devig", F.when(F.col("overround_at_ts") > 0, F.col("__mine") / F.col("overround_at_ts"))).drop("__mine")
+    # Linear in quotes: each outcome's change of inverse price, summed along its market. Integers keep the sums exact.
+    chunk = ordered.time_chunk(ms, 3_600_000)
+    live = F.when(F.col(active) & F.col(price).isNotNull(), F.round(F.lit(_UNIT) / F.col(price)).cast("long"))
+    state = q.groupBy(*market, outcome, ms).agg(F.max_by(F.struct(live.alias("x")), F.col(tie)).alias("__s")).withColumn("__x", F.col("__s.x"))
+    moved = ordered.previous(state, [*market, outcome], [ms], F.coalesce("__x", F.lit(0)), "__before", chunk=chunk)
+    step = moved.groupBy(*market, ms).agg(F.sum(F.coalesce("__x", F.lit(0)) - F.coalesce("__before", F.lit(0))).alias("__d"))
+    over = ordered.running_sum(step, market, [ms], F.col("__d"), "__over", chunk=chunk).drop("__d")
+    out = q.join(state.drop("__s"), [*market, outcome, ms]).join(over, [*market, ms])
+    out = out.withColumn("overround_at_ts", F.col("__over") / _UNIT)
+    return out.withColumn("prob_devig", F.when(F.col("__over") > 0, F.col("__x") / F.col("__over"))).drop("__x", "__over")
 
 
 def stack_sources(sources: Mapping[str, tuple[DataFrame, str, str, str]], key: str) -> DataFrame:
