@@ -457,20 +457,24 @@ def pin_low(t: DataFrame, hi: int = 3, lo: int = 1) -> DataFrame:
     return _pin(t, c <= hi, c > lo)
 
 
-def steps(t: DataFrame, step: int = 2, win_s: int = 10, jump: float = 0.035, merge_s: int = 14) -> DataFrame:
+def steps(t: DataFrame, step: int = 2, win_s: int = 10, jump: float = 0.035, merge_s: int = 14, spans: DataFrame | None = None) -> DataFrame:
     """Level shifts: trailing against leading medians on a dense grid, neighbours merged.
 
+    ``spans`` (ticker, lo, hi) names the window of each market, such as a match; without it the window is its whole
+    life, whose grid has life / step rows.
     The grid is cut into blocks with a few copied rows at the borders (``ordered.framed``). The
     reported instant is the first tick past the midpoint of the two levels, which always lies
     between ten seconds before the first and one window after the last merged grid point.
     """
     win = max(1, round(win_s / step))
+    if spans is not None:
+        named = spans.select("ticker", F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))
+        t = t.join(named, "ticker").where(F.col("created_ts").between(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
     spans = t.groupBy("ticker").agg(F.min("created_ts").alias("lo"), F.max("created_ts").alias("hi"))
     bars = T.resample_last(t, ["ticker"], "created_ts", "trade_id", "yes_price_usd", step, "v")
     marks = T.grid(spans, step)
     full = marks.join(bars, ["ticker", "bin_ts"], "left")
-    w = W.partitionBy("ticker").orderBy("bin_ts").rowsBetween(W.unboundedPreceding, 0)
-    filled = full.withColumn("p", F.last("v", ignorenulls=True).over(w))
+    filled = ordered.last_known(full, ["ticker"], ["bin_ts"], F.col("v"), "p", chunk=ordered.time_chunk("bin_ts", step * 4096))
     lo, hi = T.floor_to(F.col("lo"), step), T.floor_to(F.col("hi"), step)
     pos = ((F.col("bin_ts") - lo) / step + 1).cast("long")
     size = ((hi - lo) / step + 1).cast("long")

@@ -305,9 +305,9 @@ def at_offsets(anchors: DataFrame, src: DataFrame, on: Sequence[str], anchor_ts:
 
 
 def bar_moves(bars: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Bar-to-bar difference. Bars per key are bounded by span / step, so a key window is safe."""
-    w = W.partitionBy(*_cols(keys)).orderBy("bin_ts")
-    return bars.withColumn("diff", F.col(value) - F.lag(value).over(w))
+    """Bar-to-bar difference, a day of bars in a chunk, so a long life at a fine step is not one task."""
+    before = ordered.previous(bars, keys, ["bin_ts"], F.col(value), "__before", chunk=ordered.time_chunk("bin_ts", DAY))
+    return before.withColumn("diff", F.col(value) - F.col("__before")).drop("__before")
 
 
 def biggest_jump(df: DataFrame, keys: Sequence[str], ts: str, tie: str, value: str, step: int) -> DataFrame:

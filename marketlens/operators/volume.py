@@ -431,15 +431,19 @@ def dot_attributes(pop: DataFrame, meta: DataFrame) -> DataFrame:
     )
 
 
+def _ticker_chunk(df: DataFrame, prefix: int = 16) -> Column:
+    """Ranges in ticker order: of numbers, or of the first characters of a text."""
+    text = isinstance(df.schema["ticker"].dataType, StringType)
+    return F.substring("ticker", 1, prefix) if text else F.floor(F.col("ticker") / 10_000)
+
+
 def market_index(totals: DataFrame, grain: float, prefix: int = 16) -> DataFrame:
     """0-based index of the qualifying markets in ticker order, shared by all grains.
 
     The ordered pass is chunked by ranges of a numeric ticker, or by the first ``prefix`` characters of a text.
     """
     q = totals.where(F.col("dollars") >= grain).select("ticker")
-    text = isinstance(q.schema["ticker"].dataType, StringType)
-    chunk = F.substring("ticker", 1, prefix) if text else F.floor(F.col("ticker") / 10_000)
-    out = ordered.row_number(q, [], ["ticker"], "__rn", chunk=chunk)
+    out = ordered.row_number(q, [], ["ticker"], "__rn", chunk=_ticker_chunk(q, prefix))
     return out.select("ticker", (F.col("__rn") - 1).alias("market_idx"))
 
 
@@ -544,7 +548,8 @@ def arrival_rank(pop: DataFrame, bucket: str) -> DataFrame:
 def rank_intervals(pop: DataFrame) -> DataFrame:
     """Markets by rising dot count with the share interval each one covers."""
     per = cut(pop.groupBy("ticker").agg(_n().alias("c")))
-    chunk = ordered.value_chunk("c")
+    # Dot counts are few values, and most markets share one: each is cut by ticker.
+    chunk = F.struct(F.col("c").alias("v"), _ticker_chunk(per).alias("t"))
     total = per.agg(F.sum("c")).scalar()
     r = ordered.running_sum(per, [], ["c", "ticker"], F.col("c"), "upto", chunk)
     return r.select("ticker", F.col("c").alias("n_dots"), ((F.col("upto") - F.col("c")) / total).alias("lo_frac"), (F.col("upto") / total).alias("hi_frac"))
