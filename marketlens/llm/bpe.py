@@ -6,7 +6,7 @@ label uv: it may stand wherever u may stand so far, and leads where v leads so f
 the right edge of the label before it (the label, its right part, that one's right part, ...), each with the
 merge that ended its life as an edge, and a label's arcs are its left edge likewise: an arc is closed
 if some merge of a right edge with a left edge comes before both have been merged away. Exactly one path
-of open arcs spells a word; ``word`` finds it from left to right with a table from spelled symbols to labels.
+of open arcs spells a word, and one each of its prefixes; ``word`` follows the longest labels first and goes back from dead ends.
 Arcs that were looked up stay in a table. Words repeat, so each task keeps the ids of words seen, up to a bound.
 """
 
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NEVER = 1 << 60
-#: Words whose ids a task keeps, and arcs it keeps.
-KEPT = 100_000
+#: Words in each of the two generations that a task keeps, and arcs it keeps.
+KEPT, ARCS = 120_000, 300_000
 
 
 class Automaton:
@@ -39,14 +39,10 @@ class Automaton:
         self.width = max(vocab.values(), default=0) + 1
         left: dict[int, tuple] = {}
         right: dict[int, tuple] = {}
-        spelled: dict[int, int] = {}
-        self.symbols: dict[str, int] = {}
         joined = {a + b for a, b in merges}
         for t, i in vocab.items():
             if t not in joined:
                 left[i] = right[i] = ((i, NEVER),)
-                self.symbols[t] = i
-                spelled[i] = 1
         for n, (a, b) in enumerate(merges):
             u, v, w = vocab[a], vocab[b], vocab[a + b]
             if u not in left or v not in left or not self._open(right[u], left[v]):
@@ -56,11 +52,14 @@ class Automaton:
                 continue
             left[w] = ((w, NEVER), *((x, min(t, n)) for x, t in left[u]))
             right[w] = ((w, NEVER), *((x, min(t, n)) for x, t in right[v]))
-            spelled[w] = spelled[u] + spelled[v]
         self.left, self.right = left, right
-        self.by_text: dict[str, int] = {t: i for t, i in vocab.items() if i in left}
-        self.longest = max(map(len, self.by_text), default=1)
-        self.prefixes = {t[:k] for t in self.by_text for k in range(1, len(t) + 1)}
+        self.root: dict = {}  # from symbols to labels; a label is under the key None
+        for t, i in vocab.items():
+            if i in left:
+                node = self.root
+                for symbol in self.spell(t[: -len(suffix)] if suffix and t.endswith(suffix) else t, bool(suffix) and t.endswith(suffix)):
+                    node = node.setdefault(symbol, {})
+                node[None] = i
         self.arcs: dict[int, bool] = {}
 
     def open(self, a: int, b: int) -> bool:
@@ -69,7 +68,7 @@ class Automaton:
         got = self.arcs.get(key)
         if got is None:
             got = self._open(self.right[a], self.left[b])
-            if len(self.arcs) < KEPT:
+            if len(self.arcs) < ARCS:
                 self.arcs[key] = got
         return got
 
@@ -81,32 +80,47 @@ class Automaton:
                     return False
         return True
 
+    def spell(self, letters: str, ends: bool) -> list[str]:
+        """Base symbols: letters, the last one with the suffix at a word's end."""
+        return [*letters[:-1], letters[-1] + self.suffix] if ends and letters else list(letters)
+
     def word(self, word: str) -> list[int]:
-        """The ids of one pre-split word of base symbols: the one path of open arcs."""
-        n = len(word)
-        ends = word + self.suffix
-        last: list[int | None] = [None] * (n + 1)
-        back = [0] * (n + 1)
-        for i in range(n):
-            before = last[i]
-            if i and before is None:
+        """The ids of one pre-split word: the one path of open arcs."""
+        symbols = self.spell(word, True)
+        n, arcs, width, dead = len(symbols), self.arcs, self.width, set()
+        path: list[int] = []
+        at, left = [0], [self.labels_from(symbols, 0)]  # where each label of the path starts, and what is left to try there
+        while n:
+            if not left[-1]:  # no way on from here: the one path of this prefix is not part of the word's
+                dead.add(at.pop())
+                left.pop()
+                path.pop()
                 continue
-            for j in range(i + 1, n + 1):
-                piece = ends[i:] if j == n else word[i:j]
-                if j < n and piece not in self.prefixes:
-                    if self.suffix and n - i <= self.longest and last[n] is None:
-                        t = self.by_text.get(ends[i:])
-                        if t is not None and (i == 0 or self.open(before, t)):
-                            last[n], back[n] = t, i
-                    break
-                t = self.by_text.get(piece)
-                if t is not None and last[j] is None and (i == 0 or self.open(before, t)):
-                    last[j], back[j] = t, i
-        out, at = [], n
-        while at:
-            out.append(last[at])
-            at = back[at]
-        return out[::-1]
+            j, t = left[-1].pop()
+            if j in dead:
+                continue
+            if path:
+                ok = arcs.get(path[-1] * width + t)
+                if not (self.open(path[-1], t) if ok is None else ok):
+                    continue
+            path.append(t)
+            if j == n:
+                break
+            at.append(j)
+            left.append(self.labels_from(symbols, j))
+        return path
+
+    def labels_from(self, symbols: list[str], i: int) -> list[tuple[int, int]]:
+        """The labels spelled from position i on, with their ends; the longest last."""
+        node, out = self.root, []
+        for j in range(i, len(symbols)):
+            node = node.get(symbols[j])
+            if node is None:
+                break
+            t = node.get(None)
+            if t is not None:
+                out.append((j + 1, t))
+        return out
 
 
 def _byte_letters() -> list[str]:
@@ -133,37 +147,42 @@ class Codec:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
-        self.blank = regex.compile(r"\p{White_Space}+")
+        # The same pattern where a lower-case text is ASCII.
+        self.ascii_pieces = re.compile(pattern.replace(r"[^\s\p{L}\p{N}]", r"[^ \t-\ra-z0-9]").replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"))
         self.letters = _byte_letters()
-        self.memo: dict[str, np.ndarray] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def normal(self, text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:  # lower() would look at its neighbours
                 text = text.replace("Σ", "σ")
-        return self.blank.sub(" ", text).lower()
+        return text.lower()  # white space parts pieces whatever it is, so it need not be folded
 
-    def piece(self, piece: str) -> np.ndarray:
-        got = self.memo.get(piece)
+    def piece(self, piece: str) -> bytes:
+        """The ids of one word as 32-bit integers. What was asked for lately is kept in two generations."""
+        got = self.young.get(piece)
         if got is None:
-            letters = piece if piece.isascii() and piece.isprintable() else "".join(self.letters[b] for b in piece.encode("utf-8", "surrogatepass"))
-            got = np.array(self.automaton.word(letters), np.int32)
+            got = self.old.get(piece)
+            if got is None:
+                letters = piece if piece.isascii() and piece.isprintable() else "".join([self.letters[b] for b in piece.encode("utf-8", "surrogatepass")])
+                got = np.array(self.automaton.word(letters), np.int32).tobytes()
             if len(piece) <= 64:
-                if len(self.memo) >= KEPT:
-                    self.memo.clear()
-                self.memo[piece] = got
+                if len(self.young) >= KEPT:
+                    self.young, self.old = {}, self.young
+                self.young[piece] = got
         return got
 
     def encode(self, text: str | None) -> np.ndarray:
         out = []
         for k, part in enumerate(self.cut.split(text or "") if self.cut else [text or ""]):
             if k % 2:
-                out.append(np.array([self.special[part]], np.int32))
+                out.append(np.array([self.special[part]], np.int32).tobytes())
             elif part:
-                out += map(self.piece, self.pieces.findall(self.normal(part)))
-        return np.concatenate(out) if out else np.empty(0, np.int32)
-
+                pieces = self.ascii_pieces if part.isascii() else self.pieces
+                out += map(self.piece, pieces.findall(self.normal(part)))
+        return np.frombuffer(b"".join(out), np.int32)
 
 
 @lru_cache(maxsize=2)
