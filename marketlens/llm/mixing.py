@@ -2,9 +2,10 @@
 
 Each document has the key ``-ln(u) / weight``: u is a hash of its id, weight its quality, so that taking
 documents by ascending key draws them without replacement in proportion to quality. A source whose target
-is e whole sizes and a rest takes every document e times, then documents by key until the rest is full.
+is e whole sizes and a rest takes every document e times, then by key each document that still fits the rest.
 Within a source the order is cut into ranges of the key whose sums are added up first; only the range in
-which the rest runs out is put in order row by row, so no task holds a source.
+which the rest first runs out is put in order row by row, and after it only the few documents of each size that
+the gap has room for, so no task holds a source.
 """
 
 from __future__ import annotations
@@ -49,8 +50,10 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1
     """From (doc_id, source, size, weight): the same rows with source_size, target and copies.
 
     ``copies`` is how often the mix takes the document whole: the complete epochs of its source, and one
-    more if the fractional selection has it. Where the ordered sum passes the rest, the one document left
-    out whose size comes nearest to the gap is taken too, if that brings the source nearer to its target.
+    more if the fractional selection has it. That goes by key and takes each document that still fits what is
+    left of the rest, so a long one that doesn't fit is passed over and later ones are taken. When none fits,
+    the one document left out whose size comes nearest to the gap is taken too, if that brings the source nearer
+    to its target; where closing the walk some documents earlier comes nearer still, it ends there.
     Null or non-positive weights count as the least weight 1e-6, null sizes as 0; null sources are one
     source. Equal keys go by id, then size. Empty documents are taken with the epochs only. Reruns agree.
     ``sized`` is read several times: hand in a written table or a cheap plan.
@@ -77,24 +80,56 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1
     inside = F.col("before") + F.col("s") <= F.col("rest")
     edge = ~inside & (F.col("before") < F.col("rest"))
     in_range = W.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    cols = ["doc_id", "source", "size", "key", "source_size", "target", "epochs", "rest"]
+    cols = ["doc_id", "source", "size", "key", "range", "source_size", "target", "epochs", "rest"]
     edged = rows.where(edge).withColumn("upto", F.col("before") + F.sum("size").over(in_range)).select(*cols, (F.col("upto") <= F.col("rest")).alias("taken"))
-    chosen = rows.where(~edge).select(*cols, inside.alias("taken")).unionByName(edged)
-    # The gap that is left, and the one document that fits it best.
-    filled = chosen.groupBy("source").agg((F.first("rest") - F.coalesce(F.sum(F.when(F.col("taken"), F.col("size"))), F.lit(0))).alias("gap")).alias("g")
+    chosen = cut(rows.where(~edge).select(*cols, inside.alias("taken")).unionByName(edged))
     c = chosen.alias("c")
-    left = c.join(filled, same(F_("c"), F_("g"))).where(~F.col("taken") & (F.col("size") > 0)).select("c.*", "gap", F.abs(F.col("gap") - F.col("size")).alias("off"))
-    best = (
-        left.where(F.col("off") < F.col("gap"))
-        .groupBy("source")
-        .agg(F.min(F.struct("off", "key", "doc_id", "size")).alias("b"))
-        .select("source", F.col("b.key").alias("b_key"), F.col("b.doc_id").alias("b_id"), F.col("b.size").alias("b_size"))
-        .alias("b")
-    )
-    is_best = F.coalesce((F.col("key") == F.col("b_key")) & F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("size") == F.col("b_size")), F.lit(False))
-    return c.join(best, same(F_("c"), F_("b")), "left").select(
-        "c.doc_id", "c.source", "c.size", "source_size", "target", (F.col("epochs") + ((F.col("taken") & (F.col("size") > 0)) | is_best).cast("long")).alias("copies")
-    )
+    gaps = chosen.groupBy("source").agg((F.first("rest") - F.coalesce(F.sum(F.when(F.col("taken"), F.col("size"))), F.lit(0))).alias("gap")).alias("g")
+    left = c.join(gaps, same(F_("c"), F_("g"))).where(~F.col("taken") & (F.col("size") > 0)).select("c.*", "gap")
+    k = cut(fill(left)).alias("k")
+    same_row = same(F_("c"), F_("k")) & (F.col("c.key") == F.col("k.key")) & F.col("c.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("c.size") == F.col("k.size")) & ~F.col("c.taken")
+    # Of rows that are equal throughout, as many as were picked.
+    nth = F.row_number().over(W.partitionBy("source", "key", "doc_id", "size").orderBy("key"))
+    hit = c.join(k, same_row).select("c.*", "times").withColumn("picked", nth <= F.col("times")).drop("times")
+    every = c.join(k, same_row, "left_anti").withColumn("picked", F.lit(False)).unionByName(hit)
+    more_once = (F.col("taken") & (F.col("size") > 0)) | F.col("picked")
+    return every.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") + more_once.cast("long")).alias("copies"))
+
+
+def fill(left: DataFrame) -> DataFrame:
+    """From (source, key, doc_id, size, range, gap): what a walk by key takes if it takes each row that still fits, and
+    the row that closes it: (source, key, doc_id, size, times).
+
+    Only rows that could be taken are walked, counted per source, size and range: of one size at most gap / size fit,
+    one more may close, and these are the first by key. So a walk sees about gap * ln(gap) rows and what else is in
+    the last range of each size; the gap is less than one document, whatever the number of documents.
+    """
+    fits = left.where(F.col("size") < 2 * F.col("gap"))
+    running = W.partitionBy("source", "size").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    counts = fits.groupBy("source", "size", "range").agg(F.count(F.lit(1)).alias("n"), F.first("gap").alias("gap"))
+    near = counts.withColumn("n_before", F.coalesce(F.sum("n").over(running), F.lit(0))).where(F.col("n_before") * F.col("size") <= F.col("gap"))
+    f, n = fits.alias("f"), near.alias("n")
+    walk = f.join(n, F.col("f.source").eqNullSafe(F.col("n.source")) & (F.col("f.size") == F.col("n.size")) & (F.col("f.range") == F.col("n.range")), "left_semi")
+    walks = walk.groupBy("source").agg(F.first("gap").alias("gap"), F.sort_array(F.collect_list(F.struct("key", "doc_id", "size"))).alias("rows"))
+    walks = walks.withColumn("at", F.transform("rows", lambda x, i: F.struct(x["size"].alias("size"), i.alias("i"))))
+    start = F.struct(F.array("gap").alias("gaps"), F.array().cast("array<int>").alias("took"))
+    open_ = lambda a: F.element_at(a["gaps"], -1)
+    step = lambda a, x: F.when(
+        x["size"] <= open_(a), F.struct(F.concat(a["gaps"], F.array(open_(a) - x["size"])).alias("gaps"), F.concat(a["took"], F.array(x["i"])).alias("took"))
+    ).otherwise(a)
+    walked = walks.withColumn("a", F.aggregate("at", start, step)).select("source", "rows", "at", "a.gaps", "a.took")
+
+    def closed(gap, j):
+        """The walk's first j rows and the nearest other one: how far off, the longer walk first, and that row."""
+        off = lambda x: F.abs(gap - x["size"])
+        open_rows = F.filter("at", lambda x: (off(x) < gap) & ~F.array_contains(F.slice("took", F.lit(1), j), x["i"]))
+        last = F.array_min(F.transform(open_rows, lambda x: F.struct(off(x).alias("off"), x["i"].alias("i"))))
+        return F.struct(F.coalesce(last["off"], gap).alias("off"), (-j).alias("less"), last["i"].alias("i"))
+
+    best = walked.withColumn("best", F.array_min(F.transform("gaps", closed)))
+    picked = F.concat(F.slice("took", F.lit(1), -F.col("best.less")), F.filter(F.array("best.i"), lambda i: i.isNotNull()))
+    rows = best.select("source", F.explode(F.transform(picked, lambda i: F.col("rows")[i])).alias("x")).select("source", "x.*")
+    return rows.groupBy("source", "key", "doc_id", "size").agg(F.count(F.lit(1)).alias("times"))
 
 
 class F_:  # noqa: N801 - columns of an aliased side

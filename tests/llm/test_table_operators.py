@@ -160,3 +160,42 @@ def test_quality_shrinks_sites_and_holds_out(spark):
     empty = quality.classify(df, known.limit(0), F.col("host"), F.col("path"))
     assert empty.where("score BETWEEN 0.49 AND 0.51").count() == len(docs)
     assert quality.classify(df.limit(0), known, F.col("host"), F.col("path")).count() == 0
+
+
+def walked_mix(docs, target, size):
+    """Copies by a plain walk over one source's documents, given by key: each that fits, then the nearest one."""
+    epochs = int(target // size)
+    gaps, took = [target - epochs * size], []
+    for k, (_, n) in enumerate(docs):
+        if 0 < n <= gaps[-1]:
+            took.append(k)
+            gaps.append(gaps[-1] - n)
+    ends = []
+    for j, gap in enumerate(gaps):
+        off, k = min(((abs(gap - n), k) for k, (_, n) in enumerate(docs) if k not in took[:j] and 0 < n < 2 * gap), default=(gap, None))
+        ends.append((off, -j, took[:j] + [k] * (k is not None)))
+    taken = set(min(ends, key=lambda e: e[:2])[2])
+    return [epochs + (k in taken) for k in range(len(docs))]
+
+
+def test_mix_passes_long_documents(spark):
+    import hashlib
+    import math
+
+    u = lambda i: (int(hashlib.md5(str(i).encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+    r = random.Random(5)
+    docs = []
+    for s in range(6):
+        ids = sorted(range(s * 1000, s * 1000 + 300), key=lambda i: -math.log(u(i)))
+        # The first document by key is longer than the rest of the target, later ones are short, few or of one size.
+        docs += [(i, f"s{s}", [9000 + s, r.choice([1, 40, r.randrange(1, 900)])][k > 0] if s < 5 else 7) for k, i in enumerate(ids)]
+    df = spark.createDataFrame([(*d, 1.0) for d in docs], "doc_id long, source string, size long, weight double")
+    out = mixing.mix(df, share=0.3).collect()
+    got, target = {x["doc_id"]: x["copies"] for x in out}, {x["source"]: x["target"] for x in out}
+    for s in target:
+        mine = [(i, n) for i, src, n in docs if src == s]
+        assert [got[i] for i, _ in mine] == walked_mix(mine, target[s], sum(n for _, n in mine)), s
+        assert abs(sum(got[i] * n for i, n in mine) - target[s]) <= 7, s
+    # Of equal rows no more than fit are taken.
+    same = mixing.mix(spark.createDataFrame([(1, "a", 90, 1.0)] + [(2, "a", 10, 1.0)] * 4, df.schema), share=0.25).collect()
+    assert sum(x["copies"] * x["size"] for x in same) in (30, 40)
