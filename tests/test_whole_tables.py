@@ -30,3 +30,8 @@ def test_every_error_row_is_a_window(spark, con, name):
     if name == "t21_period_bands":
         n = con.execute("SELECT count(*) FROM events WHERE event_type = 'error'").fetchone()[0]
         assert QS[name](spark, SF).select("event").distinct().count() == n
+
+
+def test_merge_new_takes_three_batches(spark, con):
+    assert check(spark, con, "s12_merge_new", " WHERE trade_id % 3 <= 1") is None
+    assert QS["s12_merge_new"](spark, SF).count() == con.execute("SELECT count(*) FROM events").fetchone()[0]
