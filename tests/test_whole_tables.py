@@ -35,3 +35,8 @@ def test_every_error_row_is_a_window(spark, con, name):
 def test_merge_new_takes_three_batches(spark, con):
     assert check(spark, con, "s12_merge_new", " WHERE trade_id % 3 <= 1") is None
     assert QS["s12_merge_new"](spark, SF).count() == con.execute("SELECT count(*) FROM events").fetchone()[0]
+
+
+def test_every_order_can_be_a_partner(spark, con):
+    assert check(spark, con, "e03_either_order_pairs", " WHERE l_orderkey % 40 = 0") is None
+    assert QS["e03_either_order_pairs"](spark, SF).where("NOT venue_id_found").count() == 0
