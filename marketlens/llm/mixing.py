@@ -47,7 +47,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
 
 
 def mix(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """From (doc_id, source, size, weight): the same rows with source_size, target and copies.
+    """From (doc_id, source, size, weight): the same rows with the weight used, source_size, target and copies.
 
     ``copies`` is how often the mix takes the document whole: the complete epochs of its source, and one
     more if the fractional selection has it. That goes by key and takes each document that still fits what is
@@ -80,7 +80,7 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1
     inside = F.col("before") + F.col("s") <= F.col("rest")
     edge = ~inside & (F.col("before") < F.col("rest"))
     in_range = W.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    cols = ["doc_id", "source", "size", "key", "range", "source_size", "target", "epochs", "rest"]
+    cols = ["doc_id", "source", "size", "weight", "key", "range", "source_size", "target", "epochs", "rest"]
     edged = rows.where(edge).withColumn("upto", F.col("before") + F.sum("size").over(in_range)).select(*cols, (F.col("upto") <= F.col("rest")).alias("taken"))
     chosen = cut(rows.where(~edge).select(*cols, inside.alias("taken")).unionByName(edged))
     c = chosen.alias("c")
@@ -93,7 +93,7 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1
     hit = c.join(k, same_row).select("c.*", "times").withColumn("picked", nth <= F.col("times")).drop("times")
     every = c.join(k, same_row, "left_anti").withColumn("picked", F.lit(False)).unionByName(hit)
     more_once = (F.col("taken") & (F.col("size") > 0)) | F.col("picked")
-    return every.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") + more_once.cast("long")).alias("copies"))
+    return every.select("doc_id", "source", "size", "weight", "source_size", "target", (F.col("epochs") + more_once.cast("long")).alias("copies"))
 
 
 def fill(left: DataFrame) -> DataFrame:

@@ -199,3 +199,27 @@ def test_mix_passes_long_documents(spark):
     # Of equal rows no more than fit are taken.
     same = mixing.mix(spark.createDataFrame([(1, "a", 90, 1.0)] + [(2, "a", 10, 1.0)] * 4, df.schema), share=0.25).collect()
     assert sum(x["copies"] * x["size"] for x in same) in (30, 40)
+
+
+def test_pipeline_mix_gives_each_row_its_own_copies(spark):
+    from collections import Counter
+
+    import corpus_pipeline
+    from marketlens.llm.queries_tables import sized
+
+    r = random.Random(7)
+    docs = [(None if k % 3 == 0 else k % 40, f"#{k} " + "w " * r.randrange(1, 30), "en", f"s{k % 4}", k) for k in range(240)]
+    docs += [(None, None, "en", "s0", None), (None, "", "en", None, 900), (3, "a b", None, None, 901), (3, "a b", None, None, 901)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").select(*corpus_pipeline.COLUMNS)
+    got = corpus_pipeline.mix_sources(spark, df, "").collect()
+    want = Counter()
+    for x in mixing.mix(sized(df)).collect():
+        want[x["doc_id"], x["source"], x["size"]] += x["copies"]
+    size = lambda t: len((t or "").split())
+    assert Counter((x["doc_id"], x["source"], size(x["text"])) for x in got) == +want
+    # A row is taken as often as the others of its source, or once more.
+    times, epochs = Counter(x["n_chars"] for x in got), {}
+    for x in mixing.mix(sized(df)).collect():
+        epochs.setdefault(x["source"], []).append(x["copies"])
+    for _, _, _, s, k in docs[:240]:
+        assert min(epochs[s]) <= times[k] <= max(epochs[s])
