@@ -99,14 +99,15 @@ def value_at(
     return asof(points, src, on, ts, src_ts, {value: out}, tie)
 
 
-def segments(intervals: DataFrame, event: str, start: str, end: str) -> DataFrame:
-    """Cut windows so that each instant belongs to the window that started last.
+def segments(intervals: DataFrame, event: str, start: str, end: str, on: Sequence[str] = ()) -> DataFrame:
+    """Cut windows so that each instant (of a key) belongs to the window that started last.
 
     A point's window is the latest start at or before it; the point then has to lie inside that
     window's end. A window therefore owns ``[start, min(end, next start - 1)]``.
     """
-    nxt = ordered.following(intervals, [], [start, event], F.col(start), "__next", chunk=ordered.time_chunk(start, DAY))
+    nxt = ordered.following(intervals, on, [start, event], F.col(start), "__next", chunk=ordered.time_chunk(start, DAY))
     return nxt.select(
+        *on,
         F.col(event),
         F.col(start).alias("seg_start"),
         F.least(F.col(end), F.coalesce(F.col("__next") - 1, F.col(end))).alias("seg_end"),
@@ -151,17 +152,19 @@ def asof_interval(
     start: str = "win_start",
     end: str = "win_end",
     mode: str = "latest",
+    on: Sequence[str] = (),
 ) -> DataFrame:
-    """Point-in-window attribution without a key.
+    """Point-in-window attribution, without a key or inside the keys ``on``.
 
-    ``latest`` keeps one row per point, with the window that started last or null; ``all`` fans
-    out to every window that covers the point and keeps uncovered points with null.
+    ``latest`` keeps one row per point, with the window that started last or null (of two that start together, the
+    one with the larger id); ``all`` fans out to every window that covers the point and keeps uncovered points with
+    null. Sums over windows need no fan-out: see ``volume.window_sums``.
     """
     if mode == "all":
-        ranges = intervals.select(event, F.col(start).alias("seg_start"), F.col(end).alias("seg_end"))
+        ranges = intervals.select(*on, event, F.col(start).alias("seg_start"), F.col(end).alias("seg_end"))
     else:
-        ranges = segments(intervals, event, start, end)
-    return bucket_range_join(points, ranges, ts, "seg_start", "seg_end", how="left").drop(
+        ranges = segments(intervals, event, start, end, on)
+    return bucket_range_join(points, ranges, ts, "seg_start", "seg_end", on, how="left").drop(
         "seg_start", "seg_end"
     )
 
@@ -407,13 +410,18 @@ def stage_windows(stages: DataFrame, keys: Sequence[str], end: str, first_start:
     return stages.withColumn("stage_start", F.lag(end, 1, first_start).over(w))
 
 
-def neighbour_days(days: DataFrame, rest: DataFrame, day: str = "day") -> DataFrame:
-    """Nearest earlier and later match day of each rest day; days as epoch-day numbers."""
-    marks = rest.withColumn("__k", F.lit(0))
-    src = days.select(F.col(day).alias("__d"), F.lit(0).alias("__k"))
-    both = asof(marks, src, ["__k"], day, "__d", {"__d": "prev_day"}, chunk_s=366)
-    both = asof(both, src, ["__k"], day, "__d", {"__d": "next_day"}, forward=True, chunk_s=366)
-    return both.drop("__k")
+def rest_days(days: DataFrame, keys: Sequence[str] = (), day: str = "day") -> DataFrame:
+    """The days between a key's first and last match day that are none themselves."""
+    span = days.groupBy(*keys).agg(F.min(day).alias("__a"), F.max(day).alias("__b")).where("__a is not null")
+    every = span.select(*keys, F.explode(F.sequence("__a", "__b")).alias(day))
+    return every.join(days.select(*keys, day), [*keys, day], "left_anti")
+
+
+def neighbour_days(days: DataFrame, rest: DataFrame, keys: Sequence[str] = (), day: str = "day") -> DataFrame:
+    """Nearest earlier and later match day of each rest day of a key; days as epoch-day numbers."""
+    src = days.select(*keys, F.col(day).alias("__d"))
+    both = asof(rest, src, keys, day, "__d", {"__d": "prev_day"}, chunk_s=366)
+    return asof(both, src, keys, day, "__d", {"__d": "next_day"}, forward=True, chunk_s=366)
 
 
 def period_bands(df: DataFrame, start: str, restart: str, half_s: int = 2700, stoppage_s: int = 300, extra_s: int = 900) -> DataFrame:

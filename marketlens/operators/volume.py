@@ -87,16 +87,54 @@ def never_traded(catalog: DataFrame, traded: DataFrame, key: str) -> DataFrame:
     )
 
 
-def window_split(t: DataFrame, windows: DataFrame) -> DataFrame:
-    """Inside or outside any match window."""
-    owned = T.asof_interval(t, windows, "created_ts")
-    return owned.groupBy(F.col("event").isNotNull().alias("in_window")).agg(dollars_of().alias("contracts"), _n().alias("n_trades"))
+def window_sums(t: DataFrame, ranges: DataFrame, on: Sequence[str] = (), start: str = "win_start", end: str = "win_end", ts: str = "created_ts") -> DataFrame:
+    """Contracts and trades with ``start <= ts <= end`` for each range of its key, whatever the ranges share.
+
+    A range's volume is the running sum of its key at the end less that just before the start. Both are as-of
+    lookups on one row per key and second, so a range costs two lookups however many trades it covers or ranges
+    overlap it; no pair of a trade and a range is built. Dollars are summed as integers of a ten-thousandth. A range
+    without trades has 0 and 0. Ranges with null bounds keep null sums; ranges that are equal throughout are one.
+    """
+    unit = F.round(F.col("count_contracts") * 10000).cast("long")
+    seconds = t.groupBy(*on, F.col(ts).alias("__s")).agg(F.sum(unit).alias("__m"), _n().alias("__n"))
+    run = ordered.running_sum(seconds, on, ["__s"], F.col("__m"), "__cm", chunk=ordered.time_chunk("__s", DAY))
+    run = ordered.running_sum(run, on, ["__s"], F.col("__n"), "__cn", chunk=ordered.time_chunk("__s", DAY))
+    ends = F.array(F.struct(F.lit(-1).alias("sign"), (F.col(start) - 1).alias("at")), F.struct(F.lit(1).alias("sign"), F.col(end).alias("at")))
+    marks = ranges.select(F.struct(*ranges.columns).alias("__range"), *on, F.explode(ends).alias("__e")).select("__range", *on, F.col("__e.sign").alias("__sign"), F.col("__e.at").alias("__at"))
+    hit = T.asof(marks, run, on, "__at", "__s", {"__cm": "__cm", "__cn": "__cn"})
+    known = F.col("__at").isNotNull()
+    part = lambda c: F.when(known, F.col("__sign") * F.coalesce(F.col(c), F.lit(0)))
+    copies = F.count(F.lit(1)) / 2
+    both = hit.groupBy("__range").agg((F.sum(part("__cm")) / copies / 10000).alias("contracts"), (F.sum(part("__cn")) / copies).cast("long").alias("n_trades"))
+    return both.select("__range.*", "contracts", "n_trades")
+
+
+def window_split(t: DataFrame, windows: DataFrame, on: Sequence[str] = ()) -> DataFrame:
+    """Inside or outside any match window (V07): the sums of the windows' islands, and the rest of the tape.
+
+    A side without trades has no row.
+    """
+    inside = window_sums(t, T.merge_intervals(windows, on), on, "island_start", "island_end")
+    inside = inside.agg(F.sum(F.round(F.col("contracts") * 10000).cast("long")).alias("m"), F.sum("n_trades").alias("n")).na.fill(0)
+    side = lambda flag, m, n: F.struct(F.lit(flag).alias("in_window"), m.alias("m"), n.alias("n"))
+    moved = inside.select(F.explode(F.array(side(True, F.col("m"), F.col("n")), side(False, -F.col("m"), -F.col("n")))).alias("r")).select("r.*")
+    every = t.agg(F.sum(F.round(F.col("count_contracts") * 10000).cast("long")).alias("m"), _n().alias("n")).select(F.lit(False).alias("in_window"), "m", "n")
+    both = moved.unionByName(every).groupBy("in_window").agg(F.sum("m").alias("m"), F.sum("n").alias("n_trades"))
+    return both.where("n_trades > 0").select("in_window", (F.col("m") / 10000).alias("contracts"), "n_trades")
 
 
-def window_volume(t: DataFrame, windows: DataFrame) -> DataFrame:
-    """Volume per match window; an overlap belongs to the later start."""
-    owned = T.asof_interval(t, windows, "created_ts").where("event is not null")
-    return owned.groupBy("event").agg(dollars_of().alias("contracts"), _n().alias("n_trades"))
+def window_volume(t: DataFrame, windows: DataFrame, on: Sequence[str] = (), mode: str = "latest") -> DataFrame:
+    """Volume per match window.
+
+    ``latest``: an overlap belongs to the later start. ``all``: each window has all it covers, overlaps in each of
+    them. Both sum by ``window_sums``, the first over the disjoint parts that the windows own. Windows without a trade
+    have no row.
+    """
+    if mode == "all":
+        sums = window_sums(t, windows.select(*on, "event", "win_start", "win_end"), on)
+    else:
+        sums = window_sums(t, T.segments(windows, "event", "win_start", "win_end", on), on, "seg_start", "seg_end")
+    return sums.where("n_trades > 0").select("event", "contracts", "n_trades")
 
 
 # ------------------------------------------------------------------ cumulative series
@@ -321,23 +359,21 @@ def waking_residual(hours: DataFrame) -> DataFrame:
     return hours.agg((F.sum(F.when(F.col("waking"), F.col("money"))) / F.sum(F.when(F.col("waking"), F.col("credit")))).alias("waking_residual"))
 
 
-def tilt(t: DataFrame, windows: DataFrame, span_s: int) -> DataFrame:
-    """Window money share over clock coverage."""
-    split = window_split(t, windows).agg(F.sum(F.when(F.col("in_window"), F.col("contracts"))).alias("w"), F.sum("contracts").alias("t"))
-    cover = T.merge_intervals(windows).agg(F.sum("covered_s")).scalar() / span_s
+def tilt(t: DataFrame, windows: DataFrame, spans: DataFrame, on: Sequence[str] = ()) -> DataFrame:
+    """Window money share over clock coverage (V23); ``spans`` (lo, hi) are the times that the windows could cover."""
+    split = window_split(t, windows, on).agg(F.sum(F.when(F.col("in_window"), F.col("contracts"))).alias("w"), F.sum("contracts").alias("t"))
+    cover = T.merge_intervals(windows, on).agg(F.sum("covered_s")).scalar() / spans.agg(F.sum(F.col("hi") - F.col("lo"))).scalar()
     return split.select((F.col("w") / F.col("t")).alias("money_share"), cover.alias("coverage")).withColumn("tilt", F.col("money_share") / F.col("coverage"))
 
 
-def rest_ratios(day_frame: DataFrame, match_days: DataFrame) -> DataFrame:
-    """Mean of the nearest match days over each rest day's volume."""
-    span = match_days.agg(F.min("day").alias("a"), F.max("day").alias("b"))
-    rest = span.select(F.explode(F.sequence("a", "b")).alias("day")).join(match_days, "day", "left_anti")
-    near = T.neighbour_days(match_days, rest)
-    vol = day_frame.select("day", "contracts")
-    look = lambda c: vol.select(F.col("day").alias(c), F.col("contracts").alias(f"v_{c}"))
-    j = near.join(look("prev_day"), "prev_day", "left").join(look("next_day"), "next_day", "left").join(vol, "day", "left")
+def rest_ratios(day_frame: DataFrame, match_days: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Mean of the nearest match days over each rest day's volume, per key."""
+    near = T.neighbour_days(match_days, T.rest_days(match_days, keys), keys)
+    vol = day_frame.select(*keys, "day", "contracts")
+    look = lambda c: vol.select(*keys, F.col("day").alias(c), F.col("contracts").alias(f"v_{c}"))
+    j = near.join(look("prev_day"), [*keys, "prev_day"], "left").join(look("next_day"), [*keys, "next_day"], "left").join(vol, [*keys, "day"], "left")
     sides = (F.coalesce("v_prev_day", F.lit(0.0)) + F.coalesce("v_next_day", F.lit(0.0))) / 2
-    return j.where("contracts > 0").select("day", (sides / F.col("contracts")).alias("ratio"))
+    return j.where("contracts > 0").select(*keys, "day", (sides / F.col("contracts")).alias("ratio"))
 
 
 def rate_curve(t: DataFrame, width_s: int) -> DataFrame:

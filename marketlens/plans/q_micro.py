@@ -562,9 +562,9 @@ def _(s, d):
 @query(
     "m29_annotation_times",
     v.sql(v.TAPE, v.MARKETS, v.WINDOWS)
-    + """, s AS (SELECT event AS shock_id, win_start AS shock_ts, event % 15 AS ticker FROM windows), l AS (SELECT ticker, max(created_ts) AS last_ts FROM tape GROUP BY 1)
+    + """, s AS (SELECT event AS shock_id, win_start AS shock_ts, ticker FROM windows), l AS (SELECT ticker, max(created_ts) AS last_ts FROM tape GROUP BY 1)
 SELECT shock_id, ticker, last_ts, round(greatest(0, (last_ts - shock_ts) / 3600), 7) AS hours_after FROM s JOIN l USING (ticker)""",
 )
 def _(s, d):
-    sh = v.windows(s, d).select(F.col("event").alias("shock_id"), F.col("win_start").alias("shock_ts"), (F.col("event") % 15).alias("ticker"))
+    sh = v.windows(s, d).select(F.col("event").alias("shock_id"), F.col("win_start").alias("shock_ts"), "ticker")
     return shape(M.annotation_times(sh, v.tape(s, d)), {"shock_id": "long", "ticker": None, "last_ts": "long", "hours_after": 7})

@@ -191,7 +191,7 @@ def _batch(s, d, i, again=None):
     return own.unionByName(resent)
 
 
-@query("s12_merge_new", v.sql(v.TAPE) + "SELECT trade_id, count_contracts, trade_id % 3 AS batch FROM tape WHERE trade_id % 3 <= 1".replace("trade_id % 3 AS batch", "(trade_id % 3)::INT AS batch"))
+@query("s12_merge_new", v.sql(v.TAPE) + "SELECT trade_id, count_contracts, trade_id % 3 AS batch FROM tape".replace("trade_id % 3 AS batch", "(trade_id % 3)::INT AS batch"))
 def _(s, d):
     one = N.merge_new(_batch(s, d, 0), _batch(s, d, 1), ["trade_id"])
     return N.merge_new(one, _batch(s, d, 2), ["trade_id"]).select("trade_id", "count_contracts", "batch")

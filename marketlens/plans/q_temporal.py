@@ -105,25 +105,21 @@ def _(s, d):
     return j.withColumn("stale_s", F.col("target_ts") - F.col("src_ts")).drop("src_ts")
 
 
-_OWNER = """, owner AS (SELECT t.trade_id, t.count_contracts, t.created_ts, w.event, w.win_end
-  FROM tape t ASOF LEFT JOIN windows w ON t.created_ts >= w.win_start)"""
-
-
 @query(
     "j08_asof_interval",
-    v.sql(v.TAPE, v.WINDOWS) + _OWNER + " SELECT trade_id, CASE WHEN created_ts <= win_end THEN event END AS event FROM owner",
+    v.sql(v.TAPE, v.WINDOWS, v.OWNER) + "SELECT trade_id, event FROM owner",
 )
 def _(s, d):
-    return T.asof_interval(v.tape(s, d), v.windows(s, d), "created_ts").select("trade_id", "event")
+    return T.asof_interval(v.tape(s, d), v.windows(s, d), "created_ts", on=["ticker"]).select("trade_id", "event")
 
 
 @query(
     "j08_asof_interval_fan_out",
     v.sql(v.TAPE, v.WINDOWS)
-    + """SELECT trade_id, event FROM tape LEFT JOIN windows ON created_ts BETWEEN win_start AND win_end""",
+    + """SELECT trade_id, event FROM tape LEFT JOIN windows ON tape.ticker = windows.ticker AND created_ts BETWEEN win_start AND win_end""",
 )
 def _(s, d):
-    return T.asof_interval(v.tape(s, d), v.windows(s, d), "created_ts", mode="all").select("trade_id", "event")
+    return T.asof_interval(v.tape(s, d), v.windows(s, d), "created_ts", mode="all", on=["ticker"]).select("trade_id", "event")
 
 
 @query(
@@ -346,19 +342,12 @@ def _(s, d):
     return T.biggest_jump(v.tape(s, d), ["ticker"], "created_ts", "trade_id", "yes_price_usd", 3600)
 
 
-_ISLANDS = """, o AS (SELECT *, max(win_end) OVER (ORDER BY win_start, win_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM windows),
-i AS (SELECT *, sum(CASE WHEN seen IS NULL OR win_start > seen THEN 1 ELSE 0 END) OVER (ORDER BY win_start, win_end ROWS UNBOUNDED PRECEDING) AS island FROM o)"""
-
-
 @query(
     "t11_merge_intervals",
-    v.sql(v.WINDOWS)
-    + _ISLANDS[0:]
-    + """ SELECT CAST(island AS BIGINT) AS island, min(win_start) AS island_start, max(win_end) AS island_end, count(*) AS n_merged,
-  max(win_end) - min(win_start) AS covered_s FROM i GROUP BY island""",
+    v.sql(v.WINDOWS, v.ISLANDS) + "SELECT * FROM islands",
 )
 def _(s, d):
-    return T.merge_intervals(v.windows(s, d))
+    return T.merge_intervals(v.windows(s, d), ["ticker"])
 
 
 @query(
@@ -473,16 +462,14 @@ def _(s, d):
 @query(
     "t20_neighbour_days",
     v.sql(v.WINDOWS)
-    + """, m AS (SELECT DISTINCT win_start // 86400 AS day FROM windows),
-c AS (SELECT unnest(generate_series(min(day), max(day))) AS day FROM m)
-SELECT day, (SELECT max(m.day) FROM m WHERE m.day <= c.day) AS prev_day, (SELECT min(m.day) FROM m WHERE m.day >= c.day) AS next_day
-FROM c WHERE day NOT IN (SELECT day FROM m)""",
+    + """, m AS (SELECT DISTINCT ticker, win_start // 86400 AS day FROM windows),
+c AS (SELECT ticker, unnest(generate_series(min(day), max(day))) AS day FROM m GROUP BY ticker),
+r AS (SELECT c.* FROM c ANTI JOIN m ON c.ticker = m.ticker AND c.day = m.day)
+SELECT r.ticker, r.day, p.day AS prev_day, n.day AS next_day FROM r ASOF JOIN m p ON r.ticker = p.ticker AND r.day >= p.day ASOF JOIN m n ON r.ticker = n.ticker AND r.day <= n.day""",
 )
 def _(s, d):
-    days = v.windows(s, d).select(F.floor(F.col("win_start") / DAY).alias("day")).distinct()
-    span = days.agg(F.min("day").alias("a"), F.max("day").alias("b"))
-    rest = span.select(F.explode(F.sequence("a", "b")).alias("day")).join(days, "day", "left_anti")
-    return T.neighbour_days(days, rest)
+    days = v.windows(s, d).select("ticker", F.floor(F.col("win_start") / DAY).alias("day")).distinct()
+    return T.neighbour_days(days, T.rest_days(days, ["ticker"]), ["ticker"])
 
 
 @query(

@@ -105,23 +105,29 @@ def _(s, d):
     return V.never_traded(v.catalog(s, d), v.traded_parts(s, d), "p_partkey")
 
 
-OWNER = """owner AS (SELECT t.*, CASE WHEN t.created_ts <= w.win_end THEN w.event END AS event FROM tape t ASOF LEFT JOIN windows w ON t.created_ts >= w.win_start)"""
-
-
 @query(
     "v07_window_split",
-    v.sql(v.TAPE, v.WINDOWS, OWNER) + f"SELECT event IS NOT NULL AS in_window, {CENTS} AS contracts, count(*) AS n_trades FROM owner GROUP BY 1",
+    v.sql(v.TAPE, v.WINDOWS, v.OWNER) + f"SELECT event IS NOT NULL AS in_window, {CENTS} AS contracts, count(*) AS n_trades FROM owner GROUP BY 1",
 )
 def _(s, d):
-    return V.window_split(v.tape(s, d), v.windows(s, d))
+    return V.window_split(v.tape(s, d), v.windows(s, d), ["ticker"])
 
 
 @query(
     "v08_window_volume",
-    v.sql(v.TAPE, v.WINDOWS, OWNER) + f"SELECT event, {CENTS} AS contracts, count(*) AS n_trades FROM owner WHERE event IS NOT NULL GROUP BY 1",
+    v.sql(v.TAPE, v.WINDOWS, v.OWNER) + f"SELECT event, {CENTS} AS contracts, count(*) AS n_trades FROM owner WHERE event IS NOT NULL GROUP BY 1",
+)
+def _(s, d):
+    return V.window_volume(v.tape(s, d), v.windows(s, d), ["ticker"])
+
+
+@query(
+    "v08_window_volume_overlapping",
+    v.sql(v.TAPE, v.WINDOWS)
+    + f"""SELECT event, {CENTS} AS contracts, count(*) AS n_trades FROM tape JOIN windows ON tape.ticker = windows.ticker AND created_ts BETWEEN win_start AND win_end GROUP BY event""",
 )
 def _(s, d):
-    return V.window_volume(v.tape(s, d), v.windows(s, d))
+    return V.window_volume(v.tape(s, d), v.windows(s, d), ["ticker"], mode="all")
 
 
 ORDER_DAYS = "od AS (SELECT (epoch(day) // 86400)::BIGINT AS day, family, sum(CAST(round(dollars * 100) AS BIGINT)) / 100e0 AS contracts FROM order_book GROUP BY 1, 2)"
@@ -322,36 +328,45 @@ def _(s, d):
 
 @query(
     "v23_tilt",
-    v.sql(v.TAPE, v.WINDOWS, OWNER)
-    + f""", o AS (SELECT *, max(win_end) OVER (ORDER BY win_start, win_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM windows),
-i AS (SELECT *, sum(CASE WHEN seen IS NULL OR win_start > seen THEN 1 ELSE 0 END) OVER (ORDER BY win_start, win_end ROWS UNBOUNDED PRECEDING) AS island FROM o),
-c AS (SELECT sum(e) / (30 * 86400) AS coverage FROM (SELECT max(win_end) - min(win_start) AS e FROM i GROUP BY island)),
+    v.sql(v.TAPE, v.WINDOWS, v.OWNER)
+    + f""", {v.ISLANDS}, sp AS (SELECT max(created_ts) + {v.WINDOW_S} - min(created_ts) AS life FROM tape GROUP BY ticker),
+c AS (SELECT (SELECT sum(covered_s) FROM islands) / (SELECT sum(life) FROM sp) AS coverage),
 m AS (SELECT (SELECT {CENTS} FROM owner WHERE event IS NOT NULL) / (SELECT {CENTS} FROM tape) AS money_share)
 SELECT round(money_share, 9) AS money_share, round(coverage, 9) AS coverage, round(money_share / coverage, 9) AS tilt FROM m, c""",
 )
 def _(s, d):
-    return shape(V.tilt(v.tape(s, d), v.windows(s, d), 30 * DAY), {"money_share": 9, "coverage": 9, "tilt": 9})
+    spans = v.markets(s, d).select(F.col("open_ts").alias("lo"), (F.col("last_ts") + v.WINDOW_S).alias("hi"))
+    return shape(V.tilt(v.tape(s, d), v.windows(s, d), spans, ["ticker"]), {"money_share": 9, "coverage": 9, "tilt": 9})
 
 
-_REST = """, md AS (SELECT DISTINCT win_start // 86400 AS day FROM windows), g AS (SELECT unnest(generate_series(min(day), max(day))) AS day FROM md),
-r AS (SELECT day, (SELECT max(m.day) FROM md m WHERE m.day <= g.day) AS p, (SELECT min(m.day) FROM md m WHERE m.day >= g.day) AS n FROM g WHERE day NOT IN (SELECT day FROM md))
-SELECT r.day, round((coalesce(a.contracts, 0) + coalesce(b.contracts, 0)) / 2 / c.contracts, 9) AS ratio
-FROM r JOIN daily c ON c.day = r.day LEFT JOIN daily a ON a.day = p LEFT JOIN daily b ON b.day = n"""
+_MARKET_DAYS = f"daily AS (SELECT ticker, created_ts // 86400 AS day, {CENTS} AS contracts FROM tape GROUP BY 1, 2)"
+_REST = """, md AS (SELECT DISTINCT ticker, win_start // 86400 AS day FROM windows),
+g AS (SELECT ticker, unnest(generate_series(min(day), max(day))) AS day FROM md GROUP BY ticker),
+r AS (SELECT g.* FROM g ANTI JOIN md ON g.ticker = md.ticker AND g.day = md.day),
+e AS (SELECT r.ticker, r.day, p.day AS p, n.day AS n FROM r ASOF JOIN md p ON r.ticker = p.ticker AND r.day >= p.day ASOF JOIN md n ON r.ticker = n.ticker AND r.day <= n.day)
+SELECT e.ticker, e.day, round((coalesce(a.contracts, 0) + coalesce(b.contracts, 0)) / 2 / c.contracts, 9) AS ratio
+FROM e JOIN daily c ON c.ticker = e.ticker AND c.day = e.day LEFT JOIN daily a ON a.ticker = e.ticker AND a.day = p
+LEFT JOIN daily b ON b.ticker = e.ticker AND b.day = n"""
 
 
-def _match_days(s, d):
-    return v.windows(s, d).select(F.floor(F.col("win_start") / DAY).alias("day")).distinct()
+def _rest(s, d, series=None):
+    """Rest days of each market; of one series, its windows and tape alone."""
+    t, w = v.tape(s, d), v.windows(s, d)
+    if series is not None:
+        t, w = t.where(F.col("series_ticker") == series), w.where(F.col("ticker") % 5 == series)
+    days = t.groupBy("ticker", F.floor(F.col("created_ts") / DAY).alias("day")).agg(V.dollars_of().alias("contracts"))
+    match = w.select("ticker", F.floor(F.col("win_start") / DAY).alias("day")).distinct()
+    return shape(V.rest_ratios(days, match, ["ticker"]), {"ticker": None, "day": "long", "ratio": 9})
 
 
-@query("v24_rest_ratios", v.sql(v.TAPE, v.WINDOWS, DAILY) + _REST)
+@query("v24_rest_ratios", v.sql(v.TAPE, v.WINDOWS, _MARKET_DAYS) + _REST)
 def _(s, d):
-    return shape(V.rest_ratios(V.daily(v.tape(s, d)), _match_days(s, d)), {"day": "long", "ratio": 9})
+    return _rest(s, d)
 
 
-@query("v24_rest_ratios_one_series", v.sql(v.TAPE, v.WINDOWS, DAILY.replace("FROM tape", "FROM tape WHERE series_ticker = 0")) + _REST)
+@query("v24_rest_ratios_one_series", v.sql(v.TAPE, v.WINDOWS, _MARKET_DAYS.replace("FROM tape", "FROM tape WHERE series_ticker = 0")) + _REST)
 def _(s, d):
-    one = V.daily(v.tape(s, d).where("series_ticker = 0"))
-    return shape(V.rest_ratios(one, _match_days(s, d)), {"day": "long", "ratio": 9})
+    return _rest(s, d, series=0)
 
 
 @query(

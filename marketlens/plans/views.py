@@ -90,15 +90,32 @@ MARKETS = """markets AS (
 
 
 def windows(spark: SparkSession, d: str) -> DataFrame:
+    """Every error row opens a window of its own market."""
     e = events(spark, d).where(F.col("event_type") == "error")
     start = F.unix_seconds("ts")
-    return e.select(F.col("event_id").alias("event"), start.alias("win_start"), (start + WINDOW_S).alias("win_end"))
+    return e.select(F.col("event_id").alias("event"), F.col("user_id").alias("ticker"), start.alias("win_start"), (start + WINDOW_S).alias("win_end"))
 
 
 WINDOWS = f"""windows AS (
-  SELECT event_id AS event, CAST(floor(epoch(ts)) AS BIGINT) AS win_start,
+  SELECT event_id AS event, user_id AS ticker, CAST(floor(epoch(ts)) AS BIGINT) AS win_start,
          CAST(floor(epoch(ts)) AS BIGINT) + {WINDOW_S} AS win_end
-  FROM events WHERE event_type = 'error' AND event_id % 97 = 0)"""
+  FROM events WHERE event_type = 'error')"""
+
+#: The window of its market that started last, the one with the larger id where two start together.
+OWNER = """owner AS (
+  SELECT t.*, CASE WHEN t.created_ts <= w.win_end THEN w.event END AS event
+  FROM tape t ASOF LEFT JOIN (SELECT ticker, win_start, max(event) AS event, max(win_end) AS win_end FROM windows GROUP BY 1, 2) w
+  ON t.ticker = w.ticker AND t.created_ts >= w.win_start)"""
+
+#: Islands of windows that overlap or touch, numbered per market.
+ISLANDS = """o AS (
+  SELECT *, max(win_end) OVER (PARTITION BY ticker ORDER BY win_start, win_end, event ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM windows),
+i AS (
+  SELECT *, sum(CASE WHEN seen IS NULL OR win_start > seen THEN 1 ELSE 0 END)
+    OVER (PARTITION BY ticker ORDER BY win_start, win_end, event ROWS UNBOUNDED PRECEDING) AS island FROM o),
+islands AS (
+  SELECT ticker, CAST(island AS BIGINT) AS island, min(win_start) AS island_start, max(win_end) AS island_end, count(*) AS n_merged,
+    max(win_end) - min(win_start) AS covered_s FROM i GROUP BY 1, 2)"""
 
 
 def quotes(spark: SparkSession, d: str) -> DataFrame:
