@@ -32,5 +32,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Import the modules that register queries."""
-    for name in ("queries_tables", "queries_text"):
+    for name in ("queries_tables", "queries_text", "queries_vectors"):
         importlib.import_module(f"marketlens.llm.{name}")
