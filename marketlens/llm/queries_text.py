@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import bpe, media, ngram_join, substring, toxicity
+from marketlens.llm import bpe, media, ngram_join, pii, substring, toxicity
 from marketlens.llm.registry import query, table
 
 _SUBSTRING_SQL = r"""
@@ -73,3 +73,10 @@ SELECT n.doc_id, any_value(n) AS n_shingles, min(reached) AS component_id FROM n
 @query("op8_ngram_jaccard", _JACCARD_SQL)
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+@query("op13_personal_data")
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
