@@ -33,7 +33,7 @@ BLOCK_ROWS, CHUNK_ROWS, ZONES = 1024, 256, 512
 CURVE_BITS, CUTS = 2, (-0.6745, 0.0, 0.6745)
 #: Blocks, chunks or requests of an Arrow batch.
 BATCH_ROWS = 32
-_LOW = -(1 << 63)
+_LOW = -(1 << 63) + 1
 
 BLOCK = "block long, n int, label_lo long, label_hi long, lo binary, hi binary, ids binary, labels binary, marks binary, vecs binary"
 CHUNK = "chunk long, n int, block binary, pos binary, ids binary, labels binary, vecs binary, floor binary"
@@ -393,4 +393,4 @@ REQUEST = "to long, chunk long, n int, at binary, block binary, pos binary, ids
 
 def _sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     s = a.astype(object) + b.astype(object) if object in (a.dtype, b.dtype) else a + b
-    return np.clip(s, _LOW, (1 << 63) - 1).astype(np.int64) if s.dtype == object else s
+    return np.clip(s, _LOW + 1, (1 << 63) - 1).astype(np.int64) if s.dtype == object else s
