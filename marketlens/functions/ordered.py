@@ -23,6 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, DoubleType, IntegerType, LongType, NumericType, TimestampType
 
 from marketlens.session import cut
 
@@ -50,24 +51,42 @@ def _tick(cols: Sequence[str]) -> Column:
     return F.struct(*[F.col(c) for c in cols])
 
 
-def _attach(
-    rows: DataFrame,
-    keys: Sequence[str],
-    summary: Column,
-    carry: Column,
-) -> DataFrame:
+def _plain(df: DataFrame, keys: Sequence[str], chunk: Column) -> tuple[DataFrame, list[str]]:
+    """Rows with their chunk and with keys that are never null: filled copies and one column that says which were
+    null. Grouping, window and join on plain equal columns share one exchange, which null-safe conditions would not."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    filled, nulls = {}, F.lit(0)
+    for i, k in enumerate(keys):
+        own = F.col(k)
+        if isinstance(kinds[k], NumericType):
+            full = F.coalesce(own, F.lit(0).cast(kinds[k]))
+        elif isinstance(kinds[k], (BooleanType, DateType, TimestampType)):
+            full = F.coalesce(own, F.lit({BooleanType: "false"}.get(type(kinds[k]), "1970-01-01")).cast(kinds[k]))
+        else:
+            full = F.coalesce(own.cast("string"), F.lit(""))
+        filled[f"__k{i}"] = full
+        nulls = nulls + F.when(own.isNull(), 1 << i).otherwise(0)
+    rows = df.withColumn(_CH, chunk)
+    if isinstance(rows.schema[_CH].dataType, (LongType, IntegerType)):  # the chunk of null times comes first
+        filled[_CH] = F.coalesce(F.col(_CH).cast("long"), F.lit(-(1 << 63)))
+    elif isinstance(rows.schema[_CH].dataType, DoubleType):
+        filled[_CH] = F.coalesce(F.col(_CH), F.lit(float("-inf")))
+    plain = [f"__k{i}" for i in range(len(keys))]
+    if keys:
+        filled["__kn"] = nulls
+        plain.append("__kn")
+    return rows.withColumns(filled) if filled else rows, plain
+
+
+def _attach(rows: DataFrame, plain: Sequence[str], summary: Column, carry: Column) -> DataFrame:
     """Join to each row what the neighbouring chunks of its key hand over."""
-    per_chunk = rows.groupBy(*keys, _CH).agg(summary.alias(_SUM))
-    # Null keys are keys: the carry meets its rows null-safely.
-    own = [*keys, _CH]
-    handed = per_chunk.select(*own, carry.alias(_CARRY)).select(*[F.col(c).alias(f"__h{i}") for i, c in enumerate(own)], _CARRY)
-    same = [F.col(c).eqNullSafe(F.col(f"__h{i}")) for i, c in enumerate(own)]
-    return rows.join(handed, same, "left").drop(*[f"__h{i}" for i in range(len(own))])
+    per_chunk = rows.groupBy(*plain, _CH).agg(summary.alias(_SUM))
+    return rows.join(per_chunk.select(*plain, _CH, carry.alias(_CARRY)), [*plain, _CH], "left")
 
 
-def _windows(keys: Sequence[str], order: Sequence[str]):
-    inside = W.partitionBy(*[F.col(k) for k in keys], F.col(_CH)).orderBy(*_order(order))
-    across = W.partitionBy(*[F.col(k) for k in keys]).orderBy(F.col(_CH))
+def _windows(plain: Sequence[str], order: Sequence[str]):
+    inside = W.partitionBy(*[F.col(k) for k in plain], F.col(_CH)).orderBy(*_order(order))
+    across = W.partitionBy(*[F.col(k) for k in plain]).orderBy(F.col(_CH))
     return inside, across
 
 
@@ -80,15 +99,15 @@ def running_sum(
     chunk: Column | None = None,
 ) -> DataFrame:
     """``sum(value)`` over all rows of the key up to and including the current one."""
-    rows = df.withColumn(_CH, time_chunk(order[0]) if chunk is None else chunk)
+    rows, plain = _plain(df, keys, time_chunk(order[0]) if chunk is None else chunk)
     rows = rows.withColumn("__v", value)
-    inside, across = _windows(keys, order)
+    inside, across = _windows(plain, order)
     carry = F.sum(_SUM).over(across.rowsBetween(W.unboundedPreceding, -1))
-    joined = _attach(rows, keys, F.sum("__v"), carry)
+    joined = _attach(rows, plain, F.sum("__v"), carry)
     total = F.sum("__v").over(inside.rowsBetween(W.unboundedPreceding, 0))
     zero = F.lit(0)
     return joined.withColumn(out, F.coalesce(total, zero) + F.coalesce(F.col(_CARRY), zero)).drop(
-        _CH, _CARRY, "__v"
+        _CH, _CARRY, "__v", *plain
     )
 
 
@@ -113,13 +132,13 @@ def running_max(
     before: bool = False,
 ) -> DataFrame:
     """Running maximum; ``before=True`` leaves the current row out."""
-    rows = df.withColumn(_CH, time_chunk(order[0]) if chunk is None else chunk)
+    rows, plain = _plain(df, keys, time_chunk(order[0]) if chunk is None else chunk)
     rows = rows.withColumn("__v", value)
-    inside, across = _windows(keys, order)
+    inside, across = _windows(plain, order)
     carry = F.max(_SUM).over(across.rowsBetween(W.unboundedPreceding, -1))
-    joined = _attach(rows, keys, F.max("__v"), carry)
+    joined = _attach(rows, plain, F.max("__v"), carry)
     local = F.max("__v").over(inside.rowsBetween(W.unboundedPreceding, -1 if before else 0))
-    return joined.withColumn(out, F.greatest(local, F.col(_CARRY))).drop(_CH, _CARRY, "__v")
+    return joined.withColumn(out, F.greatest(local, F.col(_CARRY))).drop(_CH, _CARRY, "__v", *plain)
 
 
 def last_known(
@@ -131,14 +150,14 @@ def last_known(
     chunk: Column | None = None,
 ) -> DataFrame:
     """Latest non-null ``value`` of the key at or before the current row (forward fill)."""
-    rows = df.withColumn(_CH, time_chunk(order[0]) if chunk is None else chunk)
+    rows, plain = _plain(df, keys, time_chunk(order[0]) if chunk is None else chunk)
     rows = rows.withColumn("__v", value)
-    inside, across = _windows(keys, order)
+    inside, across = _windows(plain, order)
     closing = F.max_by("__v", F.when(F.col("__v").isNotNull(), _tick(order)))
     carry = F.last(_SUM, ignorenulls=True).over(across.rowsBetween(W.unboundedPreceding, -1))
-    joined = _attach(rows, keys, closing, carry)
+    joined = _attach(rows, plain, closing, carry)
     local = F.last("__v", ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0))
-    return joined.withColumn(out, F.coalesce(local, F.col(_CARRY))).drop(_CH, _CARRY, "__v")
+    return joined.withColumn(out, F.coalesce(local, F.col(_CARRY))).drop(_CH, _CARRY, "__v", *plain)
 
 
 def previous(
@@ -166,10 +185,10 @@ def following(
 
 
 def _neighbour(df, keys, order, value, out, chunk, forward: bool) -> DataFrame:
-    rows = df.withColumn(_CH, time_chunk(order[0]) if chunk is None else chunk)
+    rows, plain = _plain(df, keys, time_chunk(order[0]) if chunk is None else chunk)
     # A one-field struct keeps "the neighbour's value is null" apart from "no neighbour here".
     rows = rows.withColumn("__v", F.struct(value.alias("v")))
-    inside, across = _windows(keys, order)
+    inside, across = _windows(plain, order)
     if forward:
         edge, carry, local = (
             F.min_by("__v", _tick(order)),
@@ -182,8 +201,8 @@ def _neighbour(df, keys, order, value, out, chunk, forward: bool) -> DataFrame:
             F.lag(_SUM).over(across),
             F.lag("__v").over(inside),
         )
-    joined = _attach(rows, keys, edge, carry)
-    return joined.withColumn(out, F.coalesce(local, F.col(_CARRY))["v"]).drop(_CH, _CARRY, "__v")
+    joined = _attach(rows, plain, edge, carry)
+    return joined.withColumn(out, F.coalesce(local, F.col(_CARRY))["v"]).drop(_CH, _CARRY, "__v", *plain)
 
 
 def framed(
@@ -256,18 +275,18 @@ def neighbours(
     chunk: Column | None = None,
 ) -> DataFrame:
     """``value`` of the row before and of the row after, in one pass."""
-    rows = df.withColumn(_CH, time_chunk(order[0]) if chunk is None else chunk)
+    rows, plain = _plain(df, keys, time_chunk(order[0]) if chunk is None else chunk)
     rows = rows.withColumn("__v", F.struct(value.alias("v")))
-    inside, across = _windows(keys, order)
+    inside, across = _windows(plain, order)
     ends = F.struct(F.min_by("__v", _tick(order)).alias("head"), F.max_by("__v", _tick(order)).alias("tail"))
     carry = F.struct(
         F.lag(F.col(_SUM)["tail"]).over(across).alias("p"), F.lead(F.col(_SUM)["head"]).over(across).alias("n")
     )
-    joined = _attach(rows, keys, ends, carry)
+    joined = _attach(rows, plain, ends, carry)
     return (
         joined.withColumn(before, F.coalesce(F.lag("__v").over(inside), F.col(_CARRY)["p"])["v"])
         .withColumn(after, F.coalesce(F.lead("__v").over(inside), F.col(_CARRY)["n"])["v"])
-        .drop(_CH, _CARRY, "__v")
+        .drop(_CH, _CARRY, "__v", *plain)
     )
 
 
@@ -281,9 +300,9 @@ def known_around(
     chunk: Column | None = None,
 ) -> DataFrame:
     """Latest non-null ``value`` up to each row and the first one from it on, in one pass."""
-    rows = df.withColumn(_CH, time_chunk(order[0]) if chunk is None else chunk)
+    rows, plain = _plain(df, keys, time_chunk(order[0]) if chunk is None else chunk)
     rows = rows.withColumn("__v", value)
-    inside, across = _windows(keys, order)
+    inside, across = _windows(plain, order)
     at = F.when(F.col("__v").isNotNull(), _tick(order))
     ends = F.struct(F.min_by("__v", at).alias("head"), F.max_by("__v", at).alias("tail"))
     lo, hi = W.unboundedPreceding, W.unboundedFollowing
@@ -291,11 +310,11 @@ def known_around(
         F.last(F.col(_SUM)["tail"], ignorenulls=True).over(across.rowsBetween(lo, -1)).alias("p"),
         F.first(F.col(_SUM)["head"], ignorenulls=True).over(across.rowsBetween(1, hi)).alias("n"),
     )
-    joined = _attach(rows, keys, ends, carry)
+    joined = _attach(rows, plain, ends, carry)
     back = F.last("__v", ignorenulls=True).over(inside.rowsBetween(lo, 0))
     forth = F.first("__v", ignorenulls=True).over(inside.rowsBetween(0, hi))
     return (
         joined.withColumn(before, F.coalesce(back, F.col(_CARRY)["p"]))
         .withColumn(after, F.coalesce(forth, F.col(_CARRY)["n"]))
-        .drop(_CH, _CARRY, "__v")
+        .drop(_CH, _CARRY, "__v", *plain)
     )

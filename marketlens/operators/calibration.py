@@ -32,16 +32,21 @@ def devig_async(q: DataFrame, market: Sequence[str], outcome: str, ms: str = "cr
 
     The overround at a quote's own millisecond is the sum of the latest known inverse prices over the outcomes of
     its market that are active then, and the quote's probability is its own inverse price over that sum. Adds
-    ``overround_at_ts`` and ``prob_devig`` (null while the outcome is inactive).
+    ``overround_at_ts`` and ``prob_devig`` (null while the outcome is inactive). A price of 0 or less is not live. No
+    quote is lost: null markets and outcomes stand for themselves, and a quote without a time gets nulls.
     """
     # Linear in quotes: each outcome's change of inverse price, summed along its market. Integers keep the sums exact.
     chunk = ordered.time_chunk(ms, 3_600_000)
-    live = F.when(F.col(active) & F.col(price).isNotNull(), F.round(F.lit(_UNIT) / F.col(price)).cast("long"))
-    state = q.groupBy(*market, outcome, ms).agg(F.max_by(F.struct(live.alias("x")), F.col(tie)).alias("__s")).withColumn("__x", F.col("__s.x"))
-    moved = ordered.previous(state, [*market, outcome], [ms], F.coalesce("__x", F.lit(0)), "__before", chunk=chunk)
-    step = moved.groupBy(*market, ms).agg(F.sum(F.coalesce("__x", F.lit(0)) - F.coalesce("__before", F.lit(0))).alias("__d"))
-    over = ordered.running_sum(step, market, [ms], F.col("__d"), "__over", chunk=chunk).drop("__d")
-    out = q.join(state.drop("__s"), [*market, outcome, ms]).join(over, [*market, ms])
+    # Null markets and outcomes are markets and outcomes: their rows come back by filled keys.
+    m, o = [f"__m{i}" for i in range(len(market))], "__o"
+    filled = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    q = q.withColumns({**{k: filled(c) for k, c in zip(m, market, strict=True)}, o: filled(outcome)})
+    live = F.when(F.col(active) & (F.col(price) > 0), F.round(F.try_divide(F.lit(_UNIT), F.col(price))).cast("long"))
+    state = q.groupBy(*m, o, ms).agg(F.max_by(F.struct(live.alias("x")), F.col(tie)).alias("__s")).withColumn("__x", F.col("__s.x"))
+    moved = ordered.previous(state, [*m, o], [ms], F.coalesce("__x", F.lit(0)), "__before", chunk=chunk)
+    step = moved.groupBy(*m, ms).agg(F.sum(F.coalesce("__x", F.lit(0)) - F.coalesce("__before", F.lit(0))).alias("__d"))
+    over = ordered.running_sum(step, m, [ms], F.col("__d"), "__over", chunk=chunk).drop("__d")
+    out = q.join(state.drop("__s"), [*m, o, ms], "left").join(over, [*m, ms], "left").select(*[c for c in q.columns if c not in (*m, o)], "__x", "__over")
     out = out.withColumn("overround_at_ts", F.col("__over") / _UNIT)
     return out.withColumn("prob_devig", F.when(F.col("__over") > 0, F.col("__x") / F.col("__over"))).drop("__x", "__over")
 

@@ -231,7 +231,7 @@ def hot_window(t: DataFrame, search: DataFrame, step: int = 30, spread: float =
 
     ``search``: ticker, lo. Bins whose price range reaches ``spread`` are hot; the stretch bridges
     up to ``quiet`` quiet bins and keeps that many in front. Adds the trade-rate ratio between
-    the stretch and all trades since ``lo``.
+    the stretch and all trades since ``lo``, null if that is the last trade's time.
     """
     late = t.join(search.select("ticker", "lo"), "ticker").where(F.col("created_ts") >= F.col("lo"))
     bins = late.groupBy("ticker", "lo", T.floor_to(F.col("created_ts"), step).alias("bin_ts")).agg(
@@ -250,7 +250,7 @@ def hot_window(t: DataFrame, search: DataFrame, step: int = 30, spread: float =
     minutes = (F.col("end_ts") - F.col("start_ts")) / 60
     whole = (F.col("end_ts") - F.col("lo")) / 60
     tpm = F.col("n_trades") / F.greatest(minutes, F.lit(0.5))
-    return g.withColumn("duration_min", minutes).withColumn("trades_per_min", tpm).withColumn("intensity", tpm / (F.col("n_all") / whole))
+    return g.withColumn("duration_min", minutes).withColumn("trades_per_min", tpm).withColumn("intensity", tpm / F.try_divide("n_all", whole))
 
 
 def smoothed(t: DataFrame, half: int = 2) -> DataFrame:
@@ -398,9 +398,10 @@ def break_skew(br: DataFrame, names: Sequence[str], floor: float = 0.15) -> Data
     return w.withColumn("max_skew_s", cols[0] if len(cols) == 1 else F.greatest(*cols)).drop(*names)
 
 
-def break_in(src: DataFrame, keys: Sequence[str], ts: str, tie: str, value: str, lo: int, hi: int, step: int = MINUTE) -> DataFrame:
-    """Largest break inside a fixed window, per series."""
-    return T.biggest_jump(src.where(F.col(ts).between(lo, hi)), keys, ts, tie, value, step)
+def break_in(src: DataFrame, windows: DataFrame, keys: Sequence[str], ts: str, tie: str, value: str, step: int = MINUTE) -> DataFrame:
+    """Largest break inside a series' window (M13). ``windows``: the keys, lo, hi."""
+    inside = src.join(windows.select(*keys, "lo", "hi"), list(keys)).where(F.col(ts).between(F.col("lo"), F.col("hi")))
+    return T.biggest_jump(inside, keys, ts, tie, value, step)
 
 
 def largest_move(t: DataFrame, step: int = MINUTE) -> DataFrame:

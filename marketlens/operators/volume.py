@@ -504,7 +504,10 @@ def lower_half(totals: DataFrame, grain: float = 0) -> DataFrame:
     """Tag the lower half, by dollars, of the qualifying markets (V30): rank <= floor(n / 2)."""
     q = cut(totals.where(F.col("dollars") >= grain))
     n = q.agg(_n()).scalar()
-    ranked = ordered.row_number(q, [], ["dollars", "ticker"], "rank", chunk=ordered.value_chunk("dollars"))
+    # Rank below a value from counts per value, position inside it by ranges of the ticker: no value is one task.
+    inside = ordered.row_number(q, ["dollars"], ["ticker"], "__pos", chunk=_ticker_chunk(q))
+    below = value_steps(q, "dollars").select(F.col("x").alias("dollars"), "n_before")
+    ranked = inside.join(below, "dollars").withColumn("rank", F.col("n_before") + F.col("__pos")).drop("n_before", "__pos")
     return ranked.withColumn("in_lower_half", F.col("rank") <= F.floor(n / 2))
 
 

@@ -105,15 +105,17 @@ def _(s, d):
 
 
 def _gap_minutes(s, d):
-    spans = v.markets(s, d).select("ticker", F.lit(LO).alias("lo"), F.lit(LO + 2 * DAY).alias("hi"))
-    return B.gap_minutes(v.tape(s, d), v.quotes(s, d).where("overround <> 0"), spans, 600)
+    spans = v.spans(s, d).select("ticker", "lo", "hi")
+    return B.gap_minutes(v.tape(s, d), v.quotes(s, d).where("overround <> 0"), spans, 3600)
 
 
-GAPS = f""", bars_a AS (SELECT ticker, created_ts // 600 * 600 AS bar, arg_max(yes_price_usd, created_ts) AS x, sum(count_contracts) AS volume, sum(count_contracts * yes_price_usd) AS dollars FROM tape WHERE created_ts BETWEEN {LO} AND {LO + 2 * DAY} GROUP BY 1, 2),
-bars_b AS (SELECT ticker, created_ts // 600 * 600 AS bar, arg_max(prob, created_ts) AS x FROM quotes WHERE overround <> 0 AND created_ts BETWEEN {LO} AND {LO + 2 * DAY} GROUP BY 1, 2),
-g AS (SELECT ticker, unnest(generate_series({LO}, {LO + 2 * DAY}, 600)) AS bin_ts FROM markets),
+GAPS = f""", {v.SPANS}, tp AS (SELECT tape.*, lo, created_ts BETWEEN lo AND hi AS inside, created_ts // 3600 * 3600 AS bar FROM tape JOIN spans USING (ticker)),
+bars_a AS (SELECT ticker, bar, arg_max(yes_price_usd, (created_ts, trade_id)) AS x, sum(count_contracts) AS volume, sum(count_contracts * yes_price_usd) AS dollars FROM tp WHERE inside GROUP BY 1, 2),
+bars_b AS (SELECT q.ticker, created_ts // 3600 * 3600 AS bar, arg_max(prob, (created_ts, quote_id)) AS x FROM quotes q JOIN spans USING (ticker)
+  WHERE overround <> 0 AND created_ts BETWEEN lo // 3600 * 3600 AND hi GROUP BY 1, 2),
+g AS (SELECT ticker, lo, unnest(generate_series(lo // 3600 * 3600, hi // 3600 * 3600, 3600)) AS bin_ts FROM spans),
 z AS (SELECT g.*, a.x AS a, b.x AS b FROM g ASOF JOIN bars_a a ON g.ticker = a.ticker AND g.bin_ts >= a.bar ASOF JOIN bars_b b ON g.ticker = b.ticker AND g.bin_ts >= b.bar),
-gm AS (SELECT z.ticker, (bin_ts - {LO}) // 600 AS minute, a, b, coalesce(volume, 0) AS volume, coalesce(dollars, 0) AS dollars, round(a - b, 9) * 100 AS gap_pp FROM z LEFT JOIN bars_a w ON w.ticker = z.ticker AND w.bar = z.bin_ts)"""
+gm AS (SELECT z.ticker, (bin_ts - lo // 3600 * 3600) // 3600 AS minute, a, b, coalesce(volume, 0) AS volume, coalesce(dollars, 0) AS dollars, round(a - b, 9) * 100 AS gap_pp FROM z LEFT JOIN bars_a w ON w.ticker = z.ticker AND w.bar = z.bin_ts)"""
 
 
 @query(

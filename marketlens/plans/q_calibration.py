@@ -9,8 +9,7 @@ from marketlens.plans import views as v
 from marketlens.plans.registry import query, shape
 
 DAY = 86400
-LO = 1705276800  # 2024-01-15 00:00 UTC
-STEP = 600
+STEP = 3600
 
 
 @query(
@@ -139,7 +138,7 @@ def _(s, d):
 
 
 def _spans(s, d):
-    return v.markets(s, d).select("ticker", F.when(F.col("result") == "yes", 1).otherwise(0).alias("outcome"), F.lit(LO).alias("lo"), F.lit(LO + 3 * DAY).alias("hi"))
+    return v.spans(s, d).select("ticker", F.when(F.col("result") == "yes", 1).otherwise(0).alias("outcome"), "lo", "hi")
 
 
 def _gaps(s, d, other):
@@ -148,9 +147,10 @@ def _gaps(s, d, other):
 
 
 def _gap_sql(src: str, val: str) -> str:
-    return f""", ba AS (SELECT ticker, created_ts // {STEP} * {STEP} AS bar, arg_max(yes_price_usd, created_ts) AS x FROM src_m WHERE created_ts BETWEEN {LO} AND {LO + 3 * DAY} GROUP BY 1, 2),
-bb AS (SELECT ticker, created_ts // {STEP} * {STEP} AS bar, arg_max({val}, created_ts) AS x FROM {src} WHERE created_ts BETWEEN {LO} AND {LO + 3 * DAY} GROUP BY 1, 2),
-g AS (SELECT ticker, CASE WHEN result = 'yes' THEN 1 ELSE 0 END AS outcome, unnest(generate_series({LO}, {LO + 3 * DAY}, {STEP})) AS bin_ts FROM markets),
+    inside = f"WHERE created_ts BETWEEN lo // {STEP} * {STEP} AND hi GROUP BY 1, 2"
+    return f""", {v.SPANS}, ba AS (SELECT t.ticker, created_ts // {STEP} * {STEP} AS bar, arg_max(yes_price_usd, created_ts) AS x FROM src_m t JOIN spans USING (ticker) {inside}),
+bb AS (SELECT t.ticker, created_ts // {STEP} * {STEP} AS bar, arg_max({val}, created_ts) AS x FROM {src} t JOIN spans USING (ticker) {inside}),
+g AS (SELECT ticker, CASE WHEN result = 'yes' THEN 1 ELSE 0 END AS outcome, unnest(generate_series(lo // {STEP} * {STEP}, hi // {STEP} * {STEP}, {STEP})) AS bin_ts FROM spans),
 z AS (SELECT g.*, ba.x AS a, bb.x AS b FROM g ASOF JOIN ba ON g.ticker = ba.ticker AND g.bin_ts >= ba.bar ASOF JOIN bb ON g.ticker = bb.ticker AND g.bin_ts >= bb.bar),
 ser AS (SELECT *, CASE WHEN abs(round(a - b, 9)) >= 0.0015 THEN round(a - b, 9) ELSE 0 END AS gap FROM z)"""
 

@@ -16,12 +16,10 @@ from marketlens.session import cut
 
 DAY = 86400
 HOUR = 3600
-LO = 1704672000  # 2024-01-08 00:00 UTC
-HI = LO + 10 * DAY
 
 
 def _legs(s, d):
-    return v.markets(s, d).select("match_id", "leg", "ticker", F.lit(LO).alias("lo"), F.lit(HI).alias("hi"))
+    return v.spans(s, d).select("match_id", "leg", "ticker", "lo", "hi")
 
 
 def _series(s, d, src=None):
@@ -29,8 +27,9 @@ def _series(s, d, src=None):
 
 
 def _series_cte(name: str, src: str) -> str:
-    return f"""{name}_b AS (SELECT ticker, created_ts // 3600 * 3600 AS bin_ts, arg_max(yes_price_usd, created_ts) AS x FROM {src} WHERE created_ts // 3600 * 3600 BETWEEN {LO} AND {HI} GROUP BY 1, 2),
-{name}_f AS (SELECT g.match_id, g.leg, g.ticker, g.bin_ts, b.x AS price FROM (SELECT match_id, leg, ticker, unnest(generate_series({LO}, {HI}, 3600)) AS bin_ts FROM markets) g
+    return f"""{name}_b AS (SELECT t.ticker, created_ts // 3600 * 3600 AS bin_ts, arg_max(yes_price_usd, (created_ts, trade_id)) AS x FROM {src} t JOIN spans USING (ticker)
+  WHERE created_ts // 3600 * 3600 BETWEEN lo // 3600 * 3600 AND (hi + 3599) // 3600 * 3600 GROUP BY 1, 2),
+{name}_f AS (SELECT g.match_id, g.leg, g.ticker, g.bin_ts, b.x AS price FROM (SELECT match_id, leg, ticker, unnest(generate_series(lo // 3600 * 3600, (hi + 3599) // 3600 * 3600, 3600)) AS bin_ts FROM spans) g
   ASOF LEFT JOIN {name}_b b ON g.ticker = b.ticker AND g.bin_ts >= b.bin_ts),
 {name} AS (SELECT *, round(price - lag(price) OVER (PARTITION BY ticker ORDER BY bin_ts), 9) AS diff FROM {name}_f)"""
 
@@ -40,7 +39,7 @@ TV = """tv AS (SELECT match_id, bin_ts, round(sum(coalesce(abs(diff), 0)) / 2, 9
 SER = _series_cte("ser", "tape")
 
 
-@query("m01_total_variation", v.sql(v.TAPE, v.MARKETS, SER, TV) + "SELECT * FROM tv")
+@query("m01_total_variation", v.sql(v.TAPE, v.MARKETS, v.SPANS, SER, TV) + "SELECT * FROM tv")
 def _(s, d):
     return M.total_variation(_series(s, d))
 
@@ -65,7 +64,7 @@ def _rsql(*ctes: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(ctes) + "\n"
 
 
-@query("m02_peaks", _rsql(v.TAPE, v.MARKETS, SER, TV, PEAKS) + "SELECT match_id, event_ts, magnitude, round(threshold, 9) AS threshold FROM ev0")
+@query("m02_peaks", _rsql(v.TAPE, v.MARKETS, v.SPANS, SER, TV, PEAKS) + "SELECT match_id, event_ts, magnitude, round(threshold, 9) AS threshold FROM ev0")
 def _(s, d):
     return shape(_peaks(s, d), {"match_id": "long", "event_ts": "long", "magnitude": None, "threshold": 9})
 
@@ -79,7 +78,7 @@ def _events(s, d):
     return M.primary_leg(M.peaks(M.total_variation(ser), mult=MULT, sep_s=SEP), ser)
 
 
-@query("m03_primary_leg", _rsql(v.TAPE, v.MARKETS, SER, TV, PEAKS, PRIMARY) + "SELECT match_id, event_ts, magnitude, leg, ticker, direction FROM ev")
+@query("m03_primary_leg", _rsql(v.TAPE, v.MARKETS, v.SPANS, SER, TV, PEAKS, PRIMARY) + "SELECT match_id, event_ts, magnitude, leg, ticker, direction FROM ev")
 def _(s, d):
     return _events(s, d).select("match_id", "event_ts", "magnitude", "leg", "ticker", "direction")
 
@@ -92,7 +91,7 @@ def _corr_sql(name: str, src: str, win: int, floor: float) -> str:
 
 @query(
     "m04_corroborate",
-    _rsql(v.TAPE, v.MARKETS, SER, TV, PEAKS, PRIMARY, "tv_view AS (SELECT * FROM tape WHERE event_type = 'view')", "tv_click AS (SELECT * FROM tape WHERE event_type = 'click')",
+    _rsql(v.TAPE, v.MARKETS, v.SPANS, SER, TV, PEAKS, PRIMARY, "tv_view AS (SELECT * FROM tape WHERE event_type = 'view')", "tv_click AS (SELECT * FROM tape WHERE event_type = 'click')",
           _series_cte("s1", "tv_view"), _series_cte("s2", "tv_click"), _corr_sql("c1", "s1", 24 * HOUR, 0.04), _corr_sql("c2", "s2", 72 * HOUR, 0.03))
     + """SELECT ev.match_id, ev.event_ts, c1_h.h.ts AS snap_ts, c1_h.h.jump AS snap_jump, c2_h.h.ts AS book_ts, c2_h.h.jump AS book_jump,
  1 + CASE WHEN c1_h.h IS NULL THEN 0 ELSE 1 END + CASE WHEN c2_h.h IS NULL THEN 0 ELSE 1 END AS n_sources
@@ -143,7 +142,7 @@ def _(s, d):
 
 @query(
     "m06_lead_lag",
-    v.sql(v.TAPE, v.MARKETS, SER, "tv_click AS (SELECT * FROM tape WHERE event_type = 'click')", _series_cte("s2", "tv_click"))
+    v.sql(v.TAPE, v.MARKETS, v.SPANS, SER, "tv_click AS (SELECT * FROM tape WHERE event_type = 'click')", _series_cte("s2", "tv_click"))
     + """, a AS (SELECT match_id, a.bin_ts, a.diff AS x, b.diff AS y FROM ser a JOIN s2 b USING (match_id, leg, bin_ts) WHERE leg = 'team1' AND a.diff IS NOT NULL AND b.diff IS NOT NULL),
 n AS (SELECT match_id, count(*) AS n_bins FROM a GROUP BY 1 HAVING count(*) >= 20),
 c AS (SELECT p.match_id, lag, CASE WHEN count(*) >= 10 AND stddev_pop(p.x) >= 1e-9 AND stddev_pop(q.y) >= 1e-9 THEN round(corr(p.x, q.y), 8) END AS c
@@ -178,17 +177,17 @@ def _(s, d):
 @query(
     "m08_hot_window",
     v.sql(v.TAPE, v.MARKETS)
-    + f""", l AS (SELECT * FROM tape WHERE created_ts >= {LO}),
+    + f""", l AS (SELECT tape.*, open_ts FROM tape JOIN markets USING (ticker)),
 b AS (SELECT ticker, created_ts // {DAY} * {DAY} AS bin, round(max(yes_price_usd) - min(yes_price_usd), 9) AS rg, count(*) AS n, max(created_ts) AS mx FROM l GROUP BY 1, 2),
 e AS (SELECT ticker, min(bin) AS fb, max(bin) AS eb, max(mx) AS end_ts, sum(n)::BIGINT AS n_all FROM b GROUP BY 1),
 k AS (SELECT b.ticker, bin, lag(bin) OVER (PARTITION BY b.ticker ORDER BY bin) AS pv FROM b JOIN e USING (ticker) WHERE rg >= 0.85 OR bin = eb),
 h AS (SELECT ticker, max(bin) FILTER (WHERE pv IS NULL OR bin - pv > 3 * {DAY}) AS head FROM k GROUP BY 1),
 w AS (SELECT e.ticker, greatest(fb, head - 2 * {DAY}) AS start_ts, end_ts, n_all FROM e JOIN h USING (ticker))
 SELECT w.ticker, start_ts, end_ts, n_all, count(*) AS n_trades, round(sum(count_contracts), 4) AS contracts, round((end_ts - start_ts) / 60, 6) AS duration_min,
- round(count(*) / greatest((end_ts - start_ts) / 60, 0.5) / (n_all / ((end_ts - {LO}) / 60)), 8) AS intensity FROM l JOIN w ON l.ticker = w.ticker AND created_ts >= start_ts GROUP BY 1, 2, 3, 4""",
+ round(count(*) / greatest((end_ts - start_ts) / 60, 0.5) / nullif(n_all / nullif((end_ts - open_ts) / 60, 0), 0), 8) AS intensity FROM l JOIN w ON l.ticker = w.ticker AND created_ts >= start_ts GROUP BY 1, 2, 3, 4, open_ts""",
 )
 def _(s, d):
-    search = v.markets(s, d).select("ticker", F.lit(LO).alias("lo"))
+    search = v.markets(s, d).select("ticker", F.col("open_ts").alias("lo"))
     out = M.hot_window(v.tape(s, d), search, DAY, 0.85, 2)
     return shape(out, {"ticker": None, "start_ts": "long", "end_ts": "long", "n_all": "long", "n_trades": "long", "contracts": 4, "duration_min": 6, "intensity": 8})
 
@@ -283,19 +282,19 @@ def _three(s, d):
     return _sources(s, d)
 
 
-BREAKS = f"""bb AS (SELECT ticker, source, ts // 3600 * 3600 AS bin, arg_max(x, ts) AS x FROM st WHERE ts BETWEEN {LO} AND {HI} GROUP BY 1, 2, 3),
+BREAKS = f"""{v.SPANS}, bb AS (SELECT st.ticker, source, ts // 3600 * 3600 AS bin, arg_max(x, ts) AS x FROM st JOIN spans USING (ticker) WHERE ts BETWEEN lo AND hi GROUP BY 1, 2, 3),
 bd AS (SELECT *, round(abs(x - lag(x) OVER (PARTITION BY ticker, source ORDER BY bin)), 9) AS mag FROM bb),
 br AS (SELECT ticker // 3 AS match_id, source, ticker, bin AS break_ts, mag AS break_mag FROM bd WHERE mag IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ticker // 3, source ORDER BY mag DESC, ticker, bin) = 1)"""
 
 
-@query("m12_breaks", v.sql(v.TAPE, v.QUOTES, _SRC3, BREAKS) + "SELECT match_id, source, ticker, break_ts, break_mag FROM br")
+@query("m12_breaks", v.sql(v.TAPE, v.MARKETS, v.QUOTES, _SRC3, BREAKS) + "SELECT match_id, source, ticker, break_ts, break_mag FROM br")
 def _(s, d):
     return M.breaks(_three(s, d), _legs(s, d), HOUR).select("match_id", "source", "ticker", "break_ts", "break_mag")
 
 
 @query(
     "m12_break_skew",
-    v.sql(v.TAPE, v.QUOTES, _SRC3, BREAKS)
+    v.sql(v.TAPE, v.MARKETS, v.QUOTES, _SRC3, BREAKS)
     + """, w AS (SELECT match_id, max(break_ts) FILTER (WHERE source = 'market' AND break_mag >= 0.15) AS m, max(break_ts) FILTER (WHERE source = 'book' AND break_mag >= 0.15) AS b,
   max(break_ts) FILTER (WHERE source = 'snapshot' AND break_mag >= 0.15) AS s, count(*) FILTER (WHERE break_mag >= 0.15) AS n_located FROM br GROUP BY 1)
 SELECT match_id, n_located, abs(m - b) AS market_vs_book_s, abs(m - s) AS market_vs_snapshot_s, abs(b - s) AS book_vs_snapshot_s, greatest(abs(m - b), abs(m - s), abs(b - s)) AS max_skew_s FROM w""",
@@ -307,12 +306,19 @@ def _(s, d):
 @query(
     "m13_break_in_window",
     v.sql(v.TAPE)
-    + f""", b AS (SELECT event_type, created_ts // 600 * 600 AS bin, arg_max(yes_price_usd, struct_pack(a := created_ts, b := trade_id)) AS x FROM tape WHERE created_ts BETWEEN {LO} AND {LO + DAY} GROUP BY 1, 2),
+    + """, k AS (SELECT event_type, min(created_ts) AS a, max(created_ts) AS z FROM tape GROUP BY 1),
+b AS (SELECT event_type, created_ts // 600 * 600 AS bin, arg_max(yes_price_usd, struct_pack(a := created_ts, b := trade_id)) AS x FROM tape JOIN k USING (event_type)
+  WHERE created_ts BETWEEN a + (z - a) // 4 AND z - (z - a) // 4 GROUP BY 1, 2),
 m AS (SELECT *, round(abs(x - lag(x) OVER (PARTITION BY event_type ORDER BY bin)), 9) AS mag FROM b)
 SELECT event_type, bin AS jump_ts, mag AS jump_mag, count(*) OVER (PARTITION BY event_type) AS n_moves FROM m WHERE mag IS NOT NULL QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY mag DESC, bin) = 1""",
 )
 def _(s, d):
-    return M.break_in(v.tape(s, d), ["event_type"], "created_ts", "trade_id", "yes_price_usd", LO, LO + DAY, 600)
+    """Inside the middle half of each series' own life."""
+    t = v.tape(s, d)
+    life = t.groupBy("event_type").agg(F.min("created_ts").alias("a"), F.max("created_ts").alias("z"))
+    quarter = F.floor((F.col("z") - F.col("a")) / 4)
+    windows = life.select("event_type", (F.col("a") + quarter).alias("lo"), (F.col("z") - quarter).alias("hi"))
+    return M.break_in(t, windows, ["event_type"], "created_ts", "trade_id", "yes_price_usd", 600)
 
 
 _FLOW = f"""fe AS (SELECT event_id, mo.ticker, event_ts, coalesce(pre, 0) AS pre, coalesce(post, 0) AS post FROM mo JOIN (SELECT * FROM lat WHERE source = 'market') USING (event_id)),
@@ -396,8 +402,8 @@ def _(s, d):
 
 @query(
     "m19_spike",
-    v.sql(v.TAPE)
-    + f""", b AS (SELECT ticker, created_ts // {HOUR} * {HOUR} AS bin, arg_max(cents, created_ts) AS c FROM tape WHERE created_ts BETWEEN {LO} AND {HI} GROUP BY 1, 2),
+    v.sql(v.TAPE, v.MARKETS, v.SPANS)
+    + f""", b AS (SELECT t.ticker, created_ts // {HOUR} * {HOUR} AS bin, arg_max(cents, (created_ts, trade_id)) AS c FROM tape t JOIN spans USING (ticker) WHERE created_ts BETWEEN lo AND hi GROUP BY 1, 2),
 g AS (SELECT ticker, unnest(generate_series(min(bin), max(bin), {HOUR})) AS bin_ts FROM b GROUP BY 1),
 f AS (SELECT g.ticker, g.bin_ts, c, row_number() OVER (PARTITION BY g.ticker ORDER BY g.bin_ts) - 1 AS idx, count(*) OVER (PARTITION BY g.ticker) AS size FROM g ASOF JOIN b ON g.ticker = b.ticker AND g.bin_ts >= b.bin),
 l AS (SELECT ticker, round_even(median(c) FILTER (WHERE idx < greatest(1, least(size // 3, 36))), 0) AS base, arg_max(struct_pack(i := idx, c := c, t := bin_ts), struct_pack(a := c, b := -idx)) AS pk FROM f GROUP BY 1)
@@ -405,8 +411,7 @@ SELECT f.ticker, base AS baseline_c, coalesce(max(bin_ts) FILTER (WHERE idx < pk
  coalesce(min(bin_ts) FILTER (WHERE idx >= pk.i AND abs(c - base) <= 3), max(bin_ts)) AS resolved_ts FROM f JOIN l USING (ticker) GROUP BY f.ticker, base, pk""",
 )
 def _(s, d):
-    spans = v.markets(s, d).select("ticker", F.lit(LO).alias("lo"), F.lit(HI).alias("hi"))
-    return M.spike(v.tape(s, d), spans, HOUR)
+    return M.spike(v.tape(s, d), v.spans(s, d), HOUR)
 
 
 @query(
@@ -432,21 +437,21 @@ def _(s, d):
 
 # ------------------------------------------------------------------ braids, lanes, extracts
 
-_BSTEP = 1200
+_BSTEP = 3600
 
 
 def _braid_spans(s, d):
-    return v.markets(s, d).select("ticker", F.lit(LO).alias("lo"), F.lit(LO + 2 * DAY).alias("hi"))
+    return v.spans(s, d).select("ticker", "lo", "hi")
 
 
 def _braid_hit(alias: str, src: str) -> str:
-    return f"ASOF LEFT JOIN (SELECT * FROM st WHERE source = '{src}' AND ts BETWEEN {LO} AND {LO + 2 * DAY}) {alias} ON g.ticker = {alias}.ticker AND g.bin_ts >= {alias}.ts"
+    return f"ASOF LEFT JOIN (SELECT st.* FROM st JOIN spans USING (ticker) WHERE source = '{src}' AND ts BETWEEN lo AND hi) {alias} ON g.ticker = {alias}.ticker AND g.bin_ts >= {alias}.ts"
 
 
-BRAID = f"""bg AS (SELECT ticker, unnest(range({LO}, {LO + 2 * DAY}, {_BSTEP})) AS bin_ts FROM markets),
-be AS (SELECT ticker, source, arg_min(x, ts) AS first_v, max(ts) AS last_ts FROM st WHERE ts BETWEEN {LO} AND {LO + 2 * DAY} GROUP BY 1, 2),
-bh AS (SELECT g.ticker, g.bin_ts, m.x AS mv, s.x AS sv, b.x AS bv FROM bg g {_braid_hit('m', 'market')} {_braid_hit('s', 'snapshot')} {_braid_hit('b', 'book')}),
-braid AS (SELECT bh.ticker, bin_ts, coalesce(mv, em.first_v) AS market, coalesce(sv, es.first_v) AS snapshot, CASE WHEN bin_ts <= eb.last_ts THEN bv END AS book, CASE WHEN eb.last_ts < {LO + 2 * DAY} THEN eb.last_ts END AS terminated_at,
+BRAID = f"""{v.SPANS}, bg AS (SELECT ticker, hi, unnest(range(lo // {_BSTEP} * {_BSTEP}, hi, {_BSTEP})) AS bin_ts FROM spans),
+be AS (SELECT st.ticker, source, arg_min(x, (ts, id)) AS first_v, max(ts) AS last_ts FROM st JOIN spans USING (ticker) WHERE ts BETWEEN lo AND hi GROUP BY 1, 2),
+bh AS (SELECT g.ticker, g.bin_ts, g.hi, m.x AS mv, s.x AS sv, b.x AS bv FROM bg g {_braid_hit('m', 'market')} {_braid_hit('s', 'snapshot')} {_braid_hit('b', 'book')}),
+braid AS (SELECT bh.ticker, bin_ts, coalesce(mv, em.first_v) AS market, coalesce(sv, es.first_v) AS snapshot, CASE WHEN bin_ts <= eb.last_ts THEN bv END AS book, CASE WHEN eb.last_ts < bh.hi THEN eb.last_ts END AS terminated_at,
   mv, sv FROM bh LEFT JOIN be em ON em.ticker = bh.ticker AND em.source = 'market' LEFT JOIN be es ON es.ticker = bh.ticker AND es.source = 'snapshot' LEFT JOIN be eb ON eb.ticker = bh.ticker AND eb.source = 'book')"""
 _BASE = v.sql(v.TAPE, v.MARKETS, v.QUOTES, _SRC3, BRAID)
 

@@ -12,6 +12,7 @@ from marketlens.plans.registry import query, shape
 from marketlens.session import shared_folder
 from marketlens.sources import normalise as N
 from marketlens.sources import tables as tb
+from marketlens.sources import versions
 
 DAY = 86400
 
@@ -207,6 +208,21 @@ def _(s, d):
     return shape(N.merge_dedupe(one, _batch(s, d, 2), ["trade_id"], ["batch"]), {"trade_id": "long", "count_contracts": 4, "batch": "int"})
 
 
+@query(
+    "s13_versioned_merge",
+    v.sql(v.TAPE)
+    + """SELECT trade_id, round(count_contracts + CASE WHEN trade_id % 10 = 0 AND trade_id % 3 < 2 THEN 1 ELSE 0 END, 4) AS count_contracts,
+  (trade_id % 3 + CASE WHEN trade_id % 10 = 0 AND trade_id % 3 < 2 THEN 1 ELSE 0 END)::INT AS batch, 3 AS version FROM tape""",
+)
+def _(s, d):
+    """Three loads, each sent twice: the second time changes nothing."""
+    root = f"{_folder(s)}/table"
+    for i in (0, 1, 0, 2, 2):
+        at = versions.merge(_batch(s, d, i), root, f"batch-{i}", ["trade_id"], ["batch"])
+    table = versions.read(s, root).withColumn("version", F.lit(at))
+    return shape(table, {"trade_id": "long", "count_contracts": 4, "batch": "int", "version": "int"})
+
+
 @query("s14_snapshot", v.sql(v.TAPE) + "SELECT count(*) AS n_rows, max(created_ts) AS max_ts, min(created_ts) AS min_ts FROM tape")
 def _(s, d):
     return tb.snapshot(v.tape(s, d), f"{_folder(s)}/snapshot", "created_ts")

@@ -9,7 +9,6 @@ from marketlens.plans import views as v
 from marketlens.plans.registry import query, shape
 
 DAY = 86400
-NOON = 1705320000  # 2024-01-15 12:00 UTC, inside every table's month
 
 
 def _trades(s, d):
@@ -225,13 +224,7 @@ def _(s, d):
     return T.resample_last(v.tape(s, d), ["ticker"], "created_ts", "trade_id", "yes_price_usd", 3600, "price")
 
 
-def _day_spans(s, d):
-    """The 24 hours around noon of 15 January, for every ticker."""
-    return v.tape(s, d).select("ticker").distinct().select("ticker", F.lit(NOON - DAY // 2).alias("lo"), F.lit(NOON + DAY // 2 - 60).alias("hi"))
-
-
-_MARKS = f"""marks AS (SELECT ticker, unnest(generate_series({NOON - DAY // 2}, {NOON + DAY // 2 - 600}, 600)) AS bin_ts
-  FROM (SELECT DISTINCT ticker FROM tape))"""
+_MARKS = "marks AS (SELECT ticker, unnest(generate_series(lo // 3600 * 3600, hi // 3600 * 3600, 3600)) AS bin_ts FROM spans)"
 
 
 @query(
@@ -266,24 +259,26 @@ def _(s, d):
 
 @query(
     "t04_value_on_grid",
-    v.sql(v.TAPE, _MARKS)
+    v.sql(v.TAPE, v.MARKETS, v.SPANS, _MARKS)
     + """SELECT m.ticker, bin_ts, yes_price_usd AS price FROM marks m ASOF LEFT JOIN tape t ON m.ticker = t.ticker AND m.bin_ts >= t.created_ts""",
 )
 def _(s, d):
-    g = T.on_grid(v.tape(s, d), _day_spans(s, d), ["ticker"], "created_ts", "trade_id", "yes_price_usd", 600, "price")
+    g = T.on_grid(v.tape(s, d), v.spans(s, d), ["ticker"], "created_ts", "trade_id", "yes_price_usd", 3600, "price")
     return g.select("ticker", "bin_ts", "price")
 
 
 @query(
     "t05_value_on_grid_terminated",
-    v.sql(v.TAPE, v.QUOTES, _MARKS)
-    + f""", q AS (SELECT * FROM quotes WHERE created_ts < {NOON}), e AS (SELECT ticker, max(created_ts) AS terminated_at FROM q GROUP BY ticker)
+    v.sql(v.TAPE, v.MARKETS, v.SPANS, v.QUOTES, _MARKS)
+    + """, q AS (SELECT quotes.* FROM quotes JOIN spans USING (ticker) WHERE created_ts < (lo + hi) // 2), e AS (SELECT ticker, max(created_ts) AS terminated_at FROM q GROUP BY ticker)
 SELECT m.ticker, bin_ts, CASE WHEN bin_ts <= terminated_at THEN prob_raw END AS quote, terminated_at
 FROM (SELECT * FROM marks LEFT JOIN e USING (ticker)) m ASOF LEFT JOIN q ON m.ticker = q.ticker AND m.bin_ts >= q.created_ts""",
 )
 def _(s, d):
-    q = v.quotes(s, d).where(F.col("created_ts") < NOON)
-    g = T.on_grid(q, _day_spans(s, d), ["ticker"], "created_ts", "quote_id", "prob_raw", 600, "quote", terminate=True)
+    """Quotes end halfway through the match."""
+    half = v.spans(s, d).select("ticker", F.floor((F.col("lo") + F.col("hi")) / 2).alias("half"))
+    q = v.quotes(s, d).join(half, "ticker").where("created_ts < half").drop("half")
+    g = T.on_grid(q, v.spans(s, d), ["ticker"], "created_ts", "quote_id", "prob_raw", 3600, "quote", terminate=True)
     return g.select("ticker", "bin_ts", "quote", "terminated_at")
 
 

@@ -536,15 +536,15 @@ def _(s, d):
 
 @query(
     "v36_climb",
-    v.sql(v.TAPE)
-    + """, l AS (SELECT DISTINCT ticker, ticker // 3 AS match_id, ticker % 3 AS leg FROM tape WHERE ticker % 3 IN (0, 2)),
-g AS (SELECT *, unnest(generate_series(0, 144)) AS minute FROM l), m AS (SELECT *, 1705276800 + minute * 600 AS mark FROM g),
-p AS (SELECT m.match_id, m.minute, m.leg, t.yes_price_usd AS price FROM m ASOF LEFT JOIN tape t ON m.ticker = t.ticker AND m.mark >= t.created_ts)
-SELECT match_id, minute, round(minute / 144 * 100, 9) AS progress_pct, max(price) FILTER (WHERE leg = 2) AS tie_price, max(price) FILTER (WHERE leg = 0) AS team1_price FROM p GROUP BY 1, 2""",
+    v.sql(v.TAPE, v.MARKETS, v.SPANS)
+    + """, g AS (SELECT ticker, match_id, ticker % 3 AS leg, lo // 3600 AS h0, hi // 3600 - lo // 3600 AS n, unnest(generate_series(0, hi // 3600 - lo // 3600)) AS minute FROM spans WHERE leg IN ('tie', 'team1')),
+m AS (SELECT *, (h0 + minute) * 3600 AS mark FROM g),
+p AS (SELECT m.match_id, m.minute, m.n, m.leg, t.yes_price_usd AS price FROM m ASOF LEFT JOIN tape t ON m.ticker = t.ticker AND m.mark >= t.created_ts)
+SELECT match_id, minute, round(minute / greatest(n, 1) * 100, 9) AS progress_pct, max(price) FILTER (WHERE leg = 2) AS tie_price, max(price) FILTER (WHERE leg = 0) AS team1_price FROM p GROUP BY 1, 2, n""",
 )
 def _(s, d):
-    spans = v.markets(s, d).where("leg in ('tie', 'team1')").select("match_id", "ticker", "leg", F.lit(1705276800).alias("lo"), F.lit(1705276800 + DAY).alias("hi"))
-    return shape(V.climb(v.tape(s, d), spans, 600), {"match_id": "long", "minute": "long", "progress_pct": 9, "tie_price": None, "team1_price": None})
+    spans = v.spans(s, d).where("leg in ('tie', 'team1')").select("match_id", "ticker", "leg", "lo", "hi")
+    return shape(V.climb(v.tape(s, d), spans, 3600), {"match_id": "long", "minute": "long", "progress_pct": 9, "tie_price": None, "team1_price": None})
 
 
 @query(

@@ -89,6 +89,17 @@ MARKETS = """markets AS (
   FROM tape GROUP BY ticker, series_ticker)"""
 
 
+def spans(spark: SparkSession, d: str) -> DataFrame:
+    """Each market with the time of its match: from the first trade of any of its legs to the last."""
+    m = markets(spark, d)
+    life = m.groupBy("match_id").agg(F.min("open_ts").alias("lo"), F.max("last_ts").alias("hi"))
+    return m.select("match_id", "leg", "ticker", "result").join(life, "match_id")
+
+
+SPANS = """spans AS (
+  SELECT match_id, leg, ticker, result, min(open_ts) OVER (PARTITION BY match_id) AS lo, max(last_ts) OVER (PARTITION BY match_id) AS hi FROM markets)"""
+
+
 def windows(spark: SparkSession, d: str) -> DataFrame:
     """Every error row opens a window of its own market."""
     e = events(spark, d).where(F.col("event_type") == "error")

@@ -79,3 +79,35 @@ def test_null_keys_keep_their_carry(spark):
     df = spark.createDataFrame([(None, 1, 1), (None, 5000, 1), (None, 9000, 1), ("a", 1, 1)], "k string, ts long, x long")
     got = O.running_sum(df, ["k"], ["ts"], F.col("x"), "n")
     assert rows(got.where("k IS NULL"), "ts", "n") == [(1, 1), (5000, 2), (9000, 3)]
+
+
+@pytest.mark.parametrize("kind,values", [("long", [None, 0, 1, -5]), ("string", [None, "", "=", "a"]), ("double", [None, 0.0, 1.5, -2.0]), ("boolean", [None, True, False]), ("date", None)])
+def test_null_keys_are_not_their_filler(spark, kind, values):
+    """A null key is apart from the value that fills it; rows without a time come first."""
+    import datetime
+
+    values = values or [None, datetime.date(1970, 1, 1), datetime.date(2024, 5, 6)]
+    data = [(values[i % len(values)], None if i % 11 == 0 else (i * 7919) % 20_000, i) for i in range(200)]
+    df = spark.createDataFrame(data, f"k {kind}, ts long, id long")
+    w = W.partitionBy("k").orderBy("ts", "id")
+    for got, want in [
+        (O.row_number(df, ["k"], ORDER, "o"), F.row_number().over(w).cast("long")),
+        (O.previous(df, ["k"], ORDER, F.col("id"), "o"), F.lag("id").over(w)),
+    ]:
+        assert got.columns == ["k", "ts", "id", "o"] and got.schema["k"] == df.schema["k"]
+        assert rows(got, "id", "o") == rows(df.withColumn("o", want), "id", "o")
+
+
+def test_rows_shuffle_once(spark, data):
+    """Four exchanges without broadcast: the rows' own, and three of the summary; join and window share the first."""
+    keys = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, x in keys.items():
+        spark.conf.set(k, x)
+    try:
+        got = O.running_sum(data, ["k"], ORDER, F.col("id"), "o")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+    assert plan.count("Exchange hashpartitioning") <= 4

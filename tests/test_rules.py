@@ -128,6 +128,49 @@ def test_devig_sums_to_one(spark):
     assert out[4]["overround_at_ts"] > 1 and out[4]["prob_devig"] > out[2]["prob_devig"]
 
 
+def test_devig_loses_no_quote(spark):
+    q = [
+        (1, None, "b", "h", 1000, 2.0, True), (2, None, "b", None, 1000, 4.0, True), (3, "f", None, "h", 1000, 0.0, True), (4, "f", None, "a", 2000, 2.0, True),
+        (5, "f", None, "h", None, 2.0, True), (6, "f", None, "h", 3000, -1.0, True), (7, "f", "", "h", 3000, 5.0, None), (8, "", "b", "h", 1000, 8.0, True),
+    ]
+    df = spark.createDataFrame(q, "quote_id long, f string, bk string, o string, created_ms long, price_decimal double, active boolean")
+    out = C.devig_async(df, ["f", "bk"], "o")
+    assert out.columns == [*df.columns, "overround_at_ts", "prob_devig"]
+    got = {r["quote_id"]: (r["overround_at_ts"], r["prob_devig"]) for r in out.collect()}
+    assert got[1] == (0.75, pytest.approx(2 / 3)) and got[2] == (0.75, pytest.approx(1 / 3)) and got[8] == (0.125, 1.0)
+    assert got[3] == (0.0, None) and got[4] == (0.5, 1.0) and got[5] == (None, None) and got[6] == (0.5, None) and got[7] == (0.0, None)
+
+
+def test_window_sums_with_overlaps_and_a_hot_market(spark):
+    import random
+
+    r = random.Random(8)
+    trades = [(k, "hot" if k % 3 == 0 else f"m{k % 7}", 1_700_000_000 + r.randrange(400_000), r.randrange(1, 10_000) / 100) for k in range(900)]
+    spans = []
+    for k in range(300):
+        a = 1_700_000_000 + r.randrange(-5_000, 400_000)
+        spans.append((k, r.choice(["hot", "hot", "m1", "m2", "none"]), a, a + r.choice([0, 50, 9_000, 300_000])))
+    spans += [spans[0], (900, "hot", None, 1_700_000_500), (901, None, 1_700_000_000, 1_700_400_000)]
+    t = spark.createDataFrame(trades, "trade_id long, ticker string, created_ts long, count_contracts double")
+    w = spark.createDataFrame(spans, "event long, ticker string, win_start long, win_end long")
+    got = {x["event"]: x for x in V.window_sums(t, w, ["ticker"]).collect()}
+    assert len(got) == 302 and got[900]["n_trades"] is None and (got[901]["contracts"], got[901]["n_trades"]) == (0, 0)
+    for e, m, a, b in spans[:300]:
+        inside = [c for _, k, at, c in trades if k == m and a <= at <= b]
+        assert got[e]["n_trades"] == len(inside) and got[e]["contracts"] == pytest.approx(sum(inside), abs=1e-6)
+    split = {x["in_window"]: x["n_trades"] for x in V.window_split(t, w.where("event < 300"), ["ticker"]).collect()}
+    covered = sum(any(m == k and a <= at <= b for _, m, a, b in spans[:300]) for _, k, at, _ in trades)
+    assert split == {True: covered, False: 900 - covered}
+
+
+def test_lower_half_among_equals(spark):
+    rows_ = [(k, 5.0) for k in range(0, 60_000, 7)] + [(-k, float(k)) for k in range(1, 40)]
+    df = spark.createDataFrame(rows_, "ticker long, dollars double")
+    got = {x["ticker"]: (x["rank"], x["in_lower_half"]) for x in V.lower_half(df).collect()}
+    want = [t for t, _ in sorted(rows_, key=lambda x: (x[1], x[0]))]
+    assert got == {t: (i + 1, i + 1 <= len(want) // 2) for i, t in enumerate(want)}
+
+
 def test_tails_and_pins(spark):
     late_dip = [0.5, 0.98, 0.99, 0.9, 0.99, 0.99]
     t = tape(spark, late_dip).unionByName(tape(spark, [0.5, 0.4, 0.6, 0.5, 0.4], ticker=2)).unionByName(tape(spark, [0.98] * 6, ticker=3))

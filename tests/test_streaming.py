@@ -44,22 +44,66 @@ def test_bars_equal_batch(spark, tmp_path):
     assert got and set(got) <= set(full) and len(got) >= len(full) - 3 * 8
 
 
-def test_alerts_against_walk(spark, tmp_path):
-    _batches(spark, tmp_path)
-    L.run_append(L.closed_bars(_source(spark, tmp_path), "10 minutes"), f"{tmp_path}/bars", f"{tmp_path}/c1", once=True).awaitTermination()
-    bars = spark.readStream.schema(L.bars_schema("long")).parquet(f"{tmp_path}/bars/b-*")
-    L.run_append(L.repricing_alerts(bars, 0.2, 1800), f"{tmp_path}/alerts", f"{tmp_path}/c2", once=True).awaitTermination()
-    got = rows(spark.read.parquet(f"{tmp_path}/alerts/b-*"), "ticker", "alert_ts", "move")
+def _alerts(spark, path, all_rows, **how):
+    """Alerts of the stream with an end marker, and of a plain walk over the bars that hold every row in time."""
+    L.with_timers(spark)
+    far = all_rows[-1][3].replace(year=2030)
+    spark.createDataFrame([(-1, None, 0, far, 0.5, 1.0)], SCHEMA).coalesce(1).write.parquet(f"{path}/in/f9")
+    alerts = L.repricing_alerts(_source(spark, path), how["floor"], how["sep_s"], how["idle_s"], "10 minutes")
+    L.run_append(alerts, f"{path}/alerts", f"{path}/c", once=True).awaitTermination()
+    got = rows(spark.read.parquet(f"{path}/alerts/b-*"), "ticker", "alert_ts", "move")
+    bars = {}
+    for i, ticker, _, at, price, _ in all_rows:
+        start = at.replace(minute=at.minute // 10 * 10, second=0, microsecond=0, tzinfo=None)
+        bars[ticker, start] = max(bars.get((ticker, start), (at, -1, 0)), (at, i, price))
     want = []
-    closed = rows(spark.read.parquet(f"{tmp_path}/bars/b-*"), "ticker", "bar_start", "price")
-    for k in {r[0] for r in closed}:
-        prev = last = None
-        for _, at, p in [r for r in closed if r[0] == k]:
-            if prev is not None and abs(round(p - prev, 9)) >= 0.2 and (last is None or (at - last).total_seconds() >= 1800):
-                want.append((k, at, round(p - prev, 9)))
-                last = at
-            prev = p
-    assert got == sorted(want) and got
+    for k in {t for t, _ in bars}:
+        prev = last = before = None
+        for start in sorted(s for t, s in bars if t == k):
+            p = bars[k, start][2]
+            known = prev is not None and (start - before).total_seconds() <= how["idle_s"]
+            if known and abs(round(p - prev, 9)) >= how["floor"] and (last is None or (start - last).total_seconds() >= how["sep_s"]):
+                want.append((k, start, round(p - prev, 9)))
+                last = start
+            prev, before = p, start
+    return got, sorted(want)
+
+
+def test_alerts_against_walk(spark, tmp_path):
+    """Rows come up to 50 minutes late, within the watermark; the marker closes the last bars."""
+    got, want = _alerts(spark, tmp_path, _batches(spark, tmp_path), floor=0.2, sep_s=1800, idle_s=86_400)
+    assert got == want and got
+
+
+def test_alerts_forget_idle_markets(spark, tmp_path):
+    got, want = _alerts(spark, tmp_path, _batches(spark, tmp_path), floor=0.01, sep_s=0, idle_s=700)
+    longer, _ = _alerts(spark, tmp_path / "again", _batches(spark, tmp_path / "again"), floor=0.01, sep_s=0, idle_s=86_400)
+    assert got == want and len(longer) > len(got) > 0
+
+
+def test_bars_lose_no_late_row(spark, tmp_path):
+    """Rows a day late go to the correction table, replays nowhere; a second run changes nothing."""
+    from datetime import timedelta
+
+    all_rows = _batches(spark, tmp_path)
+    late = [(1000 + i, i % 3, i % 2, all_rows[i][3] - timedelta(days=1), 0.5, 2.0) for i in range(20)]
+    spark.createDataFrame(late + all_rows[:5], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/f5")
+    for _ in range(2):
+        bars = L.bar_writer(spark, f"{tmp_path}/live", 600)
+        L.stream_ingest(_source(spark, tmp_path), f"{tmp_path}/out", f"{tmp_path}/cp", once=True, then=bars).awaitTermination()
+    cols = ("ticker", "bar_ts", "contracts", "n_trades")
+    want = spark.createDataFrame(all_rows + late, SCHEMA).groupBy("ticker", (F.floor(F.unix_seconds("created_at") / 600) * 600).alias("bar_ts"))
+    want = want.agg(F.sum("count_contracts").alias("contracts"), F.count(F.lit(1)).alias("n_trades"))
+    got = L.read_bars(spark, f"{tmp_path}/live")
+    assert rows(got, *cols) == rows(want, *cols)
+    assert got.agg(F.sum("n_late")).first()[0] >= 20
+    kept = L.read_bars(spark, f"{tmp_path}/live", corrections=False)
+    assert kept.agg(F.sum("n_trades")).first()[0] == len(all_rows) + 20 - got.agg(F.sum("n_late")).first()[0]
+    # A retried batch writes the same files.
+    before = rows(got)
+    again = spark.read.parquet(f"{tmp_path}/out").where("batch = 1").drop("batch", "day")
+    L.bar_writer(spark, f"{tmp_path}/live", 600)(again, 1)
+    assert rows(L.read_bars(spark, f"{tmp_path}/live")) == before
 
 
 def test_settlement_watch_emits_once(spark, tmp_path):
