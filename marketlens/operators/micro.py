@@ -6,7 +6,8 @@ count. Tick-level steps use aggregates or the chunked windows of ``functions.ord
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from bisect import bisect_left
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -166,28 +167,30 @@ def latency(events: DataFrame, sources: Mapping[str, tuple[DataFrame, str, str,
     return frame.join(med, ["event_id", "source"], "left").join(first, ["event_id", "source"], "left")
 
 
-def lead_lag(a: DataFrame, b: DataFrame, step: int = MINUTE, max_lag: int = 10, min_bins: int = 20, min_pairs: int = 10) -> DataFrame:
+def lead_lag(a: DataFrame, b: DataFrame, step: int = MINUTE, max_lag: int = 10, min_bins: int = 20, min_pairs: int = 10, keys: Sequence[str] = ("match_id",)) -> DataFrame:
     """Correlation of bar returns at shifted lags; a positive best lag means ``a`` leads.
 
-    ``a``, ``b``: match_id, bin_ts, ret. ``b`` is copied once per lag onto the bar it meets, so
-    the join is an equi join on (match, bar).
+    ``a``, ``b``: the keys (a match, or a match and its leg), bin_ts, ret. ``b`` is copied once per lag onto the bar it
+    meets, so the join is an equi join on (key, bar), and each lag's sums combine map-side.
     """
-    both = a.select("match_id", "bin_ts", F.col("ret").alias("x")).join(b.select("match_id", "bin_ts", F.col("ret").alias("y0")), ["match_id", "bin_ts"]).where("x is not null and y0 is not null")
-    n = both.groupBy("match_id").agg(_n().alias("n_bins")).where(F.col("n_bins") >= min_bins)
+    keys = list(keys)
+    at = [*keys, "bin_ts"]
+    both = a.select(*at, F.col("ret").alias("x")).join(b.select(*at, F.col("ret").alias("y0")), at).where("x is not null and y0 is not null")
+    n = both.groupBy(*keys).agg(_n().alias("n_bins")).where(F.col("n_bins") >= min_bins)
     lags = F.sequence(F.lit(-max_lag), F.lit(max_lag))
-    moved = both.select("match_id", "bin_ts", F.col("y0").alias("y")).withColumn("lag", F.explode(lags)).withColumn("bin_ts", F.col("bin_ts") - F.col("lag") * step)
-    pairs = both.join(moved, ["match_id", "bin_ts"])
+    moved = both.select(*at, F.col("y0").alias("y")).withColumn("lag", F.explode(lags)).withColumn("bin_ts", F.col("bin_ts") - F.col("lag") * step)
+    pairs = both.join(moved, at)
     sx, sy = F.stddev_pop("x"), F.stddev_pop("y")
     flat = (sx < 1e-9) | (sy < 1e-9)
     corr = F.try_divide(F.covar_pop("x", "y"), sx * sy)
-    c = pairs.groupBy("match_id", "lag").agg(F.when((_n() < min_pairs) | flat, F.lit(None)).otherwise(_r(corr, 8)).alias("corr"))
-    g = c.groupBy("match_id").agg(
+    c = pairs.groupBy(*keys, "lag").agg(F.when((_n() < min_pairs) | flat, F.lit(None)).otherwise(_r(corr, 8)).alias("corr"))
+    g = c.groupBy(*keys).agg(
         F.max_by("lag", F.when(F.col("corr").isNotNull(), F.struct(F.col("corr"), -F.col("lag")))).alias("best_lag"),
         F.max("corr").alias("best_corr"),
         F.max(F.when(F.col("lag") == 0, F.col("corr"))).alias("same_bar_corr"),
     )
     lead = F.when(F.col("best_lag") > 0, "a").when(F.col("best_lag") < 0, "b").otherwise("same")
-    return n.join(g, "match_id").where("best_lag is not null").withColumn("leader", lead)
+    return n.join(g, keys).where("best_lag is not null").withColumn("leader", lead)
 
 
 def overshoot(events: DataFrame, t: DataFrame, unit_s: int = MINUTE) -> DataFrame:
@@ -284,13 +287,9 @@ def turning_points(t: DataFrame, min_move: float = 0.05, block: int = 100_000) -
     def summary(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         lv = pdf["smooth"].to_numpy()
-        value, code = np.unique(lv, return_inverse=True)
-        next_at = np.full(len(value), len(lv))
         exits, turns = np.empty(len(lv)), np.zeros(len(lv), dtype="int64")
-        for i in range(len(lv) - 1, -1, -1):
-            k = int(np.where(_far(value, lv[i], min_move), next_at, len(lv)).min())
+        for i, k in _next_far(lv, min_move):
             exits[i], turns[i] = (exits[k], turns[k] + 1) if k < len(lv) else (lv[i], 0)
-            next_at[code[i]] = i
         low, high = (np.flatnonzero(np.append(True, np.diff(f(lv)) != 0)) for f in (np.minimum.accumulate, np.maximum.accumulate))
         at = np.unique(np.concatenate([low, high]))
         return pd.DataFrame({"ticker": pdf["ticker"].iloc[:1], "blk": pdf["blk"].iloc[:1], "price": [lv[at].tolist()], "exit": [exits[at].tolist()], "turns": [turns[at].tolist()]})
@@ -311,6 +310,36 @@ def turning_points(t: DataFrame, min_move: float = 0.05, block: int = 100_000) -
     return t.select("ticker").distinct().join(done, "ticker", "left").na.fill(0, ["n_turns"])
 
 
+def turning_windows(t: DataFrame, search: DataFrame, step: int = 30, spread: float = 0.06, quiet: int = 8, min_move: float = 0.05, block: int = 100_000) -> DataFrame:
+    """Turns inside each market's hot window beside its bounds, duration, ticks, contracts and trade rates (M09 in the window of M08)."""
+    hot = cut(hot_window(t, search, step, spread, quiet))
+    inside = T.between_join(t, hot.select("ticker", (F.col("start_ts") - 1).alias("after"), "end_ts"), ["ticker"], "created_ts", "after", "end_ts").drop("after", "end_ts")
+    turns = turning_points(inside, min_move, block)
+    cols = ["ticker", "start_ts", "end_ts", "duration_min", F.col("n_trades").alias("n_ticks"), "contracts", "n_turns", "trades_per_min", "intensity"]
+    return hot.join(turns, "ticker", "left").na.fill(0, ["n_turns"]).select(*cols)
+
+
+def _next_far(price: np.ndarray, min_move: float) -> Iterator[tuple[int, int]]:
+    """From the last row to the first: the row, and the next one whose price is more than ``min_move`` off (the number of rows if none).
+
+    The next price above a bound is one of the highs that a walk to the right would set anew; these are kept as a
+    falling stack, the lows alike, and searched by halves: n log n in all.
+    """
+    x = np.rint(price * 1e9).astype(np.int64).tolist()
+    d = round(min_move * 1e9)
+    high, high_at, low, low_at = [], [], [], []  # highs as negatives, so that both ascend
+    for i in range(len(x) - 1, -1, -1):
+        v = x[i]
+        a, b = bisect_left(high, -(v + d)) - 1, bisect_left(low, v - d) - 1
+        yield i, min(high_at[a] if a >= 0 else len(x), low_at[b] if b >= 0 else len(x))
+        for kept, at, y in ((high, high_at, -v), (low, low_at, v)):
+            while kept and kept[-1] >= y:
+                kept.pop()
+                at.pop()
+            kept.append(y)
+            at.append(i)
+
+
 def _far(price: np.ndarray, level: float, min_move: float) -> np.ndarray:
     return np.round(np.abs(price - level), 9) > min_move
 

@@ -103,9 +103,9 @@ def window_sums(t: DataFrame, ranges: DataFrame, on: Sequence[str] = (), start:
     marks = ranges.select(F.struct(*ranges.columns).alias("__range"), *on, F.explode(ends).alias("__e")).select("__range", *on, F.col("__e.sign").alias("__sign"), F.col("__e.at").alias("__at"))
     hit = T.asof(marks, run, on, "__at", "__s", {"__cm": "__cm", "__cn": "__cn"})
     known = F.col("__at").isNotNull()
-    part = lambda c: F.when(known, F.col("__sign") * F.coalesce(F.col(c), F.lit(0)))
     copies = F.count(F.lit(1)) / 2
-    both = hit.groupBy("__range").agg((F.sum(part("__cm")) / copies / 10000).alias("contracts"), (F.sum(part("__cn")) / copies).cast("long").alias("n_trades"))
+    total = lambda c: F.when(F.min(known), F.sum(F.col("__sign") * F.coalesce(F.col(c), F.lit(0))) / copies)
+    both = hit.groupBy("__range").agg((total("__cm") / 10000).alias("contracts"), total("__cn").cast("long").alias("n_trades"))
     return both.select("__range.*", "contracts", "n_trades")
 
 

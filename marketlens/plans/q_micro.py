@@ -143,17 +143,17 @@ def _(s, d):
 @query(
     "m06_lead_lag",
     v.sql(v.TAPE, v.MARKETS, v.SPANS, SER, "tv_click AS (SELECT * FROM tape WHERE event_type = 'click')", _series_cte("s2", "tv_click"))
-    + """, a AS (SELECT match_id, a.bin_ts, a.diff AS x, b.diff AS y FROM ser a JOIN s2 b USING (match_id, leg, bin_ts) WHERE leg = 'team1' AND a.diff IS NOT NULL AND b.diff IS NOT NULL),
-n AS (SELECT match_id, count(*) AS n_bins FROM a GROUP BY 1 HAVING count(*) >= 20),
-c AS (SELECT p.match_id, lag, CASE WHEN count(*) >= 10 AND stddev_pop(p.x) >= 1e-9 AND stddev_pop(q.y) >= 1e-9 THEN round(corr(p.x, q.y), 8) END AS c
-  FROM a p CROSS JOIN range(-10, 11) l(lag) JOIN a q ON q.match_id = p.match_id AND q.bin_ts = p.bin_ts + lag * 3600 GROUP BY 1, 2),
-g AS (SELECT match_id, arg_max(lag, struct_pack(c := c, l := -lag)) FILTER (WHERE c IS NOT NULL) AS best_lag, max(c) AS best_corr, max(c) FILTER (WHERE lag = 0) AS same_bar_corr FROM c GROUP BY 1)
-SELECT match_id, n_bins, best_lag::INT AS best_lag, best_corr, same_bar_corr, CASE WHEN best_lag > 0 THEN 'a' WHEN best_lag < 0 THEN 'b' ELSE 'same' END AS leader FROM n JOIN g USING (match_id) WHERE best_lag IS NOT NULL""",
+    + """, a AS (SELECT match_id, leg, a.bin_ts, a.diff AS x, b.diff AS y FROM ser a JOIN s2 b USING (match_id, leg, bin_ts) WHERE a.diff IS NOT NULL AND b.diff IS NOT NULL),
+n AS (SELECT match_id, leg, count(*) AS n_bins FROM a GROUP BY 1, 2 HAVING count(*) >= 20),
+c AS (SELECT p.match_id, p.leg, lag, CASE WHEN count(*) >= 10 AND stddev_pop(p.x) >= 1e-9 AND stddev_pop(q.y) >= 1e-9 THEN round(corr(p.x, q.y), 8) END AS c
+  FROM a p CROSS JOIN range(-10, 11) l(lag) JOIN a q ON q.match_id = p.match_id AND q.leg = p.leg AND q.bin_ts = p.bin_ts + lag * 3600 GROUP BY 1, 2, 3),
+g AS (SELECT match_id, leg, arg_max(lag, struct_pack(c := c, l := -lag)) FILTER (WHERE c IS NOT NULL) AS best_lag, max(c) AS best_corr, max(c) FILTER (WHERE lag = 0) AS same_bar_corr FROM c GROUP BY 1, 2)
+SELECT match_id, leg, n_bins, best_lag::INT AS best_lag, best_corr, same_bar_corr, CASE WHEN best_lag > 0 THEN 'a' WHEN best_lag < 0 THEN 'b' ELSE 'same' END AS leader FROM n JOIN g USING (match_id, leg) WHERE best_lag IS NOT NULL""",
 )
 def _(s, d):
-    a = _series(s, d).where("leg = 'team1'").withColumnRenamed("diff", "ret")
-    b = _series(s, d, v.tape(s, d).where("event_type = 'click'")).where("leg = 'team1'").withColumnRenamed("diff", "ret")
-    return M.lead_lag(a, b, HOUR)
+    a = _series(s, d).withColumnRenamed("diff", "ret")
+    b = _series(s, d, v.tape(s, d).where("event_type = 'click'")).withColumnRenamed("diff", "ret")
+    return M.lead_lag(a, b, HOUR, keys=["match_id", "leg"])
 
 
 @query(
@@ -174,16 +174,21 @@ def _(s, d):
     return shape(out, {"event_id": "long", "direction": None, "contaminated": None, "peak_price": None, "peak_lag_s": "long", "settled": 9, "overshoot": None, "half_life_s": "long"})
 
 
-@query(
-    "m08_hot_window",
-    v.sql(v.TAPE, v.MARKETS)
-    + f""", l AS (SELECT tape.*, open_ts FROM tape JOIN markets USING (ticker)),
+#: The last busy stretch of each market.
+_HOT = f""", l AS (SELECT tape.*, open_ts FROM tape JOIN markets USING (ticker)),
 b AS (SELECT ticker, created_ts // {DAY} * {DAY} AS bin, round(max(yes_price_usd) - min(yes_price_usd), 9) AS rg, count(*) AS n, max(created_ts) AS mx FROM l GROUP BY 1, 2),
 e AS (SELECT ticker, min(bin) AS fb, max(bin) AS eb, max(mx) AS end_ts, sum(n)::BIGINT AS n_all FROM b GROUP BY 1),
 k AS (SELECT b.ticker, bin, lag(bin) OVER (PARTITION BY b.ticker ORDER BY bin) AS pv FROM b JOIN e USING (ticker) WHERE rg >= 0.85 OR bin = eb),
 h AS (SELECT ticker, max(bin) FILTER (WHERE pv IS NULL OR bin - pv > 3 * {DAY}) AS head FROM k GROUP BY 1),
 w AS (SELECT e.ticker, greatest(fb, head - 2 * {DAY}) AS start_ts, end_ts, n_all FROM e JOIN h USING (ticker))
-SELECT w.ticker, start_ts, end_ts, n_all, count(*) AS n_trades, round(sum(count_contracts), 4) AS contracts, round((end_ts - start_ts) / 60, 6) AS duration_min,
+"""
+
+
+@query(
+    "m08_hot_window",
+    v.sql(v.TAPE, v.MARKETS)
+    + _HOT
+    + """SELECT w.ticker, start_ts, end_ts, n_all, count(*) AS n_trades, round(sum(count_contracts), 4) AS contracts, round((end_ts - start_ts) / 60, 6) AS duration_min,
  round(count(*) / greatest((end_ts - start_ts) / 60, 0.5) / nullif(n_all / nullif((end_ts - open_ts) / 60, 0), 0), 8) AS intensity FROM l JOIN w ON l.ticker = w.ticker AND created_ts >= start_ts GROUP BY 1, 2, 3, 4, open_ts""",
 )
 def _(s, d):
@@ -200,20 +205,39 @@ def _(s, d):
     return shape(M.smoothed(v.tape(s, d)), {"trade_id": "long", "ticker": None, "smooth": 9})
 
 
-@query(
-    "m09_turning_points",
-    _rsql(v.TAPE)
-    + """, sm AS (SELECT ticker, row_number() OVER w AS pos, median(yes_price_usd) OVER (PARTITION BY ticker ORDER BY created_ts, trade_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS p FROM tape WINDOW w AS (PARTITION BY ticker ORDER BY created_ts, trade_id)),
+#: Turns of the smoothed line of the ticks in {0}.
+_TURNS = """sm AS (SELECT ticker, row_number() OVER w AS pos, median(yes_price_usd) OVER (PARTITION BY ticker ORDER BY created_ts, trade_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS p FROM {0} WINDOW w AS (PARTITION BY ticker ORDER BY created_ts, trade_id)),
 dd AS (SELECT *, round(p - lag(p) OVER (PARTITION BY ticker ORDER BY pos), 9) AS d FROM sm), mv AS (SELECT ticker, pos, CAST(round(p * 200) AS BIGINT) AS lv, sign(d) AS dir FROM dd WHERE d <> 0),
 fl AS (SELECT ticker, lv, pos, lag(dir) OVER (PARTITION BY ticker ORDER BY pos) AS pd, dir FROM mv), fr AS (SELECT ticker, lv, row_number() OVER (PARTITION BY ticker ORDER BY pos) AS i FROM fl WHERE pd IS NULL OR pd <> dir),
 wk(ticker, i, ext, n) AS (SELECT ticker, 1::BIGINT, lv, 0::BIGINT FROM fr WHERE i = 1 UNION ALL
- SELECT w.ticker, w.i + 1, CASE WHEN abs(f.lv - w.ext) > 10 THEN f.lv ELSE w.ext END, w.n + CASE WHEN abs(f.lv - w.ext) > 10 THEN 1 ELSE 0 END FROM wk w JOIN fr f ON f.ticker = w.ticker AND f.i = w.i + 1)
-SELECT t.ticker, coalesce(max(n), 0)::BIGINT AS n_turns FROM (SELECT DISTINCT ticker FROM tape) t LEFT JOIN wk USING (ticker) GROUP BY 1""",
+ SELECT w.ticker, w.i + 1, CASE WHEN abs(f.lv - w.ext) > 10 THEN f.lv ELSE w.ext END, w.n + CASE WHEN abs(f.lv - w.ext) > 10 THEN 1 ELSE 0 END FROM wk w JOIN fr f ON f.ticker = w.ticker AND f.i = w.i + 1)"""
+
+
+@query(
+    "m09_turning_points",
+    _rsql(v.TAPE) + ", " + _TURNS.format("tape") + " SELECT t.ticker, coalesce(max(n), 0)::BIGINT AS n_turns FROM (SELECT DISTINCT ticker FROM tape) t LEFT JOIN wk USING (ticker) GROUP BY 1",
 )
 def _(s, d):
     return M.turning_points(v.tape(s, d))
 
 
+@query(
+    "m09_turning_windows",
+    _rsql(v.TAPE, v.MARKETS)
+    + _HOT.rstrip()
+    + ", win AS (SELECT l.* FROM l JOIN w ON l.ticker = w.ticker AND created_ts BETWEEN start_ts AND end_ts), "
+    + _TURNS.format("win")
+    + """, tn AS (SELECT ticker, max(n) AS n FROM wk GROUP BY 1)
+SELECT w.ticker, start_ts, end_ts, round((end_ts - start_ts) / 60, 6) AS duration_min, count(*) AS n_ticks, round(sum(count_contracts), 4) AS contracts, coalesce(any_value(tn.n), 0)::BIGINT AS n_turns,
+ round(count(*) / greatest((end_ts - start_ts) / 60, 0.5), 8) AS trades_per_min, round(count(*) / greatest((end_ts - start_ts) / 60, 0.5) / nullif(n_all / nullif((end_ts - open_ts) / 60, 0), 0), 8) AS intensity
+FROM win JOIN w USING (ticker) LEFT JOIN tn ON tn.ticker = w.ticker GROUP BY w.ticker, start_ts, end_ts, n_all, open_ts""",
+)
+def _(s, d):
+    search = v.markets(s, d).select("ticker", F.col("open_ts").alias("lo"))
+    out = M.turning_windows(v.tape(s, d), search, DAY, 0.85, 2)
+    return shape(out, {"ticker": None, "start_ts": "long", "end_ts": "long", "duration_min": 6, "n_ticks": "long", "contracts": 4, "n_turns": "long", "trades_per_min": 8, "intensity": 8})
+
+
 # Uniform prices never settle in a 3-cent band: a wide band exercises the same rule.
 HIGH, LOW = (0.2, 1.01), (-0.01, 0.8)
 TAILS = """tj AS (SELECT t.*, result, CASE WHEN result = 'yes' THEN yes_price_usd BETWEEN 0.2 AND 1.01 ELSE yes_price_usd BETWEEN -0.01 AND 0.8 END AS inb,
