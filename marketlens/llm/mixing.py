@@ -5,19 +5,25 @@ documents by ascending key draws them without replacement in proportion to quali
 is e whole sizes and a rest takes every document e times, then by key each document that still fits the rest.
 Within a source the order is cut into ranges of the key whose sums are added up first; only the range in
 which the rest first runs out is put in order row by row, and after it only the few documents of each size that
-the gap has room for, so no task holds a source.
+the gap has room for, so no task holds a source. Ranges are steps of the key's logarithm, so that they hold alike shares
+of a source whatever the scale of its weights.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketlens.session import cut
 
-#: Key ranges of a source. The sums have at most this many rows for each source.
-RANGES = 4096
+#: Key ranges for each doubling of the key: none holds more than about a 4,000th of its source, and those of small keys
+#: are empty but for a few.
+RANGES = 1024
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -46,7 +52,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     )
 
 
-def mix(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+def mix(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, tie: str | None = None) -> DataFrame:
     """From (doc_id, source, size, weight): the same rows with the weight used, source_size, target and copies.
 
     ``copies`` is how often the mix takes the document whole: the complete epochs of its source, and one
@@ -55,86 +61,110 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1
     the one document left out whose size comes nearest to the gap is taken too, if that brings the source nearer
     to its target; where closing the walk some documents earlier comes nearer still, it ends there.
     Null or non-positive weights count as the least weight 1e-6, null sizes as 0; null sources are one
-    source. Equal keys go by id, then size. Empty documents are taken with the epochs only. Reruns agree.
-    ``sized`` is read several times: hand in a written table or a cheap plan.
+    source. Equal keys go by id, then size; of rows equal in all that, those first by the column ``tie``, if one is named,
+    are taken. Empty documents are taken with the epochs only. Reruns agree. Further columns stay, but those named as the
+    results give way. ``sized`` is read several times: hand in a written table or a cheap plan.
     """
+    own = [c for c in sized.columns if c not in ("doc_id", "source", "size", "weight", "source_size", "target", "copies")]
     u = (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     weight = F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(1e-6))
+    named = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))  # a source that is never null
     keyed = (
-        sized.select("doc_id", F.col("source"), F.coalesce("size", F.lit(0)).cast("long").alias("size"), weight.alias("weight"))
-        .withColumn("key", -F.log(u) / F.col("weight"))
-        .withColumn("range", F.least((F.lit(RANGES) * (1 - F.exp(-F.col("key")))).cast("int"), F.lit(RANGES - 1)))
+        sized.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"), weight.alias("weight"), *own)
+        .withColumn("__s", named)
+        .withColumn("__key", -F.log(u) / F.col("weight"))
+        .withColumn("__range", F.floor(F.log2("__key") * RANGES).cast("int"))
     )
-    sums = keyed.groupBy("source", "range").agg(F.sum("size").alias("s"))
-    of_source = sums.groupBy("source").agg(F.sum("s").alias("source_size"))
-    plan = targets(of_source, weights, share, most)
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    running = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    ranges = sums.withColumn("before", F.coalesce(F.sum("s").over(running), F.lit(0))).alias("r")
-    p = plan.alias("p")
-    ranges = ranges.join(p, same(F_("r"), F_("p"))).select("r.*", "source_size", "target")
+    sums = keyed.groupBy("__s", "source", "__range").agg(F.sum("size").alias("s"))
+    running = W.partitionBy("__s").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    sums = cut(sums.withColumn("before", F.coalesce(F.sum("s").over(running), F.lit(0))))
+    plan = targets(sums.groupBy("source").agg(F.sum("s").alias("source_size")), weights, share, most).withColumn("__s", named)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    ranges = cut(ranges.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")))
-    k, r = keyed.alias("k"), ranges.alias("r")
-    rows = k.join(r, same(F_("k"), F_("r")) & (F.col("k.range") == F.col("r.range"))).select("k.*", "s", "before", "source_size", "target", "epochs", "rest")
+    plan = plan.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    ranges = cut(sums.drop("source").join(plan.drop("source"), "__s"))
+    rows = keyed.join(ranges, ["__s", "__range"])
     inside = F.col("before") + F.col("s") <= F.col("rest")
     edge = ~inside & (F.col("before") < F.col("rest"))
-    in_range = W.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    cols = ["doc_id", "source", "size", "weight", "key", "range", "source_size", "target", "epochs", "rest"]
-    edged = rows.where(edge).withColumn("upto", F.col("before") + F.sum("size").over(in_range)).select(*cols, (F.col("upto") <= F.col("rest")).alias("taken"))
-    chosen = cut(rows.where(~edge).select(*cols, inside.alias("taken")).unionByName(edged))
-    c = chosen.alias("c")
-    gaps = chosen.groupBy("source").agg((F.first("rest") - F.coalesce(F.sum(F.when(F.col("taken"), F.col("size"))), F.lit(0))).alias("gap")).alias("g")
-    left = c.join(gaps, same(F_("c"), F_("g"))).where(~F.col("taken") & (F.col("size") > 0)).select("c.*", "gap")
-    k = cut(fill(left)).alias("k")
-    same_row = same(F_("c"), F_("k")) & (F.col("c.key") == F.col("k.key")) & F.col("c.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("c.size") == F.col("k.size")) & ~F.col("c.taken")
+    in_range = W.partitionBy("__s", "__range").orderBy("__key", "doc_id", "size", *([tie] if tie else [])).rowsBetween(W.unboundedPreceding, 0)
+    cols = ["doc_id", "source", "size", "weight", *own, "__s", "__key", "__range", "source_size", "target", "epochs", "rest"]
+    edged = rows.where(edge).withColumn("upto", F.col("before") + F.sum("size").over(in_range)).select(*cols, (F.col("upto") <= F.col("rest")).alias("__taken"))
+    chosen = cut(rows.where(~edge).select(*cols, inside.alias("__taken")).unionByName(edged))
+    picks = fill(chosen)
+    same = ["__s", "__key", "doc_id", "size"]
+    c, k = chosen.alias("c"), picks.alias("k")
+    same_row = (F.col("c.__s") == F.col("k.__s")) & (F.col("c.__key") == F.col("k.__key")) & F.col("c.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("c.size") == F.col("k.size")) & ~F.col("c.__taken")
+    met = c.join(k, same_row, "left").select("c.*", "times")
     # Of rows that are equal throughout, as many as were picked.
-    nth = F.row_number().over(W.partitionBy("source", "key", "doc_id", "size").orderBy("key"))
-    hit = c.join(k, same_row).select("c.*", "times").withColumn("picked", nth <= F.col("times")).drop("times")
-    every = c.join(k, same_row, "left_anti").withColumn("picked", F.lit(False)).unionByName(hit)
-    more_once = (F.col("taken") & (F.col("size") > 0)) | F.col("picked")
-    return every.select("doc_id", "source", "size", "weight", "source_size", "target", (F.col("epochs") + more_once.cast("long")).alias("copies"))
+    nth = F.row_number().over(W.partitionBy(*same).orderBy(*([tie] if tie else ["__key"])))
+    hit = met.where("times IS NOT NULL").withColumn("__picked", nth <= F.col("times"))
+    every = met.where("times IS NULL").withColumn("__picked", F.lit(False)).unionByName(hit)
+    more_once = (F.col("__taken") & (F.col("size") > 0)) | F.col("__picked")
+    return every.select("doc_id", "source", "size", "weight", *own, "source_size", "target", (F.col("epochs") + more_once.cast("long")).alias("copies"))
 
 
-def fill(left: DataFrame) -> DataFrame:
-    """From (source, key, doc_id, size, range, gap): what a walk by key takes if it takes each row that still fits, and
-    the row that closes it: (source, key, doc_id, size, times).
+def fill(chosen: DataFrame) -> DataFrame:
+    """What a walk by key through the rows not taken yet takes if it takes each that still fits, and the row that closes
+    it: (__s, __key, doc_id, size, times), written.
 
     Only rows that could be taken are walked, counted per source, size and range: of one size at most gap / size fit,
     one more may close, and these are the first by key. So a walk sees about gap * ln(gap) rows and what else is in
-    the last range of each size; the gap is less than one document, whatever the number of documents.
+    the last range of each size; the gap is less than one document, whatever the number of documents. It takes time in
+    proportion to them, but for a search among the distinct sizes.
     """
-    fits = left.where(F.col("size") < 2 * F.col("gap"))
-    running = W.partitionBy("source", "size").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    counts = fits.groupBy("source", "size", "range").agg(F.count(F.lit(1)).alias("n"), F.first("gap").alias("gap"))
+    gaps = chosen.groupBy("__s").agg((F.first("rest") - F.coalesce(F.sum(F.when(F.col("__taken"), F.col("size"))), F.lit(0))).alias("gap"))
+    gaps = cut(gaps)
+    fits = chosen.where(~F.col("__taken") & (F.col("size") > 0)).join(gaps, "__s").where(F.col("size") < 2 * F.col("gap"))
+    running = W.partitionBy("__s", "size").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    counts = fits.groupBy("__s", "size", "__range").agg(F.count(F.lit(1)).alias("n"), F.first("gap").alias("gap"))
     near = counts.withColumn("n_before", F.coalesce(F.sum("n").over(running), F.lit(0))).where(F.col("n_before") * F.col("size") <= F.col("gap"))
-    f, n = fits.alias("f"), near.alias("n")
-    walk = f.join(n, F.col("f.source").eqNullSafe(F.col("n.source")) & (F.col("f.size") == F.col("n.size")) & (F.col("f.range") == F.col("n.range")), "left_semi")
-    walks = walk.groupBy("source").agg(F.first("gap").alias("gap"), F.sort_array(F.collect_list(F.struct("key", "doc_id", "size"))).alias("rows"))
-    walks = walks.withColumn("at", F.transform("rows", lambda x, i: F.struct(x["size"].alias("size"), i.alias("i"))))
-    start = F.struct(F.array("gap").alias("gaps"), F.array().cast("array<int>").alias("took"))
-    open_ = lambda a: F.element_at(a["gaps"], -1)
-    step = lambda a, x: F.when(
-        x["size"] <= open_(a), F.struct(F.concat(a["gaps"], F.array(open_(a) - x["size"])).alias("gaps"), F.concat(a["took"], F.array(x["i"])).alias("took"))
-    ).otherwise(a)
-    walked = walks.withColumn("a", F.aggregate("at", start, step)).select("source", "rows", "at", "a.gaps", "a.took")
-
-    def closed(gap, j):
-        """The walk's first j rows and the nearest other one: how far off, the longer walk first, and that row."""
-        off = lambda x: F.abs(gap - x["size"])
-        open_rows = F.filter("at", lambda x: (off(x) < gap) & ~F.array_contains(F.slice("took", F.lit(1), j), x["i"]))
-        last = F.array_min(F.transform(open_rows, lambda x: F.struct(off(x).alias("off"), x["i"].alias("i"))))
-        return F.struct(F.coalesce(last["off"], gap).alias("off"), (-j).alias("less"), last["i"].alias("i"))
-
-    best = walked.withColumn("best", F.array_min(F.transform("gaps", closed)))
-    picked = F.concat(F.slice("took", F.lit(1), -F.col("best.less")), F.filter(F.array("best.i"), lambda i: i.isNotNull()))
-    rows = best.select("source", F.explode(F.transform(picked, lambda i: F.col("rows")[i])).alias("x")).select("source", "x.*")
-    return rows.groupBy("source", "key", "doc_id", "size").agg(F.count(F.lit(1)).alias("times"))
-
-
-class F_:  # noqa: N801 - columns of an aliased side
-    def __init__(self, side: str):
-        self.side = side
-
-    def __getitem__(self, name: str):
-        return F.col(f"{self.side}.{name}")
+    walk = fits.join(near.select("__s", "size", "__range"), ["__s", "size", "__range"], "left_semi")
+    walk = walk.select("__s", "gap", F.col("__key").alias("key"), "doc_id", "size")
+    kind = fits.schema["doc_id"].dataType.simpleString()
+    picks = walk.groupBy("__s").applyInArrow(_walk, f"__s string, __key double, doc_id {kind}, size long, times long")
+    return cut(picks)
+
+
+def _walk(t: pa.Table) -> pa.Table:
+    """One source's walk and its close."""
+    t = t.sort_by([("key", "ascending"), ("doc_id", "ascending"), ("size", "ascending")]) if t["doc_id"].null_count == 0 else _nulls_first(t)
+    sizes = t["size"].to_pylist()
+    gap = t["gap"][0].as_py()
+    gaps, took = [gap], []
+    for i, n in enumerate(sizes):
+        if n <= gap:
+            gap -= n
+            took.append(i)
+            gaps.append(gap)
+    # Ends of the walk from its last document back: rows open by size, first by key; nearest size to the gap.
+    distinct = sorted(set(sizes))
+    open_: dict[int, list[int]] = {n: [] for n in distinct}
+    gone = set(took)
+    for i in range(len(sizes) - 1, -1, -1):
+        if i not in gone:
+            open_[sizes[i]].append(i)  # the first by key at the end
+    best = None
+    for j in range(len(took), -1, -1):
+        if j < len(took):
+            # Documents given back come before all that were passed over later, and among equals of one size a walk
+            # takes the first, so this one is the first open one of its size.
+            open_[sizes[took[j]]].append(took[j])
+        g = gaps[j]
+        at = bisect_left(distinct, g)
+        up, down = at, at - 1
+        while up < len(distinct) and not open_[distinct[up]]:
+            up += 1
+        while down >= 0 and not open_[distinct[down]]:
+            down -= 1
+        ends = [(abs(g - distinct[k]), open_[distinct[k]][-1]) for k in (down, up) if 0 <= k < len(distinct) and abs(g - distinct[k]) < g]
+        off, i = min(ends, default=(g, None))
+        if best is None or off < best[0]:
+            best = (off, j, i)
+    _, j, i = best
+    picked = took[:j] + ([i] if i is not None else [])
+    out = t.take(pa.array(picked, pa.int64()))
+    same = out.select(["__s", "key", "doc_id", "size"]).group_by(["__s", "key", "doc_id", "size"]).aggregate([([], "count_all")])
+    return pa.Table.from_arrays([same["__s"], same["key"], same["doc_id"], same["size"].cast(pa.int64()), same["count_all"]], ["__s", "__key", "doc_id", "size", "times"])
+
+
+def _nulls_first(t: pa.Table) -> pa.Table:
+    return t.append_column("none", pa.array(np.asarray(t["doc_id"].is_valid()))).sort_by([("key", "ascending"), ("none", "ascending"), ("doc_id", "ascending"), ("size", "ascending")]).drop_columns(["none"])

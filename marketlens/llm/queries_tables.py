@@ -26,7 +26,7 @@ def sized(docs: DataFrame) -> DataFrame:
 SQL_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')"
 
 _MIX_SQL = rf"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, len({SQL_WORDS})::BIGINT AS size,
     length(translate(v, '#*$%&|<>', '')) / greatest(length(v), 1)::DOUBLE AS w
   FROM (SELECT *, regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]', '', 'g') AS v FROM documents)
@@ -51,13 +51,28 @@ WITH d AS (
   FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source
 ), g AS (
   SELECT source, any_value(rest) - coalesce(sum(size) FILTER (WHERE upto <= rest), 0) AS gap FROM r GROUP BY source
+), f AS (
+  SELECT r.source IS NULL AS none, coalesce(r.source, '') AS src, doc_id, size, gap, row_number() OVER (PARTITION BY r.source ORDER BY key, doc_id NULLS FIRST, size) AS rn
+  FROM r JOIN g ON r.source IS NOT DISTINCT FROM g.source WHERE upto > rest AND size > 0
+), w AS (
+  SELECT none, src, 0 AS j, 0::BIGINT AS rn, any_value(gap) AS gap FROM f GROUP BY none, src
+  UNION ALL
+  SELECT w.none, w.src, w.j + 1, min(f.rn), arg_min(w.gap - f.size, f.rn)
+  FROM w JOIN f ON w.none = f.none AND w.src = f.src AND f.rn > w.rn AND f.size <= w.gap GROUP BY w.none, w.src, w.j
+), e AS (
+  SELECT w.none, w.src, w.j, f.rn, abs(w.gap - f.size) AS off FROM w JOIN f ON w.none = f.none AND w.src = f.src AND abs(w.gap - f.size) < w.gap
+  WHERE NOT EXISTS (SELECT 1 FROM w AS t WHERE t.none = f.none AND t.src = f.src AND t.rn = f.rn AND t.j <= w.j)
+  UNION ALL SELECT none, src, j, NULL, gap FROM w
 ), b AS (
-  SELECT r.source, arg_min(doc_id, (abs(gap - size), key, doc_id)) AS best FROM r JOIN g ON r.source IS NOT DISTINCT FROM g.source
-  WHERE upto > rest AND size > 0 AND abs(gap - size) < gap GROUP BY r.source
+  SELECT none, src, j, rn FROM e QUALIFY row_number() OVER (PARTITION BY none, src ORDER BY off, j DESC, rn) = 1
+), p AS (
+  SELECT none, src, rn FROM b WHERE rn IS NOT NULL UNION ALL SELECT w.none, w.src, w.rn FROM w JOIN b ON w.none = b.none AND w.src = b.src AND w.j BETWEEN 1 AND b.j
+), x AS (
+  SELECT f.doc_id, f.none, f.src FROM f JOIN p ON f.none = p.none AND f.src = p.src AND f.rn = p.rn
 )
-SELECT doc_id, size, coalesce(source_size, 0)::BIGINT AS source_size, target,
-  (size * (coalesce(epochs, 0) + (upto <= rest OR coalesce(doc_id = best, false))::INT))::BIGINT AS taken
-FROM r LEFT JOIN b ON r.source IS NOT DISTINCT FROM b.source
+SELECT r.doc_id, r.size, coalesce(source_size, 0)::BIGINT AS source_size, target,
+  (r.size * (coalesce(epochs, 0) + (upto <= rest OR x.src IS NOT NULL)::INT))::BIGINT AS taken
+FROM r LEFT JOIN x ON r.doc_id = x.doc_id AND (r.source IS NULL) = x.none AND coalesce(r.source, '') = x.src
 """
 
 
