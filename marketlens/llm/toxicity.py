@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marketlens.session import cut
+
 #: The largest samples that a fit uses.
 MOST_POSITIVE, MOST_UNLABELLED = 4_000, 12_000
 #: Hashed features; a document has at most this many.
@@ -68,16 +70,36 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
-    """Adam on the non-negative risk over the whole sample. No positive document: no weights, and the prior as score."""
-    prior = float(np.clip(prior, 1e-3, 0.5))
-    bias = float(np.log(prior / (1 - prior)))
-    n_p, n_u = max(1, len(positive)), max(1, len(unlabelled))
-    in_p, in_u = (np.bincount(np.concatenate([*rows, np.empty(0, np.int32)]), minlength=1 << BITS) for rows in (positive, unlabelled))
+def choose(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int, prior: float) -> np.ndarray:
+    """The features that get a weight, from how many positive and unlabelled documents have each."""
+    n_p, n_u = max(1, n_p), max(1, n_u)
     both = (in_p + in_u) / (n_p + n_u)
     above = (in_p / n_p - in_u / n_u) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n_p + 1 / n_u))
     lift = (in_p / n_p) >= min(LIFT, 0.5 / prior) * in_u / n_u
-    feature = np.flatnonzero((in_p >= LEAST) & (above >= ERRORS) & lift)
+    return np.flatnonzero((in_p >= LEAST) & (above >= ERRORS) & lift)
+
+
+def clipped(prior: float) -> float:
+    return float(np.clip(prior, 1e-3, 0.5))
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
+    """Choose features and train on the features of each document of the sample."""
+    in_p, in_u = (np.bincount(np.concatenate([*rows, np.empty(0, np.int32)]), minlength=1 << BITS) for rows in (positive, unlabelled))
+    feature = choose(in_p, in_u, len(positive), len(unlabelled), clipped(prior))
+    return descend(positive, unlabelled, clipped(prior), feature)
+
+
+def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    """The toxic and the corrected clean part of the risk, from the margins of positive and unlabelled documents."""
+    soft = lambda z: np.logaddexp(0, z)
+    return prior * soft(-zp).mean(), soft(zu).mean() - prior * soft(zp).mean()
+
+
+def descend(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, feature: np.ndarray) -> Model:
+    """Adam on the non-negative risk over the whole sample, features other than ``feature`` left out. No positive
+    document: no weights, and the prior as score."""
+    bias = float(np.log(prior / (1 - prior)))
     if not len(feature) or not unlabelled:
         return Model(np.empty(0, np.int64), np.empty(0), bias)
     index = np.full(1 << BITS, -1)
@@ -90,21 +112,8 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
     p, u = sparse(positive), sparse(unlabelled)
     w, b = np.zeros(len(feature)), bias
     m, v = np.zeros(len(feature) + 1), np.zeros(len(feature) + 1)
-
-    def margins(x):
-        return np.bincount(x[1], w[x[0]], x[2]) + b
-
-    def back(x, g):
-        return np.append(np.bincount(x[0], g[x[1]], len(feature)), g.sum())
-
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-    soft = lambda z: np.logaddexp(0, z)
     for step in range(1, STEPS + 1):
-        zp, zu = margins(p), margins(u)
-        clean = soft(zu).mean() - prior * soft(zp).mean()
-        g_clean = back(u, sigmoid(zu) / u[2]) - prior * back(p, sigmoid(zp) / p[2])
-        g_toxic = prior * back(p, -sigmoid(-zp) / p[2])
-        g = g_toxic + g_clean if clean >= -SLACK * prior else -g_clean
+        g = gradient(w, b, p, u, prior)
         g[:-1] += DECAY * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         d = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -113,6 +122,19 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
     return Model(feature[big], w[big], float(b))
 
 
+def gradient(w: np.ndarray, b: float, p: tuple, u: tuple, prior: float) -> np.ndarray:
+    """Of the risk by weights and bias; of the clean part turned round where that fell further below zero than allowed.
+    ``p`` and ``u`` are (feature, document, documents) of each set's entries."""
+    margins = lambda x: np.bincount(x[1], w[x[0]], x[2]) + b
+    back = lambda x, g: np.append(np.bincount(x[0], g[x[1]], len(w)), g.sum())
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+    zp, zu = margins(p), margins(u)
+    _, clean = risk(zp, zu, prior)
+    g_clean = back(u, sigmoid(zu) / u[2]) - prior * back(p, sigmoid(zp) / p[2])
+    g_toxic = prior * back(p, -sigmoid(-zp) / p[2])
+    return g_toxic + g_clean if clean >= -SLACK * prior else -g_clean
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose labels are never learnt from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -123,16 +145,37 @@ def _sampled(ids: DataFrame, most: int) -> DataFrame:
     return ids.where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def _features(docs: DataFrame, ids: DataFrame) -> list[np.ndarray]:
+def _features(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, f) with the features of each sampled document, written; of rows that repeat an id the one whose features
+    come first counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, list[int]] = {}
         for b in batches:
-            got = [present(t, memo).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], ["doc_id", "f"])
+            got = [present(t, memo) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int32()))], ["doc_id", "f"])
 
     # The ids number MOST_POSITIVE or MOST_UNLABELLED at most.
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInArrow(run, "doc_id long, f binary")
-    return [np.frombuffer(r["f"], np.int32) for r in rows.dropDuplicates(["doc_id", "f"]).orderBy("doc_id", "f").limit(2 * MOST_UNLABELLED).toLocalIterator()]
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInArrow(run, "doc_id long, f array<int>")
+    return cut(rows.groupBy("doc_id").agg(F.min("f").alias("f")))
+
+
+def _counts(rows: DataFrame) -> np.ndarray:
+    """How many documents have each feature, added up by Spark; ``1 << BITS`` numbers at most come back."""
+    t = rows.select(F.explode("f").alias("x")).groupBy("x").count().toArrow()
+    return np.bincount(np.asarray(t["x"]), np.asarray(t["count"]), 1 << BITS).astype(np.int64)
+
+
+def _chosen(rows: DataFrame, feature: np.ndarray) -> list[np.ndarray]:
+    """Of each sampled document the features that get a weight; few of its features do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [np.intersect1d(np.array(f, np.int32), feature).astype(np.int32) for f in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int32()))], ["doc_id", "f"])
+
+    t = rows.mapInArrow(run, "doc_id long, f array<int>").orderBy("doc_id").toArrow()
+    return [np.array(f, np.int32) for f in t["f"].to_pylist()]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -140,14 +183,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     The prior is the share of toxic ones among the labels less one standard error, as too large a prior
     would correct clean text away. Null labels and ids are ignored; an id with two
-    labels counts as toxic if one says so."""
+    labels counts as toxic if one says so. Features are counted by Spark over the sample, and only those that get a
+    weight come to the driver."""
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     told = marks.agg(F.avg(F.col("toxic").cast("double")).alias("p"), F.count(F.lit(1)).alias("n")).first()
     share = told["p"] - (told["p"] * (1 - told["p"]) / told["n"]) ** 0.5 if told["n"] else 0.0
     positive = _features(docs, _sampled(marks.where("toxic = 1").select("doc_id"), MOST_POSITIVE))
     pool = docs.where(~held_out(F.col("doc_id"))).select("doc_id")
     unlabelled = _features(docs, _sampled(pool, MOST_UNLABELLED))
-    return fit(positive, unlabelled, share)
+    feature = choose(_counts(positive), _counts(unlabelled), positive.count(), unlabelled.count(), clipped(share))
+    return descend(_chosen(positive, feature), _chosen(unlabelled, feature), clipped(share), feature)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

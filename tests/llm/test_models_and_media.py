@@ -121,7 +121,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
             kept[i] = (left, kept[i][1])
             if gone == n:
                 del kept[i]
-    from corpus_pipeline import sized
+    from marketlens.llm.queries_tables import sized
 
     plain = spark.createDataFrame([(i, t, s) for i, (t, s) in kept.items()], "doc_id long, text string, source string")
     copies = {r["doc_id"]: r["copies"] for r in mixing.mix(sized(plain)).collect()}
@@ -133,3 +133,52 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         want += [(i, len(ids), sha(" ".join(map(str, ids))), sha(lib.decode(ids, skip_special_tokens=False)))] * copies[i]
     assert rows(corpus_pipeline.run(spark, str(tmp_path))) == sorted(want)
     assert want and len(kept) < 300 and max(len(words(t)) for t, _ in kept.values()) > 5
+
+
+def test_risk_and_gradient_equal_plain_sums():
+    """The corrected risk by hand, and its gradient by differences, on both sides of the turn."""
+    import math
+
+    r = np.random.default_rng(1)
+    docs = lambda n: [np.sort(r.choice(6, r.integers(0, 6), replace=False)).astype(np.int32) for _ in range(n)]
+    sparse = lambda rows: (np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(x) for x in rows]), len(rows))
+    soft = lambda z: math.log1p(math.exp(z))
+    turned = set()
+    for prior in (0.05, 0.3, 0.5):
+        p, u = docs(9), docs(30)
+        w, b = r.normal(size=6) * 4, float(r.normal())
+
+        def parts(w, b, p=p, u=u, prior=prior):
+            margin = lambda d: sum(w[f] for f in d) + b
+            toxic = prior * sum(soft(-margin(d)) for d in p) / len(p)
+            clean = sum(soft(margin(d)) for d in u) / len(u) - prior * sum(soft(margin(d)) for d in p) / len(p)
+            return toxic, clean
+
+        margins = [np.array([sum(w[f] for f in d) + b for d in rows]) for rows in (p, u)]
+        assert toxicity.risk(*margins, prior) == pytest.approx(parts(w, b))
+        back = parts(w, b)[1] < -toxicity.SLACK * prior
+        turned.add(back)
+        goal = lambda w, b: -parts(w, b)[1] if back else sum(parts(w, b))
+        h = 1e-6
+        want = [(goal(w + h * e, b) - goal(w - h * e, b)) / (2 * h) for e in np.eye(6)] + [(goal(w, b + h) - goal(w, b - h)) / (2 * h)]
+        assert np.allclose(toxicity.gradient(w, b, sparse(p), sparse(u), prior), want, atol=1e-6)
+    # All margins of the positive documents high, those of the unlabelled ones low: the corrected part is negative.
+    p, u, w = [np.array([0], np.int32)] * 3, [np.array([1], np.int32)] * 3, np.array([9.0, -9.0])
+    assert toxicity.risk(np.full(3, 9.0), np.full(3, -9.0), 0.5)[1] < -toxicity.SLACK * 0.5
+    flipped = toxicity.gradient(w, 0.0, sparse(p), sparse(u), 0.5)
+    assert flipped[0] > 0  # as minus the clean part's gradient is; the risk's own would be negative
+
+
+def test_sample_counts_equal_a_plain_fit(spark):
+    """Features counted by Spark and chosen on the driver give the model that fit() gives on all features."""
+    docs, marks = corpus(400)
+    df = spark.createDataFrame(docs, DOCS)
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    got = toxicity.train(df, labels)
+    memo = {}
+    bad = {i for i, m in marks if m}
+    p = [toxicity.present(t, memo) for i, t in docs if i in bad]
+    u = [toxicity.present(t, memo) for i, t in docs if zlib.crc32(str(i).encode()) % 4 != 2]
+    share = len(bad) / len(marks)
+    want = toxicity.fit(p, u, share - (share * (1 - share) / len(marks)) ** 0.5)
+    assert got.feature.tolist() == want.feature.tolist() and np.allclose(got.weight, want.weight) and got.bias == pytest.approx(want.bias)
