@@ -223,3 +223,45 @@ def test_pipeline_mix_gives_each_row_its_own_copies(spark):
         epochs.setdefault(x["source"], []).append(x["copies"])
     for _, _, _, s, k in docs[:240]:
         assert min(epochs[s]) <= times[k] <= max(epochs[s])
+
+
+def test_mix_walks_many_short_documents_at_once(spark):
+    """One document longer than the rest, and 20,000 of one word: the walk takes as many as fit, in seconds."""
+    import time
+
+    docs = [(k, "a", 1, 1.0) for k in range(20_000)] + [(-1, "a", 20_000, 1e3)]  # the long one comes first by key
+    df = spark.createDataFrame(docs, "doc_id long, source string, size long, weight double").repartition(4)
+    start = time.time()
+    got = mixing.mix(df, share=0.45).collect()
+    assert time.time() - start < 60
+    assert sum(x["copies"] * x["size"] for x in got) == 18_000 and all(x["copies"] == 0 for x in got if x["doc_id"] == -1)
+
+
+def test_mix_with_small_weights(spark):
+    """Ranges follow the scale of the keys: with all weights at 1e-3 the choice is that of weights of 1."""
+    r = random.Random(3)
+    docs = [(k, f"s{k % 2}", r.randrange(1, 50)) for k in range(3000)]
+    schema = "doc_id long, source string, size long, weight double"
+    small, one = (mixing.mix(spark.createDataFrame([(*d, w) for d in docs], schema), share=0.4) for w in (1e-3, 1.0))
+    assert rows(small, "doc_id", "copies") == rows(one, "doc_id", "copies")
+    for x in small.groupBy("source").agg(F.first("target").alias("t"), F.sum(F.col("copies") * F.col("size")).alias("n")).collect():
+        assert abs(x["t"] - x["n"]) <= 1
+
+
+def test_mix_keeps_columns_and_breaks_ties(spark):
+    same = [(1, "a", 10, 1.0, k) for k in range(10)] + [(None, None, 10, 1.0, 50 + k) for k in range(4)]
+    df = spark.createDataFrame(same, "doc_id long, source string, size long, weight double, n long")
+    got = mixing.mix(df, share=0.5, tie="n")
+    assert "n" in got.columns
+    assert [x["n"] for x in got.where("source = 'a' AND copies > 0").orderBy("n").collect()] == list(range(got.where("source = 'a' AND copies > 0").count()))
+    assert 0 < got.where("source = 'a' AND copies > 0").count() < 10
+
+
+def test_very_long_hosts(spark):
+    """A host of 10,000 labels costs as many suffixes as the rules have label counts."""
+    rule = urls.rule_frame(spark, [("com", "/a", "block"), ("x.com", "/a/b", "allow")])
+    long = ".".join(["x"] * 10_000)
+    page = spark.createDataFrame([(1, f"http://{long}.com/a/bc"), (2, f"http://{long}/a"), (3, "http://" + "." * 9_000 + "com/a")], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge(page, rule).collect()}
+    assert got == {1: ("x.com/a/b", "allow"), 2: (None, "allow"), 3: ("com/a", "block")}
+    assert "NestedLoop" not in urls.judge(page, rule)._jdf.queryExecution().executedPlan().toString()
