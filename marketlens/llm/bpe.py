@@ -6,7 +6,7 @@ label uv: it may stand wherever u may stand so far, and leads where v leads so f
 the right edge of the label before it (the label, its right part, that one's right part, ...), each with the
 merge that ended its life as an edge, and a label's arcs are its left edge likewise: an arc is closed
 if some merge of a right edge with a left edge comes before both have been merged away. Exactly one path
-of open arcs spells a word, and one each of its prefixes; ``word`` follows the longest labels first and goes back from dead ends.
+of open arcs spells a word, and one each of its prefixes, so ``word`` goes from left to right once and keeps one label for each prefix.
 Arcs that were looked up stay in a table. Words repeat, so each task keeps the ids of words seen, up to a bound.
 """
 
@@ -17,17 +17,22 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NEVER = 1 << 60
+#: Stands for the end of a word; no letter of a byte.
+END = "\ue000"
 #: Words in each of the two generations that a task keeps, and arcs it keeps.
-KEPT, ARCS = 120_000, 300_000
+KEPT, ARCS = 250_000, 300_000
 
 
 class Automaton:
@@ -53,14 +58,15 @@ class Automaton:
             left[w] = ((w, NEVER), *((x, min(t, n)) for x, t in left[u]))
             right[w] = ((w, NEVER), *((x, min(t, n)) for x, t in right[v]))
         self.left, self.right = left, right
-        self.root: dict = {}  # from symbols to labels; a label is under the key None
+        self.labels = ahocorasick.Automaton()  # finds in one pass where each label may stand
         for t, i in vocab.items():
             if i in left:
-                node = self.root
-                for symbol in self.spell(t[: -len(suffix)] if suffix and t.endswith(suffix) else t, bool(suffix) and t.endswith(suffix)):
-                    node = node.setdefault(symbol, {})
-                node[None] = i
+                spelled = t[: -len(suffix)] + END if suffix and t.endswith(suffix) else t
+                self.labels.add_word(spelled, (i, len(spelled)))
+        self.labels.make_automaton()
         self.arcs: dict[int, bool] = {}
+        ends = ((t, i) for t, i in vocab.items() if i in left and t.endswith(suffix))
+        self.whole = {t[: len(t) - len(suffix)]: i for t, i in ends}  # words that one arc spells
 
     def open(self, a: int, b: int) -> bool:
         """May label b follow label a?"""
@@ -80,47 +86,34 @@ class Automaton:
                     return False
         return True
 
-    def spell(self, letters: str, ends: bool) -> list[str]:
-        """Base symbols: letters, the last one with the suffix at a word's end."""
-        return [*letters[:-1], letters[-1] + self.suffix] if ends and letters else list(letters)
-
     def word(self, word: str) -> list[int]:
-        """The ids of one pre-split word: the one path of open arcs."""
-        symbols = self.spell(word, True)
-        n, arcs, width, dead = len(symbols), self.arcs, self.width, set()
-        path: list[int] = []
-        at, left = [0], [self.labels_from(symbols, 0)]  # where each label of the path starts, and what is left to try there
-        while n:
-            if not left[-1]:  # no way on from here: the one path of this prefix is not part of the word's
-                dead.add(at.pop())
-                left.pop()
-                path.pop()
-                continue
-            j, t = left[-1].pop()
-            if j in dead:
-                continue
-            if path:
-                ok = arcs.get(path[-1] * width + t)
-                if not (self.open(path[-1], t) if ok is None else ok):
-                    continue
-            path.append(t)
-            if j == n:
-                break
-            at.append(j)
-            left.append(self.labels_from(symbols, j))
-        return path
-
-    def labels_from(self, symbols: list[str], i: int) -> list[tuple[int, int]]:
-        """The labels spelled from position i on, with their ends; the longest last."""
-        node, out = self.root, []
-        for j in range(i, len(symbols)):
-            node = node.get(symbols[j])
-            if node is None:
-                break
-            t = node.get(None)
-            if t is not None:
-                out.append((j + 1, t))
-        return out
+        """The ids of one pre-split word. Each prefix has one open path, so from left to right the label that ends it
+        is kept: the one that may follow the label that ends where it starts. No path (a letter that is no
+        label) gives none."""
+        one = self.whole.get(word)
+        if one is not None:
+            return [one]
+        if self.suffix:
+            word += END
+        arcs, width = self.arcs, self.width
+        ends = [-1] * (len(word) + 1)  # the label that ends at each place
+        begins = [0] * (len(word) + 1)
+        for j, (t, n) in self.labels.iter(word):
+            i = j + 1 - n
+            if ends[j + 1] < 0 and (i == 0 or ends[i] >= 0):
+                if i:
+                    ok = arcs.get(ends[i] * width + t)
+                    if not (self.open(ends[i], t) if ok is None else ok):
+                        continue
+                ends[j + 1], begins[j + 1] = t, i
+        at = len(word)
+        if ends[at] < 0:
+            return []
+        path = []
+        while at:
+            path.append(ends[at])
+            at = begins[at]
+        return path[::-1]
 
 
 def _byte_letters() -> list[str]:
@@ -149,7 +142,7 @@ class Codec:
         self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
         # The same pattern where a lower-case text is ASCII.
         self.ascii_pieces = re.compile(pattern.replace(r"[^\s\p{L}\p{N}]", r"[^ \t-\ra-z0-9]").replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"))
-        self.letters = _byte_letters()
+        self.letters = dict(enumerate(_byte_letters()))  # for bytes read as code points
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -166,8 +159,9 @@ class Codec:
         if got is None:
             got = self.old.get(piece)
             if got is None:
-                letters = piece if piece.isascii() and piece.isprintable() else "".join([self.letters[b] for b in piece.encode("utf-8", "surrogatepass")])
-                got = np.array(self.automaton.word(letters), np.int32).tobytes()
+                letters = piece if piece.isascii() and piece.isprintable() else piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+                path = self.automaton.word(letters)
+                got = pack(f"{len(path)}i", *path)
             if len(piece) <= 64:
                 if len(self.young) >= KEPT:
                     self.young, self.old = {}, self.young
@@ -175,13 +169,14 @@ class Codec:
         return got
 
     def encode(self, text: str | None) -> np.ndarray:
-        out = []
+        out: list[bytes] = []
         for k, part in enumerate(self.cut.split(text or "") if self.cut else [text or ""]):
             if k % 2:
-                out.append(np.array([self.special[part]], np.int32).tobytes())
+                out.append(pack("i", self.special[part]))
             elif part:
-                pieces = self.ascii_pieces if part.isascii() else self.pieces
-                out += map(self.piece, pieces.findall(self.normal(part)))
+                words = (self.ascii_pieces if part.isascii() else self.pieces).findall(self.normal(part))
+                known = self.young.get
+                out += [known(w) or self.piece(w) for w in words]
         return np.frombuffer(b"".join(out), np.int32)
 
 
@@ -192,11 +187,12 @@ def codec(path: str) -> Codec:
 
 
 @lru_cache(maxsize=2)
-def arc_labels(path: str) -> dict[int, str]:
-    """The label of each id, special tokens included; decoding needs nothing else."""
+def arc_labels(path: str) -> pa.Array:
+    """The label of each id, special tokens included; decoding needs nothing else. Null where there is none."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    return {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    label = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    return pa.array([label.get(i) for i in range(max(label, default=-1) + 1)], pa.string())
 
 
 def _spread(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -225,7 +221,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "i
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Add the labels of the ids' arcs, joined by a blank as a tokenizer without a decoder does; null ids give an
-    empty text, an unknown id raises KeyError. An own column ``out_col`` gives way."""
+    empty text, an unknown id raises an error. An own column ``out_col`` gives way."""
     encoded = encoded.drop(out_col)
     at = encoded.columns.index(ids_col)
 
@@ -233,12 +229,20 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
         label = arc_labels(path)
         for big in batches:
             for b in _spread(big):
-                text = [" ".join([label[i] for i in ids or ()]) for ids in b.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], [*b.schema.names, out_col])
+                yield pa.RecordBatch.from_arrays([*b.columns, spelled(b.column(at), label)], [*b.schema.names, out_col])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(out_col, T.StringType())]))
 
 
+def spelled(ids: pa.ListArray, label: pa.Array) -> pa.Array:
+    """The labels of each row's ids, joined by a blank."""
+    flat = label.take(ids.flatten())
+    if flat.null_count:
+        raise KeyError("an id has no label")
+    ends = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(ids), 0)))]).astype(np.int32)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), flat), " ")
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of encoding and then decoding the ids."""
     coded = decode(encode(docs.select("doc_id", "text"), path).select("doc_id", "ids"), path)

@@ -194,5 +194,5 @@ def test_bpe_edges(spark):
 def test_pipeline_query_is_registered():
     from __spark_entry__ import queries
 
-    assert {f"op{n}_" for n in range(1, 11)} <= {name.split("_")[0] + "_" for name in queries()} and "pipeline" in queries()
-    assert len(QUERIES) == 10
+    assert {f"op{n}_" for n in range(1, 14)} <= {name.split("_")[0] + "_" for name in queries()} and "pipeline" in queries()
+    assert len(QUERIES) == 13
