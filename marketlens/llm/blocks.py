@@ -11,6 +11,7 @@ bucket of the owner and meet the texts in a cogroup on that bucket, so no task h
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,21 @@ def block_count(docs: DataFrame, text_col: str = "text") -> int:
 
 
 def bucket_of(owner: Column, blocks: int) -> Column:
-    return F.coalesce(F.pmod(owner.cast("long"), F.lit(blocks)), F.lit(0)).cast("long")
+    """By id; rows without one, which nothing is found for, are dealt out evenly."""
+    return F.coalesce(F.pmod(owner.cast("long"), F.lit(blocks)), F.pmod(F.monotonically_increasing_id(), F.lit(blocks))).cast("long")
+
+
+@contextmanager
+def shuffle_partitions(df: DataFrame, rows: int, each: int = 50_000, least: int = 8):
+    """While small tables are made and written: as many shuffle partitions as their rows ask for, whatever the session's
+    number is. Hundreds of tasks and files for a few thousand rows would cost more than the rows."""
+    conf, name = df.sparkSession.conf, "spark.sql.shuffle.partitions"
+    before = conf.get(name)
+    conf.set(name, str(max(least, rows // each + 1)))
+    try:
+        yield
+    finally:
+        conf.set(name, before)
 
 
 def pack(a: np.ndarray) -> bytes:

@@ -8,8 +8,10 @@ link meets in one. Candidates are compared by fragment: partial overlaps are cou
 and summed for each pair.
 
 Groups are not expanded into pairs. Sets are compared once per distinct set. Each segment's documents are first
-compared with its smallest (of a task's or of all); what links forms components; after that only pairs of different components that
-share a segment are looked at, and before a pair is made its sketches (parities of 512 hash bins) must
+compared with its smallest (of a task's or of all); what links forms components. Where a segment of more than ``HUBS``
+documents still has several, they are compared with one of each of ``HUBS`` components other than their own, and components
+are formed anew: in a group whose members link with some others each, next to all of it is one then. After that only pairs of different
+components that share a segment are looked at. Before a pair is made its sketches (parities of 512 hash bins) must
 differ in no more bins than the threshold allows differences, which never rejects a link.
 """
 
@@ -21,16 +23,23 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlens.llm.blocks import PARTS, Dealer, block_count, bucket_of, match, unpack
+from marketlens.llm.blocks import PARTS, Dealer, block_count, bucket_of, match, shuffle_partitions, unpack
 from marketlens.llm.text import grams, hashes, lowered, mix
 from marketlens.session import cut
 
 SKETCH = 8  # words of 64 bits
 #: Fragments in which candidates are compared, by the top bits of the hash.
 PIECE_BITS = 3
+#: Components of a segment that its other documents are compared with before the rest is paired.
+HUBS = 8
+#: The largest number of ids that is sent to all tasks.
+FEW = 200_000
+#: Tasks that the copies of one text are dealt to.
+SALTS = 16
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -171,8 +180,9 @@ def _may_link(percent: int):
 def _linked(pairs: DataFrame, pieces: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b, na, nb) those that reach the threshold: overlaps by fragment, summed by pair."""
     pairs = cut(pairs)
-    ends = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-    pieces = pieces.join(ends, "doc", "left_semi")
+    ends = cut(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct())
+    # Few ids go to where the sets are; many meet them in a shuffle.
+    pieces = pieces.join(F.broadcast(ends) if ends.count() <= FEW else ends, "doc", "left_semi")
     left = pieces.select(F.col("doc").alias("a"), "piece", F.col("part").alias("pa"))
     right = pieces.select(F.col("doc").alias("b"), "piece", F.col("part").alias("pb"))
     partial = pairs.join(left, "a").join(right, ["b", "piece"]).select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("o"))
@@ -211,11 +221,25 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     dealt = narrow.withColumn("bucket", bucket_of(F.col("doc_id"), blocks))
     rows = cut(dealt.groupBy("bucket").cogroup(found.groupBy("block")).applyInArrow(_sets(n, percent), _SETS))
     candidates = rows.where("print IS NOT NULL").select("doc_id", "n_shingles", "print")
-    classes = candidates.groupBy("print").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("last"))
-    copies = candidates.join(classes.where("doc < last"), "print").where("doc_id <> doc").select(F.col("doc_id").alias("doc")).distinct()
+    classes = candidates.groupBy("print").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("last")).where("doc < last")
+    # Sets that several documents have, once for each salt: so copies of one text meet their class in several tasks.
+    classes = cut(classes.select("print", "doc", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
+    candidates = candidates.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    copies = candidates.join(classes, ["print", "salt"]).where("doc_id <> doc").select(F.col("doc_id").alias("doc")).distinct()
     sets = rows.where("set IS NOT NULL").select(F.col("doc_id").alias("doc"), "set").join(copies, "doc", "left_anti")
     parts = sets.mapInArrow(_emit_sets(percent, blocks), PARTS)
     keys = cut(match(parts, blocks, keyed=True).mapInArrow(_rows_of, "key long, hub long, doc long"))
+    with shuffle_partitions(docs, keys.count()):
+        comp = _linked_components(sets, keys, percent)
+    of_class = classes.join(comp, "doc", "left").select("print", "salt", F.coalesce("comp", "doc").alias("of_class"))
+    known = candidates.join(of_class, ["print", "salt"], "left").join(comp.withColumnRenamed("doc", "doc_id"), "doc_id", "left")
+    known = known.select("doc_id", "n_shingles", F.coalesce("of_class", "comp", "doc_id").alias("component_id"))
+    alone = rows.where("print IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return known.unionByName(alone)
+
+
+def _linked_components(sets: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
+    """(doc, comp) of the distinct sets (doc, set) that link with another, written; ``keys`` are their shared segments."""
     info = cut(sets.mapInArrow(_sketch_rows, "doc long, n long, sk array<long>"))
     part = lambda p: F.filter("set", lambda h: F.shiftrightunsigned(h, 64 - PIECE_BITS) == p)
     numbers = F.sequence(F.lit(0), F.lit((1 << PIECE_BITS) - 1))
@@ -228,14 +252,27 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     first = hubs.join(x, F.col("k.hub") == F.col("x.doc")).join(y, F.col("k.doc") == F.col("y.doc")).where(ok).select(*pair)
     edges = cut(_linked(first, pieces, percent))
     comp = components(edges)
-    named = keys.select("key", "doc").join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    left = cut(named.join(mixed, "key").join(info, "doc").select("key", "doc", "comp", "n", "sk"))
+    left = _mixed(keys, comp, info)
+    large = left.where(F.col("m") > HUBS)
+    reps = large.groupBy("key", "comp").agg(F.min("doc").alias("doc"))
+    reps = reps.withColumn("nth", F.row_number().over(W.partitionBy("key").orderBy(F.xxhash64("comp"), "comp"))).where(F.col("nth") <= HUBS)
+    x, y = reps.select("key", "doc", F.col("comp").alias("of")).join(info, "doc").alias("x"), large.alias("y")
+    some = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.of") != F.col("y.comp")) & ok).select(*pair).distinct()
+    more = cut(_linked(some, pieces, percent))
+    if not more.isEmpty():
+        edges = cut(edges.unionByName(more))
+        comp = components(edges)
+        left = _mixed(keys, comp, info)
     x, y = left.alias("x"), left.alias("y")
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & ok).select(*pair).distinct()
     more = cut(_linked(across, pieces, percent))
     if not more.isEmpty():
         comp = components(edges.unionByName(more))
-    of_print = classes.join(comp, "doc", "left").select("print", F.coalesce("comp", "doc").alias("comp"))
-    alone = rows.where("print IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return candidates.join(of_print, "print").select("doc_id", "n_shingles", F.col("comp").alias("component_id")).unionByName(alone)
+    return comp
+
+
+def _mixed(keys: DataFrame, comp: DataFrame, info: DataFrame) -> DataFrame:
+    """(key, m, doc, comp, n, sk) of the segments that documents of several components share, m of them, written."""
+    named = keys.select("key", "doc").join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("key", "m")
+    return cut(named.join(mixed, "key").join(info, "doc").select("key", "m", "doc", "comp", "n", "sk"))
