@@ -8,11 +8,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketlens.llm import bpe, mixing, ngram_join, substring, toxicity
-from marketlens.llm.queries_tables import quality_weight, sized
+from marketlens.llm.queries_tables import quality_weight
 from marketlens.llm.text import n_words
 from marketlens.session import cut, prepare
 
@@ -47,22 +46,14 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources by the weights 5, 2, 1 to 150 % of all words; a document is repeated as often as the mix takes it.
 
-    Ids may be null or repeat: rows of one id, source and size are numbered by weight on both sides, so that each gets
-    its own copies. Of rows that the mix can't tell apart, those first by text get more.
+    Ids may be null or repeat, so rows are numbered and written once with their number; of rows that the mix can't tell
+    apart, those first by a hash of all their columns get more.
     """
-    same = W.partitionBy("doc_id", "source", "size")
-    copies = mixing.mix(sized(docs)).withColumn("nth", F.row_number().over(same.orderBy("weight", F.desc("copies")))).where("copies > 0")
-    rows = docs.select(*COLUMNS, n_words(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("weight"))
-    d = rows.withColumn("nth", F.row_number().over(same.orderBy("weight", "text", "lang", "n_chars"))).alias("d")
-    c = copies.select("doc_id", "source", "size", "nth", "copies").alias("c")
-    taken = d.join(
-        c,
-        F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))
-        & F.col("d.source").eqNullSafe(F.col("c.source"))
-        & (F.col("d.size") == F.col("c.size"))
-        & (F.col("d.nth") == F.col("c.nth")),
-    )
-    return taken.select("d.*", F.explode(F.expr("sequence(1, copies)"))).select(*COLUMNS)
+    rows = cut(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+    size, weight = n_words(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("weight")
+    sized = cut(rows.select("doc_id", "source", size, weight, "row", F.xxhash64(*COLUMNS).alias("tie")))
+    copies = mixing.mix(sized, tie="tie").where("copies > 0").select("row", "copies")
+    return rows.join(copies, "row").select(*COLUMNS, F.explode(F.expr("sequence(1, copies)"))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
