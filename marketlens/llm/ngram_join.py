@@ -8,7 +8,7 @@ link meets in one. Candidates are compared by fragment: partial overlaps are cou
 and summed for each pair.
 
 Groups are not expanded into pairs. Sets are compared once per distinct set. Each segment's documents are first
-compared with its smallest (of a task's or of all); what links forms components. Where a segment of more than ``HUBS``
+compared with its smallest (of a task's or of all); what links forms components. Where a segment of more than ``LARGE``
 documents still has several, they are compared with one of each of ``HUBS`` components other than their own, and components
 are formed anew: in a group whose members link with some others each, next to all of it is one then. After that only pairs of different
 components that share a segment are looked at. Before a pair is made its sketches (parities of 512 hash bins) must
@@ -36,6 +36,8 @@ SKETCH = 8  # words of 64 bits
 PIECE_BITS = 3
 #: Components of a segment that its other documents are compared with before the rest is paired.
 HUBS = 8
+#: Documents of a segment from which on this is done.
+LARGE = 64
 #: The largest number of ids that is sent to all tasks.
 FEW = 200_000
 #: Tasks that the copies of one text are dealt to.
@@ -253,7 +255,7 @@ def _linked_components(sets: DataFrame, keys: DataFrame, percent: int) -> DataFr
     edges = cut(_linked(first, pieces, percent))
     comp = components(edges)
     left = _mixed(keys, comp, info)
-    large = left.where(F.col("m") > HUBS)
+    large = left.where(F.col("m") > LARGE)
     reps = large.groupBy("key", "comp").agg(F.min("doc").alias("doc"))
     reps = reps.withColumn("nth", F.row_number().over(W.partitionBy("key").orderBy(F.xxhash64("comp"), "comp"))).where(F.col("nth") <= HUBS)
     x, y = reps.select("key", "doc", F.col("comp").alias("of")).join(info, "doc").alias("x"), large.alias("y")
@@ -261,8 +263,10 @@ def _linked_components(sets: DataFrame, keys: DataFrame, percent: int) -> DataFr
     more = cut(_linked(some, pieces, percent))
     if not more.isEmpty():
         edges = cut(edges.unionByName(more))
+        before = comp.withColumnRenamed("comp", "was")
         comp = components(edges)
-        left = _mixed(keys, comp, info)
+        moved = cut(comp.join(before, "doc", "left").where("was IS NULL OR was <> comp").select("doc", F.col("comp").alias("now")))
+        left = left.join(F.broadcast(moved) if moved.count() <= FEW else moved, "doc", "left").withColumn("comp", F.coalesce("now", "comp"))
     x, y = left.alias("x"), left.alias("y")
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & ok).select(*pair).distinct()
     more = cut(_linked(across, pieces, percent))

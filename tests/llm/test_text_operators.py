@@ -196,3 +196,25 @@ def test_pipeline_query_is_registered():
 
     assert {f"op{n}_" for n in range(1, 14)} <= {name.split("_")[0] + "_" for name in queries()} and "pipeline" in queries()
     assert len(QUERIES) == 13
+
+
+def test_join_of_a_chain_of_near_copies(spark, monkeypatch):
+    """A large group whose members link along chains only, and exact copies of one text: every link is found."""
+    monkeypatch.setattr(ngram_join, "LARGE", 6)
+    monkeypatch.setattr(ngram_join, "HUBS", 2)
+    r = random.Random(11)
+    base = [f"b{k}" for k in range(120)]
+    docs = []
+    for i in range(90):
+        if i % 30 == 0:
+            base = [f"{w}" if r.random() < 0.9 else f"c{i}.{k}" for k, w in enumerate(base)]
+        at = r.randrange(len(base))
+        base = base[:at] + [f"n{i}"] + base[at + 1 :]
+        docs.append((i * 2, " ".join(base)))
+    docs += [(1000 + i, docs[40][1]) for i in range(60)] + [(None, docs[40][1]), (2000, "")]
+    r.shuffle(docs)
+    df = spark.createDataFrame(docs, DOCS)
+    for n, percent in ((3, 90), (5, 80)):
+        want = sorted((i, s, c) for i, s, c in brute_join([d for d in docs if d[0] is not None], n, percent))
+        got = sorted(tuple(x) for x in ngram_join.join(df, n=n, percent=percent).where("doc_id IS NOT NULL").collect())
+        assert got == want and 1 < len({c for _, _, c in want}) < 120
