@@ -425,6 +425,8 @@ def grain_population(t: DataFrame, grain: int, closing: str = "next", chunk_s: i
     bucket = F.expr(f"CAST((__at + {grain * SCALE - 1}) DIV {grain * SCALE} AS BIGINT)") - 1
     run = run.withColumn("__at", at).withColumn("bucket", bucket)
     u = F.col("u")
+    # A bucket of zero-dollar trades alone has no mean: NaN, as 0/0 of doubles is.
+    per_unit = lambda c: F.when(F.col("__u") == 0, F.lit(float("nan"))).otherwise(F.try_divide(c, "__u"))
     return (
         run.groupBy("ticker", "bucket")
         .agg(
@@ -439,8 +441,8 @@ def grain_population(t: DataFrame, grain: int, closing: str = "next", chunk_s: i
             "bucket",
             (F.col("__u") / float(SCALE)).alias("dollars"),
             "birth_ts",
-            (F.col("__pv") / F.col("__u")).alias("vwap_yes"),
-            (F.col("__yes") / F.col("__u")).alias("frac_yes"),
+            per_unit("__pv").alias("vwap_yes"),
+            per_unit("__yes").alias("frac_yes"),
             "n_trades",
         )
     )
