@@ -460,7 +460,7 @@ def dot_attributes(pop: DataFrame, meta: DataFrame) -> DataFrame:
         "bucket",
         "birth_ts",
         "dollars",
-        F.greatest(F.lit(0), F.least(F.lit(100), cents.cast("int"))).alias("price_band"),
+        F.greatest(F.lit(0.0), F.least(F.lit(100.0), cents)).cast("int").alias("price_band"),
         F.when(F.coalesce("frac_yes", F.lit(0.5)) >= 0.5, 1).otherwise(0).alias("side"),
         zero("family_idx"),
         zero("fate_idx"),
