@@ -553,7 +553,7 @@ def final_bucket(t: DataFrame, width_s: int = 1800) -> DataFrame:
     late = t.join(ends, "ticker").where((F.col("created_ts") >= F.col("lo")) & (F.col("created_ts") < F.col("lo") + width_s))
     w = F.sum("count_contracts")
     return late.groupBy("ticker", "lo").agg(
-        _n().alias("n_trades"), F.avg("yes_price_usd").alias("mean_price"), (F.sum(F.col("yes_price_usd") * F.col("count_contracts")) / w).alias("vwap")
+        _n().alias("n_trades"), F.avg("yes_price_usd").alias("mean_price"), F.when(w == 0, F.lit(float("nan"))).otherwise(F.try_divide(F.sum(F.col("yes_price_usd") * F.col("count_contracts")), w)).alias("vwap")
     )
 
 
