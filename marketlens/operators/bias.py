@@ -307,7 +307,9 @@ def upper_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Da
     """Element ``floor(n/2)`` of the sorted values: the upper middle, not interpolated."""
     lv = df.groupBy(*keys, F.col(value).alias("__x")).agg(_n().alias("__c"))
     tot = df.groupBy(*keys).agg(_n().alias("__n"))
-    run = ordered.running_sum(lv, keys, ["__x"], F.col("__c"), "__upto", chunk=F.floor(F.col("__x") / 1000))
+    # NaN is above all numbers, so its chunk is the last one.
+    chunk = F.when(F.isnan("__x"), F.lit(1 << 62)).otherwise(F.floor(F.col("__x") / 1000))
+    run = ordered.running_sum(lv, keys, ["__x"], F.col("__c"), "__upto", chunk=chunk)
     hit = run.join(tot, list(keys)).where((F.col("__upto") > F.floor(F.col("__n") / 2)) & (F.col("__upto") - F.col("__c") <= F.floor(F.col("__n") / 2)))
     return hit.select(*keys, F.col("__x").alias(out))
 
