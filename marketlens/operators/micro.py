@@ -170,27 +170,44 @@ def latency(events: DataFrame, sources: Mapping[str, tuple[DataFrame, str, str,
 def lead_lag(a: DataFrame, b: DataFrame, step: int = MINUTE, max_lag: int = 10, min_bins: int = 20, min_pairs: int = 10, keys: Sequence[str] = ("match_id",)) -> DataFrame:
     """Correlation of bar returns at shifted lags; a positive best lag means ``a`` leads.
 
-    ``a``, ``b``: the keys (a match, or a match and its leg), bin_ts, ret. ``b`` is copied once per lag onto the bar it
-    meets, so the join is an equi join on (key, bar), and each lag's sums combine map-side.
+    ``a``, ``b``: the keys (a match, or a match and its leg), bin_ts, ret, at most one row per bar. Both are shuffled once by
+    key, each bar a single time whatever the number of lags; a key has span / step bars, which its task shifts.
     """
     keys = list(keys)
-    at = [*keys, "bin_ts"]
-    both = a.select(*at, F.col("ret").alias("x")).join(b.select(*at, F.col("ret").alias("y0")), at).where("x is not null and y0 is not null")
-    n = both.groupBy(*keys).agg(_n().alias("n_bins")).where(F.col("n_bins") >= min_bins)
-    lags = F.sequence(F.lit(-max_lag), F.lit(max_lag))
-    moved = both.select(*at, F.col("y0").alias("y")).withColumn("lag", F.explode(lags)).withColumn("bin_ts", F.col("bin_ts") - F.col("lag") * step)
-    pairs = both.join(moved, at)
-    sx, sy = F.stddev_pop("x"), F.stddev_pop("y")
-    flat = (sx < 1e-9) | (sy < 1e-9)
-    corr = F.try_divide(F.covar_pop("x", "y"), sx * sy)
-    c = pairs.groupBy(*keys, "lag").agg(F.when((_n() < min_pairs) | flat, F.lit(None)).otherwise(_r(corr, 8)).alias("corr"))
-    g = c.groupBy(*keys).agg(
+    side = lambda df, x, y: df.where("ret is not null").select(*keys, "bin_ts", x.alias("x"), y.alias("y"))
+    none = F.lit(None).cast("double")
+    both = side(a, F.col("ret"), none).unionByName(side(b, none, F.col("ret")))
+    schema = [f"{k} {a.schema[k].dataType.simpleString()}" for k in keys]
+
+    def correlate(pdf: pd.DataFrame) -> pd.DataFrame:
+        # Bars are unique in each side: a bar counts where both have it.
+        xs, ys = (pdf[pdf[c].notna()].set_index("bin_ts")[c] for c in ("x", "y"))
+        j = pd.concat([xs, ys], axis=1, join="inner").sort_index()
+        at, x, y = j.index.to_numpy(), j["x"].to_numpy(), j["y"].to_numpy()
+        found = []
+        for lag in range(-max_lag, max_lag + 1) if len(at) >= min_bins else ():
+            pos = np.searchsorted(at, at + lag * step)
+            hit = np.flatnonzero(at[np.minimum(pos, len(at) - 1)] == at + lag * step)
+            if len(hit) < min_pairs:
+                continue
+            u, v = x[hit], y[pos[hit]]
+            u, v = u - u.mean(), v - v.mean()
+            su, sv = np.sqrt(np.mean(u * u)), np.sqrt(np.mean(v * v))
+            if su >= 1e-9 and sv >= 1e-9:
+                found.append((lag, float(np.mean(u * v) / (su * sv))))
+        out = pd.DataFrame(found, columns=["lag", "corr"]).assign(n_bins=len(at))
+        for k in keys:
+            out[k] = pdf[k].iloc[0]
+        return out[[*keys, "n_bins", "lag", "corr"]]
+
+    c = both.groupBy(*keys).applyInPandas(correlate, ", ".join([*schema, "n_bins long", "lag int", "corr double"])).withColumn("corr", _r(F.col("corr"), 8))
+    g = c.groupBy(*keys, "n_bins").agg(
         F.max_by("lag", F.when(F.col("corr").isNotNull(), F.struct(F.col("corr"), -F.col("lag")))).alias("best_lag"),
         F.max("corr").alias("best_corr"),
         F.max(F.when(F.col("lag") == 0, F.col("corr"))).alias("same_bar_corr"),
     )
     lead = F.when(F.col("best_lag") > 0, "a").when(F.col("best_lag") < 0, "b").otherwise("same")
-    return n.join(g, keys).where("best_lag is not null").withColumn("leader", lead)
+    return g.where("best_lag is not null").withColumn("leader", lead)
 
 
 def overshoot(events: DataFrame, t: DataFrame, unit_s: int = MINUTE) -> DataFrame:
