@@ -50,35 +50,48 @@ def leg_series(t: DataFrame, legs: DataFrame, step: int = MINUTE) -> DataFrame:
     """
     inside = t.join(legs.select("ticker", "lo", "hi"), "ticker")
     bar = T.floor_to(F.col("created_ts"), step)
-    top = T.floor_to(F.col("hi") + step - 1, step)
-    inside = inside.where((bar >= T.floor_to(F.col("lo"), step)) & (bar <= top))
-    bars = T.resample_last(inside, ["ticker"], "created_ts", "trade_id", "yes_price_usd", step, "v")
-    marks = T.grid(legs.withColumn("hi2", top), step, "lo", "hi2").drop("hi2")
+    first, top = T.floor_to(F.col("lo"), step), T.floor_to(F.col("hi") + step - 1, step)
+    inside = inside.where((bar >= first) & (bar <= top))
+    bars = T.resample_last(inside, ["ticker"], "created_ts", "trade_id", "yes_price_usd", step, "price")
+    # Bars with a trade are ordered before the fill; each then repeats itself up to the next one, so no dense row is joined or sorted.
     w = W.partitionBy("ticker").orderBy("bin_ts")
-    full = marks.join(bars, ["ticker", "bin_ts"], "left")
-    filled = full.withColumn("price", F.last("v", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))).drop("v")
-    return filled.withColumn("diff", _r(F.col("price") - F.lag("price").over(w)))
+    runs = bars.select("ticker", F.col("bin_ts").alias("__at"), F.lead("bin_ts").over(w).alias("__next"), "price", F.lag("price").over(w).alias("__before"))
+    heads = bars.groupBy("ticker").agg(F.min("bin_ts").alias("__next"))
+    traded = legs.join(runs, "ticker").withColumn("__from", F.col("__at"))
+    ahead = legs.join(heads, "ticker", "left").withColumn("__from", first)
+    both = traded.unionByName(ahead, allowMissingColumns=True).withColumn("__to", F.coalesce(F.col("__next") - step, top)).where("__from <= __to")
+    diff = F.when(F.col("bin_ts") == F.col("__at"), _r(F.col("price") - F.col("__before"))).when(F.col("price").isNotNull(), F.lit(0.0))
+    return T.grid(both, step, "__from", "__to").select(*legs.columns, "bin_ts", "price", diff.alias("diff"))
+
 
+def total_variation(series: DataFrame, step: int = MINUTE) -> DataFrame:
+    """Half the summed absolute leg moves per bar, for matches whose three legs all traded.
 
-def total_variation(series: DataFrame) -> DataFrame:
-    """Half the summed absolute leg moves per bar, for matches whose three legs all traded."""
-    per = series.groupBy("match_id", "bin_ts").agg(
-        _r(F.sum(F.coalesce(F.abs("diff"), F.lit(0.0))) / 2).alias("tv"), F.count("price").alias("k")
+    Only the moves are shuffled; the still bars between them are written out afterwards, ``step`` apart.
+    """
+    span = series.groupBy("match_id").agg(
+        F.min("bin_ts").alias("bin_ts"), F.max("bin_ts").alias("__hi"), F.count_distinct(F.when(F.col("price").isNotNull(), F.col("leg"))).alias("k")
     )
-    # A leg that traded keeps its price to the end of the span, so some bar shows all three.
-    alive = F.max("k").over(W.partitionBy("match_id"))
-    return per.withColumn("k", alive).where("k = 3").drop("k")
+    # One row per match, and below one per move: small beside the bars, and read by several later branches.
+    span = cut(span.where("k = 3"))
+    moves = series.where("diff <> 0").select("match_id", "bin_ts", F.abs("diff").alias("m"))
+    per = moves.unionByName(span.select("match_id", "bin_ts", F.lit(0.0).alias("m"))).groupBy("match_id", "bin_ts").agg(_r(F.sum("m") / 2).alias("tv"))
+    nxt = F.lead("bin_ts").over(W.partitionBy("match_id").orderBy("bin_ts"))
+    runs = per.select("match_id", F.col("bin_ts").alias("__at"), "tv", nxt.alias("__next")).join(span.select("match_id", "__hi"), "match_id")
+    runs = cut(runs.withColumn("__to", F.coalesce(F.col("__next") - step, F.col("__hi"))))
+    return T.grid(runs, step, "__at", "__to").select("match_id", "bin_ts", F.when(F.col("bin_ts") == F.col("__at"), F.col("tv")).otherwise(0.0).alias("tv"))
 
 
-def peak_threshold(tv: DataFrame, floor: float = TV_FLOOR, mult: float = MAD_MULT) -> DataFrame:
-    """Attach max(floor, median + mult * scaled MAD) of the match to each bar.
+def peak_threshold(tv: DataFrame, floor: float = TV_FLOOR, mult: float = MAD_MULT, least: float | None = None) -> DataFrame:
+    """Attach max(floor, median + mult * scaled MAD) of the match to each bar (M02); bars under ``least`` are left out.
 
-    A match has span / step bars, so both medians are windows on one shared partitioning.
+    Both medians come from counts per distinct value, as most bars of a match stand still.
     """
-    w = W.partitionBy("match_id")
-    med = tv.withColumn("med", F.percentile("tv", 0.5).over(w))
-    mad = med.withColumn("mad", F.percentile(F.abs(F.col("tv") - F.col("med")), 0.5).over(w) * MAD_SCALE)
-    return mad.withColumn("threshold", F.greatest(F.lit(floor), F.col("med") + mult * F.col("mad"))).drop("med", "mad")
+    lv = tv.groupBy("match_id", "tv").agg(_n().alias("c"))
+    med = lv.groupBy("match_id").agg(F.expr("percentile(tv, 0.5D, c)").alias("med"))
+    off = lv.join(med, "match_id").groupBy("match_id", "med").agg(F.expr("percentile(abs(tv - med), 0.5D, c)").alias("mad"))
+    th = off.select("match_id", F.greatest(F.lit(floor), F.col("med") + mult * (F.col("mad") * MAD_SCALE)).alias("threshold"))
+    return (tv if least is None else tv.where(F.col("tv") >= least)).join(th, "match_id")
 
 
 def peaks(tv: DataFrame, floor: float = TV_FLOOR, mult: float = MAD_MULT, sep_s: int = 4 * MINUTE) -> DataFrame:
@@ -88,7 +101,7 @@ def peaks(tv: DataFrame, floor: float = TV_FLOOR, mult: float = MAD_MULT, sep_s:
     another, so the greedy walk runs per island, on a short array, inside one column expression.
     Equal sizes prefer the earlier bar.
     """
-    cand = peak_threshold(tv, floor, mult).where(F.col("tv") >= F.col("threshold"))
+    cand = peak_threshold(tv, floor, mult, least=floor).where(F.col("tv") >= F.col("threshold"))
     w = W.partitionBy("match_id").orderBy("bin_ts")
     fresh = F.coalesce(F.col("bin_ts") - F.lag("bin_ts").over(w) >= sep_s, F.lit(True)).cast("int")
     isl = cand.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0)))

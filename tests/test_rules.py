@@ -254,3 +254,11 @@ def test_events_keep_every_field(spark):
     assert len(got.columns) == len(N.EVENT_FIELDS) + len(N.MARKET_FIELDS) + 2
     cols = ("event_id", "event_neg_risk", "event_volume", "event_created_at_ts", "outcomes_json", "volume_1wk", "closed_time_ts", "active", "closed", "n_tokens")
     assert rows(got, *cols) == [("1", True, 2.5, 1767225600, '["Yes","No"]', 3.0, 1767312000, True, False, 0), ("2", False, None, None, None, None, None, None, None, 0)]
+
+
+def test_bars_are_shuffled_once_or_not_at_all(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    a = spark.createDataFrame([(1, 0, 0.1)], "match_id long, bin_ts long, ret double")
+    assert "Generate" not in plan(M.lead_lag(a, a)) and "Join" not in plan(M.lead_lag(a, a))
+    # No join of the dense marks: those that are left are on the ticker.
+    assert not [x for x in plan(_match(spark, {20: 0.2})).splitlines() if "Join" in x and "bin_ts" in x]
