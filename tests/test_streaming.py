@@ -106,6 +106,15 @@ def test_bars_lose_no_late_row(spark, tmp_path):
     assert rows(L.read_bars(spark, f"{tmp_path}/live")) == before
 
 
+def test_bars_of_a_batch_without_new_rows(spark, tmp_path):
+    """The last file sends earlier rows again and nothing else, so its batch has no day at all."""
+    all_rows = _batches(spark, tmp_path)
+    spark.createDataFrame(all_rows[:5], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/f5")
+    bars = L.bar_writer(spark, f"{tmp_path}/live", 600)
+    L.stream_ingest(_source(spark, tmp_path), f"{tmp_path}/out", f"{tmp_path}/cp", once=True, then=bars).awaitTermination()
+    assert L.read_bars(spark, f"{tmp_path}/live").agg(F.sum("n_trades")).first()[0] == len(all_rows)
+
+
 def test_settlement_watch_emits_once(spark, tmp_path):
     st = [(1, "active"), (1, "finalized"), (2, "closed"), (1, "settled"), (3, "active")]
     for i in range(3):
