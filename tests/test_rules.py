@@ -262,3 +262,21 @@ def test_bars_are_shuffled_once_or_not_at_all(spark):
     assert "Generate" not in plan(M.lead_lag(a, a)) and "Join" not in plan(M.lead_lag(a, a))
     # No join of the dense marks: those that are left are on the ticker.
     assert not [x for x in plan(_match(spark, {20: 0.2})).splitlines() if "Join" in x and "bin_ts" in x]
+
+
+def test_team_props_of_one_team_are_dealt(spark):
+    """One event key: its markets meet its eliminations in several tasks, nulls and repeated rows included."""
+    elim = spark.createDataFrame([("N01", i) for i in range(40)] + [("N01", 7), ("N01", None), ("N02", 1)], "loser string, elim_ts long")
+    m = spark.createDataFrame([("A-24N01", i) for i in range(60)] + [("A-24N01", 5), ("B-24N02", 1)], "event_ticker string, ticker long")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = E.team_props(elim, ["A"], m, "24").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    want = [("N01", t, e) for t in [*range(60), 5] for e in [*range(40), 7, None]]
+    key = lambda r: (r[0], r[1], -1 if r[2] is None else r[2])
+    assert sorted(((r["team"], r["ticker"], r["elim_ts"]) for r in got), key=key) == sorted(want, key=key)
+    assert len({r["task"] for r in got}) > 1
