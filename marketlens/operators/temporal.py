@@ -280,14 +280,32 @@ def ffill(df: DataFrame, keys: Sequence[str], ts: str, value: str, out: str | No
     return filled.join(firsts, list(keys), "left").withColumn(out, F.coalesce(F.col(out), F.col("__first"))).drop("__first")
 
 
+def runs_on(bars: DataFrame, spans: DataFrame, keys: Sequence[str], step: int, first: Column, last: Column) -> DataFrame:
+    """Each span of a key cut into runs of marks with one value: ``__from`` to ``__to``, ``step`` apart.
+
+    ``bars``: the keys, ``bin_ts`` and the values that hold from that mark on. Marks before the first bar make a run
+    without values. A key has at most span / step bars, so they are ordered in one window; no mark is.
+    """
+    w = W.partitionBy(*_cols(keys)).orderBy("bin_ts")
+    runs = bars.withColumn("__next", F.lead("bin_ts").over(w)).withColumnRenamed("bin_ts", "__at")
+    heads = bars.groupBy(*keys).agg(F.min("bin_ts").alias("__next"))
+    both = spans.join(runs, list(keys)).unionByName(spans.join(heads, list(keys), "left"), allowMissingColumns=True)
+    begin, end = F.greatest(F.col("__at"), first), F.least(F.col("__next") - step, last)
+    return both.withColumn("__from", begin).withColumn("__to", end).where("__from <= __to").drop("__at", "__next")
+
+
 def on_grid(src: DataFrame, spans: DataFrame, keys: Sequence[str], ts: str, tie: str, value: str, step: int, out: str = "value", terminate: bool = False) -> DataFrame:
     """Value at or before each grid mark of the key's span.
 
-    ``terminate=True`` (T05) stops carrying at the key's last real quote: later marks are null,
+    Rows count from the first mark that is not before them. Only these bars are shuffled; the marks are written out
+    afterwards. ``terminate=True`` (T05) stops carrying at the key's last real quote: later marks are null,
     and ``terminated_at`` holds that instant on every row of the key.
     """
-    marks = grid(spans, step)
-    filled = asof(marks, src, keys, "bin_ts", ts, {value: out}, tie)
+    known = src.where(F.col(ts).isNotNull())
+    mark = (F.ceil(F.col(ts) / F.lit(step)) * F.lit(step)).cast("long")
+    bars = known.groupBy(*keys, mark.alias("bin_ts")).agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(F.col(ts), F.col(tie))).alias("__bar"))
+    runs = runs_on(bars, spans, keys, step, floor_to(F.col("lo"), step), floor_to(F.col("hi"), step))
+    filled = grid(runs, step, "__from", "__to").select(*spans.columns, "bin_ts", F.col("__bar.v").alias(out))
     if not terminate:
         return filled
     ends = src.groupBy(*keys).agg(F.max(ts).alias("terminated_at"))

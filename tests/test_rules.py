@@ -12,6 +12,7 @@ from marketlens.operators import calibration as C
 from marketlens.operators import entities as E
 from marketlens.operators import micro as M
 from marketlens.operators import quality as Q
+from marketlens.operators import temporal as TT
 from marketlens.operators import volume as V
 from marketlens.sources import normalise as N
 
@@ -280,3 +281,61 @@ def test_team_props_of_one_team_are_dealt(spark):
     key = lambda r: (r[0], r[1], -1 if r[2] is None else r[2])
     assert sorted(((r["team"], r["ticker"], r["elim_ts"]) for r in got), key=key) == sorted(want, key=key)
     assert len({r["task"] for r in got}) > 1
+
+
+def _written_after_the_last_shuffle(spark, df):
+    """True if marks are written out above every exchange of the plan."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = df()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    return "Generate" in plan and plan.rindex("Generate") < plan.index("Exchange")
+
+
+def _grid_input(spark):
+    """Ticks before, on and between marks, two in one second, one without a price; a market without ticks."""
+    ticks = [(1, 1, 5, 0.1), (2, 1, 60, 0.2), (3, 1, 61, 0.3), (4, 1, 61, 0.4), (5, 1, 170, None), (6, 1, 400, 0.6), (7, 2, 900, 0.7)]
+    t = spark.createDataFrame(ticks, "trade_id long, ticker long, created_ts long, yes_price_usd double")
+    return ticks, t, spark.createDataFrame([(1, 30, 420), (2, 0, 100), (3, 0, 60)], "ticker long, lo long, hi long")
+
+
+def test_on_grid_orders_ticks_not_marks(spark):
+    ticks, t, spans = _grid_input(spark)
+    run = lambda: TT.on_grid(t, spans, ["ticker"], "created_ts", "trade_id", "yes_price_usd", 60, "price")
+    want = []
+    for k, lo, hi in [(1, 30, 420), (2, 0, 100), (3, 0, 60)]:
+        for at in range(lo // 60 * 60, hi + 1, 60):
+            seen = [(ts, i, p) for i, tk, ts, p in ticks if tk == k and ts <= at]
+            want.append((k, at, max(seen, key=lambda r: r[:2])[2] if seen else None))
+    assert rows(run(), "ticker", "bin_ts", "price") == sorted(want, key=lambda r: r[:2])
+    assert _written_after_the_last_shuffle(spark, run)
+
+
+def test_braid_and_its_runs_agree(spark):
+    """One row for equal marks: no mark is shuffled for the summary, and it equals that of the marks."""
+    _, t, spans = _grid_input(spark)
+    q = spark.createDataFrame([(1, 1, 100, 0.5), (2, 1, 200, 0.4), (3, 2, 60, 0.9)], "trade_id long, ticker long, created_ts long, yes_price_usd double")
+    how = ("created_ts", "yes_price_usd", "trade_id")
+    src = {"m": (t, *how), "s": (t.where("trade_id % 2 = 0"), *how), "q": (q, *how)}
+    marks, runs = M.braid(spans, src, "q", 60).collect(), M.braid_runs(spans, src, "q", 60)
+    assert len(marks) == 7 + 2 + 1 == runs.agg(F.sum("n_bins")).first()[0] and runs.count() < len(marks)
+    at = {(r["ticker"], r["bin_ts"]): (r["m"], r["s"], r["q"], r["terminated_at"]) for r in marks}
+    assert at[1, 0] == (0.2, 0.2, None, 200) and at[1, 120] == (0.4, 0.4, 0.5, 200) and at[1, 180] == (0.2, 0.4, 0.5, 200)
+    assert at[1, 240][2] is None and at[2, 60] == (None, None, 0.9, 60) and at[3, 0] == (None, None, None, None)
+    gaps = [abs(m - q) for m, s, q, _ in at.values() if m is not None and q is not None]
+    got = M.braid_summary(runs, "m", "q").first()
+    assert got["n_legs"] == 3 and got["n_terminated"] == 2 and abs(got["mean_abs_gap_pp"] - 100 * sum(gaps) / len(gaps)) < 1e-9
+
+
+def test_gap_runs_give_the_episodes_of_the_series(spark):
+    """Episodes of runs equal those of single marks, and the series is written out after the last shuffle."""
+    a = spark.createDataFrame([(i, 1, i * 600, 0.5 + (i % 4) / 10) for i in range(12)], "trade_id long, ticker long, created_ts long, yes_price_usd double")
+    b = spark.createDataFrame([(i, 1, 30 + i * 900, 0.4 + (i % 3) / 10) for i in range(8)], a.schema)
+    spans = spark.createDataFrame([(1, 1, 0, 8000)], "ticker long, outcome int, lo long, hi long")
+    how = ("created_ts", "yes_price_usd", "trade_id")
+    series = lambda: C.gap_series({"a": (a, *how), "b": (b, *how)}, spans, "ticker", 60)
+    runs = C.gap_runs({"a": (a, *how), "b": (b, *how)}, spans, "ticker", 60)
+    cols = ("start_ts", "end_ts", "steps", "closer")
+    assert rows(C.episodes(runs, "ticker", min_steps=2), *cols) == rows(C.episodes(series(), "ticker", min_steps=2), *cols) != []
+    assert _written_after_the_last_shuffle(spark, series)
