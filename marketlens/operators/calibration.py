@@ -176,34 +176,46 @@ def gap_series(sources: Mapping[str, tuple[DataFrame, str, str, str]], spans: Da
     ``spans``: key, lo, hi and any columns to keep. A quote counts from the bin that holds it;
     nothing before the span is carried in. Gaps under the floor are zero.
     """
+    runs = gap_runs(sources, spans, key, step, floor)
+    return T.grid(runs, step, "__from", "__to").select(*spans.columns, "bin_ts", "a", "b", "gap")
+
+
+def gap_runs(sources: Mapping[str, tuple[DataFrame, str, str, str]], spans: DataFrame, key: str, step: int = 60, floor: float = GAP_FLOOR) -> DataFrame:
+    """The series with one row for the marks ``__from`` to ``__to`` between two quotes, and how many they are, ``n_bins``.
+
+    Only bins with a quote are ordered: a key has at most span / step of them, whatever its quotes.
+    """
     a, b = list(sources)
-    marks = T.grid(spans, step)
+    first, top = T.floor_to(F.col("lo"), step), T.floor_to(F.col("hi"), step)
     inside = stack_sources(sources, key).join(spans.select(key, "lo", "hi"), key)
-    inside = inside.where((F.col("src_ts") >= T.floor_to(F.col("lo"), step)) & (F.col("src_ts") <= F.col("hi")))
+    inside = inside.where((F.col("src_ts") >= first) & (F.col("src_ts") <= F.col("hi")))
     at = F.struct("src_ts", "src_tie")
     last = lambda n: F.max_by("src_value", F.when((F.col("source") == n) & F.col("src_value").isNotNull(), at))
     bars = inside.groupBy(key, T.floor_to(F.col("src_ts"), step).alias("bin_ts")).agg(last(a).alias("__a"), last(b).alias("__b"))
-    # A key has span / step marks, so both fills are one key window.
     w = W.partitionBy(key).orderBy("bin_ts").rowsBetween(W.unboundedPreceding, 0)
-    full = marks.join(bars, [key, "bin_ts"], "left")
-    two = full.select(*marks.columns, F.last("__a", ignorenulls=True).over(w).alias("a"), F.last("__b", ignorenulls=True).over(w).alias("b"))
+    filled = bars.select(key, "bin_ts", F.last("__a", ignorenulls=True).over(w).alias("a"), F.last("__b", ignorenulls=True).over(w).alias("b"))
     gap = F.round(F.col("a") - F.col("b"), 9)
-    return two.where("a is not null and b is not null").withColumn("gap", F.when(F.abs(gap) >= floor, gap).otherwise(0.0))
+    runs = T.runs_on(filled, spans, [key], step, first, top).where("a is not null and b is not null")
+    runs = runs.withColumn("gap", F.when(F.abs(gap) >= floor, gap).otherwise(0.0))
+    return runs.withColumn("n_bins", ((F.col("__to") - F.col("__from")) / step + 1).cast("long"))
 
 
-def episodes(series: DataFrame, key: str, outcome: str = "outcome", threshold: float = GAP_THRESHOLD, min_steps: int = SUSTAIN_STEPS) -> DataFrame:
-    """Runs of a wide gap that last.
+def episodes(runs: DataFrame, key: str, outcome: str = "outcome", threshold: float = GAP_THRESHOLD, min_steps: int = SUSTAIN_STEPS) -> DataFrame:
+    """Stretches of a wide gap that last (C07), from the runs of a gap series.
 
-    Rows of a key are grid marks of a bounded span, so the run numbering is a key window.
+    A key has at most as many runs as bins with a quote, and its runs follow each other without a hole, so a stretch
+    starts where the run before is not wide.
     """
-    w = W.partitionBy(key).orderBy("bin_ts")
+    runs = _as_runs(runs)
+    w = W.partitionBy(key).orderBy("__from")
     wide = F.abs(F.col("gap")) >= threshold
-    wf = W.partitionBy(key, wide).orderBy("bin_ts")
-    run = series.withColumn("__run", F.row_number().over(w) - F.row_number().over(wf)).where(wide)
+    fresh = F.when(wide & ~F.coalesce(F.lag(wide).over(w), F.lit(False)), 1).otherwise(0)
+    run = runs.withColumn("__new", fresh).withColumn("__run", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0))).where(wide)
+    run = _each_mark(run)
     o = F.col(outcome)
     g = run.groupBy(key, "__run").agg(
-        F.min("bin_ts").alias("start_ts"),
-        F.max("bin_ts").alias("end_ts"),
+        F.min("__from").alias("start_ts"),
+        F.max("__to").alias("end_ts"),
         _n().alias("steps"),
         F.avg("gap").alias("mean_gap"),
         F.max(F.abs("gap")).alias("max_gap"),
@@ -215,9 +227,21 @@ def episodes(series: DataFrame, key: str, outcome: str = "outcome", threshold: f
     return g.where(F.col("steps") >= min_steps).withColumn("closer", F.when(F.col("mse_a") < F.col("mse_b"), "a").otherwise("b")).drop("__run")
 
 
-def gap_summary(series: DataFrame, key: str) -> DataFrame:
-    """Largest and mean absolute gap per leg."""
-    return series.groupBy(key).agg(F.max(F.abs("gap")).alias("max_gap"), F.avg(F.abs("gap")).alias("mean_gap"), _n().alias("n_steps"))
+def _as_runs(series: DataFrame) -> DataFrame:
+    """A series of single marks as runs of one mark each."""
+    if "n_bins" in series.columns:
+        return series
+    return series.withColumn("__from", F.col("bin_ts")).withColumn("__to", F.col("bin_ts")).withColumn("n_bins", F.lit(1).cast("long"))
+
+
+def _each_mark(runs: DataFrame) -> DataFrame:
+    """A row per mark again, for means that add marks one by one in their order; nothing is sorted or shuffled for it."""
+    return runs.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_bins")))).drop("__i")
+
+
+def gap_summary(runs: DataFrame, key: str) -> DataFrame:
+    """Largest and mean absolute gap per leg (C08), from the runs of a gap series or from the series itself."""
+    return _each_mark(_as_runs(runs)).groupBy(key).agg(F.max(F.abs("gap")).alias("max_gap"), F.avg(F.abs("gap")).alias("mean_gap"), _n().alias("n_steps"))
 
 
 def poll_gaps(polls: DataFrame, src: DataFrame, on: Sequence[str], poll_ts: str, src_ts: str, value: str, tie: str) -> DataFrame:
