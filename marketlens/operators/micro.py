@@ -616,18 +616,36 @@ def lead_interval(t: DataFrame, step: int = 5, rise: float = 0.08, fall: float =
     return j.groupBy("ticker", "lead_start").agg(F.min(F.when(end, F.col("bin_ts"))).alias("lead_end"))
 
 
-def _braid(spans: DataFrame, sources: Mapping[str, tuple[DataFrame, str, str, str]], ends_on: str, step: int) -> DataFrame:
-    marks = T.grid(spans, step)
-    marks = marks.where(F.col("bin_ts") < F.col("hi"))
+def _braid(spans: DataFrame, sources: Mapping[str, tuple[DataFrame, str, str, str]], ends_on: str, step: int, back: bool) -> DataFrame:
+    """Runs of marks between which no source changes: ticker, __from, __to, a column per source, terminated_at.
+
+    A tick counts from the first mark that is not before it; only the last one of a mark and source is ordered.
+    """
     names = list(sources)
-    stacked = stack_sources(sources, "ticker").join(spans.select("ticker", "lo", "hi"), "ticker")
-    stacked = stacked.where(F.col("src_ts").between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
-    long = marks.withColumn("source", F.explode(F.array(*[F.lit(n) for n in names])))
-    hit = T.asof(long, stacked, ["ticker", "source"], "bin_ts", "src_ts", {"src_value": "v"}, "src_tie")
-    edge = stacked.groupBy("ticker", "source").agg(F.min_by("src_value", F.struct("src_ts", "src_tie")).alias("first_v"), F.max("src_ts").alias("last_ts"))
-    j = hit.join(edge, ["ticker", "source"], "left")
-    live = F.when((F.col("source") != ends_on) | (F.col("bin_ts") <= F.col("last_ts")), F.col("v"))
-    return j.withColumn("v", live)
+    of = lambda n, c: F.when(F.col("source") == n, c)
+    at = F.struct("src_ts", "src_tie")
+    stacked = stack_sources(sources, "ticker").join(spans.select("ticker", "lo", "hi"), "ticker").where(F.col("src_ts").between(F.col("lo"), F.col("hi")))
+    mark = (F.ceil(F.col("src_ts") / F.lit(step)) * F.lit(step)).cast("long")
+    # One-field structs keep "the tick's value is null" apart from "no tick here".
+    last = [F.max_by(F.struct(F.col("src_value").alias("v")), of(n, at)).alias(f"__{n}") for n in names]
+    first = [F.min(of(n, F.struct("src_ts", "src_tie", F.col("src_value").alias("v")))).alias(f"__first_{n}") for n in names]
+    end = F.max(of(ends_on, F.col("src_ts"))).alias("__end")
+    bars = stacked.groupBy("ticker", mark.alias("bin_ts")).agg(*last, *first, end)
+    edges = bars.groupBy("ticker").agg(*[F.min(f"__first_{n}").alias(f"__first_{n}") for n in names], F.max("__end").alias("__end"))
+    w = W.partitionBy("ticker").orderBy("bin_ts").rowsBetween(W.unboundedPreceding, 0)
+    filled = bars.select("ticker", "bin_ts", *[F.last(f"__{n}", ignorenulls=True).over(w).alias(f"__{n}") for n in names])
+    top = (F.ceil(F.col("hi") / F.lit(step)) * F.lit(step)).cast("long") - step
+    runs = T.runs_on(filled, spans.select("ticker", "lo", "hi"), ["ticker"], step, T.floor_to(F.col("lo"), step), top).join(edges, "ticker", "left")
+    # A run that goes on after the last quote is cut there.
+    live = F.coalesce(T.floor_to(F.col("__end"), step), F.col("__to"))
+    halves = F.array(
+        F.struct(F.col("__from").alias("a"), F.least(F.col("__to"), live).alias("b"), F.lit(True).alias("on")),
+        F.struct(F.greatest(F.col("__from"), live + step).alias("a"), F.col("__to").alias("b"), F.lit(False).alias("on")),
+    )
+    cut_at = runs.withColumn("__h", F.explode(F.filter(halves, lambda h: h["a"] <= h["b"])))
+    value = lambda n: F.when(F.col("__h.on"), F.col(f"__{n}.v")) if n == ends_on else F.coalesce(f"__{n}.v", *([f"__first_{n}.v"] if back else []))
+    ended = F.when(F.col("__end") < F.col("hi"), F.col("__end")).alias("terminated_at")
+    return cut_at.select("ticker", F.col("__h.a").alias("__from"), F.col("__h.b").alias("__to"), *[value(n).alias(n) for n in names], ended)
 
 
 def braid(spans: DataFrame, sources: Mapping[str, tuple[DataFrame, str, str, str]], ends_on: str, step: int = MINUTE) -> DataFrame:
@@ -635,25 +653,28 @@ def braid(spans: DataFrame, sources: Mapping[str, tuple[DataFrame, str, str, str
 
     ``spans``: ticker, lo, hi. Columns: one per source, null where it has nothing.
     """
-    j = _braid(spans, sources, ends_on, step)
-    names = list(sources)
-    filled = F.when(F.col("source") == ends_on, F.col("v")).otherwise(F.coalesce("v", "first_v"))
-    pick = lambda n: F.max(F.when(F.col("source") == n, filled)).alias(n)
-    ended = F.max(F.when((F.col("source") == ends_on) & (F.col("last_ts") < F.col("hi")), F.col("last_ts"))).alias("terminated_at")
-    return j.groupBy("ticker", "bin_ts").agg(*[pick(n) for n in names], ended)
+    runs = braid_runs(spans, sources, ends_on, step)
+    return T.grid(runs, step, "__from", "__to").select("ticker", "bin_ts", *sources, "terminated_at")
+
+
+def braid_runs(spans: DataFrame, sources: Mapping[str, tuple[DataFrame, str, str, str]], ends_on: str, step: int = MINUTE) -> DataFrame:
+    """The braid with one row for equal marks in a row, and how many they are, ``n_bins``."""
+    runs = _braid(spans, sources, ends_on, step, back=True)
+    return runs.withColumn("n_bins", ((F.col("__to") - F.col("__from")) / step + 1).cast("long"))
 
 
-def braid_summary(b: DataFrame, a: str, other: str) -> DataFrame:
-    """Legs, mean absolute gap in points, and how many legs ended early."""
-    per = b.groupBy("ticker").agg(F.sum(F.abs(F.col(a) - F.col(other))).alias("g"), F.count(F.col(a) - F.col(other)).alias("n"), F.max("terminated_at").alias("e"))
-    return per.agg(_n().alias("n_legs"), (F.sum("g") / F.sum("n") * 100).alias("mean_abs_gap_pp"), F.count("e").alias("n_terminated"))
+def braid_summary(runs: DataFrame, a: str, other: str) -> DataFrame:
+    """Legs, mean absolute gap in points, and how many legs ended early (M22), from the runs of the braid."""
+    gap, n = F.abs(F.col(a) - F.col(other)), F.col("n_bins")
+    per = runs.groupBy("ticker").agg(F.sum(gap * n).alias("g"), F.coalesce(F.sum(F.when(gap.isNotNull(), n)), F.lit(0)).alias("n"), F.max("terminated_at").alias("e"))
+    mean = F.try_divide(F.sum("g"), F.sum("n")) * 100
+    return per.agg(_n().alias("n_legs"), mean.alias("mean_abs_gap_pp"), F.count("e").alias("n_terminated"))
 
 
 def braid_live(spans: DataFrame, sources: Mapping[str, tuple[DataFrame, str, str, str]], ends_on: str, step: int = MINUTE) -> DataFrame:
     """The unpadded form: nothing is filled back."""
-    j = _braid(spans, sources, ends_on, step)
-    pick = lambda n: F.max(F.when(F.col("source") == n, F.col("v"))).alias(n)
-    return j.groupBy("ticker", "bin_ts").agg(*[pick(n) for n in sources])
+    runs = _braid(spans, sources, ends_on, step, back=False)
+    return T.grid(runs, step, "__from", "__to").select("ticker", "bin_ts", *sources)
 
 
 def braid_spikes(b: DataFrame, a: str, other: str, floor: float = 0.15) -> DataFrame:
