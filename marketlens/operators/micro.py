@@ -744,14 +744,16 @@ def cliffs(t: DataFrame, step: int = MINUTE, mult: float = 6.0, floor: float = 3
     nb = lambda fn, c: fn(c).over(w)
     x = m.withColumn("pb", nb(F.lag, "b")).withColumn("pm", nb(F.lag, "med")).withColumn("nb", nb(F.lead, "b")).withColumn("nm", nb(F.lead, "med"))
     has_p, has_n = F.col("pb") == F.col("b") - 1, F.col("nb") == F.col("b") + 1
-    x = x.withColumn("d", F.when(has_p, F.col("med") - F.col("pm"))).withColumn("drop", F.when(has_p & has_n, F.col("pm") - F.col("nm")))
-    r = W.partitionBy("ticker").orderBy(F.desc(F.abs("d")), "b")
-    ranked = x.where("d is not null").withColumn("rk", F.row_number().over(r))
-    th = ranked.groupBy("ticker").agg(_n().alias("n"), F.stddev_pop(F.when(F.col("rk") > 2, F.col("d"))).alias("sd"))
-    th = x.select("ticker").distinct().join(th, "ticker", "left").select("ticker", F.when(F.coalesce("n", F.lit(0)) < 3, fallback).otherwise(F.greatest(F.lit(floor), F.lit(mult) * F.col("sd"))).alias("threshold_c"))
-    y = x.join(th, "ticker")
-    first = y.groupBy("ticker", "threshold_c").agg(F.min(F.when(F.col("drop") > F.col("threshold_c"), F.col("b"))).alias("first_bar"))
-    z = x.join(first, "ticker")
+    x = x.select("ticker", "b", F.when(has_p, F.col("med") - F.col("pm")).alias("d"), F.when(has_p & has_n, F.col("pm") - F.col("nm")).alias("drop"))
+    # Windows over a whole market keep the order of its bars: one sort serves all of them, and nothing is joined back.
+    every = W.partitionBy("ticker")
+    size = F.when(F.col("d").isNotNull(), F.struct(F.abs("d").alias("a"), (-F.col("b")).alias("b")))
+    x = x.withColumn("__s", size).withColumn("__1", F.max("__s").over(every))
+    x = x.withColumn("__2", F.max(F.when(F.col("__s") != F.col("__1"), F.col("__s"))).over(every))
+    rest = (F.col("__s") != F.col("__1")) & (F.col("__s") != F.col("__2"))
+    x = x.withColumn("__n", F.count("d").over(every)).withColumn("__sd", F.stddev_pop(F.when(rest, F.col("d"))).over(every))
+    z = x.withColumn("threshold_c", F.when(F.col("__n") < 3, fallback).otherwise(F.greatest(F.lit(floor), F.lit(mult) * F.col("__sd"))))
+    z = z.withColumn("first_bar", F.min(F.when(F.col("drop") > F.col("threshold_c"), F.col("b"))).over(every))
     later = (F.col("b") >= F.col("first_bar") + skip) & (F.col("drop") > 0)
     g = z.groupBy("ticker", "threshold_c", "first_bar").agg(
         F.max(F.when(later, F.col("drop"))).alias("dd"), F.max_by("b", F.when(later, F.struct("drop", -F.col("b")))).alias("bb")

@@ -339,3 +339,21 @@ def test_gap_runs_give_the_episodes_of_the_series(spark):
     cols = ("start_ts", "end_ts", "steps", "closer")
     assert rows(C.episodes(runs, "ticker", min_steps=2), *cols) == rows(C.episodes(series(), "ticker", min_steps=2), *cols) != []
     assert _written_after_the_last_shuffle(spark, series)
+
+
+def test_cliffs_sort_a_market_once(spark):
+    """Noise without the two largest moves, the earlier of equal ones first; the plan joins nothing after the medians."""
+    levels = [50, 52, 49, 80, 50, 51, 20, 21, 60, 20, 20, 70, 5]
+    t = tape(spark, [c / 100 for c in levels])
+    moves = sorted(((b - a, i) for i, (a, b) in enumerate(zip(levels, levels[1:]), 1)), key=lambda m: (-abs(m[0]), m[1]))[2:]
+    mean = sum(m for m, _ in moves) / len(moves)
+    th = max(3.0, (sum((m - mean) ** 2 for m, _ in moves) / len(moves)) ** 0.5)
+    drops = {i: levels[i - 1] - levels[i + 1] for i in range(1, len(levels) - 1)}
+    first = min(i for i, x in drops.items() if x > th)
+    later = [(x, -i) for i, x in drops.items() if i >= first + 2 and x > 0]
+    got = M.cliffs(t, 60, mult=1.0, skip=2)
+    row = got.first()
+    assert abs(row["threshold_c"] - th) < 1e-9 and row["first_bar"] == first
+    assert row["second_bar"] == (-max(later)[1] if max(later)[0] >= th else None)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
