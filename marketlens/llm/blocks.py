@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 #: Text per block and bucket.
 BLOCK_BYTES = 4 << 20
 #: Entries that a task holds before it packs them.
-FLUSH = 600_000
+FLUSH = 300_000
 
 PARTS = "block long, kind int, key binary, owner binary, mark binary, flag binary, ref_mark binary"
 FOUND = "block long, owner binary, mark binary, ref binary, ref_mark binary"
@@ -46,13 +46,18 @@ def bucket_of(owner: Column, blocks: int) -> Column:
     return F.coalesce(F.pmod(owner.cast("long"), F.lit(blocks)), F.pmod(F.monotonically_increasing_id(), F.lit(blocks))).cast("long")
 
 
+def tasks_for(rows: int, each: int = 50_000, least: int = 8) -> int:
+    """Tasks that a small table's rows ask for; grows with the rows."""
+    return max(least, rows // each + 1)
+
+
 @contextmanager
 def shuffle_partitions(df: DataFrame, rows: int, each: int = 50_000, least: int = 8):
     """While small tables are made and written: as many shuffle partitions as their rows ask for, whatever the session's
     number is. Hundreds of tasks and files for a few thousand rows would cost more than the rows."""
     conf, name = df.sparkSession.conf, "spark.sql.shuffle.partitions"
     before = conf.get(name)
-    conf.set(name, str(max(least, rows // each + 1)))
+    conf.set(name, str(tasks_for(rows, each, least)))
     try:
         yield
     finally:

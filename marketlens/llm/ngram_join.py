@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlens.llm.blocks import PARTS, Dealer, block_count, bucket_of, match, shuffle_partitions, unpack
+from marketlens.llm.blocks import PARTS, Dealer, block_count, bucket_of, match, shuffle_partitions, tasks_for, unpack
 from marketlens.llm.text import grams, hashes, lowered, mix
 from marketlens.session import cut
 
@@ -179,31 +179,40 @@ def _may_link(percent: int):
     return F.greatest(apart, gap) * (100 + percent) <= both * (100 - percent)
 
 
-def _linked(pairs: DataFrame, pieces: DataFrame, percent: int) -> DataFrame:
+def _sent(ids: DataFrame) -> DataFrame:
+    """Few ids (or rows of two) go to where the sets are; many meet them in a shuffle."""
+    n = ids.count()
+    return F.broadcast(ids) if n <= FEW else ids.coalesce(tasks_for(n))
+
+
+def _linked(pairs: DataFrame, pieces: DataFrame, percent: int, tasks: int) -> DataFrame:
     """Of pairs (a, b, na, nb) those that reach the threshold: overlaps by fragment, summed by pair."""
-    pairs = cut(pairs)
-    ends = cut(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct())
-    # Few ids go to where the sets are; many meet them in a shuffle.
-    pieces = pieces.join(F.broadcast(ends) if ends.count() <= FEW else ends, "doc", "left_semi")
+    pairs = cut(pairs.coalesce(tasks))
+    ends = cut(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct().coalesce(tasks))
+    pieces = pieces.join(_sent(ends), "doc", "left_semi")
     left = pieces.select(F.col("doc").alias("a"), "piece", F.col("part").alias("pa"))
     right = pieces.select(F.col("doc").alias("b"), "piece", F.col("part").alias("pb"))
     partial = pairs.join(left, "a").join(right, ["b", "piece"]).select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("o"))
     total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
-    return total.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
+    return total.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b").coalesce(tasks)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(doc, comp) for every end of an edge (a, b): the smallest id in its component.
 
     Labels go along edges and then to the label of the label, so rounds grow with the logarithm of a
-    component's length. Each round is written to the checkpoint folder."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "doc"))
+    component's length. Each round is written to the checkpoint folder, in as many files as the edges ask for: every
+    task of a shuffle leaves files of its own, which for a few rows each would outweigh the rows."""
+    edges = cut(edges)
+    tasks = tasks_for(2 * edges.count())
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").coalesce(tasks)
+    both = cut(both.distinct().coalesce(tasks))
+    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "doc").coalesce(tasks))
     while True:
-        near = both.join(labels.withColumnRenamed("doc", "b"), "b").groupBy("a").agg(F.min("comp").alias("least")).withColumnRenamed("a", "doc")
-        step = labels.join(near, "doc").select("doc", F.least("comp", "least").alias("to"), F.col("comp").alias("old"))
+        near = both.join(labels.withColumnRenamed("doc", "b"), "b").coalesce(tasks).groupBy("a").agg(F.min("comp").alias("least")).withColumnRenamed("a", "doc")
+        step = labels.join(near, "doc").select("doc", F.least("comp", "least").alias("to"), F.col("comp").alias("old")).coalesce(tasks)
         top = labels.select(F.col("doc").alias("to"), F.col("comp").alias("up"))
-        jumped = cut(step.join(top, "to", "left").select("doc", F.least(F.col("to"), F.coalesce("up", "to")).alias("comp"), "old"))
+        jumped = cut(step.join(top, "to", "left").select("doc", F.least(F.col("to"), F.coalesce("up", "to")).alias("comp"), "old").coalesce(tasks))
         if jumped.where("comp <> old").isEmpty():
             return jumped.select("doc", "comp")
         labels = jumped.select("doc", "comp")
@@ -226,13 +235,15 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     classes = candidates.groupBy("print").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("last")).where("doc < last")
     # Sets that several documents have, once for each salt: so copies of one text meet their class in several tasks.
     classes = cut(classes.select("print", "doc", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
+    classes = classes.coalesce(tasks_for(classes.count()))
     candidates = candidates.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    copies = candidates.join(classes, ["print", "salt"]).where("doc_id <> doc").select(F.col("doc_id").alias("doc")).distinct()
-    sets = rows.where("set IS NOT NULL").select(F.col("doc_id").alias("doc"), "set").join(copies, "doc", "left_anti")
+    copies = cut(candidates.join(classes, ["print", "salt"]).where("doc_id <> doc").select(F.col("doc_id").alias("doc")).distinct())
+    sets = rows.where("set IS NOT NULL").select(F.col("doc_id").alias("doc"), "set").join(_sent(copies), "doc", "left_anti")
     parts = sets.mapInArrow(_emit_sets(percent, blocks), PARTS)
     keys = cut(match(parts, blocks, keyed=True).mapInArrow(_rows_of, "key long, hub long, doc long"))
-    with shuffle_partitions(docs, keys.count()):
-        comp = _linked_components(sets, keys, percent)
+    n_keys = keys.count()
+    with shuffle_partitions(docs, n_keys):
+        comp = _linked_components(sets, keys.coalesce(tasks_for(n_keys)), percent, tasks_for(n_keys))
     of_class = classes.join(comp, "doc", "left").select("print", "salt", F.coalesce("comp", "doc").alias("of_class"))
     known = candidates.join(of_class, ["print", "salt"], "left").join(comp.withColumnRenamed("doc", "doc_id"), "doc_id", "left")
     known = known.select("doc_id", "n_shingles", F.coalesce("of_class", "comp", "doc_id").alias("component_id"))
@@ -240,43 +251,43 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     return known.unionByName(alone)
 
 
-def _linked_components(sets: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
+def _linked_components(sets: DataFrame, keys: DataFrame, percent: int, tasks: int) -> DataFrame:
     """(doc, comp) of the distinct sets (doc, set) that link with another, written; ``keys`` are their shared segments."""
-    info = cut(sets.mapInArrow(_sketch_rows, "doc long, n long, sk array<long>"))
+    info = cut(sets.mapInArrow(_sketch_rows, "doc long, n long, sk array<long>")).coalesce(tasks)
     part = lambda p: F.filter("set", lambda h: F.shiftrightunsigned(h, 64 - PIECE_BITS) == p)
     numbers = F.sequence(F.lit(0), F.lit((1 << PIECE_BITS) - 1))
     pieces = sets.select("doc", F.explode(F.transform(numbers, lambda p: F.struct(p.alias("piece"), part(p).alias("part")))).alias("p"))
     pieces = pieces.select("doc", "p.piece", "p.part").where(F.size("part") > 0)
     x, y = info.alias("x"), info.alias("y")
-    hubs = keys.where("hub <> doc").select("hub", "doc").distinct().alias("k")
+    hubs = keys.where("hub <> doc").select("hub", "doc").distinct().coalesce(tasks).alias("k")
     ok = _may_link(percent)
     pair = [F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")]
     first = hubs.join(x, F.col("k.hub") == F.col("x.doc")).join(y, F.col("k.doc") == F.col("y.doc")).where(ok).select(*pair)
-    edges = cut(_linked(first, pieces, percent))
+    edges = cut(_linked(first, pieces, percent, tasks))
     comp = components(edges)
-    left = _mixed(keys, comp, info)
+    left = _mixed(keys, comp, info, tasks)
     large = left.where(F.col("m") > LARGE)
     reps = large.groupBy("key", "comp").agg(F.min("doc").alias("doc"))
     reps = reps.withColumn("nth", F.row_number().over(W.partitionBy("key").orderBy(F.xxhash64("comp"), "comp"))).where(F.col("nth") <= HUBS)
     x, y = reps.select("key", "doc", F.col("comp").alias("of")).join(info, "doc").alias("x"), large.alias("y")
     some = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.of") != F.col("y.comp")) & ok).select(*pair).distinct()
-    more = cut(_linked(some, pieces, percent))
+    more = cut(_linked(some, pieces, percent, tasks))
     if not more.isEmpty():
         edges = cut(edges.unionByName(more))
         before = comp.withColumnRenamed("comp", "was")
         comp = components(edges)
         moved = cut(comp.join(before, "doc", "left").where("was IS NULL OR was <> comp").select("doc", F.col("comp").alias("now")))
-        left = left.join(F.broadcast(moved) if moved.count() <= FEW else moved, "doc", "left").withColumn("comp", F.coalesce("now", "comp"))
+        left = left.join(_sent(moved), "doc", "left").withColumn("comp", F.coalesce("now", "comp"))
     x, y = left.alias("x"), left.alias("y")
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & ok).select(*pair).distinct()
-    more = cut(_linked(across, pieces, percent))
+    more = cut(_linked(across, pieces, percent, tasks))
     if not more.isEmpty():
         comp = components(edges.unionByName(more))
     return comp
 
 
-def _mixed(keys: DataFrame, comp: DataFrame, info: DataFrame) -> DataFrame:
+def _mixed(keys: DataFrame, comp: DataFrame, info: DataFrame, tasks: int) -> DataFrame:
     """(key, m, doc, comp, n, sk) of the segments that documents of several components share, m of them, written."""
-    named = keys.select("key", "doc").join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    named = keys.select("key", "doc").join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")).coalesce(tasks)
     mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("key", "m")
-    return cut(named.join(mixed, "key").join(info, "doc").select("key", "m", "doc", "comp", "n", "sk"))
+    return cut(named.join(mixed, "key").coalesce(tasks).join(info, "doc").select("key", "m", "doc", "comp", "n", "sk").coalesce(tasks))

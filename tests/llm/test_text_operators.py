@@ -218,3 +218,18 @@ def test_join_of_a_chain_of_near_copies(spark, monkeypatch):
         want = sorted((i, s, c) for i, s, c in brute_join([d for d in docs if d[0] is not None], n, percent))
         got = sorted(tuple(x) for x in ngram_join.join(df, n=n, percent=percent).where("doc_id IS NOT NULL").collect())
         assert got == want and 1 < len({c for _, _, c in want}) < 120
+
+
+def test_small_components_stay_in_few_tasks(spark):
+    """A few edges make a few files a round, whatever the session's number of shuffle partitions."""
+    names = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, x in names.items():
+            spark.conf.set(k, x)
+        comp = ngram_join.components(spark.createDataFrame([(i, i + 1) for i in range(1, 9)], "a long, b long"))
+        assert comp.rdd.getNumPartitions() <= 8
+        assert rows(comp) == [(i, 1) for i in range(1, 10)]
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
