@@ -11,6 +11,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -289,10 +290,21 @@ def hot_window(t: DataFrame, search: DataFrame, step: int = 30, spread: float =
 def smoothed(t: DataFrame, half: int = 2) -> DataFrame:
     """Centred rolling median of the tick price, edges on the rows there are."""
     num = ordered.row_number(t.select("ticker", "created_ts", "trade_id", "yes_price_usd"), ["ticker"], ["created_ts", "trade_id"], "pos")
-    med = "percentile(yes_price_usd, 0.5D)"
-    # The smoothed value one row earlier is the same median over the frame shifted by one row.
-    both = ordered.framed(num, ["ticker"], "pos", {"smooth": (med, -half, half), "smooth_before": (med, -half - 1, half - 1)})
-    return both.withColumn("smooth_before", F.when(F.col("pos") > 1, F.col("smooth_before")))
+    # One frame of the prices around a row serves both medians: that of the row before is the frame shifted by one row.
+    near = ordered.framed(num, ["ticker"], "pos", {"__near": ("collect_list(struct(pos, yes_price_usd AS p))", -half - 1, half)})
+    late, early = F.col("__near"), F.col("pos") + half
+    med = lambda lo, hi: _median(F.transform(F.filter(late, lambda x: (x["pos"] >= lo) & (x["pos"] <= hi)), lambda x: x["p"]))
+    both = near.withColumn("smooth", med(F.col("pos") - half, early)).withColumn("smooth_before", med(F.col("pos") - half - 1, early - 1))
+    return both.drop("__near").withColumn("smooth_before", F.when(F.col("pos") > 1, F.col("smooth_before")))
+
+
+def _median(values: Column) -> Column:
+    """Interpolated median of a short list, nulls left out; null if nothing is left."""
+    x = F.array_sort(F.filter(values, lambda v: v.isNotNull()))
+    n = F.size(x)
+    at = lambda k: F.get(x, k.cast("int"))
+    lo, hi = at(F.floor((n - 1) / 2)), at(F.floor(n / 2))
+    return F.when(n > 0, F.when(n % 2 == 1, lo).otherwise(lo + (hi - lo) * 0.5))
 
 
 def turning_points(t: DataFrame, min_move: float = 0.05, block: int = 100_000) -> DataFrame:
@@ -314,29 +326,31 @@ def turning_points(t: DataFrame, min_move: float = 0.05, block: int = 100_000) -
     rows = flips.select("ticker", blk.alias("blk"), "pos", "smooth")
     kind = rows.schema["ticker"].dataType.simpleString()
 
-    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        lv = pdf["smooth"].to_numpy()
+    def summary(part: pa.Table) -> pa.Table:
+        lv = np.asarray(part["smooth"])[np.argsort(np.asarray(part["pos"]))]
         exits, turns = np.empty(len(lv)), np.zeros(len(lv), dtype="int64")
         for i, k in _next_far(lv, min_move):
             exits[i], turns[i] = (exits[k], turns[k] + 1) if k < len(lv) else (lv[i], 0)
         low, high = (np.flatnonzero(np.append(True, np.diff(f(lv)) != 0)) for f in (np.minimum.accumulate, np.maximum.accumulate))
         at = np.unique(np.concatenate([low, high]))
-        return pd.DataFrame({"ticker": pdf["ticker"].iloc[:1], "blk": pdf["blk"].iloc[:1], "price": [lv[at].tolist()], "exit": [exits[at].tolist()], "turns": [turns[at].tolist()]})
+        return part.select(["ticker", "blk"]).slice(0, 1).append_column("price", [[lv[at]]]).append_column("exit", [[exits[at]]]).append_column("turns", [[turns[at]]])
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+    def chain(part: pa.Table) -> pa.Table:
         level, n = None, 0
-        for price, ends, turns in zip(*(pdf.sort_values("blk")[c] for c in ("price", "exit", "turns")), strict=True):
+        part = part.sort_by("blk")
+        for price, ends, turns in zip(*(part[c].to_pylist() for c in ("price", "exit", "turns")), strict=True):
             if level is None:  # the first move of a market sets the level and is no turn
                 level, n = ends[0], int(turns[0])
                 continue
             far = np.flatnonzero(_far(np.asarray(price), level, min_move))
             if len(far):
                 level, n = ends[far[0]], n + 1 + int(turns[far[0]])
-        return pd.DataFrame({"ticker": pdf["ticker"].iloc[:1], "n_turns": [n]})
+        return part.select(["ticker"]).slice(0, 1).append_column("n_turns", [[n]])
 
-    per = rows.groupBy("ticker", "blk").applyInPandas(summary, f"ticker {kind}, blk long, price array<double>, exit array<double>, turns array<long>")
-    done = per.groupBy("ticker").applyInPandas(chain, f"ticker {kind}, n_turns long")
+    # Few bytes a group but a Python call each: a given number of tasks is not coalesced.
+    tasks = int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    per = rows.repartition(tasks, "ticker", "blk").groupBy("ticker", "blk").applyInArrow(summary, f"ticker {kind}, blk long, price array<double>, exit array<double>, turns array<long>")
+    done = per.repartition(tasks, "ticker").groupBy("ticker").applyInArrow(chain, f"ticker {kind}, n_turns long")
     return t.select("ticker").distinct().join(done, "ticker", "left").na.fill(0, ["n_turns"])
 
 

@@ -357,3 +357,9 @@ def test_cliffs_sort_a_market_once(spark):
     assert row["second_bar"] == (-max(later)[1] if max(later)[0] >= th else None)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1
+
+
+def test_turning_points_are_walked_in_a_given_number_of_tasks(spark):
+    """Each group costs a Python call whatever its bytes, so tasks are not coalesced by size; no sorted map per row for the medians."""
+    plan = M.turning_points(tape(spark, [0.1, 0.5, 0.2]))._jdf.queryExecution().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= 2 and "percentile" not in plan
