@@ -25,6 +25,7 @@ FLUSH = 300_000
 
 PARTS = "block long, kind int, key binary, owner binary, mark binary, flag binary, ref_mark binary"
 FOUND = "block long, owner binary, mark binary, ref binary, ref_mark binary"
+KEYED = "key long, hub long, doc long"
 PARTS_ARROW = pa.schema([("block", pa.int64()), ("kind", pa.int32())] + [(c, pa.binary()) for c in ("key", "owner", "mark", "flag", "ref_mark")])
 _FOUND = pa.schema([("block", pa.int64())] + [(c, pa.binary()) for c in ("owner", "mark", "ref", "ref_mark")])
 
@@ -159,7 +160,8 @@ def _groups(to: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 def match(parts: DataFrame, blocks: int, plain: bool = False, keyed: bool = False) -> DataFrame:
     """For each entry whose key two owners share: owner, mark, and the key's smallest owner with its first mark
     (the entry itself, if that is its own). Packed by bucket of the owner. ``plain`` returns each such
-    owner once with the number of its shared entries as the mark; ``keyed`` returns keys as marks and no marks of the smallest. Settled entries pass through."""
+    owner once with the number of its shared entries as the mark. Settled entries pass through. ``keyed`` returns rows
+    (key, hub, doc) that are not packed: the key, its smallest owner and the owner."""
     mark_type = np.int64 if keyed else np.int32
 
     def one(t: pa.Table) -> pa.Table:
@@ -182,11 +184,13 @@ def match(parts: DataFrame, blocks: int, plain: bool = False, keyed: bool = Fals
         else:
             mark = np.concatenate([marks[got], unpack(old["mark"], mark_type)])
             ref = np.concatenate([owners[at], unpack(old["key"], np.int64)])
-            ref_mark = np.empty(0, np.int32) if keyed else np.concatenate([marks[at], unpack(old["ref_mark"], np.int32)])
+            if keyed:
+                return pa.Table.from_arrays([pa.array(mark), pa.array(ref), pa.array(owner)], ["key", "hub", "doc"])
+            ref_mark = np.concatenate([marks[at], unpack(old["ref_mark"], np.int32)])
         rows = []
         for b, i in _groups(np.mod(owner, blocks)):
-            rest = (b"", b"") if plain else (pack(ref[i]), b"" if keyed else pack(ref_mark[i]))
+            rest = (b"", b"") if plain else (pack(ref[i]), pack(ref_mark[i]))
             rows.append((b, pack(owner[i]), pack(mark[i]), *rest))
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_FOUND)], schema=_FOUND)
 
-    return parts.groupBy("block").applyInArrow(one, FOUND)
+    return parts.groupBy("block").applyInArrow(one, KEYED if keyed else FOUND)

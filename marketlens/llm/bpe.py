@@ -31,8 +31,9 @@ from pyspark.sql import types as T
 NEVER = 1 << 60
 #: Stands for the end of a word; no letter of a byte.
 END = "\ue000"
-#: Words in each of the two generations that a task keeps, and arcs it keeps.
-KEPT, ARCS = 250_000, 300_000
+#: Words in each of the two generations that a worker process keeps, and arcs it keeps. A process lives on through later
+#: tasks and stages with what it keeps, so this is memory of an executor for each of its processes.
+KEPT, ARCS = 60_000, 300_000
 
 
 class Automaton:
@@ -211,10 +212,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "i
         c = codec(path)
         for big in batches:
             for b in _spread(big):
-                ids = [c.encode(t) for t in b.column(at).to_pylist()]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [*b.schema.names, out_col])
+                yield pa.RecordBatch.from_arrays([*b.columns, encoded(b.column(at), c)], [*b.schema.names, out_col])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))]))
 
@@ -234,6 +232,32 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(out_col, T.StringType())]))
 
 
+def round_trip(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """The other columns with what ``encode`` and then ``decode`` add, without the text. One process for each task does
+    both, where a chain of the two has two, each with memory of its own. Own columns of such names give way."""
+    docs = docs.drop(ids_col, out_col)
+    at = docs.columns.index(text_col)
+    rest = [k for k in range(len(docs.columns)) if k != at]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, label = codec(path), arc_labels(path)
+        for big in batches:
+            for b in _spread(big):
+                ids = encoded(b.column(at), c)
+                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in rest), ids, spelled(ids, label)], [*(b.schema.names[k] for k in rest), ids_col, out_col])
+
+    added = [T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(out_col, T.StringType())]
+    return docs.mapInArrow(run, T.StructType([*(docs.schema.fields[k] for k in rest), *added]))
+
+
+def encoded(texts: pa.Array, c: Codec) -> pa.ListArray:
+    """The ids of each row's text; a null or empty one has none."""
+    ids = [c.encode(t) for t in texts.to_pylist()]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+
 def spelled(ids: pa.ListArray, label: pa.Array) -> pa.Array:
     """The labels of each row's ids, joined by a blank."""
     flat = label.take(ids.flatten())
@@ -245,6 +269,6 @@ def spelled(ids: pa.ListArray, label: pa.Array) -> pa.Array:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of encoding and then decoding the ids."""
-    coded = decode(encode(docs.select("doc_id", "text"), path).select("doc_id", "ids"), path)
+    coded = round_trip(docs.select("doc_id", "text"), path)
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

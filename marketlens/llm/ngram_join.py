@@ -156,12 +156,6 @@ def _emit_sets(percent: int, blocks: int):
     return run
 
 
-def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        owner, key, hub = (unpack(pa.chunked_array([b[c]]), np.int64) for c in ("owner", "mark", "ref"))
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(hub), pa.array(owner)], ["key", "hub", "doc"])
-
-
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sets = [np.array(s, np.int64).view(np.uint64) for s in b.column(1).to_pylist()]
@@ -240,7 +234,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     copies = cut(candidates.join(classes, ["print", "salt"]).where("doc_id <> doc").select(F.col("doc_id").alias("doc")).distinct())
     sets = rows.where("set IS NOT NULL").select(F.col("doc_id").alias("doc"), "set").join(_sent(copies), "doc", "left_anti")
     parts = sets.mapInArrow(_emit_sets(percent, blocks), PARTS)
-    keys = cut(match(parts, blocks, keyed=True).mapInArrow(_rows_of, "key long, hub long, doc long"))
+    keys = cut(match(parts, blocks, keyed=True))
     n_keys = keys.count()
     with shuffle_partitions(docs, n_keys):
         comp = _linked_components(sets, keys.coalesce(tasks_for(n_keys)), percent, tasks_for(n_keys))

@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import sys
 
+import numpy as np
 import public_tokenizers
 import pytest
 from conftest import rows
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from marketlens.llm import bpe, ngram_join, substring
-from marketlens.llm.blocks import block_count
+from marketlens.llm.blocks import PARTS, Dealer, block_count, match
 from marketlens.llm.registry import QUERIES, load
 
 load()
@@ -162,6 +164,41 @@ def test_bpe_equals_the_library(spark):
     assert rows(bpe.digests(df, PATH)) == want
 
 
+def test_round_trip_is_one_process_a_task(spark):
+    """The text stays behind, other columns stay, and no second Python step holds memory of its own."""
+    df = spark.createDataFrame([(1, "One two", "de"), (2, None, None), (3, "", "en")], "doc_id long, text string, lang string")
+    got = bpe.round_trip(df, PATH)
+    assert rows(got) == rows(bpe.decode(bpe.encode(df, PATH), PATH).drop("text"))
+    assert bpe.digests(df, PATH)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_codec_keeps_bounded_words():
+    """Words that never repeat must not fill a worker process."""
+    c, r = bpe.Codec(PATH), random.Random(3)
+    for _ in range(700):
+        c.encode(" ".join("".join(r.choices("aeioulmnrst", k=8)) for _ in range(400)))
+    held = sum(sys.getsizeof(x) for kept in (c.young, c.old) for item in kept.items() for x in item) + sum(map(sys.getsizeof, (c.young, c.old)))
+    assert 0 < held < 24e6
+
+
+def test_keyed_match_gives_rows(spark):
+    """Unpacked where they are made, not by a second Python step."""
+
+    def emit(batches):
+        for b in batches:
+            dealer = Dealer(7, keyed=True)
+            for key, owner in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                dealer.add(np.array([key], np.uint64), np.array([owner], np.int64), np.array([key], np.int64))
+            yield from dealer.flush()
+
+    pairs = [(k, o) for k in range(40) for o in range(k % 5)]
+    found = match(spark.createDataFrame(pairs, "key long, owner long").repartition(3).mapInArrow(emit, PARTS), 7, keyed=True)
+    assert found.columns == ["key", "hub", "doc"]
+    got = {tuple(x) for x in found.collect()}
+    assert sorted({(k, o) for k, _, o in got}) == [(k, o) for k, o in pairs if k % 5 > 1]
+    assert all((k, hub) in pairs and hub <= o for k, hub, o in got)  # the smallest owner of a task or of all
+
+
 def test_automaton_equals_merging():
     """Random merges over two letters, where equal neighbours and overlaps abound, against merging step by step."""
     r = random.Random(5)
