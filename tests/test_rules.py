@@ -283,6 +283,21 @@ def test_team_props_of_one_team_are_dealt(spark):
     assert len({r["task"] for r in got}) > 1
 
 
+def test_team_props_repeat_at_short_range(spark, tmp_path):
+    """A team's eliminations are written list by list, so a file of all pairs takes far less than a byte a row."""
+    elim = spark.range(20_000).select(F.format_string("N%02d", F.col("id") % 1 + 1).alias("loser"), F.col("id").alias("elim_ts"))
+    m = spark.range(640).select(F.format_string("A-24N%02d", F.col("id") % 1 + 1).alias("event_ticker"), F.col("id").alias("ticker"))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        E.team_props(elim, ["A"], m, "24").write.parquet(str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == 20_000 * 640 == out.distinct().count()
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 20_000 * 640
+
+
 def _written_after_the_last_shuffle(spark, df):
     """True if marks are written out above every exchange of the plan."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
